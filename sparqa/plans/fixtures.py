@@ -112,3 +112,23 @@ def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 17 == 0, F.lit(None).cast("double"))
          .otherwise((F.col("doc_id") % 5) / 5.0).alias("answer_relevancy"),
     )
+
+
+def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-D4 input: questions in the clinical template, one per document.
+
+    ``question = 'Pasien dengan <source> dan diagnosis medis: <lang>. Jelaskan <type>?'``
+    with the type chosen by ``doc_id % 8``; the reference answer is the document's first
+    statement.
+    """
+    from sparqa.functions.text import statements
+    from sparqa.operators.insight import QUESTION_TYPES
+
+    d = table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(n) for n, _ in QUESTION_TYPES])
+    return d.select(
+        F.col("doc_id").alias("row_id"),
+        F.concat(F.lit("Pasien dengan "), F.col("source"), F.lit(" dan diagnosis medis: "), F.col("lang"),
+                 F.lit(". Jelaskan "), F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")),
+                 F.lit("?")).alias("question"),
+        F.coalesce(F.element_at(statements(F.col("text")), 1), F.lit("")).alias("answer"))

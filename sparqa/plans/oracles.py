@@ -229,3 +229,333 @@ r AS (SELECT qs.qid AS row_id, true AS use_rag,
       FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid)
 SELECT * FROM r
 UNION ALL SELECT qid AS row_id, false AS use_rag, '' AS generated_answer, 0 AS n_contexts FROM qs"""
+
+
+# ================================================================== shared relations
+
+SCORED_SQL = """(SELECT d.doc_id AS row_id, d.text AS question, d.source AS answer, d.lang AS experiment,
+  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE substr(d.text, 1, 60) END AS generated_answer,
+  CASE WHEN d.doc_id % 5 = 0 THEN '[]' ELSE '[''' || d.source || ''', ''' || d.lang || ''']' END AS retrieved_contexts,
+  l.quality::DOUBLE AS context_precision,
+  CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE (d.n_chars % 100)::DOUBLE / 100 END AS context_recall,
+  l.toxic::DOUBLE AS faithfulness,
+  CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE (d.n_chars % 10)::DOUBLE / 10 END AS answer_relevancy
+ FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+SECOND_SQL = """(SELECT doc_id AS row_id, text AS question, source AS answer, lang AS experiment,
+  (doc_id % 4)::DOUBLE / 4 AS context_precision,
+  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE (doc_id % 9)::DOUBLE / 9 END AS context_recall,
+  (doc_id % 2)::DOUBLE AS faithfulness,
+  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (doc_id % 5)::DOUBLE / 5 END AS answer_relevancy
+ FROM documents)"""
+
+CFG_SQL = """(SELECT * FROM (VALUES (0, 'llama_with_rag', 'llama', true, 'llama_with_rag'),
+  (1, 'llama_without_rag', 'llama', false, 'llama_without_rag'),
+  (2, 'gpt_oss_with_rag', 'gpt_oss', true, 'gpt_oss_with_rag'),
+  (3, 'gpt_oss_without_rag', 'gpt_oss', false, 'gpt_oss_without_rag'))
+  t(ord, experiment, generator_model, use_rag, output_suffix))"""
+
+DOCS_GAPS_SQL = """(SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '  ' || chr(10) ELSE text END AS text,
+  CASE WHEN doc_id % 97 = 0 THEN 'ExtractionError: unreadable' END AS error FROM documents)"""
+
+TYPE_NAMES = ["Skrining Gizi", "Status Gizi", "Data Biokimia", "Diagnosis Gizi (PES)", "Tujuan Diet",
+              "Prinsip Diet", "Syarat Diet", "Pedoman Diet"]
+TYPE_KEYWORDS = ["skrining gizi", "status gizi", "biokimia", "diagnosis gizi", "tujuan diet", "prinsip diet",
+                 "syarat diet", "pedoman diet"]
+
+TEMPLATE_SQL = f"""(SELECT doc_id AS row_id,
+  'Pasien dengan ' || source || ' dan diagnosis medis: ' || lang || '. Jelaskan '
+    || [{', '.join("'" + n + "'" for n in TYPE_NAMES)}][doc_id % 8 + 1] || '?' AS question,
+  coalesce({statements('text')}[1], '') AS answer FROM documents)"""
+
+
+def qtype(x: str) -> str:
+    whens = " ".join(f"WHEN contains(lower({x}), '{k}') THEN '{n}'" for n, k in zip(TYPE_NAMES, TYPE_KEYWORDS))
+    return f"CASE {whens} ELSE 'Lainnya' END"
+
+
+def vec16(x: str) -> str:
+    """In-row hash vector of a text as a DOUBLE list."""
+    return (f"list_transform(range(16), lambda i: coalesce(list_sum(list_transform({tokens(x)}, "
+            f"lambda t: ('0x' || substr(md5(t), 2 * i + 1, 2))::INT - 127.5)), 0.0))")
+
+
+def lcos(a: str, b: str) -> str:
+    den = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"CASE WHEN {den} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {den} END"
+
+
+def generated_ctes(qa: str = QA_SQL) -> str:
+    """CTEs up to ``gen``: the QA rows under the four configs, retrieval shared by RAG rows."""
+    return _retrieval_prefix(3, f"SELECT row_id AS qid, question FROM {qa}") + f""",
+ctxl AS (SELECT qid AS row_id, list(chunk ORDER BY rank) AS ctx,
+                max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END) AS ans
+         FROM hits GROUP BY qid),
+qa AS (SELECT * FROM {qa}),
+gen AS (SELECT qa.row_id, qa.question, qa.answer, cfg.experiment, cfg.generator_model, cfg.use_rag,
+               CASE WHEN cfg.use_rag THEN coalesce(ctxl.ans, '') ELSE '' END AS generated_answer,
+               CASE WHEN cfg.use_rag THEN coalesce(ctxl.ctx, []::VARCHAR[]) ELSE []::VARCHAR[] END
+                 AS retrieved_contexts
+        FROM qa LEFT JOIN ctxl USING (row_id), {CFG_SQL} cfg)"""
+
+
+def _sup(s: str, t: str) -> str:
+    return f"2 * len(list_intersect({s}, {t})) >= len({s})"
+
+
+def judge_ctes(src: str = "gen") -> str:
+    """CTEs ``j2`` (verdict lists) and ``judged`` (four metrics) over ``src``."""
+    return f""",
+j0 AS (SELECT *, list_transform(retrieved_contexts, lambda c: list_distinct({tokens('c')})) AS ctx_t,
+              list_transform({statements('answer')}, lambda s: list_distinct({tokens('s')})) AS ref_st,
+              list_transform({statements('generated_answer')}, lambda s: list_distinct({tokens('s')})) AS ans_st
+       FROM {src}),
+j1 AS (SELECT *, list_distinct(flatten(ctx_t)) AS all_t,
+              list_transform(ctx_t, lambda ct: CASE WHEN list_bool_or(list_transform(ref_st,
+                  lambda s: {_sup('s', 'ct')})) THEN 1 ELSE 0 END) AS v_cp
+       FROM j0),
+j2 AS (SELECT *, list_transform(ref_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_cr,
+              list_transform(ans_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_f,
+              list_transform({statements('generated_answer')}[1:3], lambda g: {lcos(vec16('question'), vec16('g'))}) AS sims
+       FROM j1),
+judged AS (SELECT *,
+   CASE WHEN use_rag THEN (CASE WHEN coalesce(list_sum(v_cp), 0) > 0
+        THEN list_sum(list_transform(v_cp, lambda x, i: x * list_sum(v_cp[1:i]) / i)) / list_sum(v_cp)
+        ELSE 0.0 END) END AS context_precision,
+   CASE WHEN use_rag AND len(v_cr) > 0 THEN list_sum(v_cr) / len(v_cr) END AS context_recall,
+   CASE WHEN use_rag AND len(v_f) > 0 THEN list_sum(v_f) / len(v_f) END AS faithfulness,
+   CASE WHEN generated_answer IS NULL OR {strip('generated_answer')} = '' THEN 0.0
+        WHEN len(sims) > 0 THEN list_sum(sims) / len(sims) END AS answer_relevancy
+   FROM j2)"""
+
+
+def bertscore_ctes(src: str, keys: list[str], cand: str, ref: str, name: str = "bs") -> str:
+    """CTE ``name(keys, p, r, f)``: greedy max-cosine token matching per row."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"x.{c} = y.{c}" for c in keys)
+    return f""",
+{name}_c AS (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(cand)}) AS t FROM {src}) GROUP BY ALL),
+{name}_r AS (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(ref)}) AS t FROM {src}) GROUP BY ALL),
+{name}_tv AS (SELECT t, {dims('t')} FROM (SELECT t FROM {name}_c UNION SELECT t FROM {name}_r)),
+{name}_p AS (SELECT {', '.join('x.' + c for c in keys)}, x.t AS ct, y.t AS rt, {cosine('a', 'b')} AS s
+             FROM {name}_c x JOIN {name}_r y ON {on} JOIN {name}_tv a ON a.t = x.t JOIN {name}_tv b ON b.t = y.t),
+{name}_bc AS (SELECT {k}, ct, max(s) AS m FROM {name}_p GROUP BY ALL),
+{name}_br AS (SELECT {k}, rt, max(s) AS m FROM {name}_p GROUP BY ALL),
+{name}_pp AS (SELECT {', '.join('x.' + c for c in keys)}, sum(y.m * x.n) / sum(x.n) AS p
+              FROM {name}_c x JOIN {name}_bc y ON {on} AND y.ct = x.t GROUP BY ALL),
+{name}_rr AS (SELECT {', '.join('x.' + c for c in keys)}, sum(y.m * x.n) / sum(x.n) AS r
+              FROM {name}_r x JOIN {name}_br y ON {on} AND y.rt = x.t GROUP BY ALL),
+{name} AS (SELECT {', '.join('s.' + c for c in keys)}, coalesce(pp.p, 0.0) AS p, coalesce(rr.r, 0.0) AS r,
+                  CASE WHEN coalesce(pp.p, 0.0) + coalesce(rr.r, 0.0) = 0 THEN 0.0
+                       ELSE 2 * coalesce(pp.p, 0.0) * coalesce(rr.r, 0.0) / (coalesce(pp.p, 0.0) + coalesce(rr.r, 0.0))
+                  END AS f
+           FROM {src} s LEFT JOIN {name}_pp pp USING ({k}) LEFT JOIN {name}_rr rr USING ({k}))"""
+
+
+def r6(*cols: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+# ================================================================== S1-S12, F1
+SQL["corpus_scan"] = "SELECT doc_id, length(text)::INT AS n_chars, lang FROM documents"
+SQL["assemble_pages"] = """SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+SQL["drop_empty_docs"] = f"SELECT doc_id FROM {DOCS_GAPS_SQL} WHERE text IS NOT NULL AND {strip('text')} <> ''"
+SQL["skip_failed_docs"] = f"""WITH g AS (SELECT doc_id, text FROM {DOCS_GAPS_SQL}
+  WHERE text IS NOT NULL AND {strip('text')} <> '' AND error IS NULL), {chunks_cte(500, 'g')}
+SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id"""
+SQL["failed_docs"] = f"SELECT doc_id, error FROM {DOCS_GAPS_SQL} WHERE error IS NOT NULL"
+SQL["load_qa"] = f"SELECT row_id, question, answer FROM {QA_SQL}"
+
+_PARSED = f"""(SELECT *, CASE WHEN retrieved_contexts = '[]' THEN []::VARCHAR[]
+  ELSE regexp_extract_all(retrieved_contexts, '''([^'']*)''', 1) END AS ctx FROM {SCORED_SQL})"""
+SQL["load_generated"] = f"""SELECT s.row_id, s.question, s.answer, s.generated_answer, u.pos, u.context
+FROM {_PARSED} s LEFT JOIN (SELECT row_id, unnest(range(len(ctx)))::INT AS pos, unnest(ctx) AS context
+  FROM {_PARSED}) u USING (row_id)"""
+SQL["parse_contexts"] = f"""SELECT s.row_id, u.pos, u.context
+FROM {_PARSED} s LEFT JOIN (SELECT row_id, unnest(range(len(ctx)))::INT AS pos, unnest(ctx) AS context
+  FROM {_PARSED}) u USING (row_id)"""
+SQL["save_results_roundtrip"] = f"""SELECT row_id, experiment, len(ctx)::INT AS n_contexts,
+  {r6('context_recall', 'answer_relevancy')}, true AS parquet_seen, true AS csv_equal FROM {_PARSED}"""
+
+SQL["output_paths"] = f"""WITH b AS (SELECT doc_id, 'results/' || lang || '/' || source AS stem, doc_id % 4 AS e,
+  CASE WHEN doc_id % 5 = 0 THEN 'given/' || source || '.csv' END AS given FROM documents),
+o AS (SELECT doc_id, cfg.experiment, cfg.output_suffix AS suf, given, CASE e
+    WHEN 0 THEN stem || '_' || cfg.output_suffix || '.csv'
+    WHEN 1 THEN stem || '_' || cfg.output_suffix || '.csv'
+    WHEN 2 THEN stem || '.tar_' || cfg.output_suffix || '.gz'
+    ELSE stem || '.csv_' || cfg.output_suffix || '.bak' END AS output_path FROM b, {CFG_SQL} cfg)
+SELECT doc_id, experiment, output_path, replace(output_path, '.csv', '_nan_fixed.csv') AS repaired_path,
+  coalesce(given, output_path) AS input_path FROM o"""
+
+# ================================================================== X1-X7
+SQL["experiment_grid"] = f"""SELECT qa.row_id, cfg.ord, cfg.experiment, cfg.generator_model, cfg.use_rag,
+  cfg.output_suffix FROM {QA_SQL} qa, {CFG_SQL} cfg"""
+SQL["experiment_select"] = f"""SELECT row_id, 'gpt_oss_without_rag' AS experiment, false AS use_rag FROM {QA_SQL}"""
+SQL["tag_results"] = f"SELECT row_id, experiment, 'llama_with_rag' AS tagged FROM {SCORED_SQL}"
+SQL["limit_rows"] = f"""WITH q AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS n
+  FROM {QA_SQL})
+SELECT row_id, 5 AS "limit" FROM q WHERE rn <= 5
+UNION ALL SELECT row_id, -100 AS "limit" FROM q WHERE rn <= n - 100"""
+
+_GEN = generated_ctes()
+SQL["run_summary"] = _GEN + """
+SELECT experiment, 'results/rag_combined_results_' || experiment || '.csv' AS output_path, 'all' AS action,
+  count(*) AS n_rows FROM gen GROUP BY experiment"""
+
+# ================================================================== T1-T12
+SQL["bertscore"] = f"WITH qa AS (SELECT * FROM {QA_SQL})" + bertscore_ctes(
+    "qa", ["row_id"], "question", "answer") + """
+SELECT row_id, round(p, 6) AS bertscore_precision, round(r, 6) AS bertscore_recall, round(f, 6) AS bertscore_f1
+FROM bs"""
+SQL["bertscore_means"] = _GEN + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer") + """
+SELECT experiment, round(avg(p), 6) AS bertscore_precision_mean, round(avg(r), 6) AS bertscore_recall_mean,
+  round(avg(f), 6) AS bertscore_f1_mean FROM bs GROUP BY experiment"""
+SQL["judge_input"] = _GEN + """
+SELECT row_id, experiment, question AS user_input, generated_answer AS response, answer AS reference,
+  len(retrieved_contexts)::INT AS n_contexts FROM gen"""
+SQL["judge_metrics"] = _GEN + """
+SELECT row_id, experiment, unnest(range(len(m)))::INT AS pos, unnest(m) AS metric
+FROM (SELECT row_id, experiment, CASE WHEN use_rag
+  THEN ['context_precision', 'context_recall', 'faithfulness', 'answer_relevancy'] ELSE ['answer_relevancy'] END AS m
+  FROM gen)"""
+_JUDGED = _GEN + judge_ctes("gen")
+for _m in ("context_precision", "context_recall", "faithfulness", "answer_relevancy"):
+    SQL[_m] = _JUDGED + f"\nSELECT row_id, experiment, round({_m}, 6) AS {_m} FROM judged"
+SQL["judge_verdicts"] = _JUDGED + """,
+rag AS (SELECT * FROM j2 WHERE use_rag)
+SELECT row_id, experiment, 'context_precision' AS metric, unnest(range(len(v_cp)))::INT AS idx,
+  unnest(v_cp)::INT AS verdict FROM rag
+UNION ALL SELECT row_id, experiment, 'context_recall', unnest(range(len(v_cr)))::INT, unnest(v_cr)::INT FROM rag
+UNION ALL SELECT row_id, experiment, 'faithfulness', unnest(range(len(v_f)))::INT, unnest(v_f)::INT FROM rag"""
+SQL["attach_metrics"] = _JUDGED + """
+SELECT row_id, experiment, round(CASE WHEN use_rag THEN context_precision END, 6) AS context_precision,
+  round(CASE WHEN use_rag THEN faithfulness END, 6) AS faithfulness FROM judged"""
+SQL["judge_means"] = _JUDGED + """
+SELECT experiment, round(avg(coalesce(context_precision, 0)), 6) AS context_precision_mean,
+  round(avg(coalesce(context_recall, 0)), 6) AS context_recall_mean,
+  round(avg(coalesce(faithfulness, 0)), 6) AS faithfulness_mean,
+  round(avg(coalesce(answer_relevancy, 0)), 6) AS answer_relevancy_mean FROM judged GROUP BY experiment"""
+_FULL = _JUDGED + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer")
+SQL["experiment_stages"] = _FULL + """
+SELECT j.row_id, j.experiment, j.generated_answer, round(bs.f, 6) AS bertscore_f1,
+  round(j.context_precision, 6) AS context_precision, round(j.context_recall, 6) AS context_recall,
+  round(j.faithfulness, 6) AS faithfulness, round(j.answer_relevancy, 6) AS answer_relevancy
+FROM judged j JOIN bs USING (row_id, experiment)"""
+SQL["union_results"] = _JUDGED + """
+SELECT upper(experiment) AS label, row_id, CASE WHEN use_rag THEN len(retrieved_contexts)::INT END AS n_contexts,
+  round(answer_relevancy, 6) AS answer_relevancy, round(context_precision, 6) AS context_precision,
+  round(faithfulness, 6) AS faithfulness FROM judged"""
+
+# ================================================================== Q1-Q12
+_MISS = "(context_recall IS NULL OR faithfulness IS NULL OR answer_relevancy IS NULL)"
+SQL["nan_counts"] = f"""SELECT count(*) AS total_rows, count_if({_MISS}) AS target_rows,
+  count_if(context_recall IS NULL) AS missing_context_recall, count_if(faithfulness IS NULL) AS missing_faithfulness,
+  count_if(answer_relevancy IS NULL) AS missing_answer_relevancy FROM {SCORED_SQL}"""
+SQL["repair_select"] = f"SELECT row_id FROM {SCORED_SQL} WHERE {_MISS}"
+_M4 = ["context_precision", "context_recall", "faithfulness", "answer_relevancy"]
+SQL["repair_overwrite"] = f"""SELECT s.row_id, {', '.join(
+    f'round(CASE WHEN {_MISS.replace("context_recall", "s.context_recall").replace("faithfulness", "s.faithfulness").replace("answer_relevancy", "s.answer_relevancy")} THEN n.{m} ELSE s.{m} END, 6) AS {m}' for m in _M4)}
+FROM {SCORED_SQL} s LEFT JOIN {SECOND_SQL} n USING (row_id)"""
+SQL["repair_noop"] = f"SELECT row_id, {r6(*_M4)} FROM {SCORED_SQL} WHERE NOT {_MISS}"
+SQL["duplicate_keys"] = f"""SELECT sha256(question) AS question_sha, answer, experiment, count(*) AS n
+FROM {SCORED_SQL} GROUP BY question, answer, experiment HAVING count(*) > 1"""
+SQL["merge_metrics"] = f"""SELECT s.row_id, {', '.join(f'round(coalesce(s.{m}, n.{m}), 6) AS {m}' for m in _M4)}
+FROM {SCORED_SQL} s LEFT JOIN {SECOND_SQL} n ON s.row_id = n.row_id AND s.experiment IS NOT DISTINCT FROM n.experiment"""
+_SCOLS = ["row_id", "question", "answer", "experiment", "generated_answer", "retrieved_contexts"] + _M4
+SQL["null_counts"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_missing FROM {SCORED_SQL}" for c in _SCOLS)
+SQL["diagnose_missing"] = f"""SELECT count(*) AS n_missing,
+  count_if(coalesce(retrieved_contexts, 'nan') IN ('[]', '', 'nan')) AS n_empty_contexts,
+  count_if({strip("coalesce(generated_answer, '')")} = '') AS n_blank_answers
+FROM {SCORED_SQL} WHERE answer_relevancy IS NULL"""
+SQL["sample_failed"] = f"SELECT row_id, answer FROM {SCORED_SQL} WHERE answer_relevancy IS NULL ORDER BY row_id LIMIT 10"
+
+# ================================================================== P1-P4
+SQL["profile_shape"] = f"SELECT count(*) AS n_rows, 10 AS n_columns FROM {SCORED_SQL}"
+_TYPES = {"row_id": "bigint", "context_precision": "double", "context_recall": "double",
+          "faithfulness": "double", "answer_relevancy": "double"}
+SQL["profile_info"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", count({c}) AS non_null, '{_TYPES.get(c, 'string')}' AS type "
+    f"FROM {SCORED_SQL}" for i, c in enumerate(_SCOLS))
+SQL["describe_numeric"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(count({c})::DOUBLE, 6) AS count, round(avg({c}), 6) AS mean,
+  round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min,
+  round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50,
+  round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75, round(max({c})::DOUBLE, 6) AS max FROM {SCORED_SQL}"""
+    for c in ["row_id"] + _M4)
+SQL["describe_text"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", (SELECT count({c}) FROM {SCORED_SQL}) AS count,
+  (SELECT count(DISTINCT {c}) FROM {SCORED_SQL}) AS unique,
+  (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {SCORED_SQL} WHERE {c} IS NOT NULL GROUP BY 1)
+     ORDER BY n DESC, v LIMIT 1) AS top,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM {SCORED_SQL} WHERE {c} IS NOT NULL GROUP BY {c})) AS freq"""
+    for c in ["answer", "experiment", "generated_answer", "retrieved_contexts"])
+
+# ================================================================== R1-R3
+SQL["method_averages"] = _JUDGED + """
+SELECT experiment AS method, round(avg(coalesce(context_precision, 0)), 6) AS avg_context_precision,
+  round(avg(coalesce(context_recall, 0)), 6) AS avg_context_recall,
+  round(avg(coalesce(faithfulness, 0)), 6) AS avg_faithfulness,
+  round(avg(coalesce(answer_relevancy, 0)), 6) AS avg_answer_relevancy FROM judged GROUP BY experiment"""
+
+
+def pyrepr(x: str) -> str:
+    """Python ``repr`` of a string for the common characters (quotes, backslash, \\n, \\r, \\t)."""
+    base = f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    return (f"CASE WHEN contains({x}, '''') AND NOT contains({x}, '\"') THEN '\"' || {base} || '\"' "
+            f"ELSE '''' || replace({base}, '''', '\\''') || '''' END")
+
+
+def fmt(x: str, d: int) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'nan' ELSE printf('%.{d}f', {x}) END"
+
+
+SQL["report_rows"] = _JUDGED + f"""
+SELECT row_id, '# Question ' || (row_id + 1)::VARCHAR || chr(10) || chr(10)
+  || '## User Question' || chr(10) || question || chr(10) || chr(10)
+  || '## Generated Answer' || chr(10) || generated_answer || chr(10) || chr(10)
+  || '## Ground Truth Answer' || chr(10) || answer || chr(10) || chr(10)
+  || '## Retrieved Chunks' || chr(10)
+  || array_to_string(list_transform(retrieved_contexts, lambda c, i: i::VARCHAR || '. ' || {pyrepr('c')} || chr(10)), '')
+  || '## Evaluation Scores' || chr(10) || chr(10)
+  || '|---------------|---------------|--------------|------------------|------|---------|---------|---------|' || chr(10)
+  || '| Context Precision | Context Recall | Faithfulness | Answer Relevancy |' || chr(10)
+  || '| ' || {fmt('context_precision', 4)} || ' | ' || {fmt('context_recall', 4)} || ' | '
+  || {fmt('faithfulness', 4)} || ' | ' || {fmt('answer_relevancy', 4)} || ' |' || chr(10) || chr(10) || ' '
+  AS markdown FROM judged WHERE experiment = 'llama_with_rag'"""
+
+SQL["report_summary"] = _JUDGED + f""",
+a AS (SELECT experiment AS method, avg(coalesce(context_precision, 0)) AS cp, avg(coalesce(context_recall, 0)) AS cr,
+  avg(coalesce(faithfulness, 0)) AS fa, avg(coalesce(answer_relevancy, 0)) AS ar FROM judged GROUP BY experiment)
+SELECT method, '----------------------------------------' || chr(10) || 'Method Used: ' || method || chr(10)
+  || '----------------------------------------' || chr(10) || chr(10) || 'Basic Metrics:' || chr(10)
+  || chr(10) || 'RAGAS Metrics:' || chr(10)
+  || 'Overall Average Context Precision: ' || {fmt('cp', 2)} || chr(10)
+  || 'Overall Average Context Recall: ' || {fmt('cr', 2)} || chr(10)
+  || 'Overall Average Faithfulness: ' || {fmt('fa', 2)} || chr(10)
+  || 'Overall Average Answer Relevancy: ' || {fmt('ar', 2)} || chr(10) AS summary FROM a"""
+
+# ================================================================== D1-D4
+SQL["parse_question"] = rf"""SELECT row_id,
+  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 1) AS assessment,
+  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 2) AS diagnosis,
+  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 3) AS ask
+FROM {TEMPLATE_SQL}"""
+SQL["question_type"] = f"SELECT {qtype('question')} AS question_type, count(*) AS n FROM {TEMPLATE_SQL} GROUP BY 1"
+
+_INSIGHT = generated_ctes(TEMPLATE_SQL) + judge_ctes("gen") + bertscore_ctes(
+    "gen", ["row_id", "experiment"], "generated_answer", "answer") + f""",
+ins AS (SELECT j.*, bs.f AS bertscore_f1, {qtype('j.question')} AS question_type
+        FROM judged j JOIN bs USING (row_id, experiment)),
+d AS (SELECT question_type, generator_model, avg(CASE WHEN use_rag THEN bertscore_f1 END) AS w,
+             avg(CASE WHEN NOT use_rag THEN bertscore_f1 END) AS wo FROM ins GROUP BY ALL)"""
+SQL["rag_delta"] = _INSIGHT + """
+SELECT question_type, generator_model, round(w, 6) AS mean_with_rag, round(wo, 6) AS mean_without_rag,
+  round(w - wo, 6) AS rag_delta FROM d"""
+SQL["retrieval_quality"] = _INSIGHT + """,
+q AS (SELECT question_type, avg(context_precision) AS cp, avg(context_recall) AS cr FROM ins WHERE use_rag
+      GROUP BY question_type)
+SELECT d.question_type, d.generator_model, round(d.w - d.wo, 6) AS rag_delta,
+  round(q.cp, 6) AS mean_context_precision, round(q.cr, 6) AS mean_context_recall
+FROM d LEFT JOIN q USING (question_type)"""

@@ -19,6 +19,7 @@ from sparqa.functions.hashvec import HASH_DIM
 from sparqa.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_COLLECTIONS: dict[tuple[str, str], str] = {}
 
 
 def query(name: str):
@@ -35,8 +36,11 @@ def doc_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = ch.DEFAULT_CH
 
 
 def doc_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V7: index the documents once into a collection in the shared folder; return its points."""
-    path = coll.scratch_path(spark, "docs-collection")
+    """V6 + V7: index the documents once into a collection in the shared folder; reuse it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _COLLECTIONS.get(key)
+    if path is None or not coll.exists(spark, path):
+        path = _COLLECTIONS[key] = coll.scratch_path(spark, "docs-collection")
     coll.index_corpus(spark, fx.corpus(spark, sf_dir), path, dim=HASH_DIM,
                       chunker=lambda d: ch.chunk_documents(d),
                       embed_fn=lambda c: embed(c, "chunk", "embedding", hash_embedder))
@@ -249,3 +253,513 @@ def q_run_generation(spark, sf_dir):
     cols = [F.col("qid").alias("row_id"), "use_rag", "generated_answer",
             F.size("retrieved_contexts").alias("n_contexts")]
     return rag.select(*cols).unionByName(plain.select(*cols))
+
+
+# ---------------------------------------------------------------- E11 generated results
+
+
+def generated_results(spark: SparkSession, sf_dir: str, qa: DataFrame | None = None) -> DataFrame:
+    """X3 + X5 + G10: the QA dataset under the four experiments.
+
+    Retrieval and answering run once per question and are shared by the two RAG
+    configs; the grid is an explode of a 4-row literal (no join), plain rows get ``[]``
+    and the stand-in's empty answer.
+    """
+    qa = qa if qa is not None else fx.qa_dataset(spark, sf_dir)
+    pts = doc_collection(spark, sf_dir)
+    rag = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), pts, use_rag=True) \
+             .select(F.col("qid").alias("row_id"), F.col("retrieved_contexts").alias("_ctx"),
+                     F.col("generated_answer").alias("_ans"))
+    base = qa.join(rag, "row_id", "left")
+    g = base.select("*", F.explode(fx.config_array()).alias("_cfg"))
+    empty = F.array().cast("array<string>")
+    return g.select(
+        "row_id", "question", "answer", F.col("_cfg.experiment").alias("experiment"),
+        F.col("_cfg.generator_model").alias("generator_model"), F.col("_cfg.use_rag").alias("use_rag"),
+        F.when(F.col("_cfg.use_rag"), F.coalesce("_ans", F.lit(""))).otherwise(F.lit("")).alias("generated_answer"),
+        F.when(F.col("_cfg.use_rag"), F.coalesce("_ctx", empty)).otherwise(empty).alias("retrieved_contexts"))
+
+
+def judged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated results with token-match scores (T1) and judge metrics."""
+    from sparqa.operators.judge import native_judge
+    from sparqa.operators.tokenmatch import bertscore
+    g = generated_results(spark, sf_dir)
+    return native_judge(bertscore(g), use_rag="use_rag")
+
+
+def _r6(*cols):
+    return [F.round(F.col(c), 6).alias(c) for c in cols]
+
+
+# ---------------------------------------------------------------- S1-S12 sources and sinks
+
+@query("corpus_scan")
+def q_corpus_scan(spark, sf_dir):
+    """S1 on a Parquet corpus folder (binary PDF scans share the same entry point)."""
+    from sparqa.sources.corpus import scan_corpus
+    d = scan_corpus(spark, f"{sf_dir}/documents.parquet", "parquet")
+    return d.select("doc_id", F.length("text").alias("n_chars"), "lang")
+
+
+@query("assemble_pages")
+def q_assemble_pages(spark, sf_dir):
+    """Page texts (conversation turns) concatenated in page order."""
+    from sparqa.sources.corpus import assemble_pages
+    return assemble_pages(fx.page_texts(spark, sf_dir)).select("doc_id", "text")
+
+
+def _docs_with_gaps(spark, sf_dir) -> DataFrame:
+    """Documents with blank texts (doc_id % 50 = 0) and extraction failures (doc_id % 97 = 0)."""
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id",
+                    F.when(F.col("doc_id") % 50 == 0, F.lit("  \n")).otherwise(F.col("text")).alias("text"),
+                    F.when(F.col("doc_id") % 97 == 0, F.lit("ExtractionError: unreadable"))
+                     .alias("error"))
+
+
+@query("drop_empty_docs")
+def q_drop_empty_docs(spark, sf_dir):
+    """S3: documents whose text is not blank."""
+    from sparqa.sources.corpus import drop_empty
+    return drop_empty(_docs_with_gaps(spark, sf_dir)).select("doc_id")
+
+
+@query("skip_failed_docs")
+def q_skip_failed_docs(spark, sf_dir):
+    """Chunks of documents that neither failed nor were blank; a failure drops the whole document."""
+    from sparqa.sources.corpus import drop_empty, isolate_failures
+    d = drop_empty(_docs_with_gaps(spark, sf_dir))
+    rows = d.select("doc_id", "error", F.posexplode(ch.chunk_text("text", 500, method="recursive"))
+                    .alias("pos", "chunk"))
+    kept, _ = isolate_failures(rows)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query("failed_docs")
+def q_failed_docs(spark, sf_dir):
+    """S4 side table: the documents skipped for an error."""
+    from sparqa.sources.corpus import isolate_failures
+    _, errors = isolate_failures(_docs_with_gaps(spark, sf_dir))
+    return errors.select("doc_id", "error")
+
+
+def _qa_csv(spark, sf_dir) -> str:
+    from sparqa.sources.results import save_results
+    path = coll.scratch_path(spark, "qa-csv")
+    qa = fx.qa_dataset(spark, sf_dir).withColumn("context", F.lit("unused"))
+    save_results(qa, path, "csv")
+    return path
+
+
+@query("load_qa")
+def q_load_qa(spark, sf_dir):
+    """S5 + S6: the QA dataset through a CSV round trip (multi-line cells), context dropped."""
+    from sparqa.sources.results import load_qa
+    df = load_qa(spark, _qa_csv(spark, sf_dir), schema="row_id bigint, question string, answer string, "
+                                                    "context string", drop_context=True)
+    return df
+
+
+@query("load_generated")
+def q_load_generated(spark, sf_dir):
+    """A legacy generated-results CSV (contexts as Python literals) loaded with M2 + F1."""
+    from sparqa.sources.results import load_generated, save_results
+    path = coll.scratch_path(spark, "gen-csv")
+    s = fx.scored_results(spark, sf_dir).select("row_id", "question", "answer", "experiment",
+                                                 "generated_answer", "retrieved_contexts")
+    save_results(s, path, "csv")
+    g = load_generated(spark, path, schema="row_id bigint, question string, answer string, experiment string, "
+                                           "generated_answer string, retrieved_contexts string")
+    return g.select("row_id", "question", "answer", "generated_answer",
+                    F.posexplode_outer("retrieved_contexts").alias("pos", "context"))
+
+
+@query("parse_contexts")
+def q_parse_contexts(spark, sf_dir):
+    """F1 on stored context cells (plain string lists)."""
+    from sparqa.functions.contexts import parse_contexts
+    s = fx.scored_results(spark, sf_dir)
+    return s.select("row_id", F.posexplode_outer(parse_contexts(F.col("retrieved_contexts")))
+                    .alias("pos", "context"))
+
+
+@query("save_results_roundtrip")
+def q_save_results_roundtrip(spark, sf_dir):
+    """Scored table written as partitioned Parquet and as CSV, read back."""
+    from sparqa.functions.contexts import parse_contexts, parse_contexts_json
+    from sparqa.sources.results import read_csv, save_results
+    s = fx.scored_results(spark, sf_dir).withColumn("retrieved_contexts",
+                                                    parse_contexts(F.col("retrieved_contexts")))
+    p1 = coll.scratch_path(spark, "scored-parquet")
+    save_results(s, p1, "parquet", partition_by=["experiment"])
+    p2 = coll.scratch_path(spark, "scored-csv")
+    save_results(s, p2, "csv")
+    back_pq = spark.read.parquet(p1)
+    back_csv = read_csv(spark, p2, s.select(*[F.col(c).cast("string") if c == "retrieved_contexts" else c
+                                              for c in s.columns]).schema)
+    a = back_pq.select("row_id", "experiment", F.size("retrieved_contexts").alias("n_contexts"),
+                       *_r6("context_recall", "answer_relevancy"))
+    b = back_csv.select("row_id", "experiment",
+                        F.size(parse_contexts_json(F.col("retrieved_contexts"))).alias("n_contexts"),
+                        *_r6("context_recall", "answer_relevancy"))
+    cols = ["n_contexts", "context_recall", "answer_relevancy"]
+    j = a.join(b, ["row_id", "experiment"], "full_outer")
+    return j.select("row_id", "experiment", *[a[c].alias(c) for c in cols],
+                    F.lit(True).alias("parquet_seen"),
+                    F.forall(F.array(*[a[c].eqNullSafe(b[c]) for c in cols]), lambda x: x).alias("csv_equal"))
+
+
+@query("output_paths")
+def q_output_paths(spark, sf_dir):
+    """Per document-derived base path x experiment: output, repaired and resolved input paths."""
+    from sparqa.sources.results import build_output_path, repaired_path, resolve_input
+    d = fx.table(spark, sf_dir, "documents")
+    ext = F.element_at(F.array(F.lit(".csv"), F.lit(""), F.lit(".tar.gz"), F.lit(".csv.bak")),
+                       (F.col("doc_id") % 4 + 1).cast("int"))
+    base = d.select("doc_id", F.concat(F.lit("results/"), F.col("lang"), F.lit("/"), F.col("source"), ext)
+                    .alias("base"),
+                    F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("given/"), F.col("source"), F.lit(".csv")))
+                    .alias("given"))
+    g = base.select("*", F.explode(fx.config_array()).alias("c"))
+    out = build_output_path(F.col("base"), F.col("c.output_suffix"))
+    return g.select("doc_id", F.col("c.experiment").alias("experiment"), out.alias("output_path"),
+                    repaired_path(out).alias("repaired_path"),
+                    resolve_input(F.col("given"), F.col("base"), F.col("c.output_suffix")).alias("input_path"))
+
+
+@query("union_results")
+def q_union_results(spark, sf_dir):
+    """The four per-experiment result tables labelled and unioned by name."""
+    from sparqa.sources.results import union_results
+    j = judged_results(spark, sf_dir)
+    frames = {}
+    for name, _, use_rag, _ in fx.EXPERIMENTS:
+        part = j.where(F.col("experiment") == name)
+        keep = ["row_id", "generated_answer", "answer_relevancy"] + (
+            ["retrieved_contexts", "context_precision", "context_recall", "faithfulness"] if use_rag else [])
+        frames[name.upper()] = part.select(*keep)
+    u = union_results(frames)
+    n_ctx = F.when(F.col("retrieved_contexts").isNotNull(), F.size("retrieved_contexts"))
+    return u.select("label", "row_id", n_ctx.alias("n_contexts"),
+                    *_r6("answer_relevancy", "context_precision", "faithfulness"))
+
+
+# ---------------------------------------------------------------- X1-X7 experiments
+
+@query("experiment_grid")
+def q_experiment_grid(spark, sf_dir):
+    """X1 + X3: QA questions x the four configs."""
+    from sparqa.operators.experiment import grid
+    g = grid(fx.qa_dataset(spark, sf_dir).select("row_id"))
+    return g.select("row_id", "ord", "experiment", "generator_model", "use_rag", "output_suffix")
+
+
+@query("experiment_select")
+def q_experiment_select(spark, sf_dir):
+    """One experiment chosen by name."""
+    from sparqa.operators.experiment import grid
+    return grid(fx.qa_dataset(spark, sf_dir).select("row_id"), "gpt_oss_without_rag") \
+        .select("row_id", "experiment", "use_rag")
+
+
+@query("experiment_stages")
+def q_experiment_stages(spark, sf_dir):
+    """Action 'all' over the grid: generate, then token scores, then judge metrics."""
+    j = judged_results(spark, sf_dir)
+    return j.select("row_id", "experiment", "generated_answer",
+                    *_r6("bertscore_f1", "context_precision", "context_recall", "faithfulness",
+                         "answer_relevancy"))
+
+
+@query("tag_results")
+def q_tag_results(spark, sf_dir):
+    """Reloaded results get ``experiment`` only when absent."""
+    from sparqa.operators.experiment import tag_results
+    s = fx.scored_results(spark, sf_dir)
+    with_col = tag_results(s, "llama_with_rag").select("row_id", "experiment")
+    without = tag_results(s.drop("experiment"), "llama_with_rag").select(
+        "row_id", F.col("experiment").alias("tagged"))
+    return with_col.join(without, "row_id")
+
+
+@query("limit_rows")
+def q_limit_rows(spark, sf_dir):
+    """X6 (+R4): head 5, head 0 and all-but-last-100 of the QA dataset, labelled."""
+    from sparqa.operators.experiment import limit_rows
+    qa = fx.qa_dataset(spark, sf_dir).select("row_id")
+    parts = [limit_rows(qa, n).withColumn("limit", F.lit(n)) for n in (5, 0, -100)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    """One summary row per experiment that produced rows."""
+    from sparqa.operators.experiment import run_summary
+    g = generated_results(spark, sf_dir)
+    ran = g.groupBy("experiment", F.col("experiment").alias("output_suffix")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    return run_summary(ran, "results/rag_combined_results.csv", "all").join(
+        ran.select("experiment", "n_rows"), "experiment")
+
+
+# ---------------------------------------------------------------- T1-T12 metrics
+
+@query("bertscore")
+def q_bertscore(spark, sf_dir):
+    """Token matching, user turn as candidate, assistant turn as reference."""
+    from sparqa.operators.tokenmatch import bertscore
+    qa = fx.qa_dataset(spark, sf_dir)
+    s = bertscore(qa, candidate="question", reference="answer")
+    return s.select("row_id", *_r6("bertscore_precision", "bertscore_recall", "bertscore_f1"))
+
+
+@query("bertscore_means")
+def q_bertscore_means(spark, sf_dir):
+    """Plain means per experiment of the generated grid."""
+    from sparqa.operators.tokenmatch import bertscore, bertscore_means
+    m = bertscore_means(bertscore(generated_results(spark, sf_dir)), ["experiment"])
+    return m.select("experiment", *_r6("bertscore_precision_mean", "bertscore_recall_mean",
+                                       "bertscore_f1_mean"))
+
+
+@query("judge_input")
+def q_judge_input(spark, sf_dir):
+    """The judge's input shape."""
+    from sparqa.operators.judge import judge_input
+    j = judge_input(generated_results(spark, sf_dir), ["row_id", "experiment"])
+    return j.select("row_id", "experiment", "user_input", "response", "reference",
+                    F.size("retrieved_contexts").alias("n_contexts"))
+
+
+@query("judge_metrics")
+def q_judge_metrics(spark, sf_dir):
+    """T4: the metrics each row of the generated grid is judged on."""
+    from sparqa.operators.judge import metrics_for
+    g = generated_results(spark, sf_dir)
+    return g.select("row_id", "experiment", F.posexplode(metrics_for(F.col("use_rag"))).alias("pos", "metric"))
+
+
+def _metric_query(metric: str):
+    def run(spark, sf_dir):
+        j = judged_results(spark, sf_dir)
+        return j.select("row_id", "experiment", *_r6(metric))
+    run.__doc__ = f"T5-T8: {metric} per row of the generated grid (native judge)."
+    return run
+
+
+for _m in ("context_precision", "context_recall", "faithfulness", "answer_relevancy"):
+    query(_m)(_metric_query(_m))
+
+
+@query("judge_verdicts")
+def q_judge_verdicts(spark, sf_dir):
+    """The verdict table of the RAG rows."""
+    from sparqa.operators.judge import verdict_table
+    g = generated_results(spark, sf_dir).where(F.col("use_rag"))
+    return verdict_table(g, ["row_id", "experiment"])
+
+
+@query("attach_metrics")
+def q_attach_metrics(spark, sf_dir):
+    """Judge output (a separate keyed table) attached back to the results by key."""
+    from sparqa.operators.judge import attach_metrics, native_judge
+    g = generated_results(spark, sf_dir).withColumn("faithfulness", F.lit(-1.0))
+    keys = ["row_id", "experiment"]
+    judged = native_judge(g.where(F.col("use_rag")).drop("faithfulness"), use_rag=True) \
+        .select(*keys, "context_precision", "faithfulness")
+    out = attach_metrics(g, judged, keys)
+    return out.select(*keys, *_r6("context_precision", "faithfulness"))
+
+
+@query("judge_means")
+def q_judge_means(spark, sf_dir):
+    """Judge means per experiment, missing counted as 0 (rule M3)."""
+    from sparqa.operators.judge import judge_means
+    m = judge_means(judged_results(spark, sf_dir), ["experiment"])
+    return m.select("experiment", *_r6("context_precision_mean", "context_recall_mean",
+                                       "faithfulness_mean", "answer_relevancy_mean"))
+
+
+# ---------------------------------------------------------------- Q1-Q12 repair and merge
+
+@query("nan_counts")
+def q_nan_counts(spark, sf_dir):
+    """Q3: total rows, target rows and missing counts per target metric."""
+    from sparqa.operators.repair import nan_counts, prepare
+    return nan_counts(prepare(fx.scored_results(spark, sf_dir)))
+
+
+@query("repair_select")
+def q_repair_select(spark, sf_dir):
+    """Q1 + Q2 + Q4: rows to redo."""
+    from sparqa.operators.repair import prepare, select_targets
+    return select_targets(prepare(fx.scored_results(spark, sf_dir))).select("row_id")
+
+
+def _rescore_from_second_run(spark, sf_dir):
+    second = fx.second_run(spark, sf_dir)
+
+    def rescore(targets: DataFrame) -> DataFrame:
+        return targets.select("row_id").join(second.drop("question", "answer", "experiment"), "row_id")
+    return rescore
+
+
+@query("repair_overwrite")
+def q_repair_overwrite(spark, sf_dir):
+    """Q6: re-scored target rows overwrite all four metrics; other rows untouched."""
+    from sparqa.operators.repair import repair
+    r = repair(fx.scored_results(spark, sf_dir), _rescore_from_second_run(spark, sf_dir))
+    return r.select("row_id", *_r6("context_precision", "context_recall", "faithfulness", "answer_relevancy"))
+
+
+@query("repair_noop")
+def q_repair_noop(spark, sf_dir):
+    """Q5: a table with nothing missing passes through unchanged."""
+    from sparqa.operators.repair import repair
+    s = fx.scored_results(spark, sf_dir).where(F.col("context_recall").isNotNull()
+                                               & F.col("faithfulness").isNotNull()
+                                               & F.col("answer_relevancy").isNotNull())
+    r = repair(s, _rescore_from_second_run(spark, sf_dir))
+    return r.select("row_id", *_r6("context_precision", "context_recall", "faithfulness", "answer_relevancy"))
+
+
+@query("duplicate_keys")
+def q_duplicate_keys(spark, sf_dir):
+    """Q7: duplicated (question, answer, experiment) keys of the scored table."""
+    from sparqa.operators.repair import duplicate_keys
+    d = duplicate_keys(fx.scored_results(spark, sf_dir))
+    return d.select(F.sha2("question", 256).alias("question_sha"), "answer", "experiment", "n")
+
+
+@query("merge_metrics")
+def q_merge_metrics(spark, sf_dir):
+    """Q8 + Q9: the second run fills missing metrics of the main table, keyed by row."""
+    from sparqa.operators.repair import merge_metrics
+    main = fx.scored_results(spark, sf_dir)
+    src = fx.second_run(spark, sf_dir)
+    m = merge_metrics(main, src, keys=["row_id", "experiment"])
+    return m.select("row_id", *_r6("context_precision", "context_recall", "faithfulness", "answer_relevancy"))
+
+
+@query("null_counts")
+def q_null_counts(spark, sf_dir):
+    """Q10: missing values per column of the scored table."""
+    from sparqa.operators.repair import null_counts
+    return null_counts(fx.scored_results(spark, sf_dir))
+
+
+@query("diagnose_missing")
+def q_diagnose_missing(spark, sf_dir):
+    """Q11: rows missing answer_relevancy: count, empty contexts, blank answers."""
+    from sparqa.operators.repair import diagnose_missing
+    return diagnose_missing(fx.scored_results(spark, sf_dir))
+
+
+@query("sample_failed")
+def q_sample_failed(spark, sf_dir):
+    """Q12: the first 10 rows missing answer_relevancy (a top-10 report)."""
+    from sparqa.operators.repair import sample_failed
+    return sample_failed(fx.scored_results(spark, sf_dir), 10, cols=["row_id", "answer"])
+
+
+# ---------------------------------------------------------------- P1-P4 profiling
+
+@query("profile_shape")
+def q_profile_shape(spark, sf_dir):
+    from sparqa.operators.profile import shape
+    return shape(fx.scored_results(spark, sf_dir))
+
+
+@query("profile_info")
+def q_profile_info(spark, sf_dir):
+    from sparqa.operators.profile import info
+    return info(fx.scored_results(spark, sf_dir))
+
+
+@query("describe_numeric")
+def q_describe_numeric(spark, sf_dir):
+    from sparqa.operators.profile import describe_numeric
+    d = describe_numeric(fx.scored_results(spark, sf_dir))
+    return d.select("column", *_r6("count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+
+
+@query("describe_text")
+def q_describe_text(spark, sf_dir):
+    from sparqa.operators.profile import describe_text
+    d = describe_text(fx.scored_results(spark, sf_dir), ["answer", "experiment", "generated_answer",
+                                                          "retrieved_contexts"])
+    return d
+
+
+# ---------------------------------------------------------------- R1-R3 reports
+
+@query("method_averages")
+def q_method_averages(spark, sf_dir):
+    """Per method (experiment) averages, missing as 0."""
+    from sparqa.operators.report import method_averages
+    j = judged_results(spark, sf_dir).withColumnRenamed("experiment", "method")
+    m = method_averages(j)
+    return m.select("method", *_r6("avg_context_precision", "avg_context_recall", "avg_faithfulness",
+                                   "avg_answer_relevancy"))
+
+
+@query("report_rows")
+def q_report_rows(spark, sf_dir):
+    """R2: Markdown blocks of the judged RAG rows of one method."""
+    from sparqa.operators.judge import judge_input
+    from sparqa.operators.report import report_rows
+    j = judged_results(spark, sf_dir).where(F.col("experiment") == "llama_with_rag")
+    inp = judge_input(j, ["row_id", "context_precision", "context_recall", "faithfulness", "answer_relevancy"])
+    return report_rows(inp, "row_id")
+
+
+@query("report_summary")
+def q_report_summary(spark, sf_dir):
+    """Summary text per method at two decimals."""
+    from sparqa.operators.report import method_averages, report_summary
+    j = judged_results(spark, sf_dir).withColumnRenamed("experiment", "method")
+    return report_summary(method_averages(j))
+
+
+# ---------------------------------------------------------------- D1-D4 insight
+
+@query("parse_question")
+def q_parse_question(spark, sf_dir):
+    from sparqa.operators.insight import parse_question
+    t = fx.template_questions(spark, sf_dir)
+    return t.select("row_id", parse_question("question").alias("p")).select(
+        "row_id", "p.assessment", "p.diagnosis", "p.ask")
+
+
+@query("question_type")
+def q_question_type(spark, sf_dir):
+    from sparqa.operators.insight import question_type
+    t = fx.template_questions(spark, sf_dir)
+    return t.groupBy(question_type("question").alias("question_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def insight_results(spark, sf_dir) -> DataFrame:
+    from sparqa.operators.insight import question_type
+    from sparqa.operators.judge import native_judge
+    from sparqa.operators.tokenmatch import bertscore
+    t = fx.template_questions(spark, sf_dir)
+    g = generated_results(spark, sf_dir, qa=t)
+    j = native_judge(bertscore(g), use_rag="use_rag")
+    return j.withColumn("question_type", question_type("question"))
+
+
+@query("rag_delta")
+def q_rag_delta(spark, sf_dir):
+    from sparqa.operators.insight import rag_delta
+    d = rag_delta(insight_results(spark, sf_dir))
+    return d.select("question_type", "generator_model", *_r6("mean_with_rag", "mean_without_rag", "rag_delta"))
+
+
+@query("retrieval_quality")
+def q_retrieval_quality(spark, sf_dir):
+    from sparqa.operators.insight import rag_delta, retrieval_quality
+    s = insight_results(spark, sf_dir)
+    r = retrieval_quality(s, rag_delta(s))
+    return r.select("question_type", "generator_model",
+                    *_r6("rag_delta", "mean_context_precision", "mean_context_recall"))

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
-# Python's str.strip() removes every Unicode White_Space character plus the four
-# information separators U+001C..U+001F; Java's (?U)\s covers the first set.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# The characters Python's str.strip() removes, derived from str.isspace() itself
+# (Unicode White_Space plus the separators U+001C..U+001F).
+STRIP_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # Token rule of the deterministic stand-ins: lower-case, split on runs of
 # characters that are neither letters nor digits, drop empties.
 TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
@@ -25,8 +24,8 @@ def col_of(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Unicode-aware strip, same characters as Python ``str.strip()``."""
-    return F.regexp_replace(col_of(c), STRIP_PATTERN, "")
+    """Unicode-aware strip, same characters as Python ``str.strip()`` (native trim, no regex)."""
+    return F.trim(col_of(c), F.lit(STRIP_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -74,6 +74,26 @@ def embedding_udf(embedder: Embedder = hash_embedder, dtype: str = "double"):
     return _embed
 
 
+def embedding_array_udf(embedder: Embedder = hash_embedder):
+    """``array<string> -> array<array<double>>``: one embedder call per Arrow batch."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def _embed_lists(lists: pd.Series) -> pd.Series:
+        flat, sizes = [], []
+        for v in lists:
+            items = [] if v is None else ["" if x is None else str(x) for x in v]
+            flat.extend(items)
+            sizes.append(len(items))
+        mat = np.asarray(embedder(flat), dtype=np.float64) if flat else np.zeros((0, 0))
+        out, at = [], 0
+        for n in sizes:
+            out.append([row for row in mat[at:at + n]])
+            at += n
+        return pd.Series(out)
+
+    return _embed_lists
+
+
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder: Embedder = hash_embedder, dtype: str = "double") -> DataFrame:
     """B1: add an embedding column; rows stay where they are (no shuffle)."""

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparqa.functions.hashvec import cosine, text_vector
+from sparqa.functions.hashvec import cosine
 from sparqa.functions.text import is_blank, statements, tokens
+from sparqa.operators.embed import Embedder, embedding_array_udf, embedding_udf, hash_embedder
 
 METRICS = ["context_precision", "context_recall", "faithfulness", "answer_relevancy"]
 RAG_METRICS = METRICS
@@ -94,16 +95,21 @@ def _mean_or_null(arr: Column) -> Column:
 
 def native_judge(df: DataFrame, question: str = "question", answer: str = "generated_answer",
                  reference: str = "answer", contexts: str = "retrieved_contexts",
-                 use_rag: Column | bool = True) -> DataFrame:
-    """T5-T8 (+T4): the four metric columns, computed in-row. Plain runs get only answer_relevancy."""
+                 use_rag: Column | bool = True, embedder: Embedder = hash_embedder) -> DataFrame:
+    """T5-T8 (+T4): the four metric columns, computed in-row. Plain runs get only answer_relevancy.
+
+    Vectors for answer_relevancy come from the (pluggable) embedder in Arrow batches:
+    one vector per question and per back-question, each computed once.
+    """
     d = with_verdicts(df, question, answer, reference, contexts)
+    d = d.withColumn("_qv", embedding_udf(embedder)(F.coalesce(F.col(question), F.lit(""))))
+    d = d.withColumn("_gv", embedding_array_udf(embedder)(
+        F.slice(statements(F.col(answer)), 1, BACK_QUESTIONS)))
     n_rel = _sum(F.col("_v_cp"))
     prec_at = F.transform("_v_cp", lambda v, i: v * _sum(F.slice(F.col("_v_cp"), 1, i + 1)).cast("double")
                           / (i + 1))
     cp = F.when(n_rel > 0, F.aggregate(prec_at, F.lit(0.0), lambda a, b: a + b) / n_rel).otherwise(F.lit(0.0))
-    qv = text_vector(F.col(question))
-    back = F.slice(statements(F.col(answer)), 1, BACK_QUESTIONS)
-    sims = F.transform(back, lambda g: cosine(qv, text_vector(g)))
+    sims = F.transform("_gv", lambda v: cosine(F.col("_qv"), v))
     ar = F.when(is_blank(F.col(answer)), F.lit(0.0)) \
           .otherwise(F.when(F.size(sims) > 0,
                             F.aggregate(sims, F.lit(0.0), lambda a, b: a + b) / F.size(sims)))
@@ -112,7 +118,7 @@ def native_judge(df: DataFrame, question: str = "question", answer: str = "gener
            .withColumn("context_recall", F.when(ur, _mean_or_null(F.col("_v_cr")))) \
            .withColumn("faithfulness", F.when(ur, _mean_or_null(F.col("_v_f")))) \
            .withColumn("answer_relevancy", ar)
-    return out.drop("_ctx_t", "_all_t", "_ref_st", "_ans_st", "_v_cp", "_v_cr", "_v_f")
+    return out.drop("_ctx_t", "_all_t", "_ref_st", "_ans_st", "_v_cp", "_v_cr", "_v_f", "_qv", "_gv")
 
 
 def verdict_table(df: DataFrame, keys: list[str], **cols) -> DataFrame:

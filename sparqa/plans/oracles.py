@@ -159,16 +159,16 @@ SELECT doc_id, pos, {', '.join(f'd{i}::FLOAT AS e{i}' for i in range(16))} FROM
 
 SQL["embed_records"] = f"""WITH qs AS (SELECT item_id AS qid, text AS question FROM benchmark),
 {text_vectors_cte('qv', 'qs', 'qid', 'question')}
-SELECT qs.qid, qs.question AS text, 16 AS dim, ({dot('qv', 'qv')}) AS norm2
+SELECT qs.qid, qs.question AS text, 16 AS dim, ({dot('qv', 'qv')})::DOUBLE AS norm2
 FROM qs JOIN qv USING (qid)"""
 
-SQL["embedding_dim"] = """SELECT min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim,
+SQL["embedding_dim"] = """SELECT min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim,
 count(*) AS n_vectors FROM embeddings"""
 
 # ------------------------------------------------------------------ collection
 SQL["collection_create"] = """SELECT 'vectors' AS name, 64 AS dim, 'cosine' AS distance,
 count(*) AS n_points, 'created' AS first_action, 'reused' AS second_action FROM embeddings"""
-SQL["collection_dim_check"] = "SELECT len(embedding) AS dim, count(*) AS n_vectors FROM embeddings GROUP BY 1"
+SQL["collection_dim_check"] = "SELECT len(embedding)::INT AS dim, count(*) AS n_vectors FROM embeddings GROUP BY 1"
 SQL["collection_append"] = """SELECT label::VARCHAR AS label, 2 * count(*) AS n_points,
 count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1"""
 SQL["collection_count"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_points, "
@@ -449,9 +449,10 @@ SELECT upper(experiment) AS label, row_id, CASE WHEN use_rag THEN len(retrieved_
 
 # ================================================================== Q1-Q12
 _MISS = "(context_recall IS NULL OR faithfulness IS NULL OR answer_relevancy IS NULL)"
-SQL["nan_counts"] = f"""SELECT count(*) AS total_rows, count_if({_MISS}) AS target_rows,
-  count_if(context_recall IS NULL) AS missing_context_recall, count_if(faithfulness IS NULL) AS missing_faithfulness,
-  count_if(answer_relevancy IS NULL) AS missing_answer_relevancy FROM {SCORED_SQL}"""
+SQL["nan_counts"] = f"""SELECT count(*) AS total_rows, count_if({_MISS})::BIGINT AS target_rows,
+  count_if(context_recall IS NULL)::BIGINT AS missing_context_recall,
+  count_if(faithfulness IS NULL)::BIGINT AS missing_faithfulness,
+  count_if(answer_relevancy IS NULL)::BIGINT AS missing_answer_relevancy FROM {SCORED_SQL}"""
 SQL["repair_select"] = f"SELECT row_id FROM {SCORED_SQL} WHERE {_MISS}"
 _M4 = ["context_precision", "context_recall", "faithfulness", "answer_relevancy"]
 SQL["repair_overwrite"] = f"""SELECT s.row_id, {', '.join(
@@ -464,10 +465,10 @@ SQL["merge_metrics"] = f"""SELECT s.row_id, {', '.join(f'round(coalesce(s.{m}, n
 FROM {SCORED_SQL} s LEFT JOIN {SECOND_SQL} n ON s.row_id = n.row_id AND s.experiment IS NOT DISTINCT FROM n.experiment"""
 _SCOLS = ["row_id", "question", "answer", "experiment", "generated_answer", "retrieved_contexts"] + _M4
 SQL["null_counts"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_missing FROM {SCORED_SQL}" for c in _SCOLS)
+    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL)::BIGINT AS n_missing FROM {SCORED_SQL}" for c in _SCOLS)
 SQL["diagnose_missing"] = f"""SELECT count(*) AS n_missing,
-  count_if(coalesce(retrieved_contexts, 'nan') IN ('[]', '', 'nan')) AS n_empty_contexts,
-  count_if({strip("coalesce(generated_answer, '')")} = '') AS n_blank_answers
+  count_if(coalesce(retrieved_contexts, 'nan') IN ('[]', '', 'nan'))::BIGINT AS n_empty_contexts,
+  count_if({strip("coalesce(generated_answer, '')")} = '')::BIGINT AS n_blank_answers
 FROM {SCORED_SQL} WHERE answer_relevancy IS NULL"""
 SQL["sample_failed"] = f"SELECT row_id, answer FROM {SCORED_SQL} WHERE answer_relevancy IS NULL ORDER BY row_id LIMIT 10"
 

@@ -139,7 +139,7 @@ def q_collection_create(spark, sf_dir):
     again = coll.create_collection(spark, path, 64, "vectors", vec_type="float")
     n_points = coll.collection_count(spark, path)
     return coll.read_meta(spark, path).select(
-        "name", "dim", "distance", F.lit(n_points).alias("n_points"),
+        "name", "dim", "distance", F.lit(n_points).cast("bigint").alias("n_points"),
         F.lit(first).alias("first_action"), F.lit(again).alias("second_action"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,6 @@ def safe_extract(fn: Callable[[object], str]):
 
     Returns an Arrow-batched UDF ``input -> struct<value, error>``.
     """
-    import pandas as pd
 
     @F.pandas_udf(EXTRACT_TYPE)
     def _run(values: pd.Series) -> pd.DataFrame:

@@ -17,6 +17,9 @@ from sparqa.operators.knn import DEFAULT_TOP_K, knn_topk
 CONTEXT_CUT = 800
 CONTEXT_JOINER = " "
 MISSING_TEXT = "Text not found"
+# Hit lists up to this many rows are broadcast for the payload lookup; above it the
+# lookup is a shuffled join (the hit count is known exactly from the query count).
+MAX_BROADCAST_HITS = 2_000_000
 # Fixed values of the extractive stand-in responder.
 STANDIN_ANSWER_CHARS = 200
 
@@ -34,14 +37,16 @@ def retrieve(questions: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     """G1: embed each question as a document and take the cosine top-k points.
 
     Returns long form ``(q_key, rank, *p_keys, text, score)``. Payload text is looked up
-    only for the hits: the hit list (queries x k rows, bounded by the checked query
-    block) is broadcast against a keys+text scan of the points.
+    only for the hits: while the hit list (exactly queries x k rows at most) is small it
+    is broadcast against a keys+text scan of the points, otherwise both sides shuffle.
     """
     p_keys = list(p_keys or ["doc_id", "pos"])
     qv = embed(questions.select(q_key, q_text), q_text, "embedding", embedder)
-    hits = knn_topk(qv, points, k, q_key, p_keys, "embedding", "embedding")
+    stats: dict = {}
+    hits = knn_topk(qv, points, k, q_key, p_keys, "embedding", "embedding", stats=stats)
     payload = points.select(*p_keys, "text")
-    out = payload.join(F.broadcast(hits), on=p_keys, how="right")
+    small = stats.get("n_queries", 0) * k <= MAX_BROADCAST_HITS
+    out = payload.join(F.broadcast(hits) if small else hits, on=p_keys, how="right")
     return out.select(q_key, "rank", *p_keys,
                       F.coalesce(F.col("text"), F.lit(MISSING_TEXT)).alias("text"), "score")
 

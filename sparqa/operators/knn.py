@@ -99,8 +99,11 @@ def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
 def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
              q_key: str = "qid", p_keys: list[str] | None = None,
              q_vec: str = "embedding", p_vec: str = "embedding",
-             max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
-    """V8 batch: ``(q_key, *p_keys, score, rank)`` with rank 1..k per query."""
+             max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES, stats: dict | None = None) -> DataFrame:
+    """V8 batch: ``(q_key, *p_keys, score, rank)`` with rank 1..k per query.
+
+    ``stats`` (optional) receives ``n_queries`` and ``n_blocks`` for size decisions downstream.
+    """
     p_keys = list(p_keys or ["point_id"])
     q_type = queries.schema[q_key].dataType
     empty_schema = T.StructType(
@@ -110,12 +113,14 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     if k is None or k <= 0:
         return spark.createDataFrame([], empty_schema)
     qsel = queries.select(q_key, q_vec).where(F.col(q_key).isNotNull())
-    stats = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
+    size_row = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
+    n_q, dim = int(size_row["n"]), int(size_row["d"] or 0)
     if n_q == 0:
         return spark.createDataFrame([], empty_schema)
     per_block = max(1, max_block_bytes // (8 * max(dim, 1) + 64))
     n_blocks = math.ceil(n_q / per_block)
+    if stats is not None:
+        stats.update(n_queries=n_q, n_blocks=n_blocks)
     parts = []
     for b in range(n_blocks):
         blk = qsel if n_blocks == 1 else qsel.where(

@@ -174,6 +174,7 @@ count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1"""
 SQL["collection_count"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_points, "
                            f"count(DISTINCT doc_id) AS n_docs FROM chunks")
 SQL["index_corpus"] = f"WITH {chunks_cte(500)} SELECT doc_id, pos, chunk AS text, 16 AS dim FROM chunks"
+SQL["index_stream"] = SQL["index_corpus"]
 
 _COS_F = ("CASE WHEN sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) = 0 THEN 0.0 "
           "ELSE list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END")

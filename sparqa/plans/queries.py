@@ -177,6 +177,17 @@ def q_index_corpus(spark, sf_dir):
     return pts.select("doc_id", "pos", "text", F.size("embedding").alias("dim"))
 
 
+@query("index_stream")
+def q_index_stream(spark, sf_dir):
+    """V7 as a stream: the documents file drained by an available-now indexing stream."""
+    from sparqa.streaming.indexer import start_indexer
+    path = coll.scratch_path(spark, "stream-collection")
+    q = start_indexer(spark, sf_dir, path, dim=HASH_DIM, file_glob="documents.parquet")
+    q.awaitTermination()
+    pts = coll.read_points(spark, path)
+    return pts.select("doc_id", "pos", "text", F.size("embedding").alias("dim"))
+
+
 @query("knn_cosine")
 def q_knn_cosine(spark, sf_dir):
     """V8 batch: the 3 nearest vectors of every vector (self included)."""

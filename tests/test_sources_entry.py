@@ -91,3 +91,19 @@ def test_entry_and_registry(spark):
     assert all(r.n_contexts == 3 for r in rows)
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q) and len(q) >= 60
+
+
+def test_streaming_indexer_matches_batch(spark, tmp_dir):
+    from sparqa.operators import chunk as ch
+    from sparqa.streaming.indexer import start_indexer
+    src = os.path.join(tmp_dir, "in")
+    docs = spark.createDataFrame([(1, "alpha beta.\n\ngamma", "en", "s", 17), (2, "delta", "en", "s", 5)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(src)
+    path = coll.scratch_path(spark, "stream-t")
+    q = start_indexer(spark, src, path, dim=16, chunk_size=10,
+                      checkpoint=os.path.join(tmp_dir, "ckpt"))
+    q.awaitTermination()
+    got = sorted((r.doc_id, r.pos, r.text) for r in coll.read_points(spark, path).collect())
+    exp = sorted(tuple(r) for r in ch.chunk_documents(docs, chunk_size=10).collect())
+    assert got == exp

@@ -38,7 +38,9 @@ def retrieve(questions: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
 
     Returns long form ``(q_key, rank, *p_keys, text, score)``. Payload text is looked up
     only for the hits: while the hit list (exactly queries x k rows at most) is small it
-    is broadcast against a keys+text scan of the points, otherwise both sides shuffle.
+    is the broadcast build side of an inner join against a keys+text scan of the points
+    (the collection itself is never broadcast nor shuffled); otherwise both sides shuffle.
+    A collection holding the same point twice yields one text per (question, rank).
     """
     p_keys = list(p_keys or ["doc_id", "pos"])
     qv = embed(questions.select(q_key, q_text), q_text, "embedding", embedder)
@@ -46,7 +48,8 @@ def retrieve(questions: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     hits = knn_topk(qv, points, k, q_key, p_keys, "embedding", "embedding", stats=stats)
     payload = points.select(*p_keys, "text")
     small = stats.get("n_queries", 0) * k <= MAX_BROADCAST_HITS
-    out = payload.join(F.broadcast(hits) if small else hits, on=p_keys, how="right")
+    out = payload.join(F.broadcast(hits) if small else hits, on=p_keys, how="inner") \
+                 .dropDuplicates([q_key, "rank"])
     return out.select(q_key, "rank", *p_keys,
                       F.coalesce(F.col("text"), F.lit(MISSING_TEXT)).alias("text"), "score")
 

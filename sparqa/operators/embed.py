@@ -44,16 +44,48 @@ def py_token_vector(tok: str) -> np.ndarray:
     return np.frombuffer(d, dtype=np.uint8).astype(np.float64) - BYTE_OFFSET
 
 
+_VEC_CACHE: dict[str, np.ndarray] = {}
+_VEC_CACHE_MAX = 1 << 20
+
+
+def _token_matrix(toks: list[str]) -> np.ndarray:
+    """Vectors of the given distinct tokens (md5 once per token per worker, bounded cache)."""
+    if len(_VEC_CACHE) > _VEC_CACHE_MAX:
+        _VEC_CACHE.clear()
+    rows = []
+    for t in toks:
+        v = _VEC_CACHE.get(t)
+        if v is None:
+            v = _VEC_CACHE[t] = py_token_vector(t)
+        rows.append(v)
+    return np.vstack(rows) if rows else np.zeros((0, HASH_DIM))
+
+
 def hash_embedder(texts: Sequence[str]) -> np.ndarray:
-    """Stand-in model: sum of md5 token vectors, 16 DOUBLE components."""
-    out = np.zeros((len(texts), HASH_DIM), dtype=np.float64)
-    cache: dict[str, np.ndarray] = {}
+    """Stand-in model: sum of md5 token vectors, 16 DOUBLE components.
+
+    Vectorised per batch: token occurrences are mapped to a batch vocabulary, the
+    vocabulary's vectors are built once and each text's rows are summed with one
+    ``reduceat`` (sums of half-integers are exact in any order).
+    """
+    vocab: dict[str, int] = {}
+    ids: list[int] = []
+    counts = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
-        for tok in py_tokens(t):
-            v = cache.get(tok)
-            if v is None:
-                v = cache[tok] = py_token_vector(tok)
-            out[i] += v
+        toks = py_tokens(t)
+        counts[i] = len(toks)
+        for tok in toks:
+            j = vocab.get(tok)
+            if j is None:
+                j = vocab[tok] = len(vocab)
+            ids.append(j)
+    out = np.zeros((len(texts), HASH_DIM), dtype=np.float64)
+    if not ids:
+        return out
+    occ = _token_matrix(list(vocab))[np.asarray(ids)]
+    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    has = counts > 0
+    out[has] = np.add.reduceat(occ, starts[has], axis=0)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparqa.operators import answer as ans
+from sparqa.operators.embed import Embedder, hash_embedder
 from sparqa.plans.fixtures import EXPERIMENTS, config_array
 from sparqa.sources.results import build_output_path
 
@@ -39,6 +41,79 @@ def grid(questions: DataFrame, experiment: str = "all") -> DataFrame:
     return g.where(F.col("experiment").isin(names))
 
 
+def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "all", k: int = 3,
+                  embedder: Embedder = hash_embedder, responder=None) -> DataFrame:
+    """X3 + X5 + G10: the QA rows (``row_id, question, answer``) under the selected configs.
+
+    Retrieval and answering run once per question and are shared by the RAG configs
+    (the answer depends on the model only through ``responder``); plain rows get ``[]``.
+    """
+    names = check_experiment(experiment)
+    rag_needed = any(r for n, _, r, _ in EXPERIMENTS if n in names)
+    empty = F.array().cast("array<string>")
+    base = qa
+    if rag_needed:
+        rag = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), points, use_rag=True,
+                                   k=k, embedder=embedder, responder=responder) \
+                 .select(F.col("qid").alias("row_id"), F.col("retrieved_contexts").alias("_ctx"),
+                         F.col("generated_answer").alias("_ans"))
+        base = qa.join(rag, "row_id", "left")
+    else:
+        base = qa.select("*", F.lit(None).cast("array<string>").alias("_ctx"), F.lit(None).cast("string").alias("_ans"))
+    plain_answer = F.lit("")
+    if responder is not None:
+        plain = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), None, use_rag=False,
+                                     responder=responder).select(F.col("qid").alias("row_id"),
+                                                                 F.col("generated_answer").alias("_plain"))
+        base = base.join(plain, "row_id", "left")
+        plain_answer = F.coalesce(F.col("_plain"), F.lit(""))
+    g = base.select("*", F.explode(config_array()).alias("_cfg")).where(F.col("_cfg.experiment").isin(names))
+    return g.select(
+        *qa.columns, F.col("_cfg.experiment").alias("experiment"),
+        F.col("_cfg.generator_model").alias("generator_model"), F.col("_cfg.use_rag").alias("use_rag"),
+        F.when(F.col("_cfg.use_rag"), F.coalesce("_ans", F.lit(""))).otherwise(plain_answer).alias("generated_answer"),
+        F.when(F.col("_cfg.use_rag"), F.coalesce("_ctx", empty)).otherwise(empty).alias("retrieved_contexts"))
+
+
+def run_stages(action: str, *, generate=None, load=None, experiment: str = "all",
+               judge=None, keys: list[str] | None = None) -> DataFrame:
+    """Run the stages an action selects.
+
+    ``generate``: () -> generated DataFrame (the ``generate`` stage); ``load``: () -> a
+    saved generated table (S7), used when the action does not generate. ``bert`` adds the
+    token-matching scores (T1), ``ragas`` the judge metrics (T4-T9; native judge unless a
+    ``judge`` function is given, attached by ``keys``).
+    """
+    from sparqa.operators.judge import attach_metrics, native_judge, require_contexts, run_judge
+    from sparqa.operators.tokenmatch import bertscore
+
+    stages = check_action(action)
+    names = check_experiment(experiment)
+    if stages["generate"]:
+        df = generate()
+    else:
+        df = load()
+        if "experiment" not in df.columns:
+            df = df.withColumn("experiment", F.lit(names[0]))
+        if "use_rag" not in df.columns:
+            rag_of = {n: r for n, _, r, _ in EXPERIMENTS}
+            df = df.withColumn("use_rag", F.coalesce(
+                F.element_at(F.create_map(*[x for n in rag_of for x in (F.lit(n), F.lit(rag_of[n]))]),
+                             F.col("experiment")), F.lit(True)))
+    if stages["bert"]:
+        df = bertscore(df)
+    if stages["ragas"]:
+        require_contexts(df, any(r for n, _, r, _ in EXPERIMENTS if n in names))  # T12
+        if judge is None:
+            df = native_judge(df, use_rag="use_rag")
+        else:
+            keys = keys or ["row_id", "experiment"]
+            rag = run_judge(df.where(F.col("use_rag")), keys, judge, use_rag=True)
+            plain = run_judge(df.where(~F.col("use_rag")), keys, judge, use_rag=False)
+            df = attach_metrics(df, rag.unionByName(plain, allowMissingColumns=True), keys)
+    return df
+
+
 def tag_results(df: DataFrame, experiment: str) -> DataFrame:
     """X5 on reload: add ``experiment`` only when the column is absent."""
     if "experiment" in df.columns:

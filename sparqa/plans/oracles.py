@@ -443,6 +443,12 @@ SELECT j.row_id, j.experiment, j.generated_answer, round(bs.f, 6) AS bertscore_f
   round(j.context_precision, 6) AS context_precision, round(j.context_recall, 6) AS context_recall,
   round(j.faithfulness, 6) AS faithfulness, round(j.answer_relevancy, 6) AS answer_relevancy
 FROM judged j JOIN bs USING (row_id, experiment)"""
+SQL["experiment_stages_ragas"] = _JUDGED + """
+SELECT row_id, experiment, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall,
+  round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy FROM judged"""
+SQL["experiment_stages_bert"] = _GEN + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer") + """
+SELECT row_id, experiment, round(p, 6) AS bertscore_precision, round(r, 6) AS bertscore_recall,
+  round(f, 6) AS bertscore_f1 FROM bs WHERE experiment = 'llama_with_rag'"""
 SQL["union_results"] = _JUDGED + """
 SELECT upper(experiment) AS label, row_id, CASE WHEN use_rag THEN len(retrieved_contexts)::INT END AS n_contexts,
   round(answer_relevancy, 6) AS answer_relevancy, round(context_precision, 6) AS context_precision,

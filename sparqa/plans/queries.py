@@ -270,25 +270,10 @@ def q_run_generation(spark, sf_dir):
 
 
 def generated_results(spark: SparkSession, sf_dir: str, qa: DataFrame | None = None) -> DataFrame:
-    """X3 + X5 + G10: the QA dataset under the four experiments.
-
-    Retrieval and answering run once per question and are shared by the two RAG
-    configs; the grid is an explode of a 4-row literal (no join), plain rows get ``[]``
-    and the stand-in's empty answer.
-    """
+    """X3 + X5 + G10: the QA dataset under the four experiments (see ``generate_grid``)."""
+    from sparqa.operators.experiment import generate_grid
     qa = qa if qa is not None else fx.qa_dataset(spark, sf_dir)
-    pts = doc_collection(spark, sf_dir)
-    rag = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), pts, use_rag=True) \
-             .select(F.col("qid").alias("row_id"), F.col("retrieved_contexts").alias("_ctx"),
-                     F.col("generated_answer").alias("_ans"))
-    base = qa.join(rag, "row_id", "left")
-    g = base.select("*", F.explode(fx.config_array()).alias("_cfg"))
-    empty = F.array().cast("array<string>")
-    return g.select(
-        "row_id", "question", "answer", F.col("_cfg.experiment").alias("experiment"),
-        F.col("_cfg.generator_model").alias("generator_model"), F.col("_cfg.use_rag").alias("use_rag"),
-        F.when(F.col("_cfg.use_rag"), F.coalesce("_ans", F.lit(""))).otherwise(F.lit("")).alias("generated_answer"),
-        F.when(F.col("_cfg.use_rag"), F.coalesce("_ctx", empty)).otherwise(empty).alias("retrieved_contexts"))
+    return generate_grid(qa, doc_collection(spark, sf_dir))
 
 
 def judged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,10 +459,45 @@ def q_experiment_select(spark, sf_dir):
         .select("row_id", "experiment", "use_rag")
 
 
+def _saved_generated(spark, sf_dir) -> str:
+    """The generated grid saved as CSV (contexts as JSON text), as a generate run leaves it."""
+    from sparqa.sources.results import save_results
+    path = coll.scratch_path(spark, "generated-csv")
+    save_results(generated_results(spark, sf_dir).drop("use_rag", "generator_model"), path, "csv")
+    return path
+
+
+@query("experiment_stages_ragas")
+def q_experiment_stages_ragas(spark, sf_dir):
+    """X4 with action 'ragas': judge metrics on a saved generated table (S7 reload, F1 parse)."""
+    from sparqa.operators.experiment import run_stages
+    from sparqa.sources.results import load_generated
+    path = _saved_generated(spark, sf_dir)
+    schema = ("row_id bigint, question string, answer string, experiment string, generated_answer string, "
+              "retrieved_contexts string")
+    j = run_stages("ragas", load=lambda: load_generated(spark, path, schema=schema))
+    return j.select("row_id", "experiment", *_r6("context_precision", "context_recall", "faithfulness",
+                                                 "answer_relevancy"))
+
+
+@query("experiment_stages_bert")
+def q_experiment_stages_bert(spark, sf_dir):
+    """X4 with action 'bert' on the saved generated table of one experiment."""
+    from sparqa.operators.experiment import run_stages
+    from sparqa.sources.results import load_generated
+    path = _saved_generated(spark, sf_dir)
+    schema = ("row_id bigint, question string, answer string, experiment string, generated_answer string, "
+              "retrieved_contexts string")
+    j = run_stages("bert", load=lambda: load_generated(spark, path, schema=schema)
+                   .where(F.col("experiment") == "llama_with_rag"), experiment="llama_with_rag")
+    return j.select("row_id", "experiment", *_r6("bertscore_precision", "bertscore_recall", "bertscore_f1"))
+
+
 @query("experiment_stages")
 def q_experiment_stages(spark, sf_dir):
     """Action 'all' over the grid: generate, then token scores, then judge metrics."""
-    j = judged_results(spark, sf_dir)
+    from sparqa.operators.experiment import run_stages
+    j = run_stages("all", generate=lambda: generated_results(spark, sf_dir))
     return j.select("row_id", "experiment", "generated_answer",
                     *_r6("bertscore_f1", "context_precision", "context_recall", "faithfulness",
                          "answer_relevancy"))

@@ -112,3 +112,37 @@ def test_judge_means_count_missing_as_zero(spark):
     df = spark.createDataFrame([(1.0, None), (float("nan"), 0.5), (0.0, 1.0)], "faithfulness double, context_recall double")
     r = judge_means(df).first()
     assert math.isclose(r.faithfulness_mean, 1 / 3) and math.isclose(r.context_recall_mean, 0.5)
+
+
+def test_run_stages_actions_and_context_guard(spark):
+    import pytest
+
+    from sparqa.operators.experiment import check_action, run_stages
+    saved = spark.createDataFrame([(1, "q", "alpha", "alpha beta", ["alpha"])],
+                                  "row_id long, question string, answer string, generated_answer string, "
+                                  "retrieved_contexts array<string>")
+    out = run_stages("bert", load=lambda: saved, experiment="llama_with_rag").first()
+    assert out.experiment == "llama_with_rag" and out.bertscore_recall == 1.0
+    assert "context_precision" not in run_stages("bert", load=lambda: saved).columns
+    r = run_stages("ragas", load=lambda: saved, experiment="llama_with_rag").first()
+    assert r.context_recall == 1.0 and "bertscore_f1" not in r.asDict()
+    with pytest.raises(ValueError):
+        run_stages("ragas", load=lambda: saved.drop("retrieved_contexts"), experiment="llama_with_rag")
+    with pytest.raises(ValueError):
+        check_action("everything")
+
+
+def test_generate_grid_with_responder(spark):
+    from sparqa.operators.experiment import generate_grid
+    qa = spark.createDataFrame([(7, "what is alpha", "alpha")], "row_id long, question string, answer string")
+    pts = spark.createDataFrame([(1, 0, "alpha beta", [1.0, 0.0])],
+                                "doc_id long, pos int, text string, embedding array<double>")
+
+    def emb(texts):
+        return np.array([[1.0, 0.0] for _ in texts])
+
+    g = generate_grid(qa, pts, embedder=emb, responder=lambda ps: ["ctx" if "alpha beta" in p else "none"
+                                                                  for p in ps]).collect()
+    got = {r.experiment: (r.generated_answer, r.retrieved_contexts) for r in g}
+    assert got["llama_with_rag"] == ("ctx", ["alpha beta"])
+    assert got["gpt_oss_without_rag"] == ("none", [])

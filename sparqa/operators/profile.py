@@ -42,42 +42,79 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont`` rule), distributed.
-
-    The non-missing values are range-partitioned and sorted (a random tie-breaker
-    spreads a hot value over many partitions), ``zipWithIndex`` numbers them with one
-    count per partition, and only the <= 2 * len(probs) rows at the needed ranks reach
-    the driver. No task ever holds more than its range partition.
-    """
-    x = F.col(_q(col)).cast("double")
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
-        return [None] * len(probs)
-    spots = []
+def _spots(n: int, probs: list[float]):
+    out = []
     for p in probs:
         pos = (n - 1) * p
         lo = int(pos // 1)
-        spots.append((lo, min(lo + 1, n - 1), pos - lo))
-    need = {i for lo, hi, _ in spots for i in (lo, hi)}
-    ordered = vals.orderBy("v", F.rand(17))
-    got = dict(ordered.rdd.zipWithIndex().filter(lambda r: r[1] in need)
-               .map(lambda r: (r[1], r[0][0])).collect())
-    out = []
+        out.append((lo, min(lo + 1, n - 1), pos - lo))
+    return out
+
+
+def _interpolate(got: dict, spots) -> list[float]:
+    res = []
     for lo, hi, frac in spots:
         a, b = got[lo], got[hi]
-        out.append(a if frac == 0 else a + (b - a) * frac)
-    return out
+        res.append(a if frac == 0 else a + (b - a) * frac)
+    return res
+
+
+def multi_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont`` rule) of many columns.
+
+    One distributed sort serves every column: the non-missing values are unpivoted to
+    ``(column, value)``, range-partitioned and sorted (a random tie-breaker spreads a hot
+    value over many partitions), ``zipWithIndex`` numbers them with one count per
+    partition, and only the rows at the needed ranks (<= 2 per quantile per column) reach
+    the driver. Column offsets come from the per-column counts.
+    """
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(_q(c)).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    long = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v") \
+             .where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if counts is None:
+        got = dict(long.groupBy("c").count().collect())
+        counts = {c: int(got.get(i, 0)) for i, c in enumerate(cols)}
+    offsets, need, spots, at = {}, {}, {}, 0
+    for i, c in enumerate(cols):
+        n = counts.get(c, 0)
+        offsets[c] = at
+        if n:
+            spots[c] = _spots(n, probs)
+            for lo, hi, _ in spots[c]:
+                need[at + lo] = (c, lo)
+                need[at + hi] = (c, hi)
+        at += n
+    want = set(need)
+    ordered = long.orderBy("c", "v", F.rand(17))
+    picked = ordered.rdd.zipWithIndex().filter(lambda r: r[1] in want) \
+                    .map(lambda r: (r[1], r[0][1])).collect()
+    by_col: dict[str, dict[int, float]] = {c: {} for c in cols}
+    for g, v in picked:
+        c, local = need[g]
+        by_col[c][local] = v
+    return {c: (_interpolate(by_col[c], spots[c]) if c in spots else [None] * len(probs)) for c in cols}
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles of one column (see ``multi_quantiles``)."""
+    return multi_quantiles(df, [col], probs)[col]
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """P4 numeric part: count, mean, sample std, min, 25/50/75 % (linear), max per column.
 
-    One aggregate pass for the moments and extremes of every column; exact quantiles
-    by ``exact_quantiles``. The result has one row per column.
+    One aggregate pass for the moments and extremes of every column, one sort for the
+    exact quantiles of all columns. The result has one row per column.
     """
     cols = cols or numeric_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "column string, count double, mean double, std double, min double, "
+                "p25 double, p50 double, p75 double, max double")
     aggs = []
     for c in cols:
         x = F.col(_q(c)).cast("double")
@@ -85,12 +122,11 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs).first() if cols else None
-    rows = []
-    for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        rows.append((c, float(wide[f"{c}__count"]), wide[f"{c}__mean"], wide[f"{c}__std"],
-                     wide[f"{c}__min"], q[0], q[1], q[2], wide[f"{c}__max"]))
+    wide = df.agg(*aggs).first()
+    counts = {c: int(wide[f"{c}__count"]) for c in cols}
+    qs = multi_quantiles(df, cols, [0.25, 0.5, 0.75], counts)
+    rows = [(c, float(counts[c]), wide[f"{c}__mean"], wide[f"{c}__std"], wide[f"{c}__min"],
+             qs[c][0], qs[c][1], qs[c][2], wide[f"{c}__max"]) for c in cols]
     return df.sparkSession.createDataFrame(
         rows, "column string, count double, mean double, std double, min double, "
               "p25 double, p50 double, p75 double, max double")

@@ -63,7 +63,11 @@ def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
                 q_type: T.DataType, p_keys: list[str], p_vec: str) -> DataFrame:
     spark = points.sparkSession
     dim = block_mat.shape[1]
-    bc = spark.sparkContext.broadcast((list(block_keys), block_mat))
+    payload = (list(block_keys), block_mat)
+    try:  # one copy per executor; under Spark Connect the bounded block rides in the closure
+        bc = spark.sparkContext.broadcast(payload)
+    except Exception:
+        bc = None
     out_schema = T.StructType(
         [T.StructField(q_key, q_type)]
         + [points.schema[c] for c in p_keys]
@@ -71,7 +75,7 @@ def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
     sort_cols = ["_qi", "_neg"] + p_keys
 
     def run(batches):
-        keys, qm = bc.value
+        keys, qm = bc.value if bc is not None else payload
         qn = np.sqrt((qm * qm).sum(axis=1))
         nq = qm.shape[0]
         step = max(1, _MAX_SCORE_CELLS // max(nq, 1))

@@ -46,13 +46,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     unset (local runs and tests), to a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="sparqa-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc is None:
+        return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -61,7 +72,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Large inputs already split into many file splits and pass through untouched,
     so no shuffle is added at scale; a one-row-group file gets spread over the cores.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    sc = _context(df.sparkSession)
+    if sc is None:
+        return df
+    target = min_partitions or sc.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    if n < target:
         return df.repartition(target)
     return df

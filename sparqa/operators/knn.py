@@ -42,21 +42,53 @@ def _as_matrix(vectors, dim: int) -> np.ndarray:
 
 
 def _cosine(qm: np.ndarray, qn: np.ndarray, pm: np.ndarray) -> np.ndarray:
+    """dot / (|q| * |p|) with the exact operation order of the SQL definition.
+
+    A zero vector has a zero dot product with everything, so its norm is replaced by 1
+    (0 / 1 = 0) instead of masking: three passes over the score block, in place.
+    """
     pn = np.sqrt((pm * pm).sum(axis=1))
     dots = qm @ pm.T
-    den = qn[:, None] * pn[None, :]
-    safe = np.where(den != 0, den, 1.0)
-    return np.where(den != 0, dots / safe, 0.0)
-
-
-def _local_topk(scores: np.ndarray, k: int):
-    """(query_idx, point_idx) of every cell >= the k-th best score of its row."""
-    n = scores.shape[1]
-    if n <= k:
-        qi, pj = np.nonzero(np.ones_like(scores, dtype=bool))
-        return qi, pj
-    kth = np.partition(scores, n - k, axis=1)[:, n - k]
-    return np.nonzero(scores >= kth[:, None])
+    den = np.multiply.outer(np.where(qn == 0, 1.0, qn), np.where(pn == 0, 1.0, pn))
+    np.divide(dots, den, out=dots)
+    if np.isnan(pm).any() or np.isnan(qm).any():
+        dots[np.isnan(dots)] = -np.inf
+    return dots
+
+
+def _sortable(a: np.ndarray) -> np.ndarray:
+    """Key column as an array ``lexsort`` can order (object strings -> unicode)."""
+    return a.astype(str) if a.dtype == object else a
+
+
+def _slice_topk(scores: np.ndarray, keys: list[np.ndarray], k: int):
+    """Exactly min(k, m) best cells per row of ``scores`` (nq x m) under the order
+    (score desc, keys asc): everything above the k-th score, then the boundary ties
+    with the smallest keys. Returns (scores, [key arrays]) shaped (nq, min(k, m))."""
+    nq, m = scores.shape
+    if m <= k:
+        sel_cols = np.broadcast_to(np.arange(m), (nq, m))
+    else:
+        kth = np.partition(scores, m - k, axis=1)[:, m - k]
+        sel = scores >= kth[:, None]
+        n_sel = sel.sum(axis=1)
+        for r in np.nonzero(n_sel > k)[0]:  # rare: more boundary ties than free slots
+            cols = np.nonzero(scores[r] == kth[r])[0]
+            need = k - (n_sel[r] - len(cols))
+            order = np.lexsort(tuple(kk[cols] for kk in reversed(keys)))
+            sel[r, cols] = False
+            sel[r, cols[order[:need]]] = True
+        sel_cols = np.nonzero(sel)[1].reshape(nq, k)
+    return (np.take_along_axis(scores, sel_cols, axis=1),
+            [kk[sel_cols] for kk in keys])
+
+
+def _merge(best, cand, k: int):
+    """Merge two (scores, keys) candidate sets row-wise, keeping the k best."""
+    s = np.concatenate([best[0], cand[0]], axis=1)
+    ks = [np.concatenate([a, b], axis=1) for a, b in zip(best[1], cand[1])]
+    order = np.lexsort(tuple(reversed(ks)) + (-s,), axis=-1)[:, :k]
+    return np.take_along_axis(s, order, axis=1), [np.take_along_axis(a, order, axis=1) for a in ks]
 
 
 def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
@@ -72,7 +104,6 @@ def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
         [T.StructField(q_key, q_type)]
         + [points.schema[c] for c in p_keys]
         + [T.StructField("score", T.DoubleType())])
-    sort_cols = ["_qi", "_neg"] + p_keys
 
     def run(batches):
         keys, qm = bc.value if bc is not None else payload
@@ -81,21 +112,21 @@ def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
         step = max(1, _MAX_SCORE_CELLS // max(nq, 1))
         best = None
         for pdf in batches:
+            key_arrays = [_sortable(pdf[c].to_numpy()) for c in p_keys]
+            vecs = pdf[p_vec].tolist()
             for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                scores = _cosine(qm, qn, _as_matrix(part[p_vec].tolist(), dim))
-                qi, pj = _local_topk(scores, k)
-                cand = part.iloc[pj][p_keys].reset_index(drop=True)
-                cand["_qi"] = qi
-                cand["_neg"] = -scores[qi, pj]
-                best = cand if best is None else pd.concat([best, cand], ignore_index=True)
-                best = best.sort_values(sort_cols, kind="mergesort").groupby("_qi").head(k)
-        if best is None or best.empty:
+                scores = _cosine(qm, qn, _as_matrix(vecs[lo:lo + step], dim))
+                cand = _slice_topk(scores, [a[lo:lo + step] for a in key_arrays], k)
+                best = cand if best is None else _merge(best, cand, k)
+        if best is None:
             return
-        res = best[p_keys].copy()
-        res.insert(0, q_key, [keys[i] for i in best["_qi"].tolist()])
-        res["score"] = -best["_neg"].to_numpy()
-        yield res.reset_index(drop=True)
+        s, ks = best
+        ok = np.isfinite(s)
+        qi, _ = np.nonzero(ok)
+        res = pd.DataFrame({c: a[ok] for c, a in zip(p_keys, ks)})
+        res.insert(0, q_key, [keys[i] for i in qi])
+        res["score"] = s[ok]
+        yield res
 
     return points.select(*p_keys, p_vec).mapInPandas(run, out_schema)
 

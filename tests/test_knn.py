@@ -72,3 +72,16 @@ def test_plan_has_no_cross_join(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert F is not None
+
+
+def test_heavy_duplicates_keep_exact_tie_order(spark):
+    # a third of the points are the same vector: ties everywhere, resolved by key
+    rng = np.random.default_rng(11)
+    p = {i: (np.array([1.0, 2.0, 3.0]) if i % 3 == 0 else rng.normal(size=3)) for i in range(300)}
+    q = {0: np.array([1.0, 2.0, 3.0]), 1: rng.normal(size=3), 2: np.array([-1.0, -2.0, -3.0])}
+    qd, pdf = _frames(spark, q, p)
+    got = {}
+    for r in sorted(knn_topk(qd, pdf, 5).collect(), key=lambda r: (r.qid, r["rank"])):
+        got.setdefault(r.qid, []).append(r.point_id)
+    assert got == _brute(q, p, 5)
+    assert got[0] == [0, 3, 6, 9, 12]

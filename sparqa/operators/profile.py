@@ -139,6 +139,9 @@ def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     pairs with map-side partial aggregation; the top value is a ``max_by`` per column.
     """
     cols = cols or text_columns(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count bigint, unique bigint, top string, "
+                                                   "freq bigint")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.col(_q(c)).cast("string").alias("value"))
                                          for c in cols])).alias("kv")).select("kv.column", "kv.value")

@@ -481,6 +481,9 @@ SQL["sample_failed"] = f"SELECT row_id, answer FROM {SCORED_SQL} WHERE answer_re
 
 # ================================================================== P1-P4
 SQL["profile_shape"] = f"SELECT count(*) AS n_rows, 10 AS n_columns FROM {SCORED_SQL}"
+SQL["profile_columns"] = f"""SELECT (row_number() OVER () - 1)::INT AS position, column_name AS "column",
+  CASE column_type WHEN 'BIGINT' THEN 'int' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type
+FROM (DESCRIBE SELECT * FROM {SCORED_SQL})"""
 _TYPES = {"row_id": "bigint", "context_precision": "double", "context_recall": "double",
           "faithfulness": "double", "answer_relevancy": "double"}
 SQL["profile_info"] = " UNION ALL ".join(

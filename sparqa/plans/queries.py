@@ -702,6 +702,18 @@ def q_profile_shape(spark, sf_dir):
     return shape(fx.scored_results(spark, sf_dir))
 
 
+@query("profile_columns")
+def q_profile_columns(spark, sf_dir):
+    """Column list and types of a result CSV as read back with type inference (a data pass)."""
+    from sparqa.operators.profile import columns
+    from sparqa.sources.results import save_results
+    path = coll.scratch_path(spark, "scored-csv-infer")
+    save_results(fx.scored_results(spark, sf_dir), path, "csv")
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
+        .option("inferSchema", True).csv(path)
+    return columns(df)
+
+
 @query("profile_info")
 def q_profile_info(spark, sf_dir):
     from sparqa.operators.profile import info

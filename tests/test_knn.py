@@ -85,3 +85,16 @@ def test_heavy_duplicates_keep_exact_tie_order(spark):
         got.setdefault(r.qid, []).append(r.point_id)
     assert got == _brute(q, p, 5)
     assert got[0] == [0, 3, 6, 9, 12]
+
+
+def test_retrieval_scores_ordered_and_bounded(spark):
+    from sparqa.plans import queries as Q
+    hits = Q.QUERIES["retrieve_topk"](spark, "/root/testdata/sf0.001").collect()
+    by_q = {}
+    for r in hits:
+        assert -1.0 - 1e-12 <= r.score <= 1.0 + 1e-12
+        by_q.setdefault(r.qid, []).append((r["rank"], r.score))
+    for lst in by_q.values():
+        scores = [s for _, s in sorted(lst)]
+        assert scores == sorted(scores, reverse=True)
+        assert [rk for rk, _ in sorted(lst)] == list(range(1, len(lst) + 1))

@@ -89,3 +89,12 @@ def test_limits(spark):
     assert ids(limit_rows(df, -50)) == []
     with pytest.raises(ValueError):
         check_experiment("nope")
+
+
+def test_merge_keeps_left_row_count_on_driver_tables(spark):
+    from sparqa.plans import fixtures as fx
+    sf = "/root/testdata/sf0.01"
+    main = fx.scored_results(spark, sf)
+    merged = merge_metrics(main, fx.second_run(spark, sf), keys=["row_id", "experiment"])
+    assert merged.count() == main.count()
+    assert merged.where("context_recall IS NULL").count() <= main.where("context_recall IS NULL").count()

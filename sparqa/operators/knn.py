@@ -148,10 +148,13 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     if k is None or k <= 0:
         return spark.createDataFrame([], empty_schema)
     qsel = queries.select(q_key, q_vec).where(F.col(q_key).isNotNull())
-    size_row = qsel.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
-    n_q, dim = int(size_row["n"]), int(size_row["d"] or 0)
+    # size check without computing vectors twice: the count prunes the vector column
+    # (an embedding UDF is not evaluated); the dimension comes from a one-row probe
+    n_q = qsel.select(q_key).count()
     if n_q == 0:
         return spark.createDataFrame([], empty_schema)
+    probe = qsel.select(F.size(q_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    dim = int(probe[0]["d"]) if probe else 0
     per_block = max(1, max_block_bytes // (8 * max(dim, 1) + 64))
     n_blocks = math.ceil(n_q / per_block)
     if stats is not None:

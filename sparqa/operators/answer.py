@@ -125,6 +125,42 @@ def responder_udf(responder: Responder):
     return _answer
 
 
+def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col: str = "generator_model",
+                    prompt_col: str = "prompt", out_col: str = "generated_answer") -> DataFrame:
+    """G8 for a grid: each row is answered by the responder of its own model.
+
+    One ``mapInPandas`` pass; inside an Arrow batch the rows are grouped by model and
+    each responder gets only its rows (a failing row answers "", as in ``responder_udf``).
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+
+    def call(fn: Responder, prompts: list[str]) -> list[str]:
+        try:
+            outs = list(fn(prompts))
+            if len(outs) != len(prompts):
+                raise ValueError("responder returned a different number of answers")
+        except Exception:
+            outs = []
+            for p in prompts:
+                try:
+                    outs.append(fn([p])[0])
+                except Exception:
+                    outs.append("")
+        return ["" if o is None else str(o).strip() for o in outs]
+
+    def run(batches):
+        for pdf in batches:
+            answers = pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
+            for model, part in pdf.groupby(model_col, dropna=False):
+                fn = responders.get(model)
+                if fn is None:
+                    continue
+                answers.loc[part.index] = call(fn, part[prompt_col].fillna("").astype(str).tolist())
+            yield pdf.assign(**{out_col: answers})
+
+    return df.mapInPandas(run, schema)
+
+
 def generate_answers(df: DataFrame, prompt_col: str = "prompt", contexts_col: str = "retrieved_contexts",
                      out_col: str = "generated_answer", responder: Responder | None = None) -> DataFrame:
     """Batch answering. Without a responder the native extractive stand-in runs."""

@@ -42,37 +42,41 @@ def grid(questions: DataFrame, experiment: str = "all") -> DataFrame:
 
 
 def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "all", k: int = 3,
-                  embedder: Embedder = hash_embedder, responder=None) -> DataFrame:
+                  embedder: Embedder = hash_embedder, responder=None,
+                  responders: dict | None = None) -> DataFrame:
     """X3 + X5 + G10: the QA rows (``row_id, question, answer``) under the selected configs.
 
-    Retrieval and answering run once per question and are shared by the RAG configs
-    (the answer depends on the model only through ``responder``); plain rows get ``[]``.
+    Retrieval runs once per question and is shared by the RAG configs (it does not depend
+    on the model); every grid row is then prompted and answered by its own model:
+    ``responders`` maps ``generator_model`` to a batch responder (``responder`` = one for
+    all models; neither = the native stand-in). Plain rows get ``[]`` contexts.
     """
     names = check_experiment(experiment)
     rag_needed = any(r for n, _, r, _ in EXPERIMENTS if n in names)
     empty = F.array().cast("array<string>")
-    base = qa
     if rag_needed:
-        rag = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), points, use_rag=True,
-                                   k=k, embedder=embedder, responder=responder) \
-                 .select(F.col("qid").alias("row_id"), F.col("retrieved_contexts").alias("_ctx"),
-                         F.col("generated_answer").alias("_ans"))
-        base = qa.join(rag, "row_id", "left")
+        hits = ans.retrieve(qa.select(F.col("row_id").alias("qid"), "question"), points, k,
+                            embedder=embedder)
+        ctx = ans.contexts_by_question(hits, "qid", out_col="_ctx").withColumnRenamed("qid", "row_id")
+        base = qa.join(ctx, "row_id", "left")
     else:
-        base = qa.select("*", F.lit(None).cast("array<string>").alias("_ctx"), F.lit(None).cast("string").alias("_ans"))
-    plain_answer = F.lit("")
-    if responder is not None:
-        plain = ans.answer_questions(qa.select(F.col("row_id").alias("qid"), "question"), None, use_rag=False,
-                                     responder=responder).select(F.col("qid").alias("row_id"),
-                                                                 F.col("generated_answer").alias("_plain"))
-        base = base.join(plain, "row_id", "left")
-        plain_answer = F.coalesce(F.col("_plain"), F.lit(""))
+        base = qa.withColumn("_ctx", F.lit(None).cast("array<string>"))
     g = base.select("*", F.explode(config_array()).alias("_cfg")).where(F.col("_cfg.experiment").isin(names))
-    return g.select(
+    g = g.select(
         *qa.columns, F.col("_cfg.experiment").alias("experiment"),
         F.col("_cfg.generator_model").alias("generator_model"), F.col("_cfg.use_rag").alias("use_rag"),
-        F.when(F.col("_cfg.use_rag"), F.coalesce("_ans", F.lit(""))).otherwise(plain_answer).alias("generated_answer"),
         F.when(F.col("_cfg.use_rag"), F.coalesce("_ctx", empty)).otherwise(empty).alias("retrieved_contexts"))
+    if responder is not None and responders is None:
+        responders = {m: responder for _, m, _, _ in EXPERIMENTS}
+    if responders is None:
+        return g.withColumn("generated_answer", ans.standin_answer("retrieved_contexts")) \
+                .select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
+                        "retrieved_contexts")
+    prompted = g.withColumn("prompt", ans.build_prompt(
+        "question", ans.build_context("retrieved_contexts"), F.col("use_rag")))
+    out = ans.answer_by_model(prompted, responders)
+    return out.select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
+                      "retrieved_contexts")
 
 
 def run_stages(action: str, *, generate=None, load=None, experiment: str = "all",

@@ -146,3 +146,28 @@ def test_generate_grid_with_responder(spark):
     got = {r.experiment: (r.generated_answer, r.retrieved_contexts) for r in g}
     assert got["llama_with_rag"] == ("ctx", ["alpha beta"])
     assert got["gpt_oss_without_rag"] == ("none", [])
+    calls = []
+
+    def model(name):
+        def respond(prompts):
+            calls.append((name, len(prompts)))
+            if name == "gpt_oss" and any("alpha beta" in p for p in prompts):
+                raise RuntimeError("down")
+            return [f"{name}:{'rag' if 'alpha beta' in p else 'plain'}" for p in prompts]
+        return respond
+
+    g = generate_grid(qa, pts, embedder=emb, responders={"llama": model("llama"), "gpt_oss": model("gpt_oss")})
+    got = {r.experiment: r.generated_answer for r in g.collect()}
+    assert got == {"llama_with_rag": "llama:rag", "llama_without_rag": "llama:plain",
+                   "gpt_oss_with_rag": "", "gpt_oss_without_rag": "gpt_oss:plain"}
+
+
+def test_native_and_python_hash_vectors_agree(spark):
+    from sparqa.functions.hashvec import text_vector
+    from sparqa.operators.embed import embedding_udf, hash_embedder
+    texts = ["Hello, wörld 12x", "", None, "Élan vital ÉLAN", "a.b.c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", text_vector("t").alias("a"), embedding_udf()(F.col("t")).alias("b")).orderBy("i").collect()
+    for r in rows:
+        assert list(r.a) == list(r.b)
+    assert np.array_equal(np.array([list(r.b) for r in rows]), hash_embedder(["" if t is None else t for t in texts]))

@@ -36,7 +36,7 @@ def text_vector(text: Column | str) -> Column:
     Long texts at scale go through ``operators.embed.embed_hash`` which explodes
     tokens and sums with a partial (map-side) aggregate instead.
     """
-    hashes = F.transform(tokens(text), lambda t: F.md5(t))
+    hashes = F.transform(tokens(F.coalesce(col_of(text), F.lit(""))), lambda t: F.md5(t))
     zero = F.array_repeat(F.lit(0.0), HASH_DIM)
 
     def add(acc, h):

@@ -33,8 +33,8 @@ def token_vector(token: Column | str) -> Column:
 def text_vector(text: Column | str) -> Column:
     """In-row text vector (higher-order function; for short texts such as questions).
 
-    Long texts at scale go through ``operators.embed.embed_hash`` which explodes
-    tokens and sums with a partial (map-side) aggregate instead.
+    Tables of texts go through the Arrow-batched embedder (``operators.embed.embed``),
+    which computes each distinct token's vector once per batch; both give equal vectors.
     """
     hashes = F.transform(tokens(F.coalesce(col_of(text), F.lit(""))), lambda t: F.md5(t))
     zero = F.array_repeat(F.lit(0.0), HASH_DIM)

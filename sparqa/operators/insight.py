@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparqa.functions.text import col_of
@@ -52,10 +52,26 @@ def rag_delta(scored: DataFrame, type_col: str = "question_type", model_col: str
                     (F.col("true") - F.col("false")).alias("rag_delta"))
 
 
-def retrieval_quality(scored: DataFrame, deltas: DataFrame, type_col: str = "question_type",
-                      rag_col: str = "use_rag") -> DataFrame:
-    """Mean context precision / recall per type (retrieval rows), next to the D3 deltas."""
-    q = scored.where(F.col(rag_col)).groupBy(type_col).agg(
-        F.avg("context_precision").alias("mean_context_precision"),
-        F.avg("context_recall").alias("mean_context_recall"))
-    return deltas.join(q, type_col, "left")
+def retrieval_quality(scored: DataFrame, type_col: str = "question_type", model_col: str = "generator_model",
+                      rag_col: str = "use_rag", score_col: str = "bertscore_f1") -> DataFrame:
+    """D3 + D4 from one pass: per (type, model) the RAG delta, next to the mean context
+    precision / recall of the type's retrieval rows.
+
+    One grouped aggregate over the scored rows keeps sums and counts; the per-type means
+    are window sums over that small result (types x models rows), so the scored rows are
+    read once and nothing joins back.
+    """
+    rag = F.col(rag_col)
+    g = scored.groupBy(type_col, model_col).agg(
+        F.avg(F.when(rag, F.col(score_col))).alias("mean_with_rag"),
+        F.avg(F.when(~rag, F.col(score_col))).alias("mean_without_rag"),
+        F.sum(F.when(rag, F.col("context_precision"))).alias("_cp_s"),
+        F.count(F.when(rag, F.col("context_precision"))).alias("_cp_n"),
+        F.sum(F.when(rag, F.col("context_recall"))).alias("_cr_s"),
+        F.count(F.when(rag, F.col("context_recall"))).alias("_cr_n"))
+    w = Window.partitionBy(type_col)
+    return g.select(
+        type_col, model_col, "mean_with_rag", "mean_without_rag",
+        (F.col("mean_with_rag") - F.col("mean_without_rag")).alias("rag_delta"),
+        (F.sum("_cp_s").over(w) / F.sum("_cp_n").over(w)).alias("mean_context_precision"),
+        (F.sum("_cr_s").over(w) / F.sum("_cr_n").over(w)).alias("mean_context_recall"))

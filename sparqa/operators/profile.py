@@ -145,15 +145,14 @@ def describe_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.col(_q(c)).cast("string").alias("value"))
                                          for c in cols])).alias("kv")).select("kv.column", "kv.value")
-    freq = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # one aggregate per column over the distinct-value counts (NULL kept as its own group
+    # so an all-missing column still appears); the top value has the largest count, ties
+    # to the smallest value: min_by(value, (is_null, -n, value))
+    nn = F.col("value").isNotNull()
     per = freq.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.max("n").alias("freq"))
-    # exact tie rule (smallest value among the most frequent) via a semi-join on (column, freq)
-    tops = freq.join(per.select("column", F.col("freq").alias("n")), ["column", "n"]) \
-               .groupBy("column").agg(F.min("value").alias("top"))
-    out = per.join(tops, "column").select("column", "count", "unique", "top", "freq")
-    allc = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return allc.join(out, "column", "left").select(
-        "column", F.coalesce("count", F.lit(0)).alias("count"),
-        F.coalesce("unique", F.lit(0)).alias("unique"), "top", "freq")
+        F.coalesce(F.sum(F.when(nn, F.col("n"))), F.lit(0)).alias("count"),
+        F.count("value").alias("unique"),
+        F.min_by("value", F.struct((~nn).cast("int"), -F.col("n"), F.col("value"))).alias("top"),
+        F.max(F.when(nn, F.col("n"))).alias("freq"))
+    return per.select("column", "count", "unique", "top", "freq")

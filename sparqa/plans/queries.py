@@ -426,12 +426,17 @@ def q_output_paths(spark, sf_dir):
 
 @query("union_results")
 def q_union_results(spark, sf_dir):
-    """The four per-experiment result tables labelled and unioned by name."""
-    from sparqa.sources.results import union_results
-    j = judged_results(spark, sf_dir)
+    """The four per-experiment result tables labelled and unioned by name.
+
+    The judged grid is written once, partitioned by experiment (S8); each experiment's
+    table is then a partition-pruned scan, as separate result files would be.
+    """
+    from sparqa.sources.results import save_results, union_results
+    path = coll.scratch_path(spark, "judged-by-experiment")
+    save_results(judged_results(spark, sf_dir), path, "parquet", partition_by=["experiment"])
     frames = {}
     for name, _, use_rag, _ in fx.EXPERIMENTS:
-        part = j.where(F.col("experiment") == name)
+        part = spark.read.parquet(path).where(F.col("experiment") == name)
         keep = ["row_id", "generated_answer", "answer_relevancy"] + (
             ["retrieved_contexts", "context_precision", "context_recall", "faithfulness"] if use_rag else [])
         frames[name.upper()] = part.select(*keep)
@@ -801,8 +806,7 @@ def q_rag_delta(spark, sf_dir):
 
 @query("retrieval_quality")
 def q_retrieval_quality(spark, sf_dir):
-    from sparqa.operators.insight import rag_delta, retrieval_quality
-    s = insight_results(spark, sf_dir)
-    r = retrieval_quality(s, rag_delta(s))
+    from sparqa.operators.insight import retrieval_quality
+    r = retrieval_quality(insight_results(spark, sf_dir))
     return r.select("question_type", "generator_model",
                     *_r6("rag_delta", "mean_context_precision", "mean_context_recall"))

@@ -98,3 +98,9 @@ def test_merge_keeps_left_row_count_on_driver_tables(spark):
     merged = merge_metrics(main, fx.second_run(spark, sf), keys=["row_id", "experiment"])
     assert merged.count() == main.count()
     assert merged.where("context_recall IS NULL").count() <= main.where("context_recall IS NULL").count()
+
+
+def test_describe_text_all_missing_column(spark):
+    df = spark.createDataFrame([(None, "x"), (None, "x")], "a string, b string")
+    got = {r.column: (r["count"], r.unique, r.top, r.freq) for r in describe_text(df).collect()}
+    assert got == {"a": (0, 0, None, None), "b": (2, 1, "x", 2)}

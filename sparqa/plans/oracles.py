@@ -14,6 +14,11 @@ _WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 SQL: dict[str, str] = {}
 
 
+def lit(text: str) -> str:
+    """A DuckDB string literal (newlines kept, quotes doubled)."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
@@ -250,19 +255,23 @@ SECOND_SQL = """(SELECT doc_id AS row_id, text AS question, source AS answer, la
   CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (doc_id % 5)::DOUBLE / 5 END AS answer_relevancy
  FROM documents)"""
 
-CFG_SQL = """(SELECT * FROM (VALUES (0, 'llama_with_rag', 'llama', true, 'llama_with_rag'),
-  (1, 'llama_without_rag', 'llama', false, 'llama_without_rag'),
-  (2, 'gpt_oss_with_rag', 'gpt_oss', true, 'gpt_oss_with_rag'),
-  (3, 'gpt_oss_without_rag', 'gpt_oss', false, 'gpt_oss_without_rag'))
-  t(ord, experiment, generator_model, use_rag, output_suffix))"""
+def _cfg_sql() -> str:
+    from sparqa.plans.fixtures import EXPERIMENTS
+    rows = ",\n  ".join(f"({i}, '{n}', '{m}', {str(r).lower()}, '{x}')" for i, (n, m, r, x) in enumerate(EXPERIMENTS))
+    return f"(SELECT * FROM (VALUES {rows})\n  t(ord, experiment, generator_model, use_rag, output_suffix))"
+
+
+CFG_SQL = _cfg_sql()
 
 DOCS_GAPS_SQL = """(SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '  ' || chr(10) ELSE text END AS text,
   CASE WHEN doc_id % 97 = 0 THEN 'ExtractionError: unreadable' END AS error FROM documents)"""
 
-TYPE_NAMES = ["Skrining Gizi", "Status Gizi", "Data Biokimia", "Diagnosis Gizi (PES)", "Tujuan Diet",
-              "Prinsip Diet", "Syarat Diet", "Pedoman Diet"]
-TYPE_KEYWORDS = ["skrining gizi", "status gizi", "biokimia", "diagnosis gizi", "tujuan diet", "prinsip diet",
-                 "syarat diet", "pedoman diet"]
+def _types():
+    from sparqa.operators.insight import QUESTION_TYPES, TEMPLATE_PATTERN, UNKNOWN_TYPE
+    return [n for n, _ in QUESTION_TYPES], [k for _, k in QUESTION_TYPES], UNKNOWN_TYPE, TEMPLATE_PATTERN
+
+
+TYPE_NAMES, TYPE_KEYWORDS, UNKNOWN_TYPE, TEMPLATE_PATTERN = _types()
 
 TEMPLATE_SQL = f"""(SELECT doc_id AS row_id,
   'Pasien dengan ' || source || ' dan diagnosis medis: ' || lang || '. Jelaskan '
@@ -272,7 +281,7 @@ TEMPLATE_SQL = f"""(SELECT doc_id AS row_id,
 
 def qtype(x: str) -> str:
     whens = " ".join(f"WHEN contains(lower({x}), '{k}') THEN '{n}'" for n, k in zip(TYPE_NAMES, TYPE_KEYWORDS))
-    return f"CASE {whens} ELSE 'Lainnya' END"
+    return f"CASE {whens} ELSE {lit(UNKNOWN_TYPE)} END"
 
 
 def vec16(x: str) -> str:
@@ -522,37 +531,35 @@ def fmt(x: str, d: int) -> str:
     return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'nan' ELSE printf('%.{d}f', {x}) END"
 
 
-SQL["report_rows"] = _JUDGED + f"""
-SELECT row_id, '# Question ' || (row_id + 1)::VARCHAR || chr(10) || chr(10)
-  || '## User Question' || chr(10) || question || chr(10) || chr(10)
-  || '## Generated Answer' || chr(10) || generated_answer || chr(10) || chr(10)
-  || '## Ground Truth Answer' || chr(10) || answer || chr(10) || chr(10)
-  || '## Retrieved Chunks' || chr(10)
+def _report_sql() -> tuple[str, str]:
+    from sparqa.operators import report as R
+    header = "| " + " | ".join(R.METRIC_LABELS[m] for m in _M4) + " |\n"
+    sections = " || ".join(f"{lit(h)} || {c} || {lit(chr(10) * 2)}" for c, h in
+                           [("question", R.SECTION_HEADINGS[0][1]), ("generated_answer", R.SECTION_HEADINGS[1][1]),
+                            ("answer", R.SECTION_HEADINGS[2][1])])
+    scores = " || ".join(f"{lit('| ' if i == 0 else ' | ')} || {fmt(m, 4)}" for i, m in enumerate(_M4))
+    rows = _JUDGED + f"""
+SELECT row_id, {lit(R.QUESTION_HEADING)} || (row_id + 1)::VARCHAR || {lit(chr(10) * 2)} || {sections}
+  || {lit(R.CHUNKS_HEADING)}
   || array_to_string(list_transform(retrieved_contexts, lambda c, i: i::VARCHAR || '. ' || {pyrepr('c')} || chr(10)), '')
-  || '## Evaluation Scores' || chr(10) || chr(10)
-  || '|---------------|---------------|--------------|------------------|------|---------|---------|---------|' || chr(10)
-  || '| Context Precision | Context Recall | Faithfulness | Answer Relevancy |' || chr(10)
-  || '| ' || {fmt('context_precision', 4)} || ' | ' || {fmt('context_recall', 4)} || ' | '
-  || {fmt('faithfulness', 4)} || ' | ' || {fmt('answer_relevancy', 4)} || ' |' || chr(10) || chr(10) || ' '
+  || {lit(R.SCORES_HEADING)} || {lit(R.SCORES_RULE)} || {lit(header)} || {scores} || {lit(R.SCORES_END)}
   AS markdown FROM judged WHERE experiment = 'llama_with_rag'"""
-
-SQL["report_summary"] = _JUDGED + f""",
+    avg = " || ".join(f"{lit(R.SUMMARY_AVERAGE + R.METRIC_LABELS[m] + ': ')} || {fmt(a, 2)} || chr(10)"
+                      for m, a in zip(_M4, ["cp", "cr", "fa", "ar"]))
+    summary = _JUDGED + f""",
 a AS (SELECT experiment AS method, avg(coalesce(context_precision, 0)) AS cp, avg(coalesce(context_recall, 0)) AS cr,
   avg(coalesce(faithfulness, 0)) AS fa, avg(coalesce(answer_relevancy, 0)) AS ar FROM judged GROUP BY experiment)
-SELECT method, '----------------------------------------' || chr(10) || 'Method Used: ' || method || chr(10)
-  || '----------------------------------------' || chr(10) || chr(10) || 'Basic Metrics:' || chr(10)
-  || chr(10) || 'RAGAS Metrics:' || chr(10)
-  || 'Overall Average Context Precision: ' || {fmt('cp', 2)} || chr(10)
-  || 'Overall Average Context Recall: ' || {fmt('cr', 2)} || chr(10)
-  || 'Overall Average Faithfulness: ' || {fmt('fa', 2)} || chr(10)
-  || 'Overall Average Answer Relevancy: ' || {fmt('ar', 2)} || chr(10) AS summary FROM a"""
+SELECT method, {lit(R.SUMMARY_RULE + R.SUMMARY_METHOD)} || method || chr(10) || {lit(R.SUMMARY_RULE)}
+  || {lit(R.SUMMARY_SECTIONS)} || {avg} AS summary FROM a"""
+    return rows, summary
+
+
+SQL["report_rows"], SQL["report_summary"] = _report_sql()
 
 # ================================================================== D1-D4
-SQL["parse_question"] = rf"""SELECT row_id,
-  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 1) AS assessment,
-  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 2) AS diagnosis,
-  regexp_extract(question, '^Pasien dengan (.*?) dan diagnosis medis: (.*?)\. (.*)\?$', 3) AS ask
-FROM {TEMPLATE_SQL}"""
+SQL["parse_question"] = "SELECT row_id, " + ", ".join(
+    f"regexp_extract(question, {lit(TEMPLATE_PATTERN)}, {i + 1}) AS {n}"
+    for i, n in enumerate(["assessment", "diagnosis", "ask"])) + f" FROM {TEMPLATE_SQL}"
 SQL["question_type"] = f"SELECT {qtype('question')} AS question_type, count(*) AS n FROM {TEMPLATE_SQL} GROUP BY 1"
 
 _INSIGHT = generated_ctes(TEMPLATE_SQL) + judge_ctes("gen") + bertscore_ctes(

@@ -24,6 +24,10 @@ def get_spark(master: str | None = None, app: str = "sparqa",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # rows here are light in bytes but heavy in CPU (judging, token matching, embedding):
+        # never coalesce a shuffle below 64 KB partitions, so small stages keep every core;
+        # at scale partitions are far above this and nothing changes
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",

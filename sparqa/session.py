@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, app: str = "sparqa",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -70,6 +71,36 @@ def _context(spark: SparkSession):
         return None
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparqa`` importable in every Python worker (as ``--py-files`` would).
+
+    The package is zipped once per application into the shared checkpoint folder and
+    added with ``addPyFile``; workers then resolve UDFs and ``mapInPandas`` functions
+    defined in ``sparqa`` regardless of their working directory.
+    """
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    target = os.path.join(checkpoint_dir(spark), f"sparqa-{sc.applicationId}.zip")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" not in local:
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(local)
+    _SHIPPED.add(sc.applicationId)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when a scan yields fewer partitions than cores.
 

@@ -19,17 +19,6 @@ HASH_DIM = 16
 BYTE_OFFSET = 127.5
 
 
-def token_dims(token: Column | str) -> list[Column]:
-    """The 16 DOUBLE components of one token's vector (codegen-friendly)."""
-    h = F.md5(col_of(token))
-    return [F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double") - F.lit(BYTE_OFFSET)
-            for i in range(HASH_DIM)]
-
-
-def token_vector(token: Column | str) -> Column:
-    return F.array(*token_dims(token))
-
-
 def text_vector(text: Column | str) -> Column:
     """In-row text vector (higher-order function; for short texts such as questions).
 

@@ -104,3 +104,26 @@ def test_describe_text_all_missing_column(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x")], "a string, b string")
     got = {r.column: (r["count"], r.unique, r.top, r.freq) for r in describe_text(df).collect()}
     assert got == {"a": (0, 0, None, None), "b": (2, 1, "x", 2)}
+
+
+def test_hot_null_key_merge_and_duplicates(spark):
+    # a third of the rows share one (NULL) key on both sides of the merge
+    n = 3000
+    main = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("question"),
+        F.lit("a").alias("answer"), F.lit("e").alias("experiment"),
+        F.when(F.col("id") % 2 == 0, F.lit(None).cast("double")).otherwise(F.lit(0.5)).alias("faithfulness"))
+    src = spark.range(n).where(F.col("id") % 3 != 0).select(
+        F.col("id").cast("string").alias("question"), F.lit("a").alias("answer"), F.lit("e").alias("experiment"),
+        F.lit(1.0).alias("faithfulness")).unionByName(
+        spark.range(1).select(F.lit(None).cast("string").alias("question"), F.lit("a").alias("answer"),
+                              F.lit("e").alias("experiment"), F.lit(2.0).alias("faithfulness")))
+    out = merge_metrics(main, src, metrics=["faithfulness"], check=False)
+    assert out.count() == n
+    got = {r.k: r.c for r in out.groupBy(F.coalesce("faithfulness", F.lit(-1.0)).alias("k")).count()
+           .withColumnRenamed("count", "c").collect()}
+    # NULL-key rows missing a value take the single NULL-key source value (2.0)
+    assert got[2.0] == sum(1 for i in range(n) if i % 3 == 0 and i % 2 == 0)
+    assert got[1.0] == sum(1 for i in range(n) if i % 3 != 0 and i % 2 == 0)
+    d = duplicate_keys(main).collect()
+    assert len(d) == 1 and d[0].question is None and d[0].n == n // 3

@@ -703,6 +703,7 @@ def q_sample_failed(spark, sf_dir):
 
 @query("profile_shape")
 def q_profile_shape(spark, sf_dir):
+    """Rows and columns of the scored table."""
     from sparqa.operators.profile import shape
     return shape(fx.scored_results(spark, sf_dir))
 
@@ -721,12 +722,14 @@ def q_profile_columns(spark, sf_dir):
 
 @query("profile_info")
 def q_profile_info(spark, sf_dir):
+    """P2 + P3: non-null count and type per column of the scored table."""
     from sparqa.operators.profile import info
     return info(fx.scored_results(spark, sf_dir))
 
 
 @query("describe_numeric")
 def q_describe_numeric(spark, sf_dir):
+    """P4 numeric: count, mean, std, min, exact 25/50/75 %, max per numeric column."""
     from sparqa.operators.profile import describe_numeric
     d = describe_numeric(fx.scored_results(spark, sf_dir))
     return d.select("column", *_r6("count", "mean", "std", "min", "p25", "p50", "p75", "max"))
@@ -734,6 +737,7 @@ def q_describe_numeric(spark, sf_dir):
 
 @query("describe_text")
 def q_describe_text(spark, sf_dir):
+    """P4 text: count, unique, top, freq per text column."""
     from sparqa.operators.profile import describe_text
     d = describe_text(fx.scored_results(spark, sf_dir), ["answer", "experiment", "generated_answer",
                                                           "retrieved_contexts"])
@@ -774,6 +778,7 @@ def q_report_summary(spark, sf_dir):
 
 @query("parse_question")
 def q_parse_question(spark, sf_dir):
+    """Assessment, diagnosis and question parsed from the template."""
     from sparqa.operators.insight import parse_question
     t = fx.template_questions(spark, sf_dir)
     return t.select("row_id", parse_question("question").alias("p")).select(
@@ -782,6 +787,7 @@ def q_parse_question(spark, sf_dir):
 
 @query("question_type")
 def q_question_type(spark, sf_dir):
+    """Questions per type (keyword lookup)."""
     from sparqa.operators.insight import question_type
     t = fx.template_questions(spark, sf_dir)
     return t.groupBy(question_type("question").alias("question_type")).agg(F.count(F.lit(1)).alias("n"))
@@ -799,6 +805,7 @@ def insight_results(spark, sf_dir) -> DataFrame:
 
 @query("rag_delta")
 def q_rag_delta(spark, sf_dir):
+    """D3: mean F1 with minus without retrieval, per question type and model."""
     from sparqa.operators.insight import rag_delta
     d = rag_delta(insight_results(spark, sf_dir))
     return d.select("question_type", "generator_model", *_r6("mean_with_rag", "mean_without_rag", "rag_delta"))
@@ -806,6 +813,7 @@ def q_rag_delta(spark, sf_dir):
 
 @query("retrieval_quality")
 def q_retrieval_quality(spark, sf_dir):
+    """RAG delta next to mean context precision / recall per question type."""
     from sparqa.operators.insight import retrieval_quality
     r = retrieval_quality(insight_results(spark, sf_dir))
     return r.select("question_type", "generator_model",

@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 from sparqa.functions.text import strip
 
 
+BINARY_SCHEMA = T.StructType([T.StructField("path", T.StringType()),
+                              T.StructField("modificationTime", T.TimestampType()),
+                              T.StructField("length", T.LongType()),
+                              T.StructField("content", T.BinaryType())])
+
+
 def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", suffix: str = "*.pdf") -> DataFrame:
     """A corpus folder.
 
@@ -19,11 +25,19 @@ def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", suffix: st
       ``(path, modificationTime, length, content)``; decoding is a separate step.
     - ``text``: one row per file, whole file as ``text``, with ``path``.
     - ``parquet``: a table of documents.
-    An empty folder gives an empty DataFrame, not an error.
+    A folder without matching files, or a missing folder, gives an empty DataFrame,
+    not an error ("nothing found").
     """
+    from pyspark.errors import AnalysisException
+
     if fmt == "binary":
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True) \
-            .option("pathGlobFilter", suffix).load(path)
+        try:
+            return spark.read.format("binaryFile").option("recursiveFileLookup", True) \
+                .option("pathGlobFilter", suffix).load(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], BINARY_SCHEMA)
     if fmt == "text":
         return spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
             .text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

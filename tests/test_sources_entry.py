@@ -107,3 +107,26 @@ def test_streaming_indexer_matches_batch(spark, tmp_dir):
     got = sorted((r.doc_id, r.pos, r.text) for r in coll.read_points(spark, path).collect())
     exp = sorted(tuple(r) for r in ch.chunk_documents(docs, chunk_size=10).collect())
     assert got == exp
+
+
+def test_scan_corpus_nothing_found(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "a.txt"), "x")
+    assert scan_corpus(spark, tmp_dir, "binary").count() == 0
+    missing = scan_corpus(spark, os.path.join(tmp_dir, "missing"), "binary")
+    assert missing.count() == 0 and missing.columns == ["path", "modificationTime", "length", "content"]
+
+
+def test_report_formats(spark):
+    from sparqa.operators.report import method_averages, report_rows, report_summary
+    df = spark.createDataFrame(
+        [(0, "q?", "it's", "ref", ["a'b", "line\none", 'say "x"'], 0.5, None, float("nan"), 0.123456789)],
+        "row_id long, user_input string, response string, reference string, retrieved_contexts array<string>, "
+        "context_precision double, context_recall double, faithfulness double, answer_relevancy double")
+    md = report_rows(df).first().markdown
+    assert md.startswith("# Question 1\n\n## User Question\nq?\n\n## Generated Answer\nit's\n\n")
+    assert "1. \"a'b\"\n2. 'line\\none'\n3. 'say \"x\"'\n" in md
+    assert md.endswith("| 0.5000 | nan | nan | 0.1235 |\n\n ")
+    avg = method_averages(df.withColumn("method", F.lit("m")))
+    s = report_summary(avg).first().summary
+    assert "Method Used: m\n" in s and "Overall Average Context Precision: 0.50\n" in s
+    assert "Overall Average Context Recall: 0.00\n" in s and "Overall Average Answer Relevancy: 0.12\n" in s

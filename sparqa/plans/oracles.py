@@ -240,7 +240,7 @@ UNION ALL SELECT qid AS row_id, false AS use_rag, '' AS generated_answer, 0 AS n
 # ================================================================== shared relations
 
 SCORED_SQL = """(SELECT d.doc_id AS row_id, d.text AS question, d.source AS answer, d.lang AS experiment,
-  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE substr(d.text, 1, 60) END AS generated_answer,
+  CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE d.source || ': ' || d.text END AS generated_answer,
   CASE WHEN d.doc_id % 5 = 0 THEN '[]' ELSE '[''' || d.source || ''', ''' || d.lang || ''']' END AS retrieved_contexts,
   l.quality::DOUBLE AS context_precision,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE (d.n_chars % 100)::DOUBLE / 100 END AS context_recall,

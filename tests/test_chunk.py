@@ -20,15 +20,16 @@ GOLDEN = [
 ]
 
 
-def _chunk(spark, texts, size):
+def _chunk(spark, texts, size, block=None):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    rows = df.select("id", ch.chunk_text("text", size, method="recursive").alias("c")).collect()
+    rows = df.select("id", ch.chunk_text("text", size, method="recursive", block=block).alias("c")).collect()
     return [r.c for r in sorted(rows, key=lambda r: r.id)]
 
 
 def test_golden_cases(spark):
-    got = _chunk(spark, [t for t, _ in GOLDEN], 10)
-    assert got == [e for _, e in GOLDEN]
+    for block in (None, 1, 2):  # block size never changes the chunks
+        got = _chunk(spark, [t for t, _ in GOLDEN], 10, block)
+        assert got == [e for _, e in GOLDEN]
 
 
 def test_non_bmp_and_no_separators(spark):
@@ -60,7 +61,26 @@ def _duck_chunks(texts, size):
 @given(st.lists(st.text(alphabet="ab \n.\t\x1c", max_size=60), min_size=1, max_size=8),
        st.sampled_from([3, 5, 10]))
 def test_matches_duckdb_chunker(spark, texts, size):
-    assert _chunk(spark, texts, size) == _duck_chunks(texts, size)
+    expected = _duck_chunks(texts, size)
+    assert _chunk(spark, texts, size) == expected
+    assert _chunk(spark, texts, size, block=2) == expected  # many block boundaries
+
+
+def test_blocked_packing_equals_flat_fold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    flat = ch.pack_pieces(ch.split_pieces("text", 120), 120)
+    cmp = docs.select(flat.alias("a"), ch.chunk_text("text", 120, method="recursive", block=3).alias("b"),
+                      ch.chunk_text("text", 120, method="recursive").alias("c"))
+    assert cmp.where((F.col("a") != F.col("b")) | (F.col("a") != F.col("c"))).count() == 0
+
+
+def test_long_document_is_linear(spark):
+    import time
+    text = ". ".join(f"word{i % 97} more words here" for i in range(60000))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    t0 = time.time()
+    n = ch.chunk_documents(df, chunk_size=500).count()
+    assert n > 2000 and time.time() - t0 < 30
 
 
 def test_properties_on_corpus(spark):

@@ -35,3 +35,15 @@ def test_retrieval_builds_on_the_hits(spark):
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin Inner BuildRight" in plan.replace("[", " ").replace("]", " ") or \
         "BuildRight" in plan
+
+
+@pytest.mark.parametrize("name", ["union_results", "retrieval_quality", "rag_delta", "experiment_stages"])
+def test_retrieval_runs_once_per_query(spark, name):
+    # the kNN mapInPandas appears once (no branch recomputes the retrieval pipeline)
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") <= 1
+
+
+def test_chunker_expression_is_not_duplicated(spark):
+    plan = E.queries()["chunk_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 4  # one per split level

@@ -73,15 +73,16 @@ def with_verdicts(df: DataFrame, question: str = "question", answer: str = "gene
                   reference: str = "answer", contexts: str = "retrieved_contexts") -> DataFrame:
     """T9 (native judge): add verdict arrays ``_v_cp``, ``_v_cr``, ``_v_f`` and helpers."""
     empty = F.array().cast("array<string>")
-    d = df.withColumn("_ctx_t", F.transform(F.coalesce(F.col(contexts), empty),
-                                            lambda c: F.array_distinct(tokens(c))))
-    d = d.withColumn("_all_t", F.array_distinct(F.flatten("_ctx_t")))
-    d = d.withColumn("_ref_st", _stmt_tokens(F.col(reference)))
-    d = d.withColumn("_ans_st", _stmt_tokens(F.col(answer)))
-    d = d.withColumn("_v_cp", F.transform("_ctx_t", lambda ct: F.exists(
-        "_ref_st", lambda s: _supported(s, ct)).cast("int")))
-    d = d.withColumn("_v_cr", F.transform("_ref_st", lambda s: _supported(s, F.col("_all_t")).cast("int")))
-    d = d.withColumn("_v_f", F.transform("_ans_st", lambda s: _supported(s, F.col("_all_t")).cast("int")))
+    d = df.withColumns({
+        "_ctx_t": F.transform(F.coalesce(F.col(contexts), empty), lambda c: F.array_distinct(tokens(c))),
+        "_ref_st": _stmt_tokens(F.col(reference)),
+        "_ans_st": _stmt_tokens(F.col(answer))})
+    d = d.withColumns({
+        "_all_t": F.array_distinct(F.flatten("_ctx_t")),
+        "_v_cp": F.transform("_ctx_t", lambda ct: F.exists("_ref_st", lambda s: _supported(s, ct)).cast("int"))})
+    d = d.withColumns({
+        "_v_cr": F.transform("_ref_st", lambda s: _supported(s, F.col("_all_t")).cast("int")),
+        "_v_f": F.transform("_ans_st", lambda s: _supported(s, F.col("_all_t")).cast("int"))})
     return d
 
 
@@ -101,10 +102,9 @@ def native_judge(df: DataFrame, question: str = "question", answer: str = "gener
     Vectors for answer_relevancy come from the (pluggable) embedder in Arrow batches:
     one vector per question and per back-question, each computed once.
     """
-    d = with_verdicts(df, question, answer, reference, contexts)
-    d = d.withColumn("_qv", embedding_udf(embedder)(F.coalesce(F.col(question), F.lit(""))))
-    d = d.withColumn("_gv", embedding_array_udf(embedder)(
-        F.slice(statements(F.col(answer)), 1, BACK_QUESTIONS)))
+    d = with_verdicts(df, question, answer, reference, contexts).withColumns({
+        "_qv": embedding_udf(embedder)(F.coalesce(F.col(question), F.lit(""))),
+        "_gv": embedding_array_udf(embedder)(F.slice(statements(F.col(answer)), 1, BACK_QUESTIONS))})
     n_rel = _sum(F.col("_v_cp"))
     prec_at = F.transform("_v_cp", lambda v, i: v * _sum(F.slice(F.col("_v_cp"), 1, i + 1)).cast("double")
                           / (i + 1))
@@ -114,10 +114,11 @@ def native_judge(df: DataFrame, question: str = "question", answer: str = "gener
           .otherwise(F.when(F.size(sims) > 0,
                             F.aggregate(sims, F.lit(0.0), lambda a, b: a + b) / F.size(sims)))
     ur = F.lit(use_rag) if isinstance(use_rag, bool) else F.col(use_rag) if isinstance(use_rag, str) else use_rag
-    out = d.withColumn("context_precision", F.when(ur, cp)) \
-           .withColumn("context_recall", F.when(ur, _mean_or_null(F.col("_v_cr")))) \
-           .withColumn("faithfulness", F.when(ur, _mean_or_null(F.col("_v_f")))) \
-           .withColumn("answer_relevancy", ar)
+    out = d.withColumns({
+        "context_precision": F.when(ur, cp),
+        "context_recall": F.when(ur, _mean_or_null(F.col("_v_cr"))),
+        "faithfulness": F.when(ur, _mean_or_null(F.col("_v_f"))),
+        "answer_relevancy": ar})
     return out.drop("_ctx_t", "_all_t", "_ref_st", "_ans_st", "_v_cp", "_v_cr", "_v_f", "_qv", "_gv")
 
 

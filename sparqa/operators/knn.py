@@ -148,29 +148,22 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     if k is None or k <= 0:
         return spark.createDataFrame([], empty_schema)
     qsel = queries.select(q_key, q_vec).where(F.col(q_key).isNotNull())
-    # the dimension from a one-row probe, then at most one block's worth of rows: when
-    # they all fit, that is the whole (bounded) query side; otherwise count and hash
-    # the queries into blocks that each fit
-    probe = qsel.select(F.size(q_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    # size check without computing vectors twice: the count prunes the vector column (an
+    # embedding UDF is not evaluated) and the dimension comes from a one-row probe; a
+    # query side within the bound is collected in one parallel job, a larger one is
+    # hashed into blocks that each fit (25 % margin for uneven hashing)
+    n_q = qsel.select(q_key).count()
+    probe = qsel.select(F.size(q_vec).alias("d")).where(F.col("d") > 0).limit(1).collect() if n_q else []
     dim = int(probe[0]["d"]) if probe else 0
     per_block = max(1, max_block_bytes // (8 * max(dim, 1) + 64))
-    first = qsel.limit(per_block + 1).collect()
+    n_blocks = 1 if n_q <= per_block else math.ceil(n_q * 1.25 / per_block)
     parts = []
-    if len(first) <= per_block:
-        n_q, n_blocks = len(first), 1
-        if first:
-            parts.append(_block_topk(points, [r[q_key] for r in first], _as_matrix([r[q_vec] for r in first], dim),
+    for b in range(n_blocks if n_q else 0):
+        blk = qsel if n_blocks == 1 else qsel.where(F.pmod(F.xxhash64(q_key), F.lit(n_blocks)) == b)
+        rows = blk.collect()  # bounded: at most ~max_block_bytes of vectors
+        if rows:
+            parts.append(_block_topk(points, [r[q_key] for r in rows], _as_matrix([r[q_vec] for r in rows], dim),
                                      k, q_key, q_type, p_keys, p_vec))
-    else:
-        del first
-        n_q = qsel.select(q_key).count()
-        # hashed blocks get a 25 % margin so each stays within the byte bound
-        n_blocks = math.ceil(n_q * 1.25 / per_block)
-        for b in range(n_blocks):
-            rows = qsel.where(F.pmod(F.xxhash64(q_key), F.lit(n_blocks)) == b).collect()
-            if rows:
-                parts.append(_block_topk(points, [r[q_key] for r in rows], _as_matrix([r[q_vec] for r in rows], dim),
-                                         k, q_key, q_type, p_keys, p_vec))
     if stats is not None:
         stats.update(n_queries=n_q, n_blocks=n_blocks)
     if not parts:

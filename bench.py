@@ -29,21 +29,28 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus)
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
     rows: dict[str, int] = {}
+    errors: dict[str, str] = {}
     # untimed JVM / Python-worker warm-up on the smallest table
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.format("noop").mode("overwrite").save()
     for name in names:
         t0 = time.perf_counter()
-        df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
-    for name in ("ask",):
-        if name in names:
-            rows[name] = QUERIES[name](spark, sf_dir).count()
+        try:
+            df = QUERIES[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # keep the one-line report even if a query fails
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    if "ask" in names and times.get("ask") is not None:
+        rows["ask"] = QUERIES["ask"](spark, sf_dir).count()
     sf = os.path.basename(sf_dir).removeprefix("sf")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus, "rows": rows}))
+    out = {"metric": "headline_total", "value": round(sum(t for t in times.values() if t is not None), 3),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "rows": rows}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,24 +103,40 @@ def standin_answer(contexts: Column | str) -> Column:
             .otherwise(F.lit(""))
 
 
-def responder_udf(responder: Responder):
-    """G8 with a pluggable model: Arrow batches of prompts; a failing row answers ""."""
+def _respond(responder: Responder, vals: list[str]) -> list[str]:
+    """One batch; if the batch fails, each row is retried alone and a failing row answers ""."""
+    try:
+        outs = list(responder(vals))
+        if len(outs) != len(vals):
+            raise ValueError("responder returned a different number of answers")
+    except Exception:
+        outs = []
+        for p in vals:
+            try:
+                outs.append(responder([p])[0])
+            except Exception:
+                outs.append("")
+    return ["" if o is None else str(o).strip() for o in outs]
+
+
+def responder_udf(responder: Responder | None = None, factory: Callable[[], Responder] | None = None):
+    """G8 with a pluggable model: Arrow batches of prompts; a failing row answers "".
+
+    With ``factory`` (e.g. a client or model loader) the responder is built once per task
+    and reused for all of the task's batches (iterator UDF).
+    """
+    if factory is not None:
+        @F.pandas_udf(T.StringType())
+        def _answer_iter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = factory()
+            for prompts in batches:
+                yield pd.Series(_respond(model, prompts.fillna("").astype(str).tolist()))
+
+        return _answer_iter
 
     @F.pandas_udf(T.StringType())
     def _answer(prompts: pd.Series) -> pd.Series:
-        vals = prompts.fillna("").astype(str).tolist()
-        try:
-            outs = list(responder(vals))
-            if len(outs) != len(vals):
-                raise ValueError("responder returned a different number of answers")
-        except Exception:
-            outs = []
-            for p in vals:
-                try:
-                    outs.append(responder([p])[0])
-                except Exception:
-                    outs.append("")
-        return pd.Series(["" if o is None else str(o).strip() for o in outs])
+        return pd.Series(_respond(responder, prompts.fillna("").astype(str).tolist()))
 
     return _answer
 
@@ -134,20 +150,6 @@ def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col:
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
-    def call(fn: Responder, prompts: list[str]) -> list[str]:
-        try:
-            outs = list(fn(prompts))
-            if len(outs) != len(prompts):
-                raise ValueError("responder returned a different number of answers")
-        except Exception:
-            outs = []
-            for p in prompts:
-                try:
-                    outs.append(fn([p])[0])
-                except Exception:
-                    outs.append("")
-        return ["" if o is None else str(o).strip() for o in outs]
-
     def run(batches):
         for pdf in batches:
             answers = pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
@@ -155,7 +157,7 @@ def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col:
                 fn = responders.get(model)
                 if fn is None:
                     continue
-                answers.loc[part.index] = call(fn, part[prompt_col].fillna("").astype(str).tolist())
+                answers.loc[part.index] = _respond(fn, part[prompt_col].fillna("").astype(str).tolist())
             yield pdf.assign(**{out_col: answers})
 
     return df.mapInPandas(run, schema)

@@ -9,7 +9,7 @@ The default ``hash_embedder`` is the deterministic stand-in for a model (see
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -89,14 +89,27 @@ def hash_embedder(texts: Sequence[str]) -> np.ndarray:
     return out
 
 
-def embedding_udf(embedder: Embedder = hash_embedder, dtype: str = "double"):
+def embedding_udf(embedder: Embedder = hash_embedder, dtype: str = "double",
+                  factory: Callable[[], Embedder] | None = None):
     """B1/B2: Arrow-batched scalar UDF ``text -> array<dtype>`` around ``embedder``.
 
-    ``dtype="float"`` applies the float32 cast of B5 on the way out.
+    ``dtype="float"`` applies the float32 cast of B5 on the way out. With ``factory``
+    (e.g. a function that loads a model) the UDF is an iterator UDF: the embedder is built
+    once per task and reused for all of the task's batches.
     """
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
     np_dtype = np.float32 if dtype == "float" else np.float64
 
+    if factory is not None:
+        @F.pandas_udf(T.ArrayType(elem))
+        def _embed_iter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = factory()
+            for texts in batches:
+                vals = texts.fillna("").astype(str).tolist()
+                yield pd.Series(list(np.asarray(model(vals), dtype=np_dtype)))
+
+        return _embed_iter
+
     @F.pandas_udf(T.ArrayType(elem))
     def _embed(texts: pd.Series) -> pd.Series:
         vals = texts.fillna("").astype(str).tolist()
@@ -127,9 +140,10 @@ def embedding_array_udf(embedder: Embedder = hash_embedder):
 
 
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
-          embedder: Embedder = hash_embedder, dtype: str = "double") -> DataFrame:
+          embedder: Embedder = hash_embedder, dtype: str = "double",
+          factory: Callable[[], Embedder] | None = None) -> DataFrame:
     """B1: add an embedding column; rows stay where they are (no shuffle)."""
-    return df.withColumn(out_col, embedding_udf(embedder, dtype)(F.col(text_col)))
+    return df.withColumn(out_col, embedding_udf(embedder, dtype, factory)(F.col(text_col)))
 
 
 def to_float32(vec: Column | str) -> Column:

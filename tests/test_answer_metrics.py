@@ -171,3 +171,30 @@ def test_native_and_python_hash_vectors_agree(spark):
     for r in rows:
         assert list(r.a) == list(r.b)
     assert np.array_equal(np.array([list(r.b) for r in rows]), hash_embedder(["" if t is None else t for t in texts]))
+
+
+def test_factories_build_the_model_once_per_task(spark):
+    from sparqa.operators.embed import embed
+
+    def make_embedder():
+        state = {"built": True}
+
+        def model(texts):
+            assert state["built"]
+            return np.array([[float(len(t)), 1.0] for t in texts])
+        return model
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "i int, t string").repartition(3)
+    got = {r.i: list(r.e) for r in embed(df, "t", "e", factory=make_embedder).collect()}
+    assert got[7] == [7.0, 1.0] and len(got) == 50
+    ans_df = spark.createDataFrame([("a",), ("boom",)], "prompt string")
+
+    def make_responder():
+        def respond(ps):
+            if any("boom" in p for p in ps):
+                raise RuntimeError("down")
+            return [p.upper() for p in ps]
+        return respond
+
+    out = sorted(r.a for r in ans_df.select(ans.responder_udf(factory=make_responder)(F.col("prompt")).alias("a")).collect())
+    assert out == ["", "A"]

@@ -138,12 +138,14 @@ def verdict_table(df: DataFrame, keys: list[str], **cols) -> DataFrame:
 JudgeFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def run_judge(df: DataFrame, keys: list[str], judge: JudgeFn, use_rag: bool = True) -> DataFrame:
+def run_judge(df: DataFrame, keys: list[str], judge: JudgeFn | None = None, use_rag: bool = True,
+              factory: Callable[[], JudgeFn] | None = None) -> DataFrame:
     """T9 with a pluggable judge: Arrow batches of judge input -> metric columns per row.
 
     ``judge`` receives ``user_input, retrieved_contexts, response, reference`` and returns
     the metric columns it computed. A failing batch is retried row by row; a failing row
-    gets missing metrics, as judge failures do.
+    gets missing metrics, as judge failures do. ``factory`` builds the judge (e.g. loads a
+    model or opens a client) once per task instead.
     """
     require_contexts(df, use_rag)
     wanted = RAG_METRICS if use_rag else PLAIN_METRICS
@@ -152,19 +154,20 @@ def run_judge(df: DataFrame, keys: list[str], judge: JudgeFn, use_rag: bool = Tr
                           + [T.StructField(m, T.DoubleType()) for m in wanted])
     judge_cols = list(JUDGE_COLUMNS.values())
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = judge(pdf[judge_cols].reset_index(drop=True))
+    def call(fn: JudgeFn, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fn(pdf[judge_cols].reset_index(drop=True))
         return pd.DataFrame({m: (out[m] if m in out else [None] * len(pdf)) for m in wanted})
 
     def run(batches):
+        fn = factory() if factory is not None else judge
         for pdf in batches:
             try:
-                res = call(pdf)
+                res = call(fn, pdf)
             except Exception:
                 parts = []
                 for i in range(len(pdf)):
                     try:
-                        parts.append(call(pdf.iloc[i:i + 1]))
+                        parts.append(call(fn, pdf.iloc[i:i + 1]))
                     except Exception:
                         parts.append(pd.DataFrame({m: [None] for m in wanted}))
                 res = pd.concat(parts, ignore_index=True)

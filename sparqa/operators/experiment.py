@@ -125,25 +125,51 @@ def tag_results(df: DataFrame, experiment: str) -> DataFrame:
     return df.withColumn("experiment", F.lit(experiment))
 
 
+# Heads up to this many rows use a top-k (each partition keeps at most this many rows);
+# longer heads find the cut value by exact rank selection over a distributed sort.
+TOPK_LIMIT = 100_000
+
+
+def _value_at_rank(df: DataFrame, col: str, rank: int):
+    """The value at 0-based ``rank`` in ascending ``col`` order (NULLs excluded).
+
+    Range-partitioned sort plus ``zipWithIndex`` (one count per partition); only the one
+    value reaches the driver.
+    """
+    vals = df.select(col).where(F.col(col).isNotNull()).orderBy(col)
+    got = vals.rdd.zipWithIndex().filter(lambda r: r[1] == rank).map(lambda r: r[0][0]).collect()
+    return got[0] if got else None
+
+
 def limit_rows(df: DataFrame, n: int | None, order_col: str = "row_id") -> DataFrame:
     """X6 (pandas ``head`` semantics): None -> all, 0 -> none, n > 0 -> first n,
-    n < 0 -> all but the last |n| (by ``order_col``).
+    n < 0 -> all but the last |n| (by ``order_col``, a unique row key).
 
-    The first-n form is a top-k (TakeOrderedAndProject). The negative form finds the
-    cut value with a |n|-row top-k from the end and then filters, so the kept rows
-    never pass through a single task.
+    Short heads are a top-k (TakeOrderedAndProject). Otherwise the cut value of the
+    order column is found first (a |n|-row top-k from the end, or an exact rank selection
+    for long heads) and the rows are filtered, so kept rows never pass through one task.
     """
     if n is None:
         return df
     if n == 0:
         return df.limit(0)
     if n > 0:
-        return df.orderBy(F.col(order_col).asc()).limit(n)
-    tail = df.select(order_col).orderBy(F.col(order_col).desc()).limit(-n)
-    cut = tail.agg(F.min(order_col).alias("_cut"), F.count(F.lit(1)).alias("_n")).first()
-    if cut["_n"] < -n or cut["_cut"] is None:
+        if n <= TOPK_LIMIT:
+            return df.orderBy(F.col(order_col).asc()).limit(n)
+        cut = _value_at_rank(df, order_col, n - 1)
+        return df if cut is None else df.where(F.col(order_col) <= F.lit(cut))
+    if -n <= TOPK_LIMIT:
+        tail = df.select(order_col).orderBy(F.col(order_col).desc()).limit(-n)
+        cut = tail.agg(F.min(order_col).alias("_cut"), F.count(F.lit(1)).alias("_n")).first()
+        if cut["_n"] < -n or cut["_cut"] is None:
+            return df.limit(0)
+        return df.where(F.col(order_col) < F.lit(cut["_cut"]))
+    total = df.select(order_col).where(F.col(order_col).isNotNull()).count()
+    keep = total + n
+    if keep <= 0:
         return df.limit(0)
-    return df.where(F.col(order_col) < F.lit(cut["_cut"]))
+    cut = _value_at_rank(df, order_col, keep - 1)
+    return df.where(F.col(order_col) <= F.lit(cut))
 
 
 def run_summary(configs: DataFrame, base_output: str, action: str) -> DataFrame:

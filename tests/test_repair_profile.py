@@ -127,3 +127,15 @@ def test_hot_null_key_merge_and_duplicates(spark):
     assert got[1.0] == sum(1 for i in range(n) if i % 3 != 0 and i % 2 == 0)
     d = duplicate_keys(main).collect()
     assert len(d) == 1 and d[0].question is None and d[0].n == n // 3
+
+
+def test_long_limits_use_rank_selection(spark, monkeypatch):
+    from sparqa.operators import experiment as X
+    monkeypatch.setattr(X, "TOPK_LIMIT", 2)
+    df = spark.range(0, 40, 3).withColumnRenamed("id", "row_id").repartition(4)
+    ids = lambda d: sorted(r.row_id for r in d.collect())
+    allv = list(range(0, 40, 3))
+    assert ids(X.limit_rows(df, 5)) == allv[:5]
+    assert ids(X.limit_rows(df, -5)) == allv[:-5]
+    assert ids(X.limit_rows(df, 100)) == allv
+    assert ids(X.limit_rows(df, -100)) == []

@@ -127,7 +127,7 @@ def is_empty(spark: SparkSession, path: str) -> bool:
     return read_points(spark, path).isEmpty()
 
 
-def index_corpus(spark: SparkSession, docs: DataFrame, path: str, *, dim: int,
+def index_corpus(spark: SparkSession, docs: DataFrame | None, path: str, *, dim: int,
                  chunker, embed_fn, name: str = "collection",
                  recreate_on_dimension_mismatch: bool = False) -> dict:
     """V6 + V7: index once. Chunk, embed and append in one lazy plan when empty.
@@ -138,6 +138,8 @@ def index_corpus(spark: SparkSession, docs: DataFrame, path: str, *, dim: int,
     action = create_collection(spark, path, dim, name, recreate_on_dimension_mismatch)
     if not is_empty(spark, path):
         return {"action": "skipped", "n_points": collection_count(spark, path)}
+    if docs is None:
+        raise ValueError(f"Collection '{name}' is empty and no documents were given to index.")
     pts = to_points(embed_fn(chunker(docs)))
     append_points(pts, path)
     return {"action": action, "n_points": collection_count(spark, path)}

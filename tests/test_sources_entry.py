@@ -130,3 +130,19 @@ def test_report_formats(spark):
     s = report_summary(avg).first().summary
     assert "Method Used: m\n" in s and "Overall Average Context Precision: 0.50\n" in s
     assert "Overall Average Context Recall: 0.00\n" in s and "Overall Average Answer Relevancy: 0.12\n" in s
+
+
+def test_index_once_and_empty_without_docs(spark):
+    from sparqa.operators.chunk import chunk_documents
+    from sparqa.operators.embed import embed
+    docs = spark.createDataFrame([(1, "alpha beta. gamma")], "doc_id long, text string")
+    path = coll.scratch_path(spark, "index-once")
+    kw = dict(dim=16, chunker=lambda d: chunk_documents(d, chunk_size=10), embed_fn=lambda c: embed(c, "chunk"))
+    with pytest.raises(ValueError, match="empty"):
+        coll.index_corpus(spark, None, path, **kw)
+    first = coll.index_corpus(spark, docs, coll.scratch_path(spark, "index-once2"), **kw)
+    assert first["action"] == "created" and first["n_points"] == 2
+    p2 = coll.scratch_path(spark, "index-once3")
+    coll.index_corpus(spark, docs, p2, **kw)
+    again = coll.index_corpus(spark, docs, p2, **kw)
+    assert again == {"action": "skipped", "n_points": 2}

@@ -39,8 +39,9 @@ def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", suffix: st
                 raise
             return spark.createDataFrame([], BINARY_SCHEMA)
     if fmt == "text":
-        return spark.read.option("wholetext", True).option("recursiveFileLookup", True) \
-            .text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        # wholetext must be an argument: text() resets the option to its own default
+        return spark.read.text(path, wholetext=True, recursiveFileLookup=True) \
+            .select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return spark.read.format(fmt).load(path)
 
 

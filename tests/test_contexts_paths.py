@@ -44,3 +44,10 @@ def test_repaired_path(spark):
     assert got == ["r/a_nan_fixed.csv", "r/a_nan_fixed.csv_nan_fixed.csv", "r/a", "o.csv"]
     with pytest.raises(ValueError):
         check_not_same("r/a", "r/a/")
+
+
+def test_parse_contexts_json_roundtrip(spark):
+    from sparqa.functions.contexts import parse_contexts_json
+    df = spark.createDataFrame([(["a", 'b"c', "d\ne"],), ([],), (None,)], "c array<string>")
+    back = df.select(parse_contexts_json(F.to_json("c")).alias("x")).collect()
+    assert [r.x for r in back] == [["a", 'b"c', "d\ne"], [], []]

@@ -146,3 +146,11 @@ def test_index_once_and_empty_without_docs(spark):
     coll.index_corpus(spark, docs, p2, **kw)
     again = coll.index_corpus(spark, docs, p2, **kw)
     assert again == {"action": "skipped", "n_points": 2}
+
+
+def test_scan_corpus_text_files(spark, tmp_dir):
+    os.makedirs(os.path.join(tmp_dir, "d", "e"))
+    _write(os.path.join(tmp_dir, "d", "one.txt"), "first\n\nline")
+    _write(os.path.join(tmp_dir, "d", "e", "two.txt"), "second")
+    got = sorted((os.path.basename(r.path), r.text) for r in scan_corpus(spark, tmp_dir, "text").collect())
+    assert got == [("one.txt", "first\n\nline"), ("two.txt", "second")]

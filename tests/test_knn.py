@@ -98,3 +98,26 @@ def test_retrieval_scores_ordered_and_bounded(spark):
         scores = [s for _, s in sorted(lst)]
         assert scores == sorted(scores, reverse=True)
         assert [rk for rk, _ in sorted(lst)] == list(range(1, len(lst) + 1))
+
+
+def test_retrieve_with_duplicate_points(spark):
+    from sparqa.operators.answer import retrieve
+
+    def emb(texts):
+        return np.array([[1.0, float(len(t) % 3)] for t in texts])
+
+    pts = spark.createDataFrame([(1, 0, "aaa", [1.0, 0.0]), (2, 0, "bb", [0.0, 1.0])],
+                                "doc_id long, pos int, text string, embedding array<double>")
+    dup = pts.unionByName(pts.where("doc_id = 1"))  # the same point appended twice
+    q = spark.createDataFrame([(7, "xyz")], "qid long, question string")
+    rows = sorted((r["rank"], r.doc_id, r.text) for r in retrieve(q, dup, 3, embedder=emb).collect())
+    assert rows == [(1, 1, "aaa"), (2, 1, "aaa"), (3, 2, "bb")]
+
+
+def test_embedding_helpers(spark):
+    from sparqa.operators.embed import embedding_dim, probe_dimension, to_float32
+    df = spark.createDataFrame([([0.5, 1.0],), ([2.0, 3.0, 4.0],)], "e array<double>")
+    r = embedding_dim(df, "e").first()
+    assert (r.min_dim, r.max_dim, r.n_vectors) == (2, 3, 2)
+    assert probe_dimension(spark) == 16
+    assert df.select(to_float32("e").alias("f")).schema["f"].dataType.simpleString() == "array<float>"

@@ -154,3 +154,13 @@ def test_scan_corpus_text_files(spark, tmp_dir):
     _write(os.path.join(tmp_dir, "d", "e", "two.txt"), "second")
     got = sorted((os.path.basename(r.path), r.text) for r in scan_corpus(spark, tmp_dir, "text").collect())
     assert got == [("one.txt", "first\n\nline"), ("two.txt", "second")]
+
+
+def test_generated_from_parquet_keeps_arrays(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "gen.parquet")
+    spark.createDataFrame([("q", "a", None, ["x", "y"], float("nan")), ("q2", None, "g", None, 0.5)],
+                          "question string, answer string, generated_answer string, "
+                          "retrieved_contexts array<string>, faithfulness double").write.parquet(p)
+    rows = sorted(load_generated(spark, p, fmt="parquet").collect(), key=lambda r: r.question)
+    assert (rows[0].generated_answer, rows[0].retrieved_contexts, rows[0].faithfulness) == ("", ["x", "y"], None)
+    assert (rows[1].answer, rows[1].retrieved_contexts, rows[1].faithfulness) == ("", [], 0.5)

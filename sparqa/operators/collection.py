@@ -97,7 +97,11 @@ def point_ids(doc_col: str = "doc_id", pos_col: str = "pos"):
 
 def to_points(chunks: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
               text_col: str = "chunk", vec_col: str = "embedding") -> DataFrame:
-    """V4 shape: pair each vector with its own text by key (no positional zip)."""
+    """V4 shape: pair each vector with its own text by key (no positional zip).
+
+    ``doc_id`` is an integer key; a file corpus uses ``xxhash64(path)`` and keeps the path
+    alongside (see ``sources.corpus``).
+    """
     return chunks.select(point_ids(doc_col, pos_col).alias("point_id"),
                          F.col(doc_col).cast("bigint").alias("doc_id"),
                          F.col(pos_col).cast("int").alias("pos"),

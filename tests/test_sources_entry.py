@@ -164,3 +164,32 @@ def test_generated_from_parquet_keeps_arrays(spark, tmp_dir):
     rows = sorted(load_generated(spark, p, fmt="parquet").collect(), key=lambda r: r.question)
     assert (rows[0].generated_answer, rows[0].retrieved_contexts, rows[0].faithfulness) == ("", ["x", "y"], None)
     assert (rows[1].answer, rows[1].retrieved_contexts, rows[1].faithfulness) == ("", [], 0.5)
+
+
+def test_folder_to_collection_pipeline(spark, tmp_dir):
+    from sparqa.operators.chunk import chunk_documents
+    from sparqa.operators.embed import embed
+    from sparqa.sources.corpus import drop_empty
+    root = os.path.join(tmp_dir, "corpus")
+    os.makedirs(os.path.join(root, "sub"))
+    _write(os.path.join(root, "a.pdf"), "Alpha beta gamma.\n\nDelta epsilon.")
+    _write(os.path.join(root, "sub", "b.pdf"), "   ")
+    _write(os.path.join(root, "sub", "c.pdf"), "BROKEN")
+
+    def decode(content):
+        text = bytes(content).decode("utf-8")
+        if text == "BROKEN":
+            raise ValueError("cannot decode")
+        return text
+
+    files = scan_corpus(spark, root, "binary")
+    extracted = files.select(F.xxhash64("path").alias("doc_id"), safe_extract(decode)(F.col("content")).alias("r")) \
+                     .select("doc_id", F.col("r.value").alias("text"), F.col("r.error").alias("error"))
+    good, errors = isolate_failures(extracted)
+    docs = drop_empty(good).select("doc_id", "text")
+    assert errors.count() == 1 and docs.count() == 1
+    chunks = chunk_documents(docs, chunk_size=20)
+    path = coll.scratch_path(spark, "folder")
+    out = coll.index_corpus(spark, docs, path, dim=16, chunker=lambda d: chunk_documents(d, chunk_size=20),
+                            embed_fn=lambda c: embed(c, "chunk"))
+    assert out["n_points"] == chunks.count() == 2

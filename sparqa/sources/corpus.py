@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from sparqa.functions.text import strip
 
 
-BINARY_SCHEMA = T.StructType([T.StructField("path", T.StringType()),
+BINARY_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
+                              T.StructField("path", T.StringType()),
                               T.StructField("modificationTime", T.TimestampType()),
                               T.StructField("length", T.LongType()),
                               T.StructField("content", T.BinaryType())])
@@ -22,8 +23,9 @@ def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", suffix: st
     """A corpus folder.
 
     - ``binary``: every file matching ``suffix`` at any depth (case-sensitive) as
-      ``(path, modificationTime, length, content)``; decoding is a separate step.
-    - ``text``: one row per file, whole file as ``text``, with ``path``.
+      ``(doc_id, path, modificationTime, length, content)``; decoding is a separate step.
+    - ``text``: one row per file, whole file as ``text``, with ``doc_id`` and ``path``.
+    ``doc_id`` is ``xxhash64(path)``, the integer document key the collection uses.
     - ``parquet``: a table of documents.
     A folder without matching files, or a missing folder, gives an empty DataFrame,
     not an error ("nothing found").
@@ -32,16 +34,18 @@ def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", suffix: st
 
     if fmt == "binary":
         try:
-            return spark.read.format("binaryFile").option("recursiveFileLookup", True) \
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
                 .option("pathGlobFilter", suffix).load(path)
+            return files.select(F.xxhash64("path").alias("doc_id"), "*")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return spark.createDataFrame([], BINARY_SCHEMA)
     if fmt == "text":
         # wholetext must be an argument: text() resets the option to its own default
-        return spark.read.text(path, wholetext=True, recursiveFileLookup=True) \
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True) \
             .select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        return files.select(F.xxhash64("path").alias("doc_id"), "path", "text")
     return spark.read.format(fmt).load(path)
 
 

@@ -113,7 +113,7 @@ def test_scan_corpus_nothing_found(spark, tmp_dir):
     _write(os.path.join(tmp_dir, "a.txt"), "x")
     assert scan_corpus(spark, tmp_dir, "binary").count() == 0
     missing = scan_corpus(spark, os.path.join(tmp_dir, "missing"), "binary")
-    assert missing.count() == 0 and missing.columns == ["path", "modificationTime", "length", "content"]
+    assert missing.count() == 0 and missing.columns == ["doc_id", "path", "modificationTime", "length", "content"]
 
 
 def test_report_formats(spark):
@@ -183,7 +183,7 @@ def test_folder_to_collection_pipeline(spark, tmp_dir):
         return text
 
     files = scan_corpus(spark, root, "binary")
-    extracted = files.select(F.xxhash64("path").alias("doc_id"), safe_extract(decode)(F.col("content")).alias("r")) \
+    extracted = files.select("doc_id", safe_extract(decode)(F.col("content")).alias("r")) \
                      .select("doc_id", F.col("r.value").alias("text"), F.col("r.error").alias("error"))
     good, errors = isolate_failures(extracted)
     docs = drop_empty(good).select("doc_id", "text")

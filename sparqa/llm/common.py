@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from sparqa.session import checkpoint_dir
 
-#: A word is a run of other characters than these six; both forms name the same set.
+#: A word is a run of other characters than these six.
 GAP = r"[\x20\x09-\x0D]+"
-GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

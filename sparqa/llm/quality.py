@@ -12,28 +12,67 @@ pass through unchanged; repeated rows are judged one by one; an empty table give
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparqa.llm.common import GAP_CHARS, words
+from sparqa.llm.common import GAP, stored, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Rows on which rules are timed; a bound on work, not on what is judged.
 SAMPLE_ROWS = 2000
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``rejects`` is a condition over the columns that ``with_counts`` adds."""
-    name: str
-    rejects: Column
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it, wherever Catalyst moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class Document:
+    """What rules are made of: expressions over a text and its bound list of words."""
+
+    def __init__(self, text: Column, words: Column):
+        self.text, self.words = text, words
+        self.n_words = F.size(words).cast("long")
+
+    @property
+    def word_chars(self) -> Column:
+        return F.length(F.regexp_replace(self.text, GAP, "")).cast("long")
+
+    @property
+    def n_symbols(self) -> Column:
+        return (F.length(self.text) - F.length(F.translate(self.text, SYMBOLS, ""))).cast("long")
+
+    @property
+    def lines(self) -> Column:
+        """Lines with a word."""
+        return F.filter(F.split(self.text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
+    @property
+    def n_dup_lines(self) -> Column:
+        return let(self.lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
-def _repeat_words(windows: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more; ``windows`` has one hash per window."""
+    @property
+    def n_repeat_words(self) -> Column:
+        """Words covered by 3-word windows that occur twice or more."""
+        w = self.words
+        hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, _covered_words)).cast("long")
+
+    @property
+    def with_letter(self) -> Column:
+        return F.size(F.filter(self.words, lambda x: x.rlike(r"\p{L}")))
+
+    @property
+    def capitals(self) -> Column:
+        return F.length(F.regexp_replace(self.text, r"[^\p{Lu}]+", ""))
+
+
+def _covered_words(windows: Column) -> Column:
     n = F.size(windows)
     ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
@@ -46,92 +85,76 @@ def _repeat_words(windows: Column) -> Column:
         nxt = lambda i: F.coalesce(F.get(p, i + 1), F.lit(2**31 - 1))
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), nxt(i) - x)), F.lit(0), lambda a, x: a + x)
 
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    detailed = let(ranked, lambda s: let(starts(s), covered))
-    return F.when(F.size(F.array_distinct(windows)) == n, F.lit(0)).otherwise(detailed)
-
-
-def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts rules are made of; names start with an underscore so that no input column clashes."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_words", words(F.col(text)))
-    df = df.withColumn("_windows", F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.slice("_words", 1, F.size("_words") - 2),
-                    lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2)))))
-    df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0))
-    return df.withColumns({
-        "_n_words": F.size("_words").cast("long"),
-        "_word_chars": F.length(F.translate(t, GAP_CHARS, "")).cast("long"),
-        "_n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "_n_lines": F.size("_lines").cast("long"),
-        "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_n_repeat_words": _repeat_words(F.col("_windows")).cast("long"),
-    })
-
-
-def base_rules() -> list[Rule]:
-    return [
-        Rule("too_short", F.col("_n_words") < MIN_WORDS),
-        Rule("repeated_phrases", 100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")),
-    ]
-
-
-def content_rules(text: str = "text") -> list[Rule]:
-    """Published web-text thresholds (symbol share, word length, duplicate lines, words with a letter, capitals)."""
-    letters = F.filter("_words", lambda w: w.rlike(r"\p{L}"))
-    capitals = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{Lu}]+", ""))
-    return [
-        Rule("symbols", 10 * F.col("_n_symbols") > F.col("_n_words")),
-        Rule("word_length", (F.col("_word_chars") < 3 * F.col("_n_words")) | (F.col("_word_chars") > 10 * F.col("_n_words"))),
-        Rule("duplicate_lines", 10 * F.col("_n_dup_lines") > 3 * F.col("_n_lines")),
-        Rule("words_with_letters", 10 * F.size(letters) < 8 * F.col("_n_words")),
-        Rule("capitals", 2 * capitals > F.col("_word_chars")),
-    ]
-
-
-def plan_order(df: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by falling rejection per cost, both measured on a sample of about ``sample_rows`` rows."""
-    from sparqa.llm.common import stored
+    return F.when(F.size(F.array_distinct(windows)) == n, F.lit(0)).otherwise(let(ranked, lambda s: let(starts(s), covered)))
 
+
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` gives the condition on which a document goes."""
+    name: str
+    rejects: Callable[[Document], Column]
+
+
+BASE_RULES = (
+    Rule("too_short", lambda d: d.n_words < MIN_WORDS),
+    Rule("repeated_phrases", lambda d: 100 * d.n_repeat_words > 50 * d.n_words),
+)
+#: Published web-text thresholds: symbol share, word length, duplicate lines, words with a letter, capitals.
+CONTENT_RULES = (
+    Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
+    Rule("short_words", lambda d: d.word_chars < 3 * d.n_words),
+    Rule("long_words", lambda d: d.word_chars > 10 * d.n_words),
+    Rule("duplicate_lines", lambda d: let(d.lines, lambda x: 10 * (F.size(x) - F.size(F.array_distinct(x))) > 3 * F.size(x))),
+    Rule("words_with_letters", lambda d: 10 * d.with_letter < 8 * d.n_words),
+    Rule("capitals", lambda d: 2 * d.capitals > d.word_chars),
+)
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
+
+
+def cascade(rules: Sequence[Rule], d: Document) -> Column:
+    """True if no rule rejects; rules after the first rejecting one are not evaluated."""
+    out = F
+    for r in rules:
+        out = out.when(F.coalesce(r.rejects(d), F.lit(False)), F.lit(False))
+    return F.lit(True) if out is F else out.otherwise(F.lit(True))
+
+
+def plan_order(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by falling rejection per cost, both measured on a sample of about ``sample_rows`` rows."""
     if len(rules) < 2:
-        return rules
-    n = df.count()
-    part = df.select(text).sample(min(1.0, sample_rows / max(n, 1)), seed=7)
-    part = stored(with_counts(part, text).drop("_windows"), "quality-sample")
+        return list(rules)
+    part = stored(df.select(text).sample(min(1.0, sample_rows / max(df.count(), 1)), seed=7), "quality-sample")
+    t = _text(text)
     scores = []
     for rule in rules:
         began = time.perf_counter()
-        seen, hits = part.agg(F.count(F.lit(1)), F.sum(F.coalesce(rule.rejects, F.lit(False)).cast("int"))).first()
+        hit = let(words(t), lambda w: cascade([rule], Document(t, w)))  # noqa: B023  built at once
+        seen, hits = part.agg(F.count(F.lit(1)), F.sum((~hit).cast("int"))).first()
         cost = time.perf_counter() - began
         scores.append(((hits or 0) / max(seen, 1) / max(cost, 1e-6), rule))
     return [r for _, r in sorted(scores, key=lambda x: -x[0])]
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """True if no rule rejects; rules after the first rejecting one are not evaluated."""
-    out = None
-    for r in rules:
-        hit = F.coalesce(r.rejects, F.lit(False))
-        out = F.when(hit, F.lit(False)) if out is None else out.when(hit, F.lit(False))
-    return F.lit(True) if out is None else out.otherwise(F.lit(True))
-
-
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the counts, ``base_failed`` and ``kept`` (both underscored)."""
-    counted = with_counts(df, text)
-    failed = ~cascade(base_rules())
-    return counted.withColumn("_base_failed", failed).withColumn(
-        "_kept", F.when(F.col("_base_failed"), F.lit(False)).otherwise(cascade(plan_order(df, content_rules(text), text))))
-
-
 def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass every rule, columns unchanged."""
-    rules = plan_order(df, base_rules() + content_rules(text), text)
-    return with_counts(df, text).filter(cascade(rules)).select(*df.columns)
+    rules = plan_order(df, BASE_RULES + CONTENT_RULES, text)
+    t = _text(text)
+    return df.filter(let(words(t), lambda w: cascade(rules, Document(t, w))))
 
 
 def report(df: DataFrame) -> DataFrame:
-    """One row per document: counts and verdict."""
-    return judge(df.select("doc_id", "text")).select(
-        "doc_id", *(F.col(f"_{c}").alias(c) for c in (
-            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+    """One row per document: counts and verdict. The cascade of content rules runs where the base has passed."""
+    rules = plan_order(df, CONTENT_RULES)
+    t = _text("text")
+
+    def judged(w: Column) -> Column:
+        d = Document(t, w)
+        counts = F.struct(*(getattr(d, c).alias(c) for c in COUNTS))
+        return let(counts, lambda c: F.struct(c.alias("c"), failed(c).alias("base_failed"), F.when(failed(c), F.lit(False)).otherwise(cascade(rules, d)).alias("kept")))
+
+    failed = lambda c: (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+    out = df.select("doc_id", let(words(t), judged).alias("_j"))
+    return out.select("doc_id", *(F.col(f"_j.c.{c}").alias(c) for c in COUNTS), "_j.base_failed", "_j.kept")

@@ -39,9 +39,9 @@ GRAM = 20
 WINDOW = MATCH - GRAM + 1
 CONTEXT = MATCH + WINDOW - 1
 #: Text of a block, anchors (8 bytes each) and contexts of a bucket: what a task holds at a time.
-BLOCK_BYTES = 8 << 20
-ANCHOR_BUCKET_BYTES = 8 << 20
-CONTEXT_BUCKET_ENTRIES = 30_000
+BLOCK_BYTES = 4 << 20
+ANCHOR_BUCKET_BYTES = 4 << 20
+CONTEXT_BUCKET_ENTRIES = 12_000
 MAX_BUCKETED = 50_000
 CHUNK = 1 << 18
 NO_ID = 2 ** 63 - 1

@@ -68,7 +68,7 @@ def _cases():
 
 
 def test_edge_cases(spark, monkeypatch):
-    for block, entries in ((1 << 20, 30000), (2000, 50)):
+    for block, entries in ((1 << 20, 12000), (2000, 50)):
         monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
         monkeypatch.setattr(suffix, "CONTEXT_BUCKET_ENTRIES", entries)
         monkeypatch.setattr(suffix, "ANCHOR_BUCKET_BYTES", 4000 if block < 9999 else 1 << 20)

@@ -6,8 +6,9 @@ k places, gives coordinate k, for all k. Bands of coordinates are bucket keys.
 Verification without pairs: documents with equal shingle sets are one node. In each bucket every node is compared
 exactly with one pivot. The Jaccard distance is a metric, so two nodes can only be linked (distance at most
 t) if their distances to the pivot differ by at most t: the bucket falls into overlapping strata of
-width t, which become the next buckets. A bucket is finished when all of it lies in one component.
-Rounds go on until none is left; every candidate pair is thus decided exactly or ruled out by the metric.
+width t, which become the next buckets. A bucket is done when all of it lies in one component. What the largest
+component of a bucket leaves out is finally held against all of the bucket, block by block, once that is
+little enough; until then pivots cut it further. Every candidate pair is thus decided exactly or ruled out by the metric.
 
 Edge cases: NULL, empty and blank texts have no shingles and link with nothing; texts shorter than a shingle are one
 shingle; a NULL id counts as larger than every id and is never the component id if another exists; rows that
@@ -34,6 +35,10 @@ CHUNK = 1 << 19
 CELL_PAIRS = 2000
 #: Nodes of a bucket, at most, that all others are compared with in a round.
 PIVOTS = 8
+#: Buckets with up to this many open comparisons are finished block by block; larger ones are cut by pivots first.
+FINISH_PAIRS = 2_000_000
+BLOCK_X, BLOCK_M = 128, 256
+CELL_COMPARES = 100_000
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -197,6 +202,60 @@ def _measured(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         _compare(threshold), "pivot long, node long, linked boolean, stratum int"), "near-measured")
 
 
+def _links(threshold: int):
+    """Links between components inside each (bucket, block, block) of a cell; as many as join components there."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[int]] = [[], []]
+        lk = list(zip(*(left[c].to_pylist() for c in ("bucket", "bx", "bm")), strict=True)) if left.num_rows else []
+        rk = list(zip(*(right[c].to_pylist() for c in ("bucket", "bx", "bm")), strict=True)) if right.num_rows else []
+        of: dict[tuple, list[int]] = {}
+        for i, k in enumerate(rk):
+            of.setdefault(k, []).append(i)
+        l_node, l_comp, r_node, r_comp = (t[c].to_pylist() for t in (left, right) for c in ("node", "comp"))
+        ready: dict[tuple, tuple] = {}
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, k in sorted(enumerate(lk), key=lambda x: x[1]):
+            if k not in of:
+                continue
+            if k not in ready:
+                sets = [np.frombuffer(right["items"][j].as_py(), np.uint64) for j in of[k]]
+                n = np.array([len(x) for x in sets])
+                ready = {k: (np.concatenate(sets), np.cumsum(n) - n, n)}
+            items, first, n = ready[k]
+            mine = np.frombuffer(left["items"][i].as_py(), np.uint64)
+            hits = mine[np.minimum(np.searchsorted(mine, items), len(mine) - 1)] == items
+            both = np.add.reduceat(hits.astype(np.int64), first)
+            for j in np.flatnonzero(100 * both >= threshold * (n + len(mine) - both)).tolist():
+                a, b = root(l_comp[i]), root(r_comp[of[k][j]])
+                if a != b:
+                    joined[a] = b
+                    out[0].append(l_node[i])
+                    out[1].append(r_node[of[k][j]])
+        return pa.table({"pivot": pa.array(out[0], pa.int64()), "node": pa.array(out[1], pa.int64())})
+    return run
+
+
+def _finished(state: DataFrame, near: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """All links across components in the buckets ``near``: what lies outside the largest component against the whole
+    bucket, block by block."""
+    rows = state.join(near, "bucket").withColumn("_bx", F.ceil(F.col("x") / BLOCK_X).cast("int")).withColumn("_bm", F.ceil(F.col("m") / BLOCK_M).cast("int"))
+    total = near.agg(F.sum(F.col("m") * F.col("x"))).first()[0]
+    n_cells = max(1, -(-total // CELL_COMPARES))
+    cell = F.pmod(F.xxhash64("bucket", "bx", "bm"), F.lit(n_cells)).cast("int")
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ["cell", "bucket", "bx", "bm", "node", "comp", "items"]
+    left = rows.filter("comp <> top").withColumn("bx", part("_bx")).withColumn("bm", every("_bm")).withColumn("cell", cell).join(sets, "node").select(cols)
+    right = rows.withColumn("bm", part("_bm")).withColumn("bx", every("_bx")).withColumn("cell", cell).join(sets, "node").select(cols).toDF(*cols)
+    return stored(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_links(threshold), "pivot long, node long"), "near-finished")
+
+
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after ``links`` (pivot, node) are added; ``comp`` is (node, comp)."""
     a, b = comp.select(F.col("node").alias("pivot"), F.col("comp").alias("a")), comp.select("node", F.col("comp").alias("b"))
@@ -228,28 +287,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = THRESHOL
         extra = None
     sets = texts.mapInArrow(_sets(shingle), "node long, f1 long, _f long, items binary").filter("f1 = _f").select("node", "items")
     sets = stored((sets if extra is None else sets.unionByName(extra)).dropDuplicates(["node"]), "near-sets")
-    pivots = 1  # the first buckets are many and overlap
+    first_round = True
     while True:
-        sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
-        state = members.join(comp.join(sizes, "comp"), "node")
-        # pivots come from small components first; the first of a bucket deals it out into strata
-        best = (state.withColumn("_sub", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-                .groupBy("bucket", "_sub").agg(F.min(F.struct("_size", "node")).alias("_p"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")))
-        live = stored(best.groupBy("bucket").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_p").alias("_p"), F.collect_list("_p.node").alias("_all"))
-                      .filter("_lo < _hi").select("bucket", F.col("_p.node").alias("first"), F.col("_all").alias("pivots")), "near-live")
+        state = stored(members.join(comp, "node"), "near-state")
+        # what a bucket's largest component leaves out must be held against all of the bucket
+        live = stored(state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("bucket")
+                      .agg(F.sum("_c").alias("m"), F.max_by("comp", "_c").alias("top"), F.max("_c").alias("_most"))
+                      .filter("m > _most").select("bucket", "m", "top", (F.col("m") - F.col("_most")).alias("x")), "near-live")
+        if not first_round:
+            near = live.filter(F.col("m") * F.col("x") <= FINISH_PAIRS)
+            if near.limit(1).count():
+                comp = _merge(comp, _finished(state, near, sets, threshold))
+            live = live.filter(F.col("m") * F.col("x") > FINISH_PAIRS)
         if not live.limit(1).count():
             break
-        here = members.join(live, "bucket")
+        # small components give the pivots; the first one of a bucket deals it out into strata
+        sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
+        best = (members.join(live.select("bucket"), "bucket").join(comp, "node").join(sizes, "comp")
+                .withColumn("_sub", F.pmod(F.xxhash64("node"), F.lit(1 if first_round else PIVOTS)))
+                .groupBy("bucket", "_sub").agg(F.min(F.struct("_size", "node")).alias("_p")))
+        best = best.groupBy("bucket").agg(F.min("_p").alias("_p"), F.collect_list("_p.node").alias("pivots")).select("bucket", F.col("_p.node").alias("first"), "pivots")
+        here = stored(members.join(best, "bucket"), "near-here")
         pending = here.select(F.explode("pivots").alias("pivot"), "node").filter("node <> pivot").distinct()
-        pivots = PIVOTS
         measured = _measured(pending, sets, threshold)
         comp = _merge(comp, measured.filter("linked"))
         # strata i and i + 1 hold whatever lies within the threshold of a member of stratum i + 1
         rest = here.filter(~F.array_contains("pivots", F.col("node"))).select(F.col("first").alias("pivot"), "node").distinct()
-        spread = measured.join(rest, ["pivot", "node"]).select("pivot", "node", F.explode(F.array(F.struct("stratum", F.lit(1).alias("own")), F.struct((F.col("stratum") + 1).alias("stratum"), F.lit(0).alias("own")))).alias("s"))
+        spread = measured.join(rest, ["pivot", "node"]).select("pivot", "node", F.explode(F.array(
+            F.struct("stratum", F.lit(1).alias("own")), F.struct((F.col("stratum") + 1).alias("stratum"), F.lit(0).alias("own")))).alias("s"))
         spread = spread.select(F.xxhash64("pivot", "s.stratum").alias("bucket"), "node", "s.own")
         used = spread.groupBy("bucket").agg(F.max("own").alias("_own"), F.count(F.lit(1)).alias("_n")).filter("_own = 1 and _n > 1").select("bucket")
         members = stored(spread.join(used, "bucket").select("bucket", "node"), "near-members")
+        first_round = False
     named = nodes.select("node", "f1", "f2", "n", "least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     head = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(head, "comp").select("f1", "f2", "n", "component_id")

@@ -70,6 +70,8 @@ def cases():
 @pytest.mark.parametrize("k", [2, 5])
 def test_edge_cases(spark, monkeypatch, k):
     monkeypatch.setattr(minhash, "CELL_PAIRS", 20)
+    monkeypatch.setattr(minhash, "FINISH_PAIRS", 900)
+    monkeypatch.setattr(minhash, "BLOCK_M", 16)
     df = spark.createDataFrame([(d, t, 1) for d, t in cases()], "doc_id long, text string, n int")
     assert got(minhash.near_duplicates(df, k)) == brute(cases(), k)
 

@@ -238,8 +238,12 @@ def _render(root: Node, hidden: frozenset[str], tables: dict[int, list[str]]) ->
                 out.indent += lead if n.tag == "blockquote" else " " * len(lead)
                 out.mark = lead if n.tag == "li" else ""
             todo.append(("out", n))
+        shut = n.tag == "details" and "open" not in n.attrs
         for k in reversed(n.kids):
-            todo.append(("text", k) if isinstance(k, str) else ("in", k))
+            if not isinstance(k, str):
+                todo.append(("in", k))
+            elif not shut:
+                todo.append(("text", k))
     out.end()
     return out.lines
 

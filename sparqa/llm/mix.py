@@ -111,7 +111,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     A piece keeps its words and the white space before each of them; ``n_chars`` is the piece's length.
     A document taken more than once appears once for each pass. Rows carry the document's other columns.
     """
-    keyed = _keyed(docs).withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("_sum", F.xxhash64("text"))
+    # the other columns travel as one, so that none clashes with those made here
+    other = F.struct(F.lit(0).alias("_none"), *(c for c in docs.columns if c != "text")).alias("_row")
+    keyed = _keyed(docs.select("doc_id", "source", "text", other)).withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("_sum", F.xxhash64("text"))
     sized = stored(keyed.select("doc_id", *KEY, "size", "_sum"), "mix-sizes")
     rows = sized.count()
     plan = stored(targets(sized), "mix-targets")
@@ -127,9 +129,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     cut = at.withColumn("_cut", F.transform(F.sequence(first, last), piece)).drop("_pieces", "text", "size", "_sum", "_at")
     cut = cut.withColumn("_cut", F.explode("_cut")).withColumn("block", F.col("_cut.block")).withColumn("text", F.col("_cut.piece")).drop("_cut")
     out = cut.join(slots(plan, block_words, seed).select(*KEY, "block", "pass"), [*KEY, "block"])
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(made.get(c, F.col("_row")[c].alias(c)) for c in docs.columns))
 
 
 def shards(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, shard_slots: int = SHARD_SLOTS) -> DataFrame:

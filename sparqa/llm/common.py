@@ -52,5 +52,5 @@ def with_start(df: DataFrame, group: list[str], order: list[str], size: str, sta
     totals = (df.groupBy(*group, "_b").agg(F.sum(size).alias("_t"))
               .withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t"))
     return (df.withColumn("_i", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-            .join(totals, [*group, "_b"])
+            .join(totals.hint("merge"), [*group, "_b"])  # the rows are dealt and sorted by these already
             .withColumn(start, (F.col("_i") + F.col("_o")).cast("long")).drop("_i", "_o", "_b"))

@@ -21,6 +21,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 16384
+TASK_SLOTS = 500_000
 #: Multipliers of the index permutations: primes above any sensible count of factors; the first that does not divide n is used.
 PRIMES = (179424691, 160481219, 141650963, 122949829)
 #: Above this many sources the per-source table is joined by shuffle instead of broadcast.
@@ -65,7 +66,9 @@ def slots(plan: DataFrame, block_words: int, seed: int) -> DataFrame:
     plan = plan.withColumn("_mult", mult.cast("long"))
     step = 8192
     plan = plan.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_slots") - 1) / step))))
-    plan = plan.repartition(*KEY, "_chunk")  # a hot source's slots are made by many tasks
+    # a hot source's slots are made by many tasks; a fixed number, as the rows before this step tell nothing of those after it
+    total = plan.select(*KEY, "_slots").distinct().agg(F.sum("_slots")).first()[0] or 0
+    plan = plan.repartition(max(1, -(-total // TASK_SLOTS)), *KEY, "_chunk")
     first = F.col("_chunk") * step
     out = plan.withColumn("slot", F.explode(F.sequence(first, F.least(first + step, F.col("_slots")) - 1)))
     turn = F.floor(F.col("slot") / F.col("_n")).cast("int")

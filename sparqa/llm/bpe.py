@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparqa.llm.hashing import release
+
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces kept per worker, and characters of text handled at a time.
-CACHE_PIECES = 400_000
-CHUNK_CHARS = 8 << 20
+CACHE_PIECES = 200_000
+CHUNK_CHARS = 2 << 20
 ROW_CHUNK = 1 << 12
 
 
@@ -242,4 +244,6 @@ def report(docs: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(enc.decode(x).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.known.clear()
+        release()
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,3 +38,29 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     offs = np.frombuffer(offs, np.int64, len(arr) + 1, arr.offset * 8)
     data = np.frombuffer(data, np.uint8)[offs[0]:offs[-1]] if data is not None else np.zeros(0, np.uint8)
     return data, offs - offs[0]
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def released(run):
+    """``run``, after which the worker gives unused memory back: idle workers share their machine with the JVM."""
+    @functools.wraps(run)
+    def wrapped(*tables: pa.Table) -> pa.Table:
+        try:
+            return run(*tables)
+        finally:
+            release()
+    return wrapped
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

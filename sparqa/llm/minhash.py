@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparqa.llm.common import stored
 from sparqa.llm.components import components
-from sparqa.llm.hashing import mix, odd, text_buffer
+from sparqa.llm.hashing import mix, odd, release, released, text_buffer
 
 BANDS, ROWS = 32, 5
 THRESHOLD = 80  # per cent
@@ -154,6 +154,8 @@ def _sketch(size: int, bands: int, rows: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists],
                                              ["doc_id", "n", "f1", "f2", "bands"])
+            del sets, keys, lists
+            release()
     return run
 
 
@@ -165,6 +167,8 @@ def _sets(size: int):
             yield pa.RecordBatch.from_arrays(
                 [t.column("node"), t.column("f1"), pa.array(f(lambda s: s + np.uint64(1)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["node", "f1", "_f", "items"])
+            del sets
+            release()
     return run
 
 
@@ -199,7 +203,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     right = cells.select("cell", "pivot").distinct().join(sets.withColumnRenamed("node", "pivot"), "pivot")
     right = right.select("cell", "pivot", "items").toDF("cell", "pivot", "items")  # a cogroup needs columns of its own
     return stored(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(
-        _compare(threshold), "pivot long, node long, linked boolean, stratum int"), "near-measured")
+        released(_compare(threshold)), "pivot long, node long, linked boolean, stratum int"), "near-measured")
 
 
 def _links(threshold: int):
@@ -253,7 +257,7 @@ def _finished(state: DataFrame, near: DataFrame, sets: DataFrame, threshold: int
     cols = ["cell", "bucket", "bx", "bm", "node", "comp", "items"]
     left = rows.filter("comp <> top").withColumn("bx", part("_bx")).withColumn("bm", every("_bm")).withColumn("cell", cell).join(sets, "node").select(cols)
     right = rows.withColumn("bm", part("_bm")).withColumn("bx", every("_bx")).withColumn("cell", cell).join(sets, "node").select(cols).toDF(*cols)
-    return stored(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_links(threshold), "pivot long, node long"), "near-finished")
+    return stored(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(released(_links(threshold)), "pivot long, node long"), "near-finished")
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparqa.llm.common import scratch, stored
-from sparqa.llm.hashing import mix, odd, text_buffer
+from sparqa.llm.hashing import mix, odd, released, text_buffer
 
 MATCH = 50
 GRAM = 20
@@ -476,12 +476,12 @@ def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     blocks = _blocks(docs, max(1, -(-size // BLOCK_BYTES)))
     n_anchor = max(1, -(-size * 2 * 8 // (WINDOW + 1) // ANCHOR_BUCKET_BYTES))
     by = blocks.select("_block", "_id", "_text")
-    sent = by.groupBy("_block").applyInArrow(_send_anchors(n_anchor), _SENT)
-    shared = stored(sent.groupBy("bucket").applyInArrow(_shared_anchors, _TOLD), "suffix-anchors")
+    sent = by.groupBy("_block").applyInArrow(released(_send_anchors(n_anchor)), _SENT)
+    shared = stored(sent.groupBy("bucket").applyInArrow(released(_shared_anchors), _TOLD), "suffix-anchors")
     n_shared = shared.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     n_ctx = max(1, -(-n_shared // 8 // CONTEXT_BUCKET_ENTRIES))
-    ctx = by.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(_send_contexts(n_ctx), _SENT)
-    least = stored(ctx.groupBy("bucket").applyInArrow(_least_ids, _TOLD), "suffix-least")
+    ctx = by.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(released(_send_contexts(n_ctx)), _SENT)
+    least = stored(ctx.groupBy("bucket").applyInArrow(released(_least_ids), _TOLD), "suffix-least")
     return blocks, shared.unionByName(least), n_ctx
 
 
@@ -489,7 +489,7 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     blocks, told, n = _solve(docs.select("doc_id", "text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_report(n), schema)
+    return blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(released(_report(n)), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -499,5 +499,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     nothing but white space is left go.
     """
     blocks, told, n = _solve(docs)
-    out = blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_clean(n, docs.columns), docs.schema)
+    out = blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(released(_clean(n, docs.columns)), docs.schema)
     return out.filter(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "")

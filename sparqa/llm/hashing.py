@@ -49,14 +49,20 @@ def _libc():
 
 
 def released(run):
-    """``run``, after which the worker gives unused memory back: idle workers share their machine with the JVM."""
-    @functools.wraps(run)
-    def wrapped(*tables: pa.Table) -> pa.Table:
+    """``run`` (of one table or two), after which the worker gives unused memory back: idle workers share their
+    machine with the JVM."""
+    def one(t: pa.Table) -> pa.Table:
         try:
-            return run(*tables)
+            return run(t)
         finally:
             release()
-    return wrapped
+
+    def two(t: pa.Table, u: pa.Table) -> pa.Table:
+        try:
+            return run(t, u)
+        finally:
+            release()
+    return one if run.__code__.co_argcount == 1 else two
 
 
 def release() -> None:

@@ -42,7 +42,7 @@ FROM d LEFT JOIN f USING (digest)""",
     "op3_quality_cascade": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, '{_WORDS}') AS ws,
-             list_filter(string_split(x, chr(10)), l -> regexp_matches(l, '{_WORDS}')) AS ls FROM t),
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '{_WORDS}')) AS ls FROM t),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
@@ -50,7 +50,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1
 c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '{_WS}', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(x) - length(translate(x, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-             len(ls) AS n_lines, len(list_filter(ws, a -> regexp_matches(a, '\p{{L}}'))) AS with_letter,
+             len(ls) AS n_lines, len(list_filter(ws, lambda a: regexp_matches(a, '\p{{L}}'))) AS with_letter,
              length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) AS capitals
       FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)

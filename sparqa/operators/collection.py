@@ -2,7 +2,7 @@
 
 Layout of a collection directory::
 
-    <path>/points/   (point_id BIGINT, doc_id, pos INT, text STRING, embedding ARRAY<...>)
+    <path>/points/writer=<w>/batch=<b>/   (point_id BIGINT, doc_id, pos INT, text STRING, embedding ARRAY<...>)
     <path>/meta/     one row: name STRING, dim INT, distance STRING
 
 ``point_id`` is a hash of ``(doc_id, pos)`` so a re-run gives the same ids; appending
@@ -37,11 +37,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the collection has metadata; any error but a missing folder surfaces."""
     try:
         spark.read.parquet(_meta(path)).limit(1).collect()
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def _write_meta(spark: SparkSession, path: str, name: str, dim: int) -> None:
@@ -49,10 +52,23 @@ def _write_meta(spark: SparkSession, path: str, name: str, dim: int) -> None:
         .coalesce(1).write.mode("overwrite").parquet(_meta(path))
 
 
+def _batch_path(path: str, writer: str, batch: str | int) -> str:
+    return f"{_points(path)}/writer={writer}/batch={batch}"
+
+
+def _no_points(spark: SparkSession, vec_type: str) -> DataFrame:
+    return spark.createDataFrame([], f"point_id bigint, doc_id bigint, pos int, text string, embedding array<{vec_type}>")
+
+
 def _write_empty_points(spark: SparkSession, path: str, vec_type: str) -> None:
-    spark.createDataFrame([], f"point_id bigint, doc_id bigint, pos int, text string, "
-                              f"embedding array<{vec_type}>") \
-        .write.mode("overwrite").parquet(_points(path))
+    """A batch of no points, which fixes the schema; points of other writers stay."""
+    _no_points(spark, vec_type).write.mode("overwrite").parquet(_batch_path(path, "create", 0))
+
+
+def _wipe_points(spark: SparkSession, path: str, vec_type: str) -> None:
+    empty = _no_points(spark, vec_type).withColumns({"writer": F.lit(""), "batch": F.lit("")})
+    empty.write.mode("overwrite").partitionBy("writer", "batch").parquet(_points(path))
+    _write_empty_points(spark, path, vec_type)
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +79,7 @@ def collection_dimension(spark: SparkSession, path: str) -> int:
     """V3: the stored dimension; error when it cannot be determined."""
     row = read_meta(spark, path).select("dim").first()
     if row is None or row["dim"] is None:
-        raise ValueError(f"Unable to determine vector dimension for collection at '{path}'.")
+        raise ValueError(f"the metadata of {path} names no vector length")
     return int(row["dim"])
 
 
@@ -76,17 +92,16 @@ def create_collection(spark: SparkSession, path: str, dim: int, name: str = "col
     Returns the action taken: ``created``, ``reused`` or ``recreated``.
     """
     if not exists(spark, path):
-        _write_meta(spark, path, name, dim)
         _write_empty_points(spark, path, vec_type)
+        _write_meta(spark, path, name, dim)
         return "created"
     current = collection_dimension(spark, path)
     if current != dim:
         if not recreate_on_dimension_mismatch:
-            raise ValueError(
-                f"Collection '{name}' uses dimension {current}, but embedder produces {dim}. "
-                "Use a different collection, recreate it, or set recreate_on_dimension_mismatch=True.")
+            raise ValueError(f"collection '{name}' holds vectors of length {current}, those given have {dim}; "
+                             "index into another one or pass recreate_on_dimension_mismatch=True")
+        _wipe_points(spark, path, vec_type)
         _write_meta(spark, path, name, dim)
-        _write_empty_points(spark, path, vec_type)
         return "recreated"
     return "reused"
 
@@ -109,13 +124,20 @@ def to_points(chunks: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
                          F.col(vec_col).alias("embedding"))
 
 
-def append_points(points: DataFrame, path: str) -> None:
-    """V4: one distributed append; duplicates are kept."""
-    points.write.mode("append").parquet(_points(path))
+def append_points(points: DataFrame, path: str, writer: str = "append", batch: str | int | None = None) -> None:
+    """V4: one distributed append; duplicates are kept.
+
+    Each call writes a folder of its own (``writer``, ``batch``); a replayed batch replaces itself and nothing else. A
+    vector of another length than the collection's fails the write.
+    """
+    dim = collection_dimension(points.sparkSession, path)
+    vec = F.col("embedding")
+    fits = F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.concat(F.lit(f"the collection holds vectors of length {dim}, not "), F.size(vec).cast("string"))))
+    points.withColumn("embedding", fits).write.mode("overwrite").parquet(_batch_path(path, writer, uuid.uuid4().hex if batch is None else batch))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_points(path))
+    return spark.read.parquet(_points(path)).drop("writer", "batch")
 
 
 def collection_count(spark: SparkSession, path: str) -> int:

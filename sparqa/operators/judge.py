@@ -35,8 +35,6 @@ from sparqa.operators.embed import Embedder, embedding_array_udf, embedding_udf,
 METRICS = ["context_precision", "context_recall", "faithfulness", "answer_relevancy"]
 RAG_METRICS = METRICS
 PLAIN_METRICS = ["answer_relevancy"]
-# Fixed value: how many answer statements stand in for generated-back questions.
-BACK_QUESTIONS = 3
 
 JUDGE_COLUMNS = {"question": "user_input", "retrieved_contexts": "retrieved_contexts",
                  "generated_answer": "response", "answer": "reference"}
@@ -104,7 +102,7 @@ def native_judge(df: DataFrame, question: str = "question", answer: str = "gener
     """
     d = with_verdicts(df, question, answer, reference, contexts).withColumns({
         "_qv": embedding_udf(embedder)(F.coalesce(F.col(question), F.lit(""))),
-        "_gv": embedding_array_udf(embedder)(F.slice(statements(F.col(answer)), 1, BACK_QUESTIONS))})
+        "_gv": embedding_array_udf(embedder)(statements(F.col(answer)))})
     n_rel = _sum(F.col("_v_cp"))
     prec_at = F.transform("_v_cp", lambda v, i: v * _sum(F.slice(F.col("_v_cp"), 1, i + 1)).cast("double")
                           / (i + 1))

@@ -326,7 +326,7 @@ j1 AS (SELECT *, list_distinct(flatten(ctx_t)) AS all_t,
        FROM j0),
 j2 AS (SELECT *, list_transform(ref_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_cr,
               list_transform(ans_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_f,
-              list_transform({statements('generated_answer')}[1:3], lambda g: {lcos(vec16('question'), vec16('g'))}) AS sims
+              list_transform({statements('generated_answer')}, lambda g: {lcos(vec16('question'), vec16('g'))}) AS sims
        FROM j1),
 judged AS (SELECT *,
    CASE WHEN use_rag THEN (CASE WHEN coalesce(list_sum(v_cp), 0) > 0

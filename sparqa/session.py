@@ -55,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is not None and not sc.master.startswith(("local[", "local ")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster driver and executors need a shared one")
         d = tempfile.mkdtemp(prefix="sparqa-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is None:
@@ -77,8 +79,7 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``sparqa`` importable in every Python worker (as ``--py-files`` would).
 
-    The package is zipped once per application into the shared checkpoint folder and
-    added with ``addPyFile``; workers then resolve UDFs and ``mapInPandas`` functions
+    The package is zipped once per application and added with ``addPyFile``; workers then resolve UDFs and ``mapInPandas`` functions
     defined in ``sparqa`` regardless of their working directory.
     """
     sc = _context(spark)
@@ -88,16 +89,15 @@ def ship_package(spark: SparkSession) -> None:
 
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    target = os.path.join(checkpoint_dir(spark), f"sparqa-{sc.applicationId}.zip")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" not in local:
-        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
-            for d, _, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(d, f)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(local)
+    # the driver serves the file to the executors itself, so a folder of its own will do
+    target = os.path.join(tempfile.mkdtemp(prefix="sparqa-zip-"), f"sparqa-{sc.applicationId}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
 

@@ -1,7 +1,7 @@
 """Incremental indexing (V4 + V7 as a stream): new documents landing in a folder are
 chunked, embedded and appended to a collection.
 
-Each micro-batch is written under its own ``batch=<id>`` folder with overwrite, so a
+Each micro-batch is written under the folder of its stream and batch with overwrite, so a
 batch replayed after a failure (Structured Streaming re-runs the last uncommitted
 batch from its checkpoint) replaces its own output instead of duplicating it.
 The stream's checkpoint lives in the shared checkpoint folder.
@@ -9,6 +9,7 @@ The stream's checkpoint lives in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,11 @@ from sparqa.operators import collection as coll
 from sparqa.operators.embed import Embedder, embed, hash_embedder
 
 
-def _index_batch(path: str, chunk_size: int, embedder: Embedder):
+def _index_batch(path: str, writer: str, chunk_size: int, embedder: Embedder):
     def run(batch: DataFrame, batch_id: int) -> None:
         chunks = ch.chunk_documents(batch.select("doc_id", "text"), chunk_size=chunk_size)
         pts = coll.to_points(embed(chunks, "chunk", "embedding", embedder))
-        pts.write.mode("overwrite").parquet(f"{path.rstrip('/')}/points/batch={batch_id}")
+        coll.append_points(pts, path, writer, batch_id)
     return run
 
 
@@ -39,7 +40,9 @@ def start_indexer(spark: SparkSession, source_dir: str, path: str, *, dim: int,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     docs = reader.parquet(source_dir)
     ckpt = checkpoint or os.path.join(coll.scratch_path(spark, "index-stream"), "_checkpoint")
-    w = docs.writeStream.foreachBatch(_index_batch(path, chunk_size, embedder)) \
+    # batch numbers start anew with each checkpoint, so the checkpoint names the writer
+    writer = "stream-" + hashlib.sha256(ckpt.encode()).hexdigest()[:16]
+    w = docs.writeStream.foreachBatch(_index_batch(path, writer, chunk_size, embedder)) \
         .option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

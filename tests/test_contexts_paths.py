@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sparqa.functions.contexts import parse_context_value, parse_contexts
+from sparqa.functions.contexts import literal_items, parse_contexts
 from sparqa.sources.results import build_output_path, check_not_same, repaired_path
 
 F1_CASES = [
@@ -13,9 +13,16 @@ F1_CASES = [
 ]
 
 
-@pytest.mark.parametrize("value,expected", F1_CASES)
-def test_parse_context_value(value, expected):
-    assert parse_context_value(value) == expected
+@pytest.mark.parametrize("value,expected", [c for c in F1_CASES if c[1]])
+def test_literal_items(value, expected):
+    assert literal_items(value) == expected
+
+
+def test_json_cells_read_as_literals_do(spark):
+    cells = ['["a"]', '["a", "b\\n\\"c"]', '["\\u0001"]', '["a", 1]', '["a", null]', '["\\/"]', '[ ]', '["x" "y"]']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cells)], "i int, v string")
+    got = {r.i: r.c for r in df.select("i", parse_contexts(F.col("v")).alias("c")).collect()}
+    assert [got[i] for i in range(len(cells))] == [literal_items(v) for v in cells]
 
 
 def test_parse_contexts_udf(spark):

@@ -77,7 +77,7 @@ def test_collection_dimension_guard(spark):
     assert coll.create_collection(spark, path, 4) == "created"
     assert coll.collection_count(spark, path) == 0
     assert coll.create_collection(spark, path, 4) == "reused"
-    with pytest.raises(ValueError, match="dimension 4"):
+    with pytest.raises(ValueError, match="length 4"):
         coll.create_collection(spark, path, 8)
     assert coll.create_collection(spark, path, 8, recreate_on_dimension_mismatch=True) == "recreated"
     assert coll.collection_dimension(spark, path) == 8
@@ -193,3 +193,24 @@ def test_folder_to_collection_pipeline(spark, tmp_dir):
     out = coll.index_corpus(spark, docs, path, dim=16, chunker=lambda d: chunk_documents(d, chunk_size=20),
                             embed_fn=lambda c: embed(c, "chunk"))
     assert out["n_points"] == chunks.count() == 2
+
+
+def test_writers_do_not_touch_each_other(spark, tmp_dir):
+    import pytest
+
+    from sparqa.operators import collection as coll
+
+    def pts(*ids):
+        return spark.createDataFrame([(i, i, 0, "t", [1.0, 2.0]) for i in ids], "point_id long, doc_id long, pos int, text string, embedding array<double>")
+    path = f"{tmp_dir}/c"
+    ids = lambda: sorted(r.doc_id for r in coll.read_points(spark, path).collect())
+    coll.create_collection(spark, path, 2)
+    coll.append_points(pts(1, 2), path)
+    coll.append_points(pts(10), path, "stream-a", 0)
+    coll.append_points(pts(20), path, "stream-b", 0)
+    coll.append_points(pts(20), path, "stream-b", 0)
+    assert ids() == [1, 2, 10, 20]
+    with pytest.raises(Exception, match="length 2"):
+        coll.append_points(pts(30).withColumn("embedding", F.array(F.lit(1.0))), path)
+    assert ids() == [1, 2, 10, 20]
+    assert coll.create_collection(spark, path, 3, recreate_on_dimension_mismatch=True) == "recreated" and ids() == []

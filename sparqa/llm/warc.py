@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -104,13 +105,16 @@ _MANIFEST = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("seq", pa.
 
 
 def _writer(base: str, roll: int):
-    def write(t: pa.Table) -> pa.Table:
-        order = t.select(["_key", "digest", "url"]).to_pandas().sort_values(["_key", "digest", "url"], kind="stable").index
+    def write(t: pa.Table, known: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _MANIFEST.empty_table()
+        refers_to = dict(zip(zip(known["_key"].to_pylist(), known["digest"].to_pylist(), strict=True), known["refers_to"].to_pylist(), strict=True))
+        keys, digests, urls = (t[c].to_pylist() for c in ("_key", "digest", "url"))
         out = _Roll(base, t["shard"][0].as_py(), roll)
-        cols = [t[c].combine_chunks() for c in ("page_id", "url", "payload", "digest", "refers_to")]
-        for i in order:
-            page, url, payload, digest, refers = (c[int(i)].as_py() for c in cols)
-            out.add(record(page, url, payload.encode(), digest, "response" if refers is None else "revisit", refers))
+        pages, payloads = t["page_id"].combine_chunks(), t["payload"].combine_chunks()
+        for i in sorted(range(t.num_rows), key=lambda i: (keys[i], digests[i], urls[i])):
+            refers = refers_to[keys[i], digests[i]]
+            out.add(record(pages[i].as_py(), urls[i], payloads[i].as_py().encode(), digests[i], "response" if refers is None else "revisit", refers))
         out.close()
         return pa.Table.from_pylist(out.rows, _MANIFEST)
     return write
@@ -129,7 +133,8 @@ def _commit(base: str):
 
 
 def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(page_id, digest, refers_to, shard) of the distinct (page_id, payload) pairs, from small columns only."""
+    """(_key, digest, refers_to, shard) of the distinct (page_id, payload) pairs, from small columns only; _key is the id, or
+    above all ids where it is NULL."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = stored(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
                   .groupBy("page_id", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies")), "warc-rows")
@@ -142,13 +147,14 @@ def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     bins = rows.groupBy("_bin").agg(F.sum("_size").alias("_t"))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("_bin", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_bin").orderBy("_key", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one id share a place, so that the id alone tells the shard
+    inside = Window.partitionBy("_bin").orderBy("_key").rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_i", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bins, "_bin")
     rows = rows.withColumn("shard", F.floor((F.col("_o") + F.col("_i")) / shard_bytes).cast("int"))
     first = rows.filter(f"bytes >= {MIN_REVISIT} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     rows = rows.join(first.filter("_n > 1").drop("_n"), "digest", "left")
     refers = F.when(F.col("page_id") > F.col("_first"), F.col("_first"))
-    return rows.select("page_id", "_key", "digest", refers.alias("refers_to"), "shard")
+    return rows.select("_key", "digest", refers.alias("refers_to"), "shard")
 
 
 def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -156,11 +162,22 @@ def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll_byte
     stored there as ``manifest``."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
-    known = plan(pages, shard_bytes).withColumnRenamed("page_id", "_page")
+    known = stored(plan(pages, shard_bytes), "warc-plan")
+    # one number per shard of 32 MB: the first id in it
+    first = sorted((r["k"], r["shard"]) for r in known.groupBy("shard").agg(F.min("_key").alias("k")).collect())
+    starts, shards = np.array([k for k, _ in first], np.int64), np.array([x for _, x in first], np.int32)
+    last = known.agg(F.max("_key")).first()[0] or 0
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    rows = rows.join(known, rows["page_id"].eqNullSafe(known["_page"]) & (rows["digest"] == known["digest"])).select(
-        "page_id", "url", "payload", rows["digest"], "refers_to", "shard", "_key")
-    written = stored(rows.groupBy("shard").applyInArrow(_writer(base, roll_bytes), MANIFEST), "warc-written")
+    schema = "page_id long, url string, payload string, digest string, _key long, shard int"
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            key = t.column("page_id").cast(pa.int64()).fill_null(last).to_numpy(zero_copy_only=False)
+            shard = shards[np.maximum(np.searchsorted(starts, key, "right") - 1, 0)]
+            yield pa.RecordBatch.from_arrays([t.column("page_id").cast(pa.int64()), *t.columns[1:], pa.array(key), pa.array(shard)],
+                                             ["page_id", "url", "payload", "digest", "_key", "shard"])
+    rows = rows.mapInArrow(placed, schema)
+    written = stored(rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_writer(base, roll_bytes), MANIFEST), "warc-written")
     done = written.repartition(max(1, min(written.count(), 10_000)), "file").mapInArrow(_commit(base), MANIFEST).drop("temporary")
     path = f"{base}/manifest"
     done.write.parquet(path)

@@ -16,6 +16,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +54,10 @@ def _pick(n_dims: int, dim: Column) -> Column:
 
 def _rows(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A per-node table: at most one row per shard, hence small enough to broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = ", ".join(c.replace(" ", ": ") for c in schema.split(", "))
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>"))))
 
 
 def _quantiles(df: DataFrame, n_dims: int, nodes: dict[int, tuple[int, int, int, float, float]]) -> dict[int, int]:

@@ -162,24 +162,27 @@ class Encoder:
         self.v = vocabulary(path)
         self.known: dict[str, list[int]] = {}
 
-    def _cut(self, text: str) -> list[str | int]:
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; the text of an added token is one."""
         v = self.v
         if v.added_split is None or not any(t in text for t in v.added):
             return v.cut.findall(text)
-        out: list[str | int] = []
+        out: list[str] = []
         for part in v.added_split.split(text):
-            out.extend([v.added[part]] if part in v.added else v.cut.findall(part))
+            out.extend([part] if part in v.added else v.cut.findall(part))
         return out
 
+    def pieces(self, fresh: set[str]) -> list[tuple[str, list[int]]]:
+        """Each of the distinct pieces with its ids."""
+        plain = [p for p in fresh if p not in self.v.added]
+        return [*zip(plain, encode_pieces(plain, self.v), strict=True), *((p, [self.v.added[p]]) for p in fresh if p in self.v.added)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self._cut(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         known = self.known
         if len(known) > CACHE_PIECES:
             known.clear()
-        fresh = list({p for pieces in cut for p in pieces if p not in known and not isinstance(p, int)})
-        known.update(zip(fresh, encode_pieces(fresh, self.v), strict=True))
-        for token in self.v.added.values():
-            known[token] = [token]
+        known.update(self.pieces({p for pieces in cut for p in pieces if p not in known}))
         out = []
         for pieces in cut:
             ids: list[int] = []
@@ -188,9 +191,12 @@ class Encoder:
             out.append(ids)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def raw(self, ids: list[int]) -> bytes:
         table = self.v.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join([table[i] for i in ids])
+
+    def decode(self, ids: list[int]) -> str:
+        return self.raw(ids).decode("utf-8", "replace")
 
 
 def _texts(batches, column: str, chunk: int):
@@ -236,14 +242,22 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the round trip of every whole text, digested in the task."""
     def run(batches):
         enc = Encoder(path)
+        # a piece's ids are written out and decoded once, when it is first met
+        told: dict[str, tuple[int, str, bytes]] = {}
         for t, texts in _texts(batches, "text", CHUNK_CHARS):
             n, a, b = [], [], []
-            for x in enc.encode(texts):
-                n.append(len(x))
-                a.append(hashlib.sha256(",".join(map(str, x)).encode()).hexdigest())
-                b.append(hashlib.sha256(enc.decode(x).encode()).hexdigest())
+            if len(told) > CACHE_PIECES:
+                told.clear()
+            cut = [enc.cut(x) for x in texts]
+            for p, ids in enc.pieces({p for pieces in cut for p in pieces if p not in told}):
+                told[p] = (len(ids), ",".join(map(str, ids)), enc.raw(ids))
+            for pieces in cut:
+                met = [told[p] for p in pieces]
+                n.append(sum([m[0] for m in met]))
+                a.append(hashlib.sha256(",".join([m[1] for m in met]).encode()).hexdigest())
+                b.append(hashlib.sha256(b"".join([m[2] for m in met]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.known.clear()
+        told.clear()
         release()
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -51,24 +51,40 @@ KNOWN = (
             "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 
-#: A line that only states a copyright; it differs between copies of one licence.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A lower-cased line that only states a copyright; it differs between copies of one licence.
+COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©)"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; NULL stays NULL."""
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
-    t = F.concat(F.lit(" "), t, F.lit(" "))
+def _plain_lines(text: Column) -> Column:
+    """Each line of a text in lower case, without punctuation; copyright lines are blank."""
+    return F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.lit(""))
+                       .otherwise(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))))
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.array_remove(lines, ""), " ")
+
+
+def _spelled(plain: Column) -> Column:
+    """Plain text with equivalent spellings made one."""
+    t = F.concat(F.lit(" "), plain, F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; NULL stays NULL."""
+    return _spelled(_joined(_plain_lines(text)))
+
+
+def _digest(plain: Column) -> Column:
+    return F.when(plain != "", F.sha2(_spelled(plain), 256))
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; NULL where nothing is left of the text."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return _digest(_joined(_plain_lines(text)))
 
 
 def known_table(spark: SparkSession) -> DataFrame:
@@ -89,9 +105,12 @@ def scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "te
                   .groupBy("digest").agg(F.min("license_id").alias("license_id")), "licenses")
     if look.count() <= BROADCAST_LICENSES:
         look = F.broadcast(look)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    whole = rows.select("doc_id", F.lit("text").alias("unit"), F.lit(-1).alias("position"), digest(F.col("_text")).alias("digest"))
-    lines = (rows.select("doc_id", F.lit("line").alias("unit"), F.posexplode(F.split("_text", "\n")).alias("position", "_line"))
-             .select("doc_id", "unit", "position", digest(F.col("_line")).alias("digest")))
-    cols = ["doc_id", "unit", "position", "digest", "license_id"]
-    return whole.join(look, "digest", "left").select(cols).unionByName(lines.join(look, "digest").select(cols))
+    # a line's plain form is made once and serves the line and its text; blank lines match nothing
+    plain = docs.select(F.col(key).alias("doc_id"), _plain_lines(F.coalesce(F.col(text), F.lit(""))).alias("_lines"))
+    whole = F.array(F.struct(F.lit(-1).alias("position"), _joined(F.col("_lines")).alias("plain")))
+    each = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("position"), x.alias("plain"))), lambda u: u["plain"] != "")
+    units = plain.select("doc_id", F.explode(F.concat(whole, each)).alias("_u"))
+    rows = units.select("doc_id", F.when(F.col("_u.position") < 0, F.lit("text")).otherwise(F.lit("line")).alias("unit"),
+                        F.col("_u.position").alias("position"), _digest(F.col("_u.plain")).alias("digest"))
+    return (rows.join(look, "digest", "left").filter((F.col("unit") == "text") | F.col("license_id").isNotNull())
+            .select("doc_id", "unit", "position", "digest", "license_id"))

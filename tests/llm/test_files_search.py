@@ -8,7 +8,7 @@ import pytest
 from conftest import SF001
 
 import corpus_pipeline
-from sparqa.llm import ann, html, mix, suffix, warc
+from sparqa.llm import ann, html, license, mix, suffix, warc
 
 PAGES = [(5, "http://a/", "x" * 200), (3, "http://b/", "x" * 200), (9, None, "x" * 200), (9, None, "x" * 200), (4, "u", "short"), (6, "u", "short"), (7, "", None), (8, "", ""),
          (None, "n", "x" * 200), (10, "a b\r\nc", "é" * 50), (11, "k", "é" * 50), (12, "long", "\r\n\r\nWARC/1.1\r\n" + "z" * 100000)]
@@ -155,3 +155,19 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF001)
     assert docs.count() == 0
+
+
+def test_license_lines_and_whole_texts(spark):
+    mit = license.KNOWN[1][1]
+    isc = next(t for i, t in license.KNOWN if i == "ISC")
+    docs = spark.createDataFrame(
+        [(1, f"Intro.\n\n  (c) 2020 Someone\nLICENCED under the  mit-licence!\n", "x"), (2, f"Copyright 1999 A\n{isc.upper()}", "x"),
+         (3, None, "x"), (4, "", "x"), (5, "copyright 2001 B\n(c) C", "x"), (5, "copyright 2001 B\n(c) C", "x"), (6, mit + " And more.", "x")],
+        "doc_id long, text string, digest string")
+    got = license.scan(docs, license.known_table(spark))
+    found = {(r.doc_id, r.unit, r.position, r.license_id) for r in got.collect()}
+    assert found == {(1, "text", -1, None), (1, "line", 3, "MIT"), (2, "text", -1, "ISC"), (3, "text", -1, None), (4, "text", -1, None),
+                     (5, "text", -1, None), (6, "text", -1, None)}
+    assert got.where("doc_id = 5").count() == 2
+    assert {r.doc_id for r in got.where("digest is null").collect()} == {3, 4, 5}
+    assert license.scan(docs.limit(0), license.known_table(spark)).count() == 0

@@ -17,11 +17,6 @@ from sparqa.operators.knn import DEFAULT_TOP_K, knn_topk
 CONTEXT_CUT = 800
 CONTEXT_JOINER = " "
 MISSING_TEXT = "Text not found"
-# Hit lists up to this many rows are broadcast for the payload lookup; above it the
-# lookup is a shuffled join (the hit count is known exactly from the query count).
-MAX_BROADCAST_HITS = 2_000_000
-# Fixed values of the extractive stand-in responder.
-STANDIN_ANSWER_CHARS = 200
 
 # Default templates (ours; users pass their own). Placeholders: {context}, {question}.
 RAG_TEMPLATE = ("Answer only from the context below. If the answer is not in it, say so.\n\n"
@@ -37,19 +32,15 @@ def retrieve(questions: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     """G1: embed each question as a document and take the cosine top-k points.
 
     Returns long form ``(q_key, rank, *p_keys, text, score)``. Payload text is looked up
-    only for the hits: while the hit list (exactly queries x k rows at most) is small it
-    is the broadcast build side of an inner join against a keys+text scan of the points
-    (the collection itself is never broadcast nor shuffled); otherwise both sides shuffle.
-    A collection holding the same point twice yields one text per (question, rank).
+    only for the hits, by a join whose strategy Spark picks from measured bytes. Points are
+    told apart by ``point_id`` where stored (it covers the text), so points that share
+    ``p_keys`` keep their own texts; a point stored twice yields one text per (question, rank).
     """
     p_keys = list(p_keys or ["doc_id", "pos"])
+    own = p_keys + [c for c in ["point_id"] if c in points.columns and c not in p_keys]
     qv = embed(questions.select(q_key, q_text), q_text, "embedding", embedder)
-    stats: dict = {}
-    hits = knn_topk(qv, points, k, q_key, p_keys, "embedding", "embedding", stats=stats)
-    payload = points.select(*p_keys, "text")
-    small = stats.get("n_queries", 0) * k <= MAX_BROADCAST_HITS
-    out = payload.join(F.broadcast(hits) if small else hits, on=p_keys, how="inner") \
-                 .dropDuplicates([q_key, "rank"])
+    hits = knn_topk(qv, points, k, q_key, own, "embedding", "embedding")
+    out = points.select(*own, "text").join(hits, on=own, how="inner").dropDuplicates([q_key, "rank"])
     return out.select(q_key, "rank", *p_keys,
                       F.coalesce(F.col("text"), F.lit(MISSING_TEXT)).alias("text"), "score")
 
@@ -96,11 +87,8 @@ def build_prompt(question: Column | str, context: Column | str, use_rag: Column
 
 
 def standin_answer(contexts: Column | str) -> Column:
-    """Extractive stand-in responder: "" without context, else the top context's head."""
-    ctx = col_of(contexts)
-    return F.when(F.coalesce(F.size(ctx), F.lit(0)) > 0,
-                  strip(F.substring(F.element_at(ctx, 1), 1, STANDIN_ANSWER_CHARS))) \
-            .otherwise(F.lit(""))
+    """Extractive stand-in responder: the whole assembled context ("" without one)."""
+    return strip(build_context(contexts))
 
 
 def _respond(responder: Responder, vals: list[str]) -> list[str]:
@@ -147,6 +135,7 @@ def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col:
 
     One ``mapInPandas`` pass; inside an Arrow batch the rows are grouped by model and
     each responder gets only its rows (a failing row answers "", as in ``responder_udf``).
+    A model without a responder is an error.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
@@ -156,7 +145,7 @@ def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col:
             for model, part in pdf.groupby(model_col, dropna=False):
                 fn = responders.get(model)
                 if fn is None:
-                    continue
+                    raise ValueError(f"no responder is given for the model {model!r}")
                 answers.loc[part.index] = _respond(fn, part[prompt_col].fillna("").astype(str).tolist())
             yield pdf.assign(**{out_col: answers})
 
@@ -174,7 +163,8 @@ def generate_answers(df: DataFrame, prompt_col: str = "prompt", contexts_col: st
 def answer_questions(questions: DataFrame, points: DataFrame | None, *, use_rag: bool = True,
                      k: int = DEFAULT_TOP_K, q_key: str = "qid", q_text: str = "question",
                      embedder: Embedder = hash_embedder, responder: Responder | None = None,
-                     rag_template: str = RAG_TEMPLATE, plain_template: str = PLAIN_TEMPLATE) -> DataFrame:
+                     rag_template: str = RAG_TEMPLATE, plain_template: str = PLAIN_TEMPLATE,
+                     cut: int = CONTEXT_CUT) -> DataFrame:
     """G9 + G10 over a question table: answer, rank-ordered contexts, prompt.
 
     Without retrieval the context list is ``[]`` (never NULL) and no search runs.
@@ -189,6 +179,6 @@ def answer_questions(questions: DataFrame, points: DataFrame | None, *, use_rag:
                         .withColumn("retrieved_contexts", F.coalesce("retrieved_contexts", empty))
     else:
         base = questions.withColumn("retrieved_contexts", empty)
-    base = base.withColumn("context", build_context("retrieved_contexts")) \
+    base = base.withColumn("context", build_context("retrieved_contexts", cut)) \
                .withColumn("prompt", build_prompt(q_text, "context", use_rag, rag_template, plain_template))
     return generate_answers(base, "prompt", "retrieved_contexts", "generated_answer", responder)

@@ -5,7 +5,7 @@ Layout of a collection directory::
     <path>/points/writer=<w>/batch=<b>/   (point_id BIGINT, doc_id, pos INT, text STRING, embedding ARRAY<...>)
     <path>/meta/     one row: name STRING, dim INT, distance STRING
 
-``point_id`` is a hash of ``(doc_id, pos)`` so a re-run gives the same ids; appending
+``point_id`` is a hash of ``(doc_id, pos, text)`` so a re-run gives the same ids; appending
 the same chunks twice keeps both copies, as a fresh-id upsert does.
 """
 
@@ -106,8 +106,8 @@ def create_collection(spark: SparkSession, path: str, dim: int, name: str = "col
     return "reused"
 
 
-def point_ids(doc_col: str = "doc_id", pos_col: str = "pos"):
-    return F.xxhash64(F.col(doc_col), F.col(pos_col))
+def point_ids(doc_col: str = "doc_id", pos_col: str = "pos", text_col: str = "chunk"):
+    return F.xxhash64(F.col(doc_col), F.col(pos_col), F.col(text_col))
 
 
 def to_points(chunks: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
@@ -117,7 +117,7 @@ def to_points(chunks: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos",
     ``doc_id`` is an integer key; a file corpus uses ``xxhash64(path)`` and keeps the path
     alongside (see ``sources.corpus``).
     """
-    return chunks.select(point_ids(doc_col, pos_col).alias("point_id"),
+    return chunks.select(point_ids(doc_col, pos_col, text_col).alias("point_id"),
                          F.col(doc_col).cast("bigint").alias("doc_id"),
                          F.col(pos_col).cast("int").alias("pos"),
                          F.col(text_col).alias("text"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparqa.operators import answer as ans
@@ -32,6 +32,15 @@ def check_action(action: str) -> dict[str, bool]:
             "ragas": action in ("all", "ragas")}
 
 
+# Fixed value: what a missing question or answer of a fresh dataset reads as.
+MISSING_QA = "nan"
+
+
+def fill_missing_text(qa: DataFrame) -> DataFrame:
+    """M1: a missing question or answer becomes the text ``nan``; no row is dropped."""
+    return qa.withColumns({c: F.coalesce(F.col(c), F.lit(MISSING_QA)) for c in ("question", "answer") if c in qa.columns})
+
+
 def grid(questions: DataFrame, experiment: str = "all") -> DataFrame:
     """Every question under every selected config (explode of a literal, no join)."""
     names = check_experiment(experiment)
@@ -43,15 +52,17 @@ def grid(questions: DataFrame, experiment: str = "all") -> DataFrame:
 
 def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "all", k: int = 3,
                   embedder: Embedder = hash_embedder, responder=None,
-                  responders: dict | None = None) -> DataFrame:
+                  responders: dict | None = None, cut: int = ans.CONTEXT_CUT) -> DataFrame:
     """X3 + X5 + G10: the QA rows (``row_id, question, answer``) under the selected configs.
 
     Retrieval runs once per question and is shared by the RAG configs (it does not depend
     on the model); every grid row is then prompted and answered by its own model:
     ``responders`` maps ``generator_model`` to a batch responder (``responder`` = one for
-    all models; neither = the native stand-in). Plain rows get ``[]`` contexts.
+    all models; neither = the native stand-in). Plain rows get ``[]`` contexts; missing
+    questions and answers are filled first (M1).
     """
     names = check_experiment(experiment)
+    qa = fill_missing_text(qa)
     rag_needed = any(r for n, _, r, _ in EXPERIMENTS if n in names)
     empty = F.array().cast("array<string>")
     if rag_needed:
@@ -73,7 +84,7 @@ def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "al
                 .select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
                         "retrieved_contexts")
     prompted = g.withColumn("prompt", ans.build_prompt(
-        "question", ans.build_context("retrieved_contexts"), F.col("use_rag")))
+        "question", ans.build_context("retrieved_contexts", cut), F.col("use_rag")))
     out = ans.answer_by_model(prompted, responders)
     return out.select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
                       "retrieved_contexts")
@@ -125,51 +136,83 @@ def tag_results(df: DataFrame, experiment: str) -> DataFrame:
     return df.withColumn("experiment", F.lit(experiment))
 
 
-# Heads up to this many rows use a top-k (each partition keeps at most this many rows);
-# longer heads find the cut value by exact rank selection over a distributed sort.
-TOPK_LIMIT = 100_000
+# Splitters drawn in a pass, and keys read back once a bracket holds this few rows. Neither
+# changes the result, only the number of passes.
+_SPLITTERS = 63
+_LEAF_ROWS = 4096
 
 
-def _value_at_rank(df: DataFrame, col: str, rank: int):
-    """The value at 0-based ``rank`` in ascending ``col`` order (NULLs excluded).
+def _key_literal(row, schema) -> Column:
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
 
-    Range-partitioned sort plus ``zipWithIndex`` (one count per partition); only the one
-    value reaches the driver.
+
+def _cut(keys: DataFrame, n: int):
+    """(key of the last row kept, equal rows kept, equal rows) in ascending order; None = keep all, () = keep none.
+
+    Passes count rows between splitters drawn at random and go on inside the bracket that holds the
+    rank: one aggregate a pass, and only splitters and bracket totals reach the driver.
     """
-    vals = df.select(col).where(F.col(col).isNotNull()).orderBy(col)
-    got = vals.rdd.zipWithIndex().filter(lambda r: r[1] == rank).map(lambda r: r[0][0]).collect()
-    return got[0] if got else None
+    schema, lo, hi, want = keys.schema["_k"].dataType, None, None, n if n > 0 else None
+    while True:
+        part = keys
+        if lo is not None:
+            part = part.where(F.col("_k") > _key_literal(lo, schema))
+        if hi is not None:
+            part = part.where(F.col("_k") <= _key_literal(hi, schema))
+        split = part.orderBy(F.rand()).limit(_SPLITTERS).distinct().orderBy("_k").collect()
+        marks = F.array(*[_key_literal(r["_k"], schema) for r in split])
+        # even: between two splitters; odd: equal to one, so a hot key is a bracket of its own
+        bucket = (2 * F.size(F.filter(marks, lambda s: s < F.col("_k"))) + F.exists(marks, lambda s: s == F.col("_k")).cast("int")
+                  if split else F.lit(0))
+        brackets = part.groupBy(bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_k").alias("first"), F.max("_k").alias("last")).orderBy("_b").collect()
+        total = sum(b["n"] for b in brackets)
+        if want is None:  # all but the last |n| rows
+            want = total + n
+        if want <= 0:
+            return ()
+        if want > total or want == total and hi is None:
+            return None
+        for b in brackets:
+            if want <= b["n"]:
+                break
+            want -= b["n"]
+        if b["first"] == b["last"]:
+            return b["last"], want, b["n"]
+        if b["n"] <= _LEAF_ROWS:
+            inside = part.where((F.col("_k") >= _key_literal(b["first"], schema)) & (F.col("_k") <= _key_literal(b["last"], schema)))
+            rows = [r["_k"] for r in inside.orderBy("_k").limit(b["n"]).collect()]
+            key = rows[want - 1]
+            return key, sum(r == key for r in rows[:want]), sum(r == key for r in rows)
+        if b["_b"]:
+            lo = split[b["_b"] // 2 - 1]["_k"]
+        hi = b["last"]
 
 
 def limit_rows(df: DataFrame, n: int | None, order_col: str = "row_id") -> DataFrame:
-    """X6 (pandas ``head`` semantics): None -> all, 0 -> none, n > 0 -> first n,
-    n < 0 -> all but the last |n| (by ``order_col``, a unique row key).
+    """X6 (``head`` semantics): None -> all, 0 -> none, n > 0 -> the first n rows,
+    n < 0 -> all but the last |n|.
 
-    Short heads are a top-k (TakeOrderedAndProject). Otherwise the cut value of the
-    order column is found first (a |n|-row top-k from the end, or an exact rank selection
-    for long heads) and the rows are filtered, so kept rows never pass through one task.
+    Order: ``order_col`` ascending, NULL first, ties by a hash of the whole row; exactly the
+    asked number of rows at any size (rows that tie in both are alike). The key of the last row kept
+    is found by counting, then rows are filtered, so kept rows never pass through one task.
+    ``df`` is read in several passes and must be the same in each.
     """
     if n is None:
         return df
     if n == 0:
         return df.limit(0)
-    if n > 0:
-        if n <= TOPK_LIMIT:
-            return df.orderBy(F.col(order_col).asc()).limit(n)
-        cut = _value_at_rank(df, order_col, n - 1)
-        return df if cut is None else df.where(F.col(order_col) <= F.lit(cut))
-    if -n <= TOPK_LIMIT:
-        tail = df.select(order_col).orderBy(F.col(order_col).desc()).limit(-n)
-        cut = tail.agg(F.min(order_col).alias("_cut"), F.count(F.lit(1)).alias("_n")).first()
-        if cut["_n"] < -n or cut["_cut"] is None:
-            return df.limit(0)
-        return df.where(F.col(order_col) < F.lit(cut["_cut"]))
-    total = df.select(order_col).where(F.col(order_col).isNotNull()).count()
-    keep = total + n
-    if keep <= 0:
+    key = F.struct(F.col(order_col).alias("v"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("h"))
+    cut = _cut(df.select(key.alias("_k")), n)
+    if cut is None:
+        return df
+    if not cut:
         return df.limit(0)
-    cut = _value_at_rank(df, order_col, keep - 1)
-    return df.where(F.col(order_col) <= F.lit(cut))
+    last, keep, alike = cut
+    mark = _key_literal(last, df.select(key.alias("_k")).schema["_k"].dataType)
+    if keep == alike:
+        return df.where(key <= mark)
+    return df.where(key < mark).unionByName(df.where(key == mark).limit(keep))
 
 
 def run_summary(configs: DataFrame, base_output: str, action: str) -> DataFrame:

@@ -39,7 +39,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_id, question, answer)``: a user turn and the next turn when it is the assistant's.
+    """``(row_id, question, answer)``: a user turn and the next turn when it is the assistant's, else NULL.
 
     An equi-join on ``(conv_id, turn + 1)`` rather than a window over a conversation,
     so one huge conversation does not land in one task.
@@ -48,7 +48,7 @@ def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return u.join(a, ["conv_id", "turn"]).select(
+    return u.join(a, ["conv_id", "turn"], "left").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "question", "answer")
 
 

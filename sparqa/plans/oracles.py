@@ -86,7 +86,7 @@ def chunks_cte(n: int = 500, src: str = "documents") -> str:
 red AS (SELECT doc_id, {chunk_list('text', n)} AS r FROM {src}),
 packed AS (SELECT doc_id, list_filter(CASE WHEN r.buf <> '' THEN list_append(r.chunks, {strip('r.buf')})
                                      ELSE r.chunks END, lambda c: c <> '') AS cs FROM red),
-chunks AS (SELECT doc_id, unnest(range(len(cs)))::INT AS pos, unnest(cs) AS chunk FROM packed)"""
+chunks AS MATERIALIZED (SELECT doc_id, unnest(range(len(cs)))::INT AS pos, unnest(cs) AS chunk FROM packed)"""
 
 
 def text_vectors_cte(name: str, src: str, keys: str, text: str) -> str:
@@ -103,7 +103,7 @@ def topk_cte(k: int = 3) -> str:
     return f"""
 scored AS (SELECT q.qid, c.doc_id, c.pos, {cosine('q', 'c')} AS score FROM qv q, cv c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, pos) AS rank FROM scored),
-hits AS (SELECT r.qid, r.rank::INT AS rank, r.doc_id, r.pos, ch.chunk, r.score
+hits AS MATERIALIZED (SELECT r.qid, r.rank::INT AS rank, r.doc_id, r.pos, ch.chunk, r.score
          FROM ranked r JOIN chunks ch USING (doc_id, pos) WHERE r.rank <= {k})"""
 
 
@@ -115,10 +115,13 @@ qs AS ({questions}),
 {topk_cte(k)}"""
 
 
+_CTX = "string_agg(substr(chunk, 1, 800), ' ' ORDER BY rank)"
+
+
 SQL["ask"] = _retrieval_prefix(3) + f""",
 ctx AS (SELECT qid, count(*)::INT AS n_contexts,
                string_agg(substr(chunk, 1, 800), ' ' ORDER BY rank) AS context,
-               max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END) AS generated_answer
+               {strip(_CTX)} AS generated_answer
         FROM hits GROUP BY qid)
 SELECT qs.qid, qs.question, coalesce(ctx.n_contexts, 0) AS n_contexts,
        coalesce(ctx.context, '') AS context, coalesce(ctx.generated_answer, '') AS generated_answer
@@ -204,7 +207,6 @@ SELECT qid, rank, doc_id, pos, chunk AS text, score FROM hits"""
 SQL["retrieved_contexts"] = _retrieval_prefix(3) + """
 SELECT qid, (rank - 1)::INT AS pos, chunk AS context FROM hits"""
 
-_CTX = "string_agg(substr(chunk, 1, 800), ' ' ORDER BY rank)"
 SQL["build_context"] = _retrieval_prefix(3) + f"""
 SELECT qid, {_CTX} AS context FROM hits GROUP BY qid"""
 
@@ -221,16 +223,16 @@ FROM qs LEFT JOIN c USING (qid), (VALUES (true), (false)) u(use_rag)"""
 
 SQL["build_prompts"] = _prompts_sql()
 SQL["generate_answers"] = _retrieval_prefix(3) + f"""
-SELECT qs.qid, coalesce(max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END), '') AS generated_answer
+SELECT qs.qid, coalesce({strip(_CTX)}, '') AS generated_answer
 FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid"""
 
 QA_SQL = """(SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS question, a.text AS answer
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
 
 SQL["run_generation"] = _retrieval_prefix(3, f"SELECT row_id AS qid, question FROM {QA_SQL}") + f""",
 r AS (SELECT qs.qid AS row_id, true AS use_rag,
-             coalesce(max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END), '') AS generated_answer,
+             coalesce({strip(_CTX)}, '') AS generated_answer,
              count(hits.qid)::INT AS n_contexts
       FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid)
 SELECT * FROM r
@@ -297,12 +299,12 @@ def lcos(a: str, b: str) -> str:
 
 def generated_ctes(qa: str = QA_SQL) -> str:
     """CTEs up to ``gen``: the QA rows under the four configs, retrieval shared by RAG rows."""
-    return _retrieval_prefix(3, f"SELECT row_id AS qid, question FROM {qa}") + f""",
+    return _retrieval_prefix(3, f"SELECT row_id AS qid, coalesce(question, 'nan') AS question FROM {qa}") + f""",
 ctxl AS (SELECT qid AS row_id, list(chunk ORDER BY rank) AS ctx,
-                max(CASE WHEN rank = 1 THEN {strip('substr(chunk, 1, 200)')} END) AS ans
+                {strip(_CTX)} AS ans
          FROM hits GROUP BY qid),
-qa AS (SELECT * FROM {qa}),
-gen AS (SELECT qa.row_id, qa.question, qa.answer, cfg.experiment, cfg.generator_model, cfg.use_rag,
+qa AS (SELECT row_id, coalesce(question, 'nan') AS question, coalesce(answer, 'nan') AS answer FROM {qa}),
+gen AS MATERIALIZED (SELECT qa.row_id, qa.question, qa.answer, cfg.experiment, cfg.generator_model, cfg.use_rag,
                CASE WHEN cfg.use_rag THEN coalesce(ctxl.ans, '') ELSE '' END AS generated_answer,
                CASE WHEN cfg.use_rag THEN coalesce(ctxl.ctx, []::VARCHAR[]) ELSE []::VARCHAR[] END
                  AS retrieved_contexts
@@ -324,7 +326,7 @@ j1 AS (SELECT *, list_distinct(flatten(ctx_t)) AS all_t,
               list_transform(ctx_t, lambda ct: CASE WHEN list_bool_or(list_transform(ref_st,
                   lambda s: {_sup('s', 'ct')})) THEN 1 ELSE 0 END) AS v_cp
        FROM j0),
-j2 AS (SELECT *, list_transform(ref_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_cr,
+j2 AS MATERIALIZED (SELECT *, list_transform(ref_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_cr,
               list_transform(ans_st, lambda s: CASE WHEN {_sup('s', 'all_t')} THEN 1 ELSE 0 END) AS v_f,
               list_transform({statements('generated_answer')}, lambda g: {lcos(vec16('question'), vec16('g'))}) AS sims
        FROM j1),
@@ -344,9 +346,9 @@ def bertscore_ctes(src: str, keys: list[str], cand: str, ref: str, name: str = "
     k = ", ".join(keys)
     on = " AND ".join(f"x.{c} = y.{c}" for c in keys)
     return f""",
-{name}_c AS (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(cand)}) AS t FROM {src}) GROUP BY ALL),
-{name}_r AS (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(ref)}) AS t FROM {src}) GROUP BY ALL),
-{name}_tv AS (SELECT t, {dims('t')} FROM (SELECT t FROM {name}_c UNION SELECT t FROM {name}_r)),
+{name}_c AS MATERIALIZED (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(cand)}) AS t FROM {src}) GROUP BY ALL),
+{name}_r AS MATERIALIZED (SELECT {k}, t, count(*) AS n FROM (SELECT {k}, unnest({tokens(ref)}) AS t FROM {src}) GROUP BY ALL),
+{name}_tv AS MATERIALIZED (SELECT t, {dims('t')} FROM (SELECT t FROM {name}_c UNION SELECT t FROM {name}_r)),
 {name}_p AS (SELECT {', '.join('x.' + c for c in keys)}, x.t AS ct, y.t AS rt, {cosine('a', 'b')} AS s
              FROM {name}_c x JOIN {name}_r y ON {on} JOIN {name}_tv a ON a.t = x.t JOIN {name}_tv b ON b.t = y.t),
 {name}_bc AS (SELECT {k}, ct, max(s) AS m FROM {name}_p GROUP BY ALL),

@@ -121,3 +121,15 @@ def test_embedding_helpers(spark):
     assert (r.min_dim, r.max_dim, r.n_vectors) == (2, 3, 2)
     assert probe_dimension(spark) == 16
     assert df.select(to_float32("e").alias("f")).schema["f"].dataType.simpleString() == "array<float>"
+
+
+def test_points_that_share_keys_keep_their_texts(spark):
+    from sparqa.operators.answer import retrieve
+    from sparqa.operators.collection import to_points
+    from sparqa.operators.embed import embed
+    chunks = spark.createDataFrame([(1, 0, "apple banana"), (1, 0, "zebra yak"), (1, 0, "zebra yak")], "doc_id long, pos int, chunk string")
+    points = to_points(embed(chunks, "chunk"))
+    qs = spark.createDataFrame([(5, "zebra yak")], "qid long, question string")
+    got = [(r.rank, r.text, round(r.score, 6)) for r in retrieve(qs, points, 3).orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(1, "zebra yak"), (2, "zebra yak"), (3, "apple banana")]
+    assert got[0][2] == 1.0 > got[2][2]

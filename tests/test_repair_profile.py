@@ -129,13 +129,18 @@ def test_hot_null_key_merge_and_duplicates(spark):
     assert len(d) == 1 and d[0].question is None and d[0].n == n // 3
 
 
-def test_long_limits_use_rank_selection(spark, monkeypatch):
+@pytest.mark.parametrize("leaf, splitters", [(1, 2), (4096, 63)])
+def test_limits_are_exact_with_null_and_repeated_ids(spark, monkeypatch, leaf, splitters):
     from sparqa.operators import experiment as X
-    monkeypatch.setattr(X, "TOPK_LIMIT", 2)
-    df = spark.range(0, 40, 3).withColumnRenamed("id", "row_id").repartition(4)
-    ids = lambda d: sorted(r.row_id for r in d.collect())
-    allv = list(range(0, 40, 3))
-    assert ids(X.limit_rows(df, 5)) == allv[:5]
-    assert ids(X.limit_rows(df, -5)) == allv[:-5]
-    assert ids(X.limit_rows(df, 100)) == allv
-    assert ids(X.limit_rows(df, -100)) == []
+    monkeypatch.setattr(X, "_LEAF_ROWS", leaf)
+    monkeypatch.setattr(X, "_SPLITTERS", splitters)
+    ids = [None, None, 1, 1, 2, 3] + [7] * 9 + list(range(10, 40, 3))
+    df = spark.createDataFrame([(i, "x") for i in ids], "row_id long, text string").repartition(4).cache()
+    got = lambda d: sorted((-1 if r.row_id is None else r.row_id) for r in d.collect())
+    want = [-1 if i is None else i for i in ids]
+    for n in (1, 2, 3, 8, 15, len(ids), 100):
+        assert got(X.limit_rows(df, n)) == want[:n], n
+    for n in (-1, -12, -len(ids), -100):
+        assert got(X.limit_rows(df, n)) == want[:n], n
+    assert got(X.limit_rows(df.limit(0), 3)) == [] == got(X.limit_rows(df.limit(0), -3))
+    df.unpersist()

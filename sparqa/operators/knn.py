@@ -1,13 +1,15 @@
-"""Exact cosine top-k (V8) without a cross join.
+"""Exact cosine top-k (V8) without a cross join or a driver hop.
 
 Plan:
-1. The query side is measured (rows x dimension). Blocks of at most
-   ``max_block_bytes`` are collected and broadcast; the bound is checked, never assumed.
-2. Each point partition scores its rows against the block with one BLAS matmul per
-   slice (``mapInPandas``) and keeps only a local top-k per query, ties included at the
-   boundary, so no pair is ever emitted as a row.
+1. Both sides are packed where they lie into rows of a few thousand vectors each
+   (``mapInPandas``), and the packs are dealt in turn to ``q`` query blocks and ``p``
+   point blocks, whose numbers follow from row counts and a byte bound a block.
+2. Query packs are repeated for every point block and point packs for every query block;
+   a cogroup on (query block, point block) scores each cell of that grid with BLAS matmuls
+   and keeps only a local top-k per query, ties included at the boundary, so no pair is
+   ever emitted as a row.
 3. A window ``row_number() <= k`` over ``(query)`` (planned as WindowGroupLimit,
-   partial before the shuffle) merges the local lists; at most k x partitions rows per
+   partial before the shuffle) merges the local lists; at most k x point blocks rows per
    query cross the shuffle.
 
 Order: score descending, then the point key columns ascending (deterministic ties).
@@ -20,13 +22,16 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_TOP_K = 3
-# Query block held in every point task: bounded, checked before broadcasting.
-DEFAULT_MAX_BLOCK_BYTES = 64 << 20
+# Vectors of one block of either side; a task holds one query block and one point block.
+DEFAULT_MAX_BLOCK_BYTES = 32 << 20
+# Vectors in one packed row.
+_PACK_ROWS = 4096
 # Scores held at once inside a task (queries x points slice).
 _MAX_SCORE_CELLS = 1 << 22
 
@@ -91,44 +96,62 @@ def _merge(best, cand, k: int):
     return np.take_along_axis(s, order, axis=1), [np.take_along_axis(a, order, axis=1) for a in ks]
 
 
-def _block_topk(points: DataFrame, block_keys, block_mat, k: int, q_key: str,
-                q_type: T.DataType, p_keys: list[str], p_vec: str) -> DataFrame:
-    spark = points.sparkSession
-    dim = block_mat.shape[1]
-    payload = (list(block_keys), block_mat)
-    try:  # one copy per executor; under Spark Connect the bounded block rides in the closure
-        bc = spark.sparkContext.broadcast(payload)
-    except Exception:
-        bc = None
-    out_schema = T.StructType(
-        [T.StructField(q_key, q_type)]
-        + [points.schema[c] for c in p_keys]
-        + [T.StructField("score", T.DoubleType())])
+def _packs(df: DataFrame, keys: list[str], vec: str, block: str, n_blocks: int) -> DataFrame:
+    """Rows ``(block, k0.., m, d)``: up to ``_PACK_ROWS`` vectors as one binary matrix, dealt to blocks in turn."""
+    schema = T.StructType([T.StructField(block, T.IntegerType())]
+                          + [T.StructField(f"k{i}", T.ArrayType(df.schema[c].dataType)) for i, c in enumerate(keys)]
+                          + [T.StructField("m", T.BinaryType()), T.StructField("d", T.IntegerType())])
 
     def run(batches):
-        keys, qm = bc.value if bc is not None else payload
-        qn = np.sqrt((qm * qm).sum(axis=1))
-        nq = qm.shape[0]
-        step = max(1, _MAX_SCORE_CELLS // max(nq, 1))
-        best = None
+        turn = TaskContext.get().partitionId()
         for pdf in batches:
-            key_arrays = [_sortable(pdf[c].to_numpy()) for c in p_keys]
-            vecs = pdf[p_vec].tolist()
-            for lo in range(0, len(pdf), step):
-                scores = _cosine(qm, qn, _as_matrix(vecs[lo:lo + step], dim))
-                cand = _slice_topk(scores, [a[lo:lo + step] for a in key_arrays], k)
-                best = cand if best is None else _merge(best, cand, k)
-        if best is None:
-            return
-        s, ks = best
-        ok = np.isfinite(s)
-        qi, _ = np.nonzero(ok)
-        res = pd.DataFrame({c: a[ok] for c, a in zip(p_keys, ks)})
-        res.insert(0, q_key, [keys[i] for i in qi])
-        res["score"] = s[ok]
-        yield res
-
-    return points.select(*p_keys, p_vec).mapInPandas(run, out_schema)
+            for lo in range(0, len(pdf), _PACK_ROWS):
+                part = pdf.iloc[lo:lo + _PACK_ROWS]
+                vecs = part[vec].tolist()
+                dim = next((len(v) for v in vecs if v is not None and len(v)), 0)
+                row = {block: turn % n_blocks, "m": _as_matrix(vecs, dim).tobytes(), "d": dim}
+                row.update({f"k{i}": part[c].tolist() for i, c in enumerate(keys)})
+                yield pd.DataFrame([row])
+                turn += 1
+
+    return df.select(*keys, vec).mapInPandas(run, schema)
+
+
+def _cell_topk(k: int, q_key: str, p_keys: list[str]):
+    """Top-k of one cell of the grid: the query packs of a block against its point packs."""
+
+    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        dim = int(max(queries["d"].max(), points["d"].max())) if len(queries) and len(points) else 0
+        for q in queries.itertuples() if dim else ():
+            qm = _matrix(q.m, q.d, len(q.k0), dim)
+            qn = np.sqrt((qm * qm).sum(axis=1))
+            step = max(1, _MAX_SCORE_CELLS // len(qm))
+            best = None
+            for p in points.itertuples():
+                keys = [_sortable(np.asarray(getattr(p, f"k{i}"))) for i in range(len(p_keys))]
+                pm = _matrix(p.m, p.d, len(keys[0]), dim)
+                for lo in range(0, len(pm), step):
+                    cand = _slice_topk(_cosine(qm, qn, pm[lo:lo + step]), [a[lo:lo + step] for a in keys], k)
+                    best = cand if best is None else _merge(best, cand, k)
+            score, ks = best
+            ok = np.isfinite(score)
+            res = pd.DataFrame({c: a[ok] for c, a in zip(p_keys, ks)})
+            res.insert(0, q_key, [q.k0[i] for i in np.nonzero(ok)[0]])
+            res["score"] = score[ok]
+            found.append(res)
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in [q_key, *p_keys, "score"]})
+
+    return run
+
+
+def _matrix(data: bytes, d: int, n: int, dim: int) -> np.ndarray:
+    """A packed matrix; a pack without any vector reads as zeros."""
+    if not d:
+        return np.zeros((n, dim))
+    if d != dim:
+        raise ValueError(f"vector dimension {d} differs from query dimension {dim}")
+    return np.frombuffer(data, dtype=np.float64).reshape(n, d)
 
 
 def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
@@ -137,40 +160,29 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
              max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES, stats: dict | None = None) -> DataFrame:
     """V8 batch: ``(q_key, *p_keys, score, rank)`` with rank 1..k per query.
 
-    ``stats`` (optional) receives ``n_queries`` and ``n_blocks`` for size decisions downstream.
+    Query keys are unique; a NULL key takes no part. Both sides are read lazily but for their
+    counts (no vector is computed for those). ``stats`` (optional) receives ``n_queries``,
+    ``n_blocks`` and ``n_point_blocks``.
     """
     p_keys = list(p_keys or ["point_id"])
-    q_type = queries.schema[q_key].dataType
-    empty_schema = T.StructType(
-        [T.StructField(q_key, q_type)] + [points.schema[c] for c in p_keys]
-        + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    fields = ([T.StructField(q_key, queries.schema[q_key].dataType)] + [points.schema[c] for c in p_keys]
+              + [T.StructField("score", T.DoubleType())])
     spark = queries.sparkSession
     if k is None or k <= 0:
-        return spark.createDataFrame([], empty_schema)
+        return spark.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
     qsel = queries.select(q_key, q_vec).where(F.col(q_key).isNotNull())
-    # size check without computing vectors twice: the count prunes the vector column (an
-    # embedding UDF is not evaluated) and the dimension comes from a one-row probe; a
-    # query side within the bound is collected in one parallel job, a larger one is
-    # hashed into blocks that each fit (25 % margin for uneven hashing)
-    n_q = qsel.select(q_key).count()
-    probe = qsel.select(F.size(q_vec).alias("d")).where(F.col("d") > 0).limit(1).collect() if n_q else []
-    dim = int(probe[0]["d"]) if probe else 0
-    per_block = max(1, max_block_bytes // (8 * max(dim, 1) + 64))
-    n_blocks = 1 if n_q <= per_block else math.ceil(n_q * 1.25 / per_block)
-    parts = []
-    for b in range(n_blocks if n_q else 0):
-        blk = qsel if n_blocks == 1 else qsel.where(F.pmod(F.xxhash64(q_key), F.lit(n_blocks)) == b)
-        rows = blk.collect()  # bounded: at most ~max_block_bytes of vectors
-        if rows:
-            parts.append(_block_topk(points, [r[q_key] for r in rows], _as_matrix([r[q_vec] for r in rows], dim),
-                                     k, q_key, q_type, p_keys, p_vec))
+    n_q, n_p = qsel.select(q_key).count(), points.select(p_keys[0]).count()
+    probe = points.select(F.size(p_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
+    row_bytes = 8 * (int(probe[0]["d"]) if probe else 1) + 64
+    n_qb = max(1, math.ceil(n_q * row_bytes / max_block_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_pb = max(1, math.ceil(n_p * row_bytes / max_block_bytes), min(math.ceil(tasks / n_qb), math.ceil(n_p / _PACK_ROWS)))
     if stats is not None:
-        stats.update(n_queries=n_q, n_blocks=n_blocks)
-    if not parts:
-        return spark.createDataFrame([], empty_schema)
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        stats.update(n_queries=n_q, n_blocks=n_qb, n_point_blocks=n_pb)
+    qp = _packs(qsel, [q_key], q_vec, "qb", n_qb).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_pb - 1))))
+    pp = _packs(points, p_keys, p_vec, "pb", n_pb).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
+    cand = pp.groupBy("qb", "pb").cogroup(qp.groupBy("qb", "pb")).applyInPandas(
+        _cell_topk(k, q_key, p_keys), T.StructType(fields))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), *[F.col(c).asc() for c in p_keys])
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

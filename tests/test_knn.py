@@ -133,3 +133,16 @@ def test_points_that_share_keys_keep_their_texts(spark):
     got = [(r.rank, r.text, round(r.score, 6)) for r in retrieve(qs, points, 3).orderBy("rank").collect()]
     assert [g[:2] for g in got] == [(1, "zebra yak"), (2, "zebra yak"), (3, "apple banana")]
     assert got[0][2] == 1.0 > got[2][2]
+
+
+def test_grid_of_many_blocks_and_empty_sides(spark):
+    rng = np.random.default_rng(4)
+    pts = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(pts, "point_id long, embedding array<double>").repartition(5)
+    qs = df.withColumnRenamed("point_id", "qid")
+    stats: dict = {}
+    rows = lambda d: sorted((r.qid, r["rank"], r.point_id) for r in d.collect())
+    many = rows(knn_topk(qs, df, 3, max_block_bytes=600, stats=stats))
+    assert stats["n_blocks"] > 1 and stats["n_point_blocks"] > 1
+    assert many == rows(knn_topk(qs, df, 3)) and len(many) == 180
+    assert rows(knn_topk(qs.limit(0), df, 3)) == [] == rows(knn_topk(qs, df.limit(0), 3))

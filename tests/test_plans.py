@@ -38,9 +38,9 @@ def test_retrieval_builds_on_the_hits(spark):
 
 @pytest.mark.parametrize("name", ["union_results", "retrieval_quality", "rag_delta", "experiment_stages"])
 def test_retrieval_runs_once_per_query(spark, name):
-    # the kNN mapInPandas appears once (no branch recomputes the retrieval pipeline)
+    # the kNN grid appears once (no branch recomputes the retrieval pipeline)
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") <= 1
+    assert plan.count("FlatMapCoGroupsInPandas") <= 1
 
 
 def test_chunker_expression_is_not_duplicated(spark):

@@ -55,7 +55,7 @@ def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "al
                   responders: dict | None = None, cut: int = ans.CONTEXT_CUT) -> DataFrame:
     """X3 + X5 + G10: the QA rows (``row_id, question, answer``) under the selected configs.
 
-    Retrieval runs once per question and is shared by the RAG configs (it does not depend
+    Retrieval runs once per distinct question text and is shared by the RAG configs (it does not depend
     on the model); every grid row is then prompted and answered by its own model:
     ``responders`` maps ``generator_model`` to a batch responder (``responder`` = one for
     all models; neither = the native stand-in). Plain rows get ``[]`` contexts; missing
@@ -66,10 +66,10 @@ def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "al
     rag_needed = any(r for n, _, r, _ in EXPERIMENTS if n in names)
     empty = F.array().cast("array<string>")
     if rag_needed:
-        hits = ans.retrieve(qa.select(F.col("row_id").alias("qid"), "question"), points, k,
-                            embedder=embedder)
-        ctx = ans.contexts_by_question(hits, "qid", out_col="_ctx").withColumnRenamed("qid", "row_id")
-        base = qa.join(ctx, "row_id", "left")
+        asked = qa.withColumn("_q", F.md5("question"))
+        hits = ans.retrieve(asked.select("_q", "question").dropDuplicates(["_q"]), points, k, "_q", embedder=embedder)
+        ctx = ans.contexts_by_question(hits, "_q", out_col="_ctx")
+        base = asked.join(ctx, "_q", "left").drop("_q")
     else:
         base = qa.withColumn("_ctx", F.lit(None).cast("array<string>"))
     g = base.select("*", F.explode(config_array()).alias("_cfg")).where(F.col("_cfg.experiment").isin(names))

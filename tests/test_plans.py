@@ -30,10 +30,13 @@ def test_native_operators_stay_in_the_jvm(spark):
         assert "Python" not in plan and "MapInPandas" not in plan, name
 
 
-def test_retrieval_builds_on_the_hits(spark):
-    plan = _plan(spark, "retrieve_topk")
-    assert "WindowGroupLimit" in plan
-    assert "ResolvedHint" not in plan and "BuildLeft" not in plan  # the collection is never the build side
+def test_retrieval_forces_no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(spark, "retrieve_topk")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "WindowGroupLimit" in plan and "Broadcast" not in plan  # only measured sizes may choose one
 
 
 @pytest.mark.parametrize("name", ["union_results", "retrieval_quality", "rag_delta", "experiment_stages"])

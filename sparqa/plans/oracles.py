@@ -454,10 +454,19 @@ SELECT j.row_id, j.experiment, j.generated_answer, round(bs.f, 6) AS bertscore_f
   round(j.context_precision, 6) AS context_precision, round(j.context_recall, 6) AS context_recall,
   round(j.faithfulness, 6) AS faithfulness, round(j.answer_relevancy, 6) AS answer_relevancy
 FROM judged j JOIN bs USING (row_id, experiment)"""
-SQL["experiment_stages_ragas"] = _JUDGED + """
+
+
+def _reloaded(sql: str) -> str:
+    """M2: a saved generated table is read back with missing cells (the text ``nan`` too) as empty texts."""
+    fresh = "coalesce(question, 'nan') AS question, coalesce(answer, 'nan') AS answer"
+    assert fresh in sql
+    return sql.replace(fresh, "coalesce(question, '') AS question, coalesce(answer, '') AS answer")
+
+
+SQL["experiment_stages_ragas"] = _reloaded(_JUDGED) + """
 SELECT row_id, experiment, round(context_precision, 6) AS context_precision, round(context_recall, 6) AS context_recall,
   round(faithfulness, 6) AS faithfulness, round(answer_relevancy, 6) AS answer_relevancy FROM judged"""
-SQL["experiment_stages_bert"] = _GEN + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer") + """
+SQL["experiment_stages_bert"] = _reloaded(_GEN) + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer") + """
 SELECT row_id, experiment, round(p, 6) AS bertscore_precision, round(r, 6) AS bertscore_recall,
   round(f, 6) AS bertscore_f1 FROM bs WHERE experiment = 'llama_with_rag'"""
 SQL["union_results"] = _JUDGED + """

@@ -5,8 +5,7 @@ the line between two 2-means centres, so lists hold about equally many vectors.
 nearest ones; it lives in memory and is bounded by ``MAX_LISTS``.
 
 *Index.* Every vector goes to its nearest list and, if it lies near a boundary, to further ones: those not much farther than
-the nearest, unless a chosen centroid is closer to that centroid than the vector is. Lists are split over cells by
-their measured size, so a list of any size is searched by many tasks.
+the nearest. Lists are split over cells by their measured size, so a list of any size is searched by many tasks.
 
 *Search.* A best-first walk of the graph finds a query's nearest centroids; those within a ratio of the nearest distance
 are probed (more, until the lists hold enough vectors). Distances inside a list are exact, in double precision.
@@ -127,9 +126,14 @@ def _vectors(column) -> np.ndarray:
     return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
 
 
+def _chosen(lists: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+    """The kept ``lists`` of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep.sum(1))).astype(np.int32)), pa.array(lists[keep].astype(np.int32)))
+
+
 def valid(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part, repeated rows once."""
-    v = F.col(vec).cast("array<double>")
+    """(vec_id, v) of the rows that take part, repeated rows once; single precision is kept as it is."""
+    v = F.col(vec).cast("array<float>" if df.schema[vec].dataType.simpleString() == "array<float>" else "array<double>")
     fine = (F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists(v, lambda x: x != 0.0))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
@@ -143,9 +147,9 @@ def build(rows: DataFrame, k: int) -> tuple[DataFrame, Graph | None]:
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     useful = stored(rows.withColumn("_r", rank).filter(F.col("_r") <= k + 1).drop("_r"), "ann-useful")
     n = useful.count()
-    schema = "list int, vec_id long, v array<double>"
+    kind = rows.schema["v"].dataType.simpleString()
     if not n:
-        return useful.sparkSession.createDataFrame([], schema), None
+        return useful.sparkSession.createDataFrame([], f"list int, vec_id long, v {kind}"), None
     # a bounded sample, the same for the same rows
     share = min(1.0, SAMPLE_ROWS / n)
     sample = useful.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec_id", "v").toArrow().sort_by("vec_id")
@@ -158,19 +162,12 @@ def build(rows: DataFrame, k: int) -> tuple[DataFrame, Graph | None]:
                 part = t.slice(lo, 1024)
                 v = _vectors(part.column("v"))
                 lists, dist = graph.walk(v, 4 * REPLICAS)
-                lists, dist = lists[:, :2 * REPLICAS], dist[:, :2 * REPLICAS]
-                keep = np.zeros(lists.shape, bool)
-                keep[:, 0] = True
-                for j in range(1, lists.shape[1]):
-                    ok = (dist[:, j] <= REPLICA_RATIO * dist[:, 0]) & (keep.sum(1) < REPLICAS) & np.isfinite(dist[:, j])
-                    for i in range(j):
-                        between = np.sqrt(((graph.c[lists[:, i]] - graph.c[lists[:, j]]) ** 2).sum(1))
-                        ok &= ~keep[:, i] | (between >= dist[:, j])
-                    keep[:, j] = ok
-                row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))],
-                                                 ["list", "vec_id", "v"])
-    return stored(useful.mapInArrow(post, schema), "ann-postings"), graph
+                lists, dist = lists[:, :REPLICAS], dist[:, :REPLICAS]
+                keep = np.isfinite(dist) & (dist <= REPLICA_RATIO * dist[:, :1])
+                yield pa.RecordBatch.from_arrays([_chosen(lists, keep), part.column("vec_id"), part.column("v")], ["lists", "vec_id", "v"])
+    # a vector is stored once with its lists
+    posted = stored(useful.mapInArrow(post, f"lists array<int>, vec_id long, v {kind}"), "ann-postings")
+    return posted.select(F.explode("lists").alias("list"), "vec_id", "v"), graph
 
 
 def _probe(graph: Graph, counts: dict[int, int], enough: int):
@@ -182,9 +179,7 @@ def _probe(graph: Graph, counts: dict[int, int], enough: int):
                 lists, dist = graph.walk(_vectors(part.column("v")), max(BEAM, 1))
                 have = np.cumsum(size[lists], axis=1) - size[lists]
                 keep = np.isfinite(dist) & ((dist <= PROBE_RATIO * dist[:, :1]) | (have < enough))
-                row, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(lists[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))],
-                                                 ["list", "query_id", "q"])
+                yield pa.RecordBatch.from_arrays([_chosen(lists, keep), part.column("vec_id"), part.column("v")], ["lists", "query_id", "q"])
     return run
 
 
@@ -232,7 +227,9 @@ def search(queries: DataFrame, postings: DataFrame, graph: Graph, k: int) -> Dat
     per = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["list"]: r["n"] for r in per.collect()}  # a number per list, at most MAX_LISTS
     total = sum(counts.values())
-    probes = stored(queries.mapInArrow(_probe(graph, counts, 4 * REPLICAS * (k + 1)), "list int, query_id long, q array<double>"), "ann-probes")
+    kind = queries.schema["v"].dataType.simpleString()
+    probes = stored(queries.mapInArrow(_probe(graph, counts, 4 * REPLICAS * (k + 1)), f"lists array<int>, query_id long, q {kind}"), "ann-probes")
+    probes = probes.select(F.explode("lists").alias("list"), "query_id", "q")
     cells = max(1, -(-total // CELL_ROWS))
     per = F.broadcast(per.withColumn("_parts", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n"))
     cell = lambda part: F.pmod(F.xxhash64(F.floor(F.col("list") * F.lit(cells) / F.lit(len(graph.c))), part), F.lit(cells)).cast("int")

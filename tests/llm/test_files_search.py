@@ -103,6 +103,27 @@ def test_recall_on_the_table(spark):
     assert np.mean(hits) >= 9
 
 
+def _unit(n, d=64):
+    x = np.random.default_rng(2).normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_boundary_vectors_are_replicated(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    x = _unit(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    postings, graph = ann.build(df, 10)
+    got = {}
+    for r in postings.select("list", "vec_id").collect():
+        got.setdefault(r.vec_id, []).append(r.list)
+    assert len(graph.c) > 150 and set(got) == set(range(3000))
+    assert np.mean([len(v) for v in got.values()]) > 2
+    dist = np.sqrt(((x[:, None] - graph.c) ** 2).sum(2))
+    for i, lists in got.items():
+        assert len(set(lists)) == len(lists) <= ann.REPLICAS
+        assert dist[i, lists].max() <= ann.REPLICA_RATIO * dist[i, lists].min() + 1e-9
+
+
 def test_pipeline_stages(spark):
     from test_bpe import PATH, Tokenizer
     from test_bpe import expected as tokens

@@ -8,7 +8,8 @@ nearest ones; it lives in memory and is bounded by ``MAX_LISTS``.
 the nearest. Lists are split over cells by their measured size, so a list of any size is searched by many tasks.
 
 *Search.* A best-first walk of the graph finds a query's nearest centroids; those within a ratio of the nearest distance
-are probed (more, until the lists hold enough vectors). Distances inside a list are exact, in double precision.
+are probed (more, until the lists hold enough vectors). A query whose walk ends before that ratio is measured against
+all centroids, so no number of lists cuts its choice. Distances inside a list are exact, in double precision.
 
 Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest (ties go to the smaller id), so only
 these are indexed: nothing a search could return is left out.
@@ -34,7 +35,7 @@ MAX_LISTS = 16_384
 #: Boundary vectors: most lists of one vector, and how much farther than the nearest centroid.
 REPLICAS = 4
 REPLICA_RATIO = 1.10
-#: Probes: how much farther than the nearest centroid, and lists that a walk keeps.
+#: Probes: how much farther than the nearest centroid, and lists that a walk keeps before all centroids are measured.
 PROBE_RATIO = 1.15
 BEAM = 128
 DEGREE = 16
@@ -119,6 +120,13 @@ class Graph:
             done[r] = np.take_along_axis(np.concatenate([done[r], ~fresh], 1), keep, 1)
 
 
+    def all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, distances) of every centroid, the nearest first."""
+        d = np.sqrt(np.maximum((q ** 2).sum(1)[:, None] + (self.c ** 2).sum(1) - 2 * q @ self.c.T, 0))
+        order = np.argsort(d, axis=1, kind="stable")
+        return order, np.take_along_axis(d, order, 1)
+
+
 def _vectors(column) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(a, pa.ChunkedArray):
@@ -171,15 +179,33 @@ def build(rows: DataFrame, k: int) -> tuple[DataFrame, Graph | None]:
 
 
 def _probe(graph: Graph, counts: dict[int, int], enough: int):
+    size = np.array([counts.get(i, 0) for i in range(len(graph.c))])
+    beam = max(1, min(BEAM, len(graph.c)))
+
     def run(batches):
-        size = np.array([counts.get(i, 0) for i in range(len(graph.c))])
         for t in batches:
             for lo in range(0, t.num_rows, 1024):
                 part = t.slice(lo, 1024)
-                lists, dist = graph.walk(_vectors(part.column("v")), max(BEAM, 1))
-                have = np.cumsum(size[lists], axis=1) - size[lists]
-                keep = np.isfinite(dist) & ((dist <= PROBE_RATIO * dist[:, :1]) | (have < enough))
-                yield pa.RecordBatch.from_arrays([_chosen(lists, keep), part.column("vec_id"), part.column("v")], ["lists", "query_id", "q"])
+                v = _vectors(part.column("v"))
+                lists, dist, keep = chosen(*graph.walk(v, beam))
+                # the walk ended inside the ratio, or before it met enough vectors or all it asked for
+                short = keep[:, -1] | ~np.isfinite(dist[:, -1]) if beam < len(graph.c) else ~np.isfinite(dist).all(1)
+                done = np.flatnonzero(~short)
+                yield from out(part, done, lists[done], keep[done])
+                short = np.flatnonzero(short)
+                for i in range(0, len(short), 128):
+                    rows = short[i:i + 128]
+                    lists, _, keep = chosen(*graph.all(v[rows]))
+                    yield from out(part, rows, lists, keep)
+
+    def chosen(lists: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        have = np.cumsum(size[lists], axis=1) - size[lists]
+        return lists, dist, np.isfinite(dist) & ((dist <= PROBE_RATIO * dist[:, :1]) | (have < enough))
+
+    def out(part: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray, keep: np.ndarray):
+        if len(rows):
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([_chosen(lists, keep), part.column("vec_id").take(at), part.column("v").take(at)], ["lists", "query_id", "q"])
     return run
 
 

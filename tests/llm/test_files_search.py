@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001
 
@@ -124,6 +125,39 @@ def test_boundary_vectors_are_replicated(spark, monkeypatch):
         assert dist[i, lists].max() <= ann.REPLICA_RATIO * dist[i, lists].min() + 1e-9
 
 
+def test_probes_are_not_cut_by_the_beam():
+    x = _unit(6000)
+    graph = ann.Graph(ann.fit(x, 750))
+    q = x[::300]
+    batch = pa.RecordBatch.from_pydict({"vec_id": pa.array(range(len(q)), pa.int64()), "v": pa.array(q.tolist(), pa.list_(pa.float64()))})
+    got = {}
+    for t in ann._probe(graph, dict.fromkeys(range(750), 8), 1)([batch]):
+        got |= dict(zip(t.column("query_id").to_pylist(), t.column("lists").to_pylist(), strict=True))
+    assert set(got) == set(range(len(q)))
+    most = hit = total = 0
+    for i, v in enumerate(q):
+        d = np.sqrt(((graph.c - v) ** 2).sum(1))
+        want = np.flatnonzero(d <= ann.PROBE_RATIO * d.min() * (1 - 1e-9))
+        most = max(most, len(want))
+        hit += len(set(want) & set(got[i]))
+        total += len(want)
+    assert most > ann.BEAM and hit / total >= 0.98  # a walk that ends beyond the ratio may still miss a list
+
+
+def test_recall_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 40)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 2000)
+    x = _unit(20000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df).toPandas()
+    hits = []
+    for q in range(0, 20000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id)))
+    assert np.mean(hits) >= 9, np.mean(hits)
+
+
 def test_pipeline_stages(spark):
     from test_bpe import PATH, Tokenizer
     from test_bpe import expected as tokens

@@ -8,7 +8,8 @@ work runs in blocks of documents and buckets of text:
    tell the blocks those that occur in two documents or more.
 2. *Contexts.* Around every shared anchor a block cuts the bytes of the strings that picked it. Equal
    contexts of a block become one entry with its smallest document id, so a passage in a third of all documents
-   costs one entry per block, not one per document.
+   costs one entry per block, not one per document. An anchor that would give a bucket too many contexts is hot: its
+   50-byte strings become entries of their own, dealt out by a hash of their own bytes, so equal strings still meet.
 3. *Suffix array.* Each bucket puts its distinct contexts end to end and sorts their suffixes in two stages: those
    smaller than their successors directly, the others by induction in bucket scans. Common prefixes of
    neighbours then split the order into runs of equal 50-byte strings, whose smallest ids go back to the blocks.
@@ -47,6 +48,8 @@ CHUNK = 1 << 18
 NO_ID = 2 ** 63 - 1
 _C = odd(5, 16)
 _ONE = np.uint64(1)
+#: The low bits of an anchor's hash carry what a block or a bucket says of it.
+_LOW = np.uint64(63)
 
 
 # ---- anchors ------------------------------------------------------------------------------------------
@@ -122,10 +125,12 @@ def _send_anchors(n_buckets: int):
         if found:
             d, h = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(h, kind="stable")
-            d, h = d[order], h[order] | _ONE
+            d, h = d[order], h[order] | _LOW
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             many = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
-            h = np.where(many, h[cut], h[cut] - _ONE)  # the lowest bit: in two documents of this block
+            power = np.frexp(np.diff(np.append(cut, len(h))))[1] - 1
+            # the lowest bit: in two documents of this block; the next five: the power of two in its number of runs
+            h = (h[cut] & ~_LOW) | (2 * power + many).astype(np.uint64)
             for b, lo, hi in _sliced(h, n_buckets):
                 out[0].append(b)
                 out[1].append(t["_block"][0].as_py())
@@ -134,23 +139,33 @@ def _send_anchors(n_buckets: int):
     return send
 
 
-def _shared_anchors(t: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x.as_py(), np.uint64) for x in t["data"]]
-    h = np.concatenate(parts)
-    ranks = np.sort(h)
-    base = ranks | _ONE
-    cut = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
-    size = np.diff(np.append(cut, len(base)))
-    shared = base[cut][(size > 1) | (np.maximum.reduceat(ranks, cut) == base[cut])]
-    out: list[list] = [[], [], []]
-    for x, block in zip(parts, t["block"].to_pylist(), strict=True):
-        x = x | _ONE
-        x = x[shared[np.minimum(np.searchsorted(shared, x), len(shared) - 1)] == x] if len(shared) else x[:0]
-        if len(x):
-            out[0].append(block)
-            out[1].append(-1)
-            out[2].append(x.tobytes())
-    return _rows(_TOLD, out)
+def _shared_anchors(hot_runs: int):
+    """Tell each block its shared anchors, the lowest bit off for those of ``hot_runs`` runs or more. The bucket is
+    -1 less the entries that the block may make of them."""
+    def tell(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in t["data"]]
+        ranks = np.sort(np.concatenate(parts))
+        base = ranks | _LOW
+        cut = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
+        size = np.diff(np.append(cut, len(base)))
+        shared = (size > 1) | (np.bitwise_or.reduceat(ranks & _ONE, cut) == _ONE)
+        hot = (np.add.reduceat(_runs_told(ranks), cut) >= hot_runs)[shared]
+        shared = base[cut][shared]
+        out: list[list] = [[], [], []]
+        for x, block in zip(parts, t["block"].to_pylist(), strict=True):
+            at = np.minimum(np.searchsorted(shared, x | _LOW), len(shared) - 1)
+            ok = shared[at] == x | _LOW if len(shared) else np.zeros(len(x), bool)
+            x, at = x[ok], at[ok]
+            if len(x):
+                out[0].append(block)
+                out[1].append(-1 - int(np.where(hot[at], _runs_told(x) * (WINDOW // 2), 1).sum()))
+                out[2].append((shared[at] - hot[at].astype(np.uint64)).tobytes())
+        return _rows(_TOLD, out)
+    return tell
+
+
+def _runs_told(h: np.ndarray) -> np.ndarray:
+    return np.int64(1) << ((h & _LOW) >> _ONE).astype(np.int64)
 
 
 # ---- contexts -----------------------------------------------------------------------------------------
@@ -159,22 +174,36 @@ def _contexts(t: pa.Table, told: list[bytes]):
     """The runs of a block on shared anchors, and their distinct contexts in a canonical order.
 
     Returns ids, (document, start, number of starts, entry) of the runs, and of the entries the anchor, a
-    hash, the smallest id, the number of starts and the padded bytes.
+    hash, the smallest id, the number of starts and the padded bytes. Runs on hot anchors are cut into their
+    strings, which have their own hash in the anchor's place.
     """
     buf, offs = text_buffer(t["_text"])
     ids = t["_id"].to_numpy()
     shared = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in told])) if told else np.zeros(0, np.uint64)
+    hot, shared = shared & _ONE == 0, shared | _LOW
     got = []
     padded = np.concatenate([buf, np.zeros(CONTEXT, np.uint8)])
     wide, m1, m2 = np.arange(CONTEXT), odd(7, CONTEXT // 8), odd(9, CONTEXT // 8)
-    for d, s, n, h in _runs(buf, offs) if len(shared) else ():
-        h = h | _ONE
-        ok = shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h
-        d, s, n, h = d[ok], s[ok], n[ok], h[ok]
-        if len(d):
-            ctx = padded[s[:, None] + wide] * (wide < (n + MATCH - 1)[:, None]).astype(np.uint8)
+
+    def add(d: np.ndarray, s: np.ndarray, n: np.ndarray, h: np.ndarray | None) -> None:
+        for i in range(0, len(d), CHUNK // 8):
+            j = slice(i, i + CHUNK // 8)
+            ctx = padded[s[j][:, None] + wide] * (wide < (n[j] + MATCH - 1)[:, None]).astype(np.uint8)
             w = mix(np.ascontiguousarray(ctx).view(np.uint64))
-            got.append((d, s, n, h, mix((w * m1).sum(1) + n.astype(np.uint64)), mix((w * m2).sum(1)), ctx))
+            c1, c2 = mix((w * m1).sum(1) + n[j].astype(np.uint64)), mix((w * m2).sum(1))
+            got.append((d[j], s[j], n[j], c1 if h is None else h[j], c1, c2, ctx))
+
+    for d, s, n, h in _runs(buf, offs) if len(shared) else ():
+        h = h | _LOW
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        ok = shared[at] == h
+        some = ok & ~hot[at]
+        add(d[some], s[some], n[some], h[some])
+        some = np.flatnonzero(ok & hot[at])
+        if len(some):
+            k = n[some]
+            start = np.arange(int(k.sum())) + np.repeat(s[some] - (np.cumsum(k) - k), k)
+            add(np.repeat(d[some], k), start, np.ones(len(start), np.int64), None)
     if not got:
         return buf, offs, ids, None, None
     d, s, n, h, c1, c2, ctx = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -477,9 +506,9 @@ def _solve(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     n_anchor = max(1, -(-size * 2 * 8 // (WINDOW + 1) // ANCHOR_BUCKET_BYTES))
     by = blocks.select("_block", "_id", "_text")
     sent = by.groupBy("_block").applyInArrow(released(_send_anchors(n_anchor)), _SENT)
-    shared = stored(sent.groupBy("bucket").applyInArrow(released(_shared_anchors), _TOLD), "suffix-anchors")
-    n_shared = shared.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n_ctx = max(1, -(-n_shared // 8 // CONTEXT_BUCKET_ENTRIES))
+    shared = stored(sent.groupBy("bucket").applyInArrow(released(_shared_anchors(CONTEXT_BUCKET_ENTRIES)), _TOLD), "suffix-anchors")
+    n_entries = shared.agg(F.sum(-1 - F.col("bucket").cast("long"))).first()[0] or 0
+    n_ctx = max(1, -(-n_entries // CONTEXT_BUCKET_ENTRIES))
     ctx = by.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(released(_send_contexts(n_ctx)), _SENT)
     least = stored(ctx.groupBy("bucket").applyInArrow(released(_least_ids), _TOLD), "suffix-least")
     return blocks, shared.unionByName(least), n_ctx

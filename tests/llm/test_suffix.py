@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001
 
@@ -76,6 +77,30 @@ def test_edge_cases(spark, monkeypatch):
         assert got(suffix.report(df)) == brute(_cases())
 
 
+def _template(n):
+    rng = random.Random(9)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    return [(i, noise(60) + "All rights reserved. Page N of " + noise(60)) for i in range(n)]
+
+
+def test_a_hot_anchor_is_spread_over_buckets():
+    rows = _template(2000)
+    t = pa.table({"_block": pa.array([0] * len(rows), pa.int32()), "_id": [i for i, _ in rows], "_text": [x for _, x in rows]})
+    told = suffix._shared_anchors(100)(suffix._send_anchors(1)(t))
+    sent = suffix._send_contexts(64)(t, told)
+    sizes = [int(np.frombuffer(x.as_py(), np.int64, 1)[0]) for x in sent["data"]]
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
+
+
+def test_template_line_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix, "CONTEXT_BUCKET_ENTRIES", 100)
+    rows = _template(600)
+    rows += [(1000 + i, x[:100] + "#" + x[20:]) for i, x in rows[::7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(suffix.report(df)) == brute(rows)
+
+
 def test_clean_texts_keep_whole_characters_and_columns(spark):
     rows = [(1, "x", "é" * 40 + "tail one"), (2, None, "a" + "é" * 40 + " tail two"), (3, "z", "é" * 40)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")

@@ -4,9 +4,10 @@ A scanner cuts the page into tags and text; the tree builder opens and closes el
 rules; the renderer walks the tree and emits visible text: blocks on lines of their own, paragraphs and headings with a
 blank line around them, list items with a mark and an indent, table cells padded to their column's width.
 
-Not visible are: comments, the contents of head-like and scripted elements, elements with ``hidden``, a closed
+Not visible are: comments, the contents of head-like, scripted and embedded elements (among them the fallback text of
+canvas, audio, video, iframe and object) and of ``datalist``, ``input``, elements with ``hidden``, a closed
 ``details`` but for its summary, and whatever an inline style or a simple rule of the page (tag, .class, #id)
-hides with ``display:none`` or ``visibility:hidden``.
+hides with ``display:none`` or ``visibility:hidden`` on every screen. Text of a table outside of its cells comes before it.
 
 Edge cases: NULL or empty pages give an empty text; unclosed, stray and wrongly nested tags are repaired; pages of any
 length and depth are rendered whole (no recursion); repeated rows give repeated results; extra columns are ignored.
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript svg math canvas audio video iframe object datalist select textarea".split())
+UNSEEN = frozenset("head title script style template noscript canvas audio video iframe object datalist desc metadata defs "
+                   "annotation annotation-xml".split())
 RAW = frozenset("script style textarea title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details div dt fieldset figcaption footer form header html legend li "
-                           "main menu nav section summary tr thead tbody tfoot td th".split())
+                           "main menu nav section summary tr thead tbody tfoot td th option optgroup textarea".split())
 #: An open element of the key ends when one of these starts inside it.
 IMPLIED = {
     "p": SPACED | frozenset("address article aside details div dd dt fieldset figcaption footer form header li main menu nav section".split()) - {"hr"} | {"hr"},
@@ -41,10 +43,13 @@ SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "tr": frozenset({"table"}), "td"
          "caption": frozenset({"table"}), "option": frozenset({"select"}), "p": BLOCK - {"p"}, "head": frozenset({"html"})}
 HEAD_ONLY = frozenset("title style script meta link base noscript template".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
+                  r"((?:[^>=]++|=[ \t\n\r\f]*+(?:\"[^\"]*\"|'[^']*'|[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+)?+)*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_RULE = re.compile(r"([^{};]+)\{([^{}]*)\}")
+_CSS = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_BRACE = re.compile(r"[{};]")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -113,18 +118,55 @@ def tree(page: str) -> Node:
         top.kids.append(node)
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-            node.kids.append(page[at:end.start() if end else len(page)])
+            text = page[at:end.start() if end else len(page)]
+            node.kids.append(entities.unescape(text) if name in ("title", "textarea") else text)
             at = end.end() if end else len(page)
         elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "math")):
             top = node
 
 
+def _applies(prelude: str) -> bool:
+    """Whether the rules of an at-block hold on any screen: only plain ``@media`` for all or screens, and ``@layer``, surely do."""
+    name, _, query = prelude.strip().lower().partition(" ")
+    return name == "@layer" or name == "@media" and any(q.strip() in ("", "all", "screen", "only screen", "only all") for q in query.split(","))
+
+
+def _screen_rules(css: str) -> str:
+    """The plain rules of a style sheet, without the at-blocks that do not hold on every screen."""
+    css = _CSS.sub(" ", css)
+    out, at, skip, depth = [], 0, 0, 0
+    for m in _BRACE.finditer(css):
+        c = m[0]
+        if c == "{":
+            prelude = css[at:m.start()]
+            depth += 1
+            if skip:
+                pass
+            elif prelude.lstrip().startswith("@"):
+                if _applies(prelude):
+                    at = m.end()
+                    continue
+                skip = depth
+            else:
+                out.append(prelude + "{")
+        elif c == "}":
+            if not skip and out and not out[-1].endswith("}"):
+                out.append(css[at:m.start()] + "}")
+            if skip == depth:
+                skip = 0
+            depth = max(0, depth - 1)
+        elif not skip and out and not out[-1].endswith("}"):
+            out.append(css[at:m.end()])  # between the declarations of a rule
+        at = m.end()
+    return "".join(out)
+
+
 def _hidden_selectors(root: Node) -> frozenset[str]:
     out, todo = set(), [root]
     while todo:
         n = todo.pop()
         if n.tag == "style":
-            for sel, body in _RULE.findall("".join(k for k in n.kids if isinstance(k, str))):
+            for sel, body in _RULE.findall(_screen_rules("".join(k for k in n.kids if isinstance(k, str)))):
                 if _HIDES.search(body):
                     out.update(s.strip().lower() for s in sel.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
         todo.extend(k for k in n.kids if isinstance(k, Node))
@@ -275,21 +317,51 @@ def _plain(n: Node, hidden: frozenset[str]) -> str:
 
 
 def _rows(table: Node, hidden: frozenset[str]) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and rows of cells that belong to this table itself."""
-    captions, rows, todo = [], [], [k for k in reversed(table.kids) if isinstance(k, Node)]
+    """Captions and rows of cells that belong to this table itself. Forms and inline elements around cells are
+    transparent; all else that stands outside of cells, text too, comes before the table."""
+    captions, rows = [], []
+    holders = _holders(table)
+    loose: Node | None = None
+    todo: list = [(k, None) for k in reversed(table.kids)]
     while todo:
-        n = todo.pop()
-        if not _visible(n, hidden):
+        n, row = todo.pop()
+        if isinstance(n, str) or id(n) not in holders and n.tag not in ("colgroup", "col"):
+            if loose is None:  # neighbours share a line
+                loose = Node("#loose", {}, table)
+                captions.append(loose)
+            loose.kids.append(n)
+            continue
+        if not _visible(n, hidden) or n.tag in ("colgroup", "col"):
             continue
-        if n.tag == "tr":
-            rows.append([c for c in n.kids if isinstance(c, Node) and c.tag in ("td", "th") and _visible(c, hidden)])
-        elif n.tag in ("thead", "tbody", "tfoot"):
-            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-        elif n.tag not in ("colgroup", "col"):
-            captions.append(n)
+        loose = None
+        if n.tag in ("td", "th"):
+            if row is None:
+                row = []
+                rows.append(row)
+            row.append(n)
+        else:
+            if n.tag == "tr":
+                row = []
+                rows.append(row)
+            todo.extend((k, row) for k in reversed(n.kids))
     return captions, [r for r in rows if r]
 
 
+def _holders(table: Node) -> set[int]:
+    """The parts of the table itself and what stands between them."""
+    out, todo = set(), [k for k in table.kids if isinstance(k, Node)]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("tr", "td", "th", "thead", "tbody", "tfoot"):
+            x = n
+            while x is not table and id(x) not in out:
+                out.add(id(x))
+                x = x.up
+        if n.tag not in ("td", "th", "table"):
+            todo.extend(k for k in n.kids if isinstance(k, Node))
+    return out
+
+
 def _span(c: Node) -> int:
     s = c.attrs.get("colspan", "1")
     return max(1, int(s)) if re.fullmatch(r"[0-9]{1,3}", s) else 1

@@ -56,6 +56,25 @@ def test_html_layout():
     assert html.render(None) == "" and html.render("<div>" * 50000 + "deep") == "deep"
 
 
+def test_html_no_visible_word_is_missing():
+    cases = {
+        "<table>w1<tr><td>w2</table>": "w1\nw2", "<table><tr>w1<td>w2<div>w3</div></td></tr></table>": "w1\nw2\nw3",
+        "<table><tr><form><td>w1</td></form></tr></table>": "w1", "<table><tr><form><td>w1<td>w2</form><tr><td>w3</table>": "w1  w2\nw3",
+        "<table><tr><a href=x>w1</a><p>w2</p><td>w3</table>": "w1\nw2\nw3", "<table><tbody>w1<tr><div>w2</div><td>w3</table>": "w1\nw2\nw3",
+        "<table><tr><table><tr><td>w1</table><td>w2</table>": "w1\nw2", "<table><form><tr><td>w1<td>w2</tr></form></table>": "w1  w2",
+        "<style>@media print{nav,.side{display:none}}</style><nav>w1</nav><p class=side>w2": "w1\n\nw2",
+        "<style>@media screen{.s{display:none}} .t{color:red;display:none}</style><p class=s>x<p class=t>y<p>w1": "w1",
+        "<style>@import 'a';@media print{.a{x:y}} .b{display:none}</style><p class=a>w1<p class=b>x": "w1",
+        "<a title=don't>w1</a><b>it's</b>": "w1it's", "<p title=\"a>b\">w1": "w1", "<p title = 'a>b'>w1": "w1",
+        "<textarea>w1</textarea> <select><option>w2<option>w3</select>": "w1\nw2\nw3", "<svg><text>w1</text></svg> <math><mi>w2</mi></math>": "w1 w2",
+        "<svg><title>x</title><text>w1</text></svg>": "w1", "<table><caption hidden>x</caption><tr><td>w1</table>": "w1",
+        "<table><tr>w1<td>w2</td>w3</table>": "w1\nw3\nw2", "<a href=a?b=\"c>w1</a>": "w1", "<p>w1<a" + " b='1'" * 3000: "w1",
+    }
+    for page, text in cases.items():
+        got = html.render(page)
+        assert re.findall(r"w\d|it's", got) == re.findall(r"w\d|it's", text) and "x" not in got and "y" not in got, (page, got)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, None, 2), (None, "<p>x", 3)], "page_id long, html string, text int")
     assert sorted(map(tuple, html.extract(df).collect()), key=str) == sorted([(1, "", 0), (None, "x", 1)], key=str)

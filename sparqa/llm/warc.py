@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page id and cut into shards of equal payload bytes; the cuts follow from byte sums alone, not
-from how the input is partitioned. A shard's task writes gzip members, one per record, and rolls to the next file once
+Records are sorted by page id, payload digest and a hash of the url and cut into shards of equal bytes; the cuts follow from byte
+sums alone, not from how the input is partitioned, and fall inside an id, even between equal rows: those travel once
+for each shard, with the number of records to write. A shard's task writes gzip members, one per record, and rolls to the next file once
 the compressed size is reached. Headers and digests are made anew. Files are written under temporary names of the
 attempt; only the files of attempts that Spark reports as done enter the manifest and get their final
 names, so a lost executor or a second attempt leaves nothing behind that a reader would see.
@@ -15,22 +16,26 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparqa.llm.common import buckets_for, scratch, stored
+from sparqa.llm.common import scratch, stored
 
 MIN_REVISIT = 100
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
+#: Rows of the plan that one task sums up; bytes that a record has besides its payload.
+PLAN_ROWS = 20_000
+HEAD_BYTES = 512
+ORDER = ["_key", "digest", "_u"]
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 6
 CRLF = b"\r\n"
@@ -108,13 +113,16 @@ def _writer(base: str, roll: int):
     def write(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _MANIFEST.empty_table()
-        refers_to = dict(zip(zip(known["_key"].to_pylist(), known["digest"].to_pylist(), strict=True), known["refers_to"].to_pylist(), strict=True))
-        keys, digests, urls = (t[c].to_pylist() for c in ("_key", "digest", "url"))
+        known_keys = zip(*(known[c].to_pylist() for c in ORDER), strict=True)
+        told = dict(zip(known_keys, zip(known["refers_to"].to_pylist(), known["records"].to_pylist(), strict=True), strict=True))
+        keys, digests, hashes, urls = (t[c].to_pylist() for c in (*ORDER, "url"))
         out = _Roll(base, t["shard"][0].as_py(), roll)
         pages, payloads = t["page_id"].combine_chunks(), t["payload"].combine_chunks()
-        for i in sorted(range(t.num_rows), key=lambda i: (keys[i], digests[i], urls[i])):
-            refers = refers_to[keys[i], digests[i]]
-            out.add(record(pages[i].as_py(), urls[i], payloads[i].as_py().encode(), digests[i], "response" if refers is None else "revisit", refers))
+        for i in sorted(range(t.num_rows), key=lambda i: (keys[i], digests[i], hashes[i], urls[i])):
+            refers, n = told[keys[i], digests[i], hashes[i]]
+            data = record(pages[i].as_py(), urls[i], payloads[i].as_py().encode(), digests[i], "response" if refers is None else "revisit", refers)
+            for _ in range(n):
+                out.add(data)
         out.close()
         return pa.Table.from_pylist(out.rows, _MANIFEST)
     return write
@@ -133,28 +141,42 @@ def _commit(base: str):
 
 
 def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(_key, digest, refers_to, shard) of the distinct (page_id, payload) pairs, from small columns only; _key is the id, or
-    above all ids where it is NULL."""
+    """(_key, digest, _u, refers_to, shard, records, split) of the distinct (page_id, payload, url), from small columns only; _key is
+    the id, or above all ids where it is NULL, and _u a hash of the url.
+
+    Where ``split``, equal rows lie on both sides of a cut: there is a row for each shard with its number of ``records``;
+    elsewhere every row of the input is a record.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = stored(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-                  .groupBy("page_id", "digest", "bytes").agg(F.count(F.lit(1)).alias("copies")), "warc-rows")
-    ends = rows.agg(F.min("page_id"), F.max("page_id"), F.count(F.lit(1))).first()
-    lo, hi, n = ends[0] or 0, ends[1] or 0, ends[2]
-    rows = rows.withColumn("_key", F.coalesce("page_id", F.lit(hi + 1)).cast("long"))
-    # bytes before each record in id order: sums over ranges of ids, then inside a range
-    rows = rows.withColumn("_bin", F.floor((F.col("_key") - lo) / F.lit(max(1.0, (hi + 2 - lo) / buckets_for(n)))).cast("int"))
-    rows = rows.withColumn("_size", F.col("bytes") * F.col("copies"))
+    rows = stored(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), _url_hash().alias("_u"))
+                  .groupBy("page_id", "digest", "bytes", "_u").agg(F.count(F.lit(1)).alias("copies")), "warc-rows")
+    ends = rows.agg(F.max("page_id"), F.count(F.lit(1))).first()
+    hi, n = ends[0] or 0, ends[1] or 0
+    rows = rows.withColumn("_key", F.coalesce("page_id", F.lit(hi + 1)).cast("long")).withColumn("_unit", F.col("bytes") + HEAD_BYTES)
+    # bytes before each record in order: sums over ranges of rows, then inside a range
+    rows = rows.withColumn("_size", F.col("_unit") * F.col("copies")).repartitionByRange(-(-n // PLAN_ROWS) or 1, *ORDER)
+    rows = stored(rows.withColumn("_bin", F.spark_partition_id()), "warc-order")
     bins = rows.groupBy("_bin").agg(F.sum("_size").alias("_t"))
     before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("_bin", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    # rows of one id share a place, so that the id alone tells the shard
-    inside = Window.partitionBy("_bin").orderBy("_key").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_i", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bins, "_bin")
-    rows = rows.withColumn("shard", F.floor((F.col("_o") + F.col("_i")) / shard_bytes).cast("int"))
-    first = rows.filter(f"bytes >= {MIN_REVISIT} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("_bin").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_i", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bins, "_bin").withColumn("_at", F.col("_o") + F.col("_i"))
+    at = lambda copy: F.floor((F.col("_at") + copy * F.col("_unit")) / shard_bytes).cast("int")
+    rows = rows.withColumn("_first_shard", at(F.lit(0))).withColumn("split", F.col("_first_shard") < at(F.col("copies") - 1))
+    rows = rows.withColumn("shard", F.explode(F.sequence("_first_shard", at(F.col("copies") - 1))))
+    # equal rows that start below a cut
+    below = lambda cut: F.least(F.col("copies"), F.greatest(F.lit(0), F.ceil((cut.cast("long") * shard_bytes - F.col("_at")) / F.col("_unit"))))
+    rows = rows.withColumn("records", F.when(F.col("split"), below(F.col("shard") + 1) - below(F.col("shard"))).otherwise(1).cast("long"))
+    rows = rows.filter("records > 0")
+    first = (rows.filter(f"bytes >= {MIN_REVISIT} and page_id is not null").groupBy("digest")
+             .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
     rows = rows.join(first.filter("_n > 1").drop("_n"), "digest", "left")
     refers = F.when(F.col("page_id") > F.col("_first"), F.col("_first"))
-    return rows.select("_key", "digest", refers.alias("refers_to"), "shard")
+    return rows.select(*ORDER, refers.alias("refers_to"), "shard", "records", "split")
+
+
+def _url_hash():
+    return F.md5(F.coalesce("url", F.lit("")).cast("binary"))
 
 
 def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -163,20 +185,30 @@ def write(pages: DataFrame, base: str, shard_bytes: int = SHARD_BYTES, roll_byte
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
     known = stored(plan(pages, shard_bytes), "warc-plan")
-    # one number per shard of 32 MB: the first id in it
-    first = sorted((r["k"], r["shard"]) for r in known.groupBy("shard").agg(F.min("_key").alias("k")).collect())
-    starts, shards = np.array([k for k, _ in first], np.int64), np.array([x for _, x in first], np.int32)
+    # one record per shard of 32 MB: the first in it; and the rows that a cut splits, one a shard at most
+    first = sorted((tuple(r["k"]), r["shard"]) for r in known.groupBy("shard").agg(F.min(F.struct(*ORDER)).alias("k")).collect())
+    starts, shards = [k for k, _ in first], [x for _, x in first]
+    halved = known.filter("split").select(*ORDER, "shard")
+    split = {tuple(r)[:3] for r in halved.collect()}
     last = known.agg(F.max("_key")).first()[0] or 0
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    schema = "page_id long, url string, payload string, digest string, _key long, shard int"
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            key = t.column("page_id").cast(pa.int64()).fill_null(last).to_numpy(zero_copy_only=False)
-            shard = shards[np.maximum(np.searchsorted(starts, key, "right") - 1, 0)]
-            yield pa.RecordBatch.from_arrays([t.column("page_id").cast(pa.int64()), *t.columns[1:], pa.array(key), pa.array(shard)],
-                                             ["page_id", "url", "payload", "digest", "_key", "shard"])
-    rows = rows.mapInArrow(placed, schema)
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), _url_hash().alias("_u"))
+    schema = "page_id long, url string, payload string, digest string, _u string, _key long, shard int"
+
+    def placed(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                page = t.column("page_id").cast(pa.int64())
+                key = page.fill_null(last)
+                place = list(zip(key.to_pylist(), t.column("digest").to_pylist(), t.column("_u").to_pylist(), strict=True))
+                shard = pa.array([shards[max(0, bisect.bisect_right(starts, x) - 1)] for x in place], pa.int32())
+                out = pa.RecordBatch.from_arrays([page, *t.columns[1:], key, shard], ["page_id", "url", "payload", "digest", "_u", "_key", "shard"])
+                yield out.filter(pa.array([(x in split) != whole for x in place], pa.bool_())) if split or not whole else out
+        return run
+    every = rows.mapInArrow(placed(True), schema)
+    if split:
+        equal = rows.mapInArrow(placed(False), schema).drop("shard").dropDuplicates(ORDER)
+        every = every.unionByName(equal.join(halved, ORDER))
+    rows = every
     written = stored(rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_writer(base, roll_bytes), MANIFEST), "warc-written")
     done = written.repartition(max(1, min(written.count(), 10_000)), "file").mapInArrow(_commit(base), MANIFEST).drop("temporary")
     path = f"{base}/manifest"

@@ -42,6 +42,22 @@ def test_warc(spark, tmp_dir):
         assert seen[0] == seen[1]
 
 
+def test_warc_cuts_inside_an_id(spark, tmp_dir):
+    hot = [(None, f"u{i}", f"{i % 40}" * 500) for i in range(200)] + [(7, "same", "y" * 1000)] * 150 + [(7, f"v{i}", "z" * 1000) for i in range(100)]
+    rows = [(i, f"w{i}", f"{i}-" * 100) for i in range(50)] + hot
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for parts in (2, 7):
+        base = f"{tmp_dir}/hot-{parts}"
+        manifest = warc.write(df.repartition(parts), base, shard_bytes=20_000, roll_bytes=1 << 20).collect()
+        assert max(r.records for r in manifest) <= 50 and sum(r.records for r in manifest) == len(rows)
+        seen.append(sorted((r.file, r.sha256) for r in manifest))
+        back = warc.read(spark, base).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back), key=str) == expected(rows)
+        assert sorted((str(r.page_id), r.url) for r in back) == sorted((str(p), u) for p, u, _ in rows)
+    assert seen[0] == seen[1]
+
+
 def test_html_layout():
     cases = {
         "<p>a<p>b": "a\n\nb", "x<br>y": "x\ny", "<ul><li>1<li>2</ul>": "- 1\n- 2", "<ol start=4><li>a</ol>": "4. a",

@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings made
+A text is brought to a canonical form: lower case, lines that only state a copyright dropped, equivalent spellings made
 one, punctuation and white space reduced to single spaces. Its digest is then hash-joined to the digests
 of known licences. The same form is taken of the whole text and of each of its lines, so a document that is a
 licence and a document that carries a notice line are both found; only entire units match, never parts.
@@ -11,6 +11,8 @@ two known texts with one canonical form give the smaller licence id; extra colum
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +53,60 @@ KNOWN = (
             "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 
-#: A lower-cased line that only states a copyright; it differs between copies of one licence.
+_DISCLAIMER = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+               "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+               "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+               "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+               "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+               "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+               "POSSIBILITY OF SUCH DAMAGE.")
+_CLAUSES = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+            "conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+            "disclaimer in the documentation and/or other materials provided with the distribution.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission.")
+#: Titles that files put above a short licence.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License", "The BSD License"),
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Whole licences as files hold them: the short ones with titles, the long ones (``licenses/``) with and without what
+    follows their terms."""
+    bodies = [(i, t) for i, t in KNOWN if i in TITLES and "\n" in t]
+    bodies += [(i, t.replace("and/or distribute", "and distribute")) for i, t in bodies if i == "ISC"]
+    for name, clauses in (("BSD-2-Clause", _CLAUSES[:3]), ("BSD-3-Clause", _CLAUSES)):
+        for marks in (("", "1. ", "2. ", "3. "), ("", "", "", "")):
+            bodies.append((name, "\n\n".join([m + c for m, c in zip(marks, clauses, strict=False)] + [_DISCLAIMER])))
+    out = [(i, f"{title}\n{reserved}\n{t}") for i, t in bodies for title in ("", *TITLES[i]) for reserved in ("", "All rights reserved.")]
+    for f in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        out += [(f.stem, text)] + ([(f.stem, head), (f.stem, head + end)] if end else [])
+    return out
+
+
+#: How the SQL finds copyright lines.
 COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©)"
+_SENTENCE = ("a|act|an|any|applies|are|as|at|be|disclaimers?|doctrines?|for|from|he|holders?|if|in|infringements?|interests?|is|it|laws?|licen[sc]es?|"
+             "licensed|may|must|not|notices?|on|or|owners?|ownership|permissions?|protected|protection|related|shall|she|should|statements?|status|such|"
+             "that|the (?:library|program|software|work)|these|they|this|those|to|treat(?:y|ies)|under|was|we|which|will|with|work|works|you|your")
+#: A lower-cased line that only states a copyright; it differs between copies of one licence. A mark and a year, two marks, or a mark
+#: and a name to the end of the line, which is not a piece of a sentence.
+NOTICE_LINE = (r"^[ \t]*(?:(?:copyright|\(c\)|©)[ \t:,]*)+(?:by[ \t]+)?[\[<({]?(?:(?:19|20)[0-9]{2}|yyyy|year)\b"
+               r"|^[ \t]*copyright[ \t:]*(?:\(c\)|©)"
+               rf"|^[ \t]*(?:copyright|\(c\)|©)[ \t:]+(?!.*\b(?:{_SENTENCE})\b)(?:\S+[ \t]+){{0,7}}\S*[^\s,;:][ \t\r]*$")
 
 
 def _plain_lines(text: Column) -> Column:
-    """Each line of a text in lower case, without punctuation; copyright lines are blank."""
-    return F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.lit(""))
+    """Each line of a text in lower case, without punctuation; lines that only state a copyright are blank."""
+    return F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(NOTICE_LINE), F.lit(""))
                        .otherwise(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))))
 
 
@@ -88,7 +137,7 @@ def digest(text: Column) -> Column:
 
 
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *full_texts()], "license_id string, text string")
 
 
 #: Known digests up to this number are broadcast; a larger table is joined by shuffle.

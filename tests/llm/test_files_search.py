@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -261,3 +262,21 @@ def test_license_lines_and_whole_texts(spark):
     assert got.where("doc_id = 5").count() == 2
     assert {r.doc_id for r in got.where("digest is null").collect()} == {3, 4, 5}
     assert license.scan(docs.limit(0), license.known_table(spark)).count() == 0
+
+
+def test_license_files_wrapped_and_titled(spark):
+    mit = license.KNOWN[-1][1]
+    rows, want = [], []
+    for text, name in ((mit, "MIT"), *((t, i) for i, t in license.full_texts())):
+        for width in (44, 60, 77):
+            blocks = [b if re.search(r"(?im)^\s*copyright \W*(c\W|\d|yyyy)", b) else textwrap.fill(b, width, break_on_hyphens=False, break_long_words=False)
+                      for b in re.split(r"\n\s*\n", text)]
+            rows.append((len(rows), "\n\n".join(blocks)))
+            want.append(name)
+    for head in ("MIT License\n\nCopyright (c) 2020 Someone\n\n", "The MIT License (MIT)\r\nCopyright Jane Doe, Inc.\r\n", "\u00a9 Some People\n"):
+        rows.append((len(rows), head + mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")))
+        want.append("MIT")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license.scan(docs, license.known_table(spark)).where("unit = 'text'").collect()}
+    assert [i for i, w in enumerate(want) if got[i] != w and not (w.startswith("BSD") and (got[i] or "").startswith("BSD"))] == []
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= set(got.values())

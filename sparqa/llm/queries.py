@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparqa.llm import ann, bpe, html, kdtree, license, minhash, mix, quality, suffix, warc
+from sparqa.llm import ann, bpe, html, kdtree, license, minhash, mix, periodic, quality, spelling, suffix, tokencount, warc
 from sparqa.llm.common import table
 from sparqa.session import ship_package
 
@@ -58,6 +58,18 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,4 +86,5 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_balanced_posting_lists, op2_warc_writer, op3_quality_cascade, op4_block_mix, op5_layout_text, op6_suffix_array_dedup,
-    op7_kd_tree_shards, op8_bpe_pair_index, op9_license_digests, op10_circulant_minhash, pipeline)}
+    op7_kd_tree_shards, op8_bpe_pair_index, op9_license_digests, op10_circulant_minhash, op11_periodic_runs, op12_token_counts,
+    op13_spelling_variants, pipeline)}

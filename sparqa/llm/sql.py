@@ -30,6 +30,17 @@ SELECT doc_id, unit, CAST(position AS INTEGER) AS position, digest, license_id F
 """
 
 
+#: crc32 of a text ``x``, unsigned: its 256-entry table made by rule, then one step a byte.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i))"
+
+
+def _crc32(x: str, table: str) -> str:
+    codes = f"list_transform(range(octet_length(encode({x}))), lambda i: CAST(concat('0x', substr(hex(encode({x})), 2 * i + 1, 2)) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL = {
     "op2_warc_writer": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -86,4 +97,47 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.r
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op11_periodic_runs": rf"""
+WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+o AS MATERIALIZED (SELECT doc_id, ws, len(ws) AS n, {_crc32('CAST(doc_id AS VARCHAR)', 'tab')} AS h
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents), t),
+p AS (SELECT doc_id, ws, n, h, a, 1 + (n - a) // (3 + (h // 10) % 8) AS p
+      FROM (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM o)),
+w AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws
+             ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM p),
+s AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i + 1:i + 6], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM w)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+st AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM isl GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM st WHERE length >= 12 AND length >= 2 * q GROUP BY doc_id, start, length),
+agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+               min((-length, start, period)) AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(x.w, ' ' ORDER BY x.i) AS c
+         FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(n)) AS i FROM w) x ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id),
+best AS (SELECT doc_id, n_runs, lines, -struct_extract_at(top, 1) AS length, struct_extract_at(top, 2) AS start, struct_extract_at(top, 3) AS period FROM agg)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+       CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab),
+r AS (SELECT doc_id, r, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS r FROM documents)
+      WHERE length(r) >= 7 GROUP BY doc_id, r),
+h AS (SELECT r, c, {_crc32("concat(doc_id, ':', r)", 'tab')} AS h FROM r, t),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n
+      FROM (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(r, 1, h % length(r)), substr(r, h % length(r) + 2)) ELSE r END AS word, c FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+d AS MATERIALIZED (SELECT DISTINCT word, concat(substr(word, 1, i), substr(word, i + 2)) AS x FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT v.word AS a, d.word AS b FROM v JOIN d ON d.x = v.word
+      UNION SELECT d.word, v.word FROM v JOIN d ON d.x = v.word
+      UNION SELECT a.word, b.word FROM d a JOIN d b ON a.x = b.x AND a.word <> b.word
+            WHERE len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1),
+near AS (SELECT a AS word, count(*) AS n_near, min((-v.n, b)) AS top FROM e JOIN v ON v.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN -struct_extract_at(top, 1) >= 10 * v.n THEN struct_extract_at(top, 2) END AS form,
+             CASE WHEN -struct_extract_at(top, 1) >= 10 * v.n THEN -struct_extract_at(top, 1) END AS form_n FROM v LEFT JOIN near USING (word)),
+way AS (SELECT word, word AS last FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.last WHERE f.form IS NOT NULL),
+root AS (SELECT way.word, last AS root FROM way JOIN f ON f.word = way.last WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN root USING (word)""",
 }

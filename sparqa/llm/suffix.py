@@ -174,8 +174,8 @@ def _contexts(t: pa.Table, told: list[bytes]):
     """The runs of a block on shared anchors, and their distinct contexts in a canonical order.
 
     Returns ids, (document, start, number of starts, entry) of the runs, and of the entries the anchor, a
-    hash, the smallest id, the number of starts and the padded bytes. Runs on hot anchors are cut into their
-    strings, which have their own hash in the anchor's place.
+    hash, the smallest id, the number of starts and where one begins. Runs on hot anchors are cut into their
+    strings, which have their own hash in the anchor's place. No bytes are kept, some 35 bytes of hashes and places a run.
     """
     buf, offs = text_buffer(t["_text"])
     ids = t["_id"].to_numpy()
@@ -183,15 +183,16 @@ def _contexts(t: pa.Table, told: list[bytes]):
     hot, shared = shared & _ONE == 0, shared | _LOW
     got = []
     padded = np.concatenate([buf, np.zeros(CONTEXT, np.uint8)])
-    wide, m1, m2 = np.arange(CONTEXT), odd(7, CONTEXT // 8), odd(9, CONTEXT // 8)
+    m1, m2 = odd(7, CONTEXT // 8), odd(9, CONTEXT // 8)
+    place = np.int32 if len(buf) < 2 ** 31 else np.int64
 
     def add(d: np.ndarray, s: np.ndarray, n: np.ndarray, h: np.ndarray | None) -> None:
         for i in range(0, len(d), CHUNK // 8):
             j = slice(i, i + CHUNK // 8)
-            ctx = padded[s[j][:, None] + wide] * (wide < (n[j] + MATCH - 1)[:, None]).astype(np.uint8)
-            w = mix(np.ascontiguousarray(ctx).view(np.uint64))
+            ctx, inside = _bytes_of(padded, s[j], n[j])
+            w = mix((ctx * inside).view(np.uint64))
             c1, c2 = mix((w * m1).sum(1) + n[j].astype(np.uint64)), mix((w * m2).sum(1))
-            got.append((d[j], s[j], n[j], c1 if h is None else h[j], c1, c2, ctx))
+            got.append((d[j].astype(np.int32), s[j].astype(place), n[j].astype(np.uint8), c1 if h is None else h[j], c1, c2))
 
     for d, s, n, h in _runs(buf, offs) if len(shared) else ():
         h = h | _LOW
@@ -206,33 +207,46 @@ def _contexts(t: pa.Table, told: list[bytes]):
             add(np.repeat(d[some], k), start, np.ones(len(start), np.int64), None)
     if not got:
         return buf, offs, ids, None, None
-    d, s, n, h, c1, c2, ctx = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort([c2, c1, h])
+    fields = [list(x) for x in zip(*got, strict=True)]
+    got.clear()
+    d, s, n, h, c1, c2 = (np.concatenate(fields.pop(0)) for _ in range(6))
+    order = np.lexsort([c2, c1, h]).astype(place)
     same = np.ones(len(order), bool)
     same[0] = False
     for x in (h, c1, c2):
-        same[1:] &= x[order][1:] == x[order][:-1]
+        x = x[order]
+        same[1:] &= x[1:] == x[:-1]
     cut = np.flatnonzero(~same)
-    entry = np.empty(len(order), np.int64)
-    entry[order] = np.cumsum(~same) - 1
+    entry = np.empty(len(order), place)
+    entry[order] = np.cumsum(~same, dtype=place) - place(1)
     rep = order[cut]
-    least = np.minimum.reduceat(ids[d][order], cut)
-    return buf, offs, ids, (d, s, n, entry), (h[rep], c1[rep], least, n[rep], ctx[rep])
+    least = np.minimum.reduceat(ids[d[order]], cut)
+    return buf, offs, ids, (d, s, n, entry), (h[rep], c1[rep], least, n[rep], s[rep])
+
+
+def _bytes_of(padded: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from each start, and which of them belong to its ``n`` strings."""
+    wide = np.arange(CONTEXT)
+    return padded[s[:, None] + wide], wide < (n.astype(np.int64) + MATCH - 1)[:, None]
 
 
 def _send_contexts(n_buckets: int):
     def send(t: pa.Table, told: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if t.num_rows:
-            *_, entries = _contexts(t, [x.as_py() for x in told["data"]])
+            buf, _, _, _, entries = _contexts(t, [x.as_py() for x in told["data"]])
             if entries:
-                h, c, least, n, ctx = entries
+                h, c, least, n, s = entries
+                padded = np.concatenate([buf, np.zeros(CONTEXT, np.uint8)])
                 for b, lo, hi in _sliced(h, n_buckets):
                     out[0].append(b)
                     out[1].append(t["_block"][0].as_py())
-                    inside = np.arange(CONTEXT) < (n[lo:hi] + MATCH - 1)[:, None]
-                    out[2].append(np.int64(hi - lo).tobytes() + c[lo:hi].tobytes() + least[lo:hi].tobytes()
-                                  + n[lo:hi].astype(np.uint8).tobytes() + ctx[lo:hi][inside].tobytes())
+                    parts = [np.int64(hi - lo).tobytes(), c[lo:hi].tobytes(), least[lo:hi].tobytes(), n[lo:hi].tobytes()]
+                    for i in range(lo, hi, CHUNK // 8):
+                        j = slice(i, min(hi, i + CHUNK // 8))
+                        ctx, inside = _bytes_of(padded, s[j], n[j])
+                        parts.append(ctx[inside].tobytes())
+                    out[2].append(b"".join(parts))
         return _rows(_SENT, out)
     return send
 
@@ -401,6 +415,11 @@ def _least_ids(t: pa.Table) -> pa.Table:
 
 # ---- removal ------------------------------------------------------------------------------------------
 
+def _ragged(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The ``many`` numbers from each start."""
+    return np.arange(int(many.sum())) + np.repeat(start - (np.cumsum(many) - many), many)
+
+
 def _covered(t: pa.Table, told: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The block's bytes, its offsets, and which bytes go."""
     kinds, data = np.array(told["bucket"].to_pylist(), np.int64), told["data"]
@@ -409,8 +428,10 @@ def _covered(t: pa.Table, told: pa.Table, n_buckets: int) -> tuple[np.ndarray, n
     if runs is None:
         return buf, offs, gone
     d, s, n, entry = runs
-    h, _, least, _, _ = entries
-    best = np.repeat(least[:, None], WINDOW, 1)
+    h, _, least, size, _ = entries
+    size = size.astype(np.int64)
+    first = np.cumsum(size) - size  # the strings of an entry side by side
+    best = np.repeat(least, size)
     base = {b: lo for b, lo, _ in _sliced(h, n_buckets)}
     for i in np.flatnonzero(kinds >= 0):
         raw = data[int(i)].as_py()
@@ -418,15 +439,14 @@ def _covered(t: pa.Table, told: pa.Table, n_buckets: int) -> tuple[np.ndarray, n
         least_id = np.frombuffer(raw, np.int64, k, 8)
         e = np.frombuffer(raw, np.int32, k, 8 + 8 * k) + base[int(kinds[i])]
         lo = np.frombuffer(raw, np.uint8, k, 8 + 12 * k).astype(np.int64)
-        hi = np.frombuffer(raw, np.uint8, k, 8 + 13 * k).astype(np.int64)
-        col = np.arange(int((hi - lo).sum())) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
-        best[np.repeat(e, hi - lo), col] = np.repeat(least_id, hi - lo)
+        many = np.frombuffer(raw, np.uint8, k, 8 + 13 * k).astype(np.int64) - lo
+        best[_ragged(first[e] + lo, many)] = np.repeat(least_id, many)
     marks = np.zeros(len(buf) + 1, np.int32)
-    col = np.arange(WINDOW)
     for i in range(0, len(d), 1 << 15):
         j = slice(i, i + (1 << 15))
-        hit = (best[entry[j]] < ids[d[j]][:, None]) & (col < n[j][:, None])
-        marks[(s[j][:, None] + col)[hit]] = 1
+        many = n[j].astype(np.int64)
+        hit = best[_ragged(first[entry[j]], many)] < np.repeat(ids[d[j]], many)
+        marks[_ragged(s[j].astype(np.int64), many)[hit]] = 1
     total = np.cumsum(marks)
     back = np.concatenate([np.zeros(MATCH, np.int32), total[:len(buf) - MATCH]]) if len(buf) >= MATCH else np.zeros(len(buf), np.int32)
     return buf, offs, (total[:len(buf)] - back) > 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,21 @@ def test_a_hot_anchor_is_spread_over_buckets():
     assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
 
 
+def test_a_block_of_hot_text_takes_bounded_memory():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(150)) + "All rights reserved. Page N of " + "".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(6000)]
+    t = pa.table({"_block": pa.array([0] * len(texts), pa.int32()), "_id": list(range(len(texts))), "_text": texts})
+    # every anchor of the block told to be shared and hot: the worst case
+    hashes = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in suffix._send_anchors(1)(t)["data"]]) | suffix._LOW)
+    told = pa.table({"data": [(hashes - np.uint64(1)).tobytes()]})
+    n = sum(map(len, texts))
+    tracemalloc.start()
+    suffix._send_contexts(200)(t, told)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n, peak / n
+
+
 def test_template_line_in_all_documents(spark, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(suffix, "CONTEXT_BUCKET_ENTRIES", 100)

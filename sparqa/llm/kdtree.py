@@ -7,11 +7,13 @@ that holds the quantile, and Spark aggregates the bins. The driver sees a few nu
 per shard, never per row.
 
 A coordinate is a 62-bit integer: 40 bits of the scaled value, then 22 bits of a row hash, so a value that
-a third of all rows share can still be cut anywhere.
+a third of all rows share can still be cut anywhere. Rows alike in everything are counted and numbered first, and the
+number is part of the hash: a row repeated in a third of the table is cut like any other rows.
 
-Edge cases: a NULL dimension value is placed lowest; a NULL text has no bytes and checksum 0; rows alike in
-id, size and checksum stay together; with fewer rows than shards some shards are empty; an empty table
-gives an empty table.
+Groups of equal texts are not kept together: the law is near-equal bytes, and a group may hold more than a shard.
+
+Edge cases: a NULL dimension value is placed lowest; a NULL text has no bytes and checksum 0; with fewer rows than shards
+some shards are empty; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ BINS = 1024
 #: A cut may miss its quantile by this share of a shard's target bytes.
 TOLERANCE = 0.002
 ROW_BYTES = 16
+#: Equal rows numbered by one row of a task, and rows a task numbers in all.
+NUMBERS = 4096
+TASK_ROWS = 500_000
 
 
 def _scaled(df: DataFrame, dims: dict[str, Column], tie: Column) -> DataFrame:
@@ -45,6 +50,19 @@ def _scaled(df: DataFrame, dims: dict[str, Column], tie: Column) -> DataFrame:
     return df.drop(*(f"_v{i}" for i in range(len(dims))))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... over the rows that are alike in all columns.
+
+    Equal rows become one with a count before they are shuffled; they are made again by many tasks.
+    """
+    counts = stored(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")), "kd-counts")
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / NUMBERS).cast("long")))
+    dealt = counts.withColumn("_chunk", chunk).repartition(max(1, -(-total // TASK_ROWS)), F.xxhash64(*df.columns, "_chunk"))
+    first = F.col("_chunk") * NUMBERS
+    return dealt.withColumn(name, F.explode(F.sequence(first, F.least(first + NUMBERS, F.col("_c")) - 1))).drop("_c", "_chunk")
+
+
 def _pick(n_dims: int, dim: Column) -> Column:
     out = F.col("_k0")
     for i in range(1, n_dims):
@@ -115,6 +133,7 @@ def assign(df: DataFrame, n_shards: int, dims: dict[str, Column], weight: str, t
         placed = placed.join(down, "_node", "left").withColumn(
             "_node", F.when(F.col("_dim").isNotNull() & (_pick(n_dims, F.col("_dim")) >= F.col("_cut")), F.col("_right"))
             .otherwise(F.col("_node"))).drop("_dim", "_cut", "_right")
+        placed = stored(placed, "kd-level")  # else every pass of a level repeats the joins of those above
         level = {m: c for n, k in level.items() for m, c in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, k),)) if c}
         if not asked:
             break
@@ -124,13 +143,13 @@ def assign(df: DataFrame, n_shards: int, dims: dict[str, Column], weight: str, t
 def report(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Every document's shard and its gapless slot there, under the law of near-equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    meta = stored(docs.select(
+    meta = numbered(docs.select(
         "doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        "source", "lang", F.length(text).alias("_chars")), "kd-rows")
+        "source", "lang", F.length(text).alias("_chars")), "_nr")
     place = lambda c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(2 ** 31)))
     dims = {"doc_id": F.col("doc_id"), "chars": F.col("_chars"), "source": place("source"), "lang": place("lang")}
-    tie = F.xxhash64("doc_id", "text_crc32", "size")
-    out = stored(assign(meta, n_shards, dims, "size", tie).select("doc_id", "size", "text_crc32", F.col("shard").cast("int"), F.lit(1).cast("long").alias("_one")), "kd-shards")
-    out = with_start(out, ["shard"], ["doc_id", "text_crc32", "size"], "_one", "slot", buckets_for(out.count()))
+    tie = F.xxhash64("doc_id", "text_crc32", "size", "_nr")
+    out = stored(assign(meta, n_shards, dims, "size", tie).select("doc_id", "size", "text_crc32", "_nr", F.col("shard").cast("int"), F.lit(1).cast("long").alias("_one")), "kd-shards")
+    out = with_start(out, ["shard"], ["doc_id", "text_crc32", "size", "_nr"], "_one", "slot", buckets_for(out.count()))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast(T.IntegerType()).alias("grown_shard"))

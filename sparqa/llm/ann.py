@@ -1,8 +1,9 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 *Fit.* Centroids are the means of the leaves of a balanced bisection of a bounded sample: each split is at the median along
-the line between two 2-means centres, so lists hold about equally many vectors. A graph links each centroid to its
-nearest ones; it lives in memory and is bounded by ``MAX_LISTS``.
+the line between two 2-means centres, so lists hold about equally many vectors. Many lists are fitted in two levels: a small sample
+gives coarse cells, and tasks bisect each cell's share of a sample of ``FIT_ROWS`` vectors a list, enough that a sampled vector hardly moves its own
+centroid. A graph links each centroid to its nearest ones; it lives in memory and is bounded by ``MAX_LISTS``.
 
 *Index.* Every vector goes to its nearest list and, if it lies near a boundary, to further ones: those not much farther than
 the nearest. Lists are split over cells by their measured size, so a list of any size is searched by many tasks.
@@ -16,7 +17,8 @@ these are indexed: nothing a search could return is left out.
 
 Edge cases: vectors that are NULL, empty, zero, of another length than most, or that hold a NULL or non-finite component
 take no part, nor do rows without an id; repeated rows count once; fewer candidates than k are all returned; no
-vectors give an empty result; extra columns are ignored.
+vectors give an empty result; extra columns are ignored. Where components are so large or small that squares would leave the
+range of doubles, vectors are scaled for the search, and each distance by its own largest difference.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from sparqa.llm.common import stored
 
-#: Bound on the rows the centroids are fitted on, wanted vectors per list, bound on the lists.
+#: Bound on the rows that one fit is made on in the driver, sampled vectors a list (MAX_LISTS times as many at most are fitted on in tasks),
+#: wanted vectors per list, bound on the lists, coarse cells of a fit in two levels.
 SAMPLE_ROWS = 20_000
+FIT_ROWS = 64
 LIST_ROWS = 512
 MAX_LISTS = 16_384
+COARSE = 128
 #: Boundary vectors: most lists of one vector, and how much farther than the nearest centroid.
 REPLICAS = 4
 REPLICA_RATIO = 1.10
@@ -40,7 +45,9 @@ PROBE_RATIO = 1.15
 BEAM = 128
 DEGREE = 16
 #: Posted vectors of a cell.
-CELL_ROWS = 8192
+CELL_ROWS = 1024
+#: Largest components between these need no scaling.
+PLAIN_RANGE = (1e-100, 1e100)
 
 
 def fit(x: np.ndarray, n_lists: int, seed: int = 3) -> np.ndarray:
@@ -68,8 +75,9 @@ def fit(x: np.ndarray, n_lists: int, seed: int = 3) -> np.ndarray:
 class Graph:
     """Centroids, each linked to its nearest and to some others far away."""
 
-    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, seed: int = 5):
+    def __init__(self, centroids: np.ndarray, degree: int = DEGREE, seed: int = 5, scale: float = 1.0):
         self.c = np.ascontiguousarray(centroids, np.float64)
+        self.scale = scale  # vectors are divided by it before they are compared with the centroids
         n = len(self.c)
         rng = np.random.default_rng(seed)
         k = min(degree, n - 1)
@@ -127,11 +135,12 @@ class Graph:
         return order, np.take_along_axis(d, order, 1)
 
 
-def _vectors(column) -> np.ndarray:
+def _vectors(column, scale: float = 1.0) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(a, pa.ChunkedArray):
         a = pa.concat_arrays(a.chunks)
-    return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
+    x = np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
+    return x if scale == 1.0 else x / scale
 
 
 def _chosen(lists: np.ndarray, keep: np.ndarray) -> pa.ListArray:
@@ -150,6 +159,36 @@ def valid(df: DataFrame, key: str, vec: str) -> DataFrame:
     return rows.filter(F.size("v") == (dims[0]["d"] if dims else 0))
 
 
+def _sampled(useful: DataFrame, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of the ``n`` rows, the same for the same rows."""
+    share = min(1.0, rows / n)
+    return useful.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec_id", "v")
+
+
+def _centroids(useful: DataFrame, n: int, n_lists: int, scale: float) -> np.ndarray:
+    sample = _sampled(useful, n, SAMPLE_ROWS).toArrow().sort_by("vec_id")
+    x = _vectors(sample["v"], scale) if sample.num_rows else _vectors(useful.limit(1).toArrow()["v"], scale)
+    if n_lists * FIT_ROWS <= len(x) or n_lists <= COARSE:
+        return fit(x, n_lists)
+    coarse = Graph(fit(x, COARSE))
+    wide = _sampled(useful, n, n_lists * FIT_ROWS)
+    kind = useful.schema["v"].dataType.simpleString()
+
+    def deal(batches):
+        for t in batches:
+            cell = np.concatenate([coarse.all(_vectors(t.column("v").slice(lo, 4096), scale))[0][:, 0] for lo in range(0, t.num_rows, 4096)]) if t.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), t.column("vec_id"), t.column("v")], ["cell", "vec_id", "v"])
+    dealt = stored(wide.mapInArrow(deal, f"cell int, vec_id long, v {kind}"), "ann-fit")
+    per_list = dealt.count() / n_lists
+
+    def fit_cell(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        c = fit(_vectors(t["v"], scale), max(1, round(t.num_rows / per_list)))
+        return pa.table({"cell": pa.array([t["cell"][0].as_py()] * len(c), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
+    found = dealt.groupBy("cell").applyInArrow(fit_cell, "cell int, c array<double>").toArrow()  # one row a list
+    return np.unique(_vectors(found["c"]), axis=0)
+
+
 def build(rows: DataFrame, k: int) -> tuple[DataFrame, Graph | None]:
     """The postings (list, vec_id, v) of ``rows`` (vec_id, v), and the graph of the lists."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -158,17 +197,15 @@ def build(rows: DataFrame, k: int) -> tuple[DataFrame, Graph | None]:
     kind = rows.schema["v"].dataType.simpleString()
     if not n:
         return useful.sparkSession.createDataFrame([], f"list int, vec_id long, v {kind}"), None
-    # a bounded sample, the same for the same rows
-    share = min(1.0, SAMPLE_ROWS / n)
-    sample = useful.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec_id", "v").toArrow().sort_by("vec_id")
-    x = _vectors(sample["v"]) if sample.num_rows else _vectors(useful.limit(1).toArrow()["v"])
-    graph = Graph(fit(x, max(1, min(MAX_LISTS, n // LIST_ROWS, max(1, len(x) // 8)))))
+    scale = useful.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0]
+    scale = 1.0 if PLAIN_RANGE[0] <= scale <= PLAIN_RANGE[1] else scale
+    graph = Graph(_centroids(useful, n, max(1, min(MAX_LISTS, n // LIST_ROWS)), scale), scale=scale)
 
     def post(batches):
         for t in batches:
             for lo in range(0, t.num_rows, 1024):
                 part = t.slice(lo, 1024)
-                v = _vectors(part.column("v"))
+                v = _vectors(part.column("v"), graph.scale)
                 lists, dist = graph.walk(v, 4 * REPLICAS)
                 lists, dist = lists[:, :REPLICAS], dist[:, :REPLICAS]
                 keep = np.isfinite(dist) & (dist <= REPLICA_RATIO * dist[:, :1])
@@ -186,7 +223,7 @@ def _probe(graph: Graph, counts: dict[int, int], enough: int):
         for t in batches:
             for lo in range(0, t.num_rows, 1024):
                 part = t.slice(lo, 1024)
-                v = _vectors(part.column("v"))
+                v = _vectors(part.column("v"), graph.scale)
                 lists, dist, keep = chosen(*graph.walk(v, beam))
                 # the walk ended inside the ratio, or before it met enough vectors or all it asked for
                 short = keep[:, -1] | ~np.isfinite(dist[:, -1]) if beam < len(graph.c) else ~np.isfinite(dist).all(1)
@@ -209,7 +246,18 @@ def _probe(graph: Graph, counts: dict[int, int], enough: int):
     return run
 
 
-def _nearest(k: int):
+def _distances(a: np.ndarray, b: np.ndarray, scale: float) -> np.ndarray:
+    """Euclidean distances row by row."""
+    if scale == 1.0:
+        return np.sqrt(((a - b) ** 2).sum(1))
+    d = np.abs(a - b)
+    top = d.max(1)
+    ok = (top > 0) & np.isfinite(top)
+    unit = d / np.where(ok, top, 1.0)[:, None]
+    return np.where(ok, top * np.sqrt((np.where(ok[:, None], unit, 0.0) ** 2).sum(1)), top)
+
+
+def _nearest(k: int, scale: float):
     def run(queries: pa.Table, posted: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not queries.num_rows or not posted.num_rows:
@@ -218,6 +266,7 @@ def _nearest(k: int):
         p_list, p_id, p = posted["list"].to_numpy(), posted["vec_id"].to_numpy(), _vectors(posted["v"])
         order = np.argsort(p_list, kind="stable")
         p_list, p_id, p = p_list[order], p_id[order], p[order]
+        raw_q, raw_p, q, p = q, p, q / scale, p / scale
         norm = (p ** 2).sum(1)
         out = []
         for l in np.unique(q_list):
@@ -231,7 +280,7 @@ def _nearest(k: int):
                 d[q_id[part][:, None] == p_id[a:b]] = np.inf
                 kth = np.partition(d, min(k, b - a) - 1, axis=1)[:, min(k, b - a) - 1]
                 i, j = np.nonzero((d <= kth[:, None] + 1e-9 * (1 + np.abs(kth[:, None]))) & np.isfinite(d))
-                exact = np.sqrt(((q[part[i]] - p[a + j]) ** 2).sum(1))
+                exact = _distances(raw_q[part[i]], raw_p[a + j], scale)
                 out.append((q_id[part[i]], p_id[a + j], exact))
         if not out:
             return schema.empty_table()
@@ -263,7 +312,7 @@ def search(queries: DataFrame, postings: DataFrame, graph: Graph, k: int) -> Dat
     left = (probes.join(per, "list").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
             .withColumn("cell", cell(F.col("_part").cast("long"))).select("cell", "list", "query_id", "q").distinct())
     found = left.groupBy("cell").cogroup(right.select("cell", "list", "vec_id", "v").toDF("cell", "list", "vec_id", "v").groupBy("cell")).applyInArrow(
-        _nearest(k), "query_id long, vec_id long, score double")
+        _nearest(k, graph.scale), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best))
             .filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

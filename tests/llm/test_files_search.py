@@ -194,6 +194,38 @@ def test_recall_over_many_lists(spark, monkeypatch):
     assert np.mean(hits) >= 9, np.mean(hits)
 
 
+def test_recall_of_queries_in_the_fitted_sample(spark, monkeypatch):
+    """A fit in two levels, with half of the queries in the sample that the centroids come from."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 128)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 4000)
+    x = _unit(40000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.stored(df.select("vec_id", df.embedding.alias("v")), "test-rows")
+    fitted = {r.vec_id for r in ann._sampled(rows, 40000, 40000 // 128 * ann.FIT_ROWS).select("vec_id").collect()}
+    got = ann.nearest(df, every=50).toPandas()
+    hits = {True: [], False: []}
+    for q in range(0, 40000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits[q in fitted].append(len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id)))
+    assert len(hits[True]) > 200 and len(hits[False]) > 200
+    assert np.mean(hits[True]) >= 9 and np.mean(hits[False]) >= 9, (np.mean(hits[True]), np.mean(hits[False]))
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e300])
+def test_components_beyond_the_square_root_of_doubles(spark, size):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6)) / 4
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, k=3).toPandas()
+    for q in (0, 100, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine.vec_id) == list(np.argsort(d)[:3])
+        assert np.allclose(mine.score / size, np.sort(d)[:3], rtol=1e-9)
+
+
 def test_pipeline_stages(spark):
     from test_bpe import PATH, Tokenizer
     from test_bpe import expected as tokens

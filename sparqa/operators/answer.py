@@ -130,20 +130,25 @@ def responder_udf(responder: Responder | None = None, factory: Callable[[], Resp
 
 
 def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col: str = "generator_model",
-                    prompt_col: str = "prompt", out_col: str = "generated_answer") -> DataFrame:
+                    prompt_col: str = "prompt", out_col: str = "generated_answer",
+                    factories: dict[str, Callable[[], Responder]] | None = None) -> DataFrame:
     """G8 for a grid: each row is answered by the responder of its own model.
 
     One ``mapInPandas`` pass; inside an Arrow batch the rows are grouped by model and
     each responder gets only its rows (a failing row answers "", as in ``responder_udf``).
+    ``factories`` build a model's responder (a client, a loaded model) when a task first meets the model.
     A model without a responder is an error.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
     def run(batches):
+        made = dict(responders or {})
         for pdf in batches:
             answers = pd.Series([""] * len(pdf), index=pdf.index, dtype=object)
             for model, part in pdf.groupby(model_col, dropna=False):
-                fn = responders.get(model)
+                if model not in made and model in (factories or {}):
+                    made[model] = factories[model]()
+                fn = made.get(model)
                 if fn is None:
                     raise ValueError(f"no responder is given for the model {model!r}")
                 answers.loc[part.index] = _respond(fn, part[prompt_col].fillna("").astype(str).tolist())
@@ -153,19 +158,20 @@ def answer_by_model(df: DataFrame, responders: dict[str, Responder], model_col:
 
 
 def generate_answers(df: DataFrame, prompt_col: str = "prompt", contexts_col: str = "retrieved_contexts",
-                     out_col: str = "generated_answer", responder: Responder | None = None) -> DataFrame:
+                     out_col: str = "generated_answer", responder: Responder | None = None,
+                     factory: Callable[[], Responder] | None = None) -> DataFrame:
     """Batch answering. Without a responder the native extractive stand-in runs."""
-    if responder is None:
+    if responder is None and factory is None:
         return df.withColumn(out_col, standin_answer(contexts_col))
-    return df.withColumn(out_col, responder_udf(responder)(F.col(prompt_col)))
+    return df.withColumn(out_col, responder_udf(responder, factory)(F.col(prompt_col)))
 
 
 def answer_questions(questions: DataFrame, points: DataFrame | None, *, use_rag: bool = True,
                      k: int = DEFAULT_TOP_K, q_key: str = "qid", q_text: str = "question",
                      embedder: Embedder = hash_embedder, responder: Responder | None = None,
                      rag_template: str = RAG_TEMPLATE, plain_template: str = PLAIN_TEMPLATE,
-                     cut: int = CONTEXT_CUT) -> DataFrame:
-    """G9 + G10 over a question table: answer, rank-ordered contexts, prompt.
+                     cut: int = CONTEXT_CUT, factory: Callable[[], Responder] | None = None) -> DataFrame:
+    """G9 + G10 over a question table: answer, rank-ordered contexts, prompt. ``factory`` builds the responder once per task.
 
     Without retrieval the context list is ``[]`` (never NULL) and no search runs.
     """
@@ -181,4 +187,4 @@ def answer_questions(questions: DataFrame, points: DataFrame | None, *, use_rag:
         base = questions.withColumn("retrieved_contexts", empty)
     base = base.withColumn("context", build_context("retrieved_contexts", cut)) \
                .withColumn("prompt", build_prompt(q_text, "context", use_rag, rag_template, plain_template))
-    return generate_answers(base, "prompt", "retrieved_contexts", "generated_answer", responder)
+    return generate_answers(base, "prompt", "retrieved_contexts", "generated_answer", responder, factory)

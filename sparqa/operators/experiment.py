@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparqa.operators import answer as ans
+from sparqa.operators.answerstore import answers_once
+from sparqa.operators.collection import scratch_path
 from sparqa.operators.embed import Embedder, hash_embedder
 from sparqa.plans.fixtures import EXPERIMENTS, config_array
 from sparqa.sources.results import build_output_path
@@ -52,14 +54,16 @@ def grid(questions: DataFrame, experiment: str = "all") -> DataFrame:
 
 def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "all", k: int = 3,
                   embedder: Embedder = hash_embedder, responder=None,
-                  responders: dict | None = None, cut: int = ans.CONTEXT_CUT) -> DataFrame:
+                  responders: dict | None = None, cut: int = ans.CONTEXT_CUT,
+                  factories: dict | None = None, store: str | None = None) -> DataFrame:
     """X3 + X5 + G10: the QA rows (``row_id, question, answer``) under the selected configs.
 
     Retrieval runs once per distinct question text and is shared by the RAG configs (it does not depend
     on the model); every grid row is then prompted and answered by its own model:
     ``responders`` maps ``generator_model`` to a batch responder (``responder`` = one for
-    all models; neither = the native stand-in). Plain rows get ``[]`` contexts; missing
-    questions and answers are filled first (M1).
+    all models; neither = the native stand-in); ``factories`` build them once per task. With ``store`` (a shared folder) every
+    answer is in the answer store before this returns, and no distinct prompt is asked twice, in later runs either.
+    Plain rows get ``[]`` contexts; missing questions and answers are filled first (M1).
     """
     names = check_experiment(experiment)
     qa = fill_missing_text(qa)
@@ -79,13 +83,17 @@ def generate_grid(qa: DataFrame, points: DataFrame | None, experiment: str = "al
         F.when(F.col("_cfg.use_rag"), F.coalesce("_ctx", empty)).otherwise(empty).alias("retrieved_contexts"))
     if responder is not None and responders is None:
         responders = {m: responder for _, m, _, _ in EXPERIMENTS}
-    if responders is None:
+    if responders is None and factories is None:
         return g.withColumn("generated_answer", ans.standin_answer("retrieved_contexts")) \
                 .select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
                         "retrieved_contexts")
     prompted = g.withColumn("prompt", ans.build_prompt(
         "question", ans.build_context("retrieved_contexts", cut), F.col("use_rag")))
-    out = ans.answer_by_model(prompted, responders)
+    if store is not None:
+        prompted.write.parquet(path := scratch_path(qa.sparkSession, "prompted"))  # retrieval runs once for store and rows
+        out = answers_once(qa.sparkSession.read.parquet(path), store, responders, factories=factories)
+    else:
+        out = ans.answer_by_model(prompted, responders or {}, factories=factories)
     return out.select(*qa.columns, "experiment", "generator_model", "use_rag", "generated_answer",
                       "retrieved_contexts")
 
@@ -129,6 +137,44 @@ def run_stages(action: str, *, generate=None, load=None, experiment: str = "all"
     return df
 
 
+def run_stages_saved(action: str, path: str, qa: DataFrame, points: DataFrame | None = None, *, experiment: str = "all", config: dict | None = None,
+                     k: int = 3, embedder: Embedder = hash_embedder, responders: dict | None = None, factories: dict | None = None,
+                     judge=None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """X4 with every stage written before the next reads it: answers are generated once, and a run that died goes on where
+    it stopped.
+
+    ``path``: the run's folder (shared). ``config`` names what a digest cannot see: models, judge, collection version. The
+    stages of ``action`` run per experiment, those committed for the same data and configuration do not. ``bert`` and ``ragas`` alone build on
+    what ``generate`` committed and run it where it is missing. Returns the rows and the (stage, experiment) pairs that ran.
+    """
+    from sparqa.operators.judge import attach_metrics, native_judge, run_judge
+    from sparqa.operators.staged import run_resumable
+    from sparqa.operators.tokenmatch import bertscore
+
+    wanted = check_action(action)
+    names = check_experiment(experiment)
+    spark = qa.sparkSession
+
+    def generate(todo: list[str]) -> DataFrame:
+        store = f"{path.rstrip('/')}/store" if responders or factories else None
+        parts = [generate_grid(qa, points, e, k, embedder, responders=responders, factories=factories, store=store) for e in todo] if len(todo) < len(names) else [
+            generate_grid(qa, points, experiment, k, embedder, responders=responders, factories=factories, store=store)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def ragas(df: DataFrame) -> DataFrame:
+        if judge is None:
+            return native_judge(df, use_rag="use_rag")
+        keys = ["row_id", "experiment"]
+        rag = run_judge(df.where(F.col("use_rag")), keys, judge, use_rag=True)
+        plain = run_judge(df.where(~F.col("use_rag")), keys, judge, use_rag=False)
+        return attach_metrics(df, rag.unionByName(plain, allowMissingColumns=True), keys)
+    stages = [("generate", generate)] + [(n, f) for n, f in (("bert", bertscore), ("ragas", ragas)) if wanted[n]]
+    return run_resumable(spark, path, stages, names, qa, {"k": k, "cut": ans.CONTEXT_CUT, "rag": ans.RAG_TEMPLATE, "plain": ans.PLAIN_TEMPLATE, **(config or {})})
+
+
 def tag_results(df: DataFrame, experiment: str) -> DataFrame:
     """X5 on reload: add ``experiment`` only when the column is absent."""
     if "experiment" in df.columns:

@@ -2,8 +2,11 @@
 
 Layout of a collection directory::
 
-    <path>/points/writer=<w>/batch=<b>/   (point_id BIGINT, doc_id, pos INT, text STRING, embedding ARRAY<...>)
-    <path>/meta/     one row: name STRING, dim INT, distance STRING
+    <path>/points-<g>/writer=<w>/batch=<b>/   (point_id BIGINT, doc_id, pos INT, text STRING, embedding ARRAY<...>)
+    <path>/meta/generation=<g>/               one row: name STRING, dim INT, distance STRING
+
+The highest generation in ``meta`` is the collection. Recreating writes the next generation's empty points first and its metadata
+last, so a job that dies on the way leaves the collection as it was.
 
 ``point_id`` is a hash of ``(doc_id, pos, text)`` so a re-run gives the same ids; appending
 the same chunks twice keeps both copies, as a fresh-id upsert does.
@@ -23,8 +26,8 @@ from sparqa.session import checkpoint_dir
 DISTANCE = "cosine"
 
 
-def _points(path: str) -> str:
-    return path.rstrip("/") + "/points"
+def _points(path: str, generation: int) -> str:
+    return f"{path.rstrip('/')}/points-{generation}"
 
 
 def _meta(path: str) -> str:
@@ -47,37 +50,39 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _write_meta(spark: SparkSession, path: str, name: str, dim: int) -> None:
+def _write_meta(spark: SparkSession, path: str, name: str, dim: int, generation: int) -> None:
     spark.createDataFrame([(name, int(dim), DISTANCE)], "name string, dim int, distance string") \
-        .coalesce(1).write.mode("overwrite").parquet(_meta(path))
+        .coalesce(1).write.mode("overwrite").parquet(f"{_meta(path)}/generation={generation}")
 
 
-def _batch_path(path: str, writer: str, batch: str | int) -> str:
-    return f"{_points(path)}/writer={writer}/batch={batch}"
+def _batch_path(path: str, generation: int, writer: str, batch: str | int) -> str:
+    return f"{_points(path, generation)}/writer={writer}/batch={batch}"
 
 
-def _no_points(spark: SparkSession, vec_type: str) -> DataFrame:
-    return spark.createDataFrame([], f"point_id bigint, doc_id bigint, pos int, text string, embedding array<{vec_type}>")
+def _write_empty_points(spark: SparkSession, path: str, vec_type: str, generation: int) -> None:
+    """A batch of no points, which fixes the schema; points of other writers stay."""
+    none = spark.createDataFrame([], f"point_id bigint, doc_id bigint, pos int, text string, embedding array<{vec_type}>")
+    none.write.mode("overwrite").parquet(_batch_path(path, generation, "create", 0))
 
 
-def _write_empty_points(spark: SparkSession, path: str, vec_type: str) -> None:
-    """A batch of no points, which fixes the schema; points of other writers stay."""
-    _no_points(spark, vec_type).write.mode("overwrite").parquet(_batch_path(path, "create", 0))
+def _latest(spark: SparkSession, path: str):
+    """The metadata row of the current generation."""
+    return spark.read.parquet(_meta(path)).orderBy(F.desc("generation")).first()
 
 
-def _wipe_points(spark: SparkSession, path: str, vec_type: str) -> None:
-    empty = _no_points(spark, vec_type).withColumns({"writer": F.lit(""), "batch": F.lit("")})
-    empty.write.mode("overwrite").partitionBy("writer", "batch").parquet(_points(path))
-    _write_empty_points(spark, path, vec_type)
+def generation_of(spark: SparkSession, path: str) -> int:
+    return int(_latest(spark, path)["generation"])
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_meta(path))
+    """(name, dim, distance) of the collection."""
+    meta = spark.read.parquet(_meta(path))
+    return meta.where(F.col("generation") == generation_of(spark, path)).select("name", "dim", "distance")
 
 
 def collection_dimension(spark: SparkSession, path: str) -> int:
     """V3: the stored dimension; error when it cannot be determined."""
-    row = read_meta(spark, path).select("dim").first()
+    row = _latest(spark, path)
     if row is None or row["dim"] is None:
         raise ValueError(f"the metadata of {path} names no vector length")
     return int(row["dim"])
@@ -88,20 +93,21 @@ def create_collection(spark: SparkSession, path: str, dim: int, name: str = "col
                       vec_type: str = "double") -> str:
     """V1 + V2: create when missing; on an existing one guard the dimension.
 
-    A mismatch raises naming both dimensions, or wipes and recreates when asked to.
+    A mismatch raises naming both dimensions, or starts an empty generation when asked to.
     Returns the action taken: ``created``, ``reused`` or ``recreated``.
     """
     if not exists(spark, path):
-        _write_empty_points(spark, path, vec_type)
-        _write_meta(spark, path, name, dim)
+        _write_empty_points(spark, path, vec_type, 0)
+        _write_meta(spark, path, name, dim, 0)
         return "created"
     current = collection_dimension(spark, path)
     if current != dim:
         if not recreate_on_dimension_mismatch:
             raise ValueError(f"collection '{name}' holds vectors of length {current}, those given have {dim}; "
                              "index into another one or pass recreate_on_dimension_mismatch=True")
-        _wipe_points(spark, path, vec_type)
-        _write_meta(spark, path, name, dim)
+        following = generation_of(spark, path) + 1
+        _write_empty_points(spark, path, vec_type, following)
+        _write_meta(spark, path, name, dim, following)  # from here on the old points are out of the collection
         return "recreated"
     return "reused"
 
@@ -130,14 +136,16 @@ def append_points(points: DataFrame, path: str, writer: str = "append", batch: s
     Each call writes a folder of its own (``writer``, ``batch``); a replayed batch replaces itself and nothing else. A
     vector of another length than the collection's fails the write.
     """
-    dim = collection_dimension(points.sparkSession, path)
+    meta = _latest(points.sparkSession, path)
+    dim = int(meta["dim"])
     vec = F.col("embedding")
     fits = F.when(F.size(vec) == dim, vec).otherwise(F.raise_error(F.concat(F.lit(f"the collection holds vectors of length {dim}, not "), F.size(vec).cast("string"))))
-    points.withColumn("embedding", fits).write.mode("overwrite").parquet(_batch_path(path, writer, uuid.uuid4().hex if batch is None else batch))
+    points.withColumn("embedding", fits).write.mode("overwrite").parquet(_batch_path(path, int(meta["generation"]), writer, uuid.uuid4().hex if batch is None else batch))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_points(path)).drop("writer", "batch")
+    """The points of all writers."""
+    return spark.read.parquet(_points(path, generation_of(spark, path))).drop("writer", "batch")
 
 
 def collection_count(spark: SparkSession, path: str) -> int:

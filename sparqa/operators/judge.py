@@ -135,19 +135,72 @@ def verdict_table(df: DataFrame, keys: list[str], **cols) -> DataFrame:
 
 JudgeFn = Callable[[pd.DataFrame], pd.DataFrame]
 
+# Rows of a judge call by default, and in a repair run.
+JUDGE_BATCH = 32
+REPAIR_BATCH = 1
+
+
+def first_fit(lengths: list[int], batch_size: int = JUDGE_BATCH, budget: int | None = None) -> list[int]:
+    """The batch of each row: the first one with a place and with room under ``budget``; a row longer than that is a batch of its own.
+
+    A row that fits nowhere opens a batch. Full batches are passed over at once.
+    """
+    used: list[int] = []
+    rows: list[int] = []
+    out, first = [], 0
+    for n in lengths:
+        i = first
+        while i < len(used) and (rows[i] >= batch_size or budget is not None and used[i] + n > budget):
+            i += 1
+        if i == len(used):
+            used.append(0)
+            rows.append(0)
+        used[i] += n
+        rows[i] += 1
+        out.append(i)
+        while first < len(used) and (rows[first] >= batch_size or budget is not None and used[first] > budget):
+            first += 1
+    return out
+
+
+def judge_tokens(question: str = "user_input", contexts: str = "retrieved_contexts", answer: str = "response", reference: str = "reference") -> Column:
+    """What a row costs a judge: the tokens of its texts."""
+    size = lambda c: F.size(tokens(F.coalesce(c, F.lit(""))))
+    ctx = F.aggregate(F.coalesce(contexts, F.array().cast("array<string>")), F.lit(0), lambda n, c: n + size(c))
+    return (size(F.col(question)) + size(F.col(answer)) + size(F.col(reference)) + ctx).cast("int")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _first_fit(lengths: pd.Series, batch_size: pd.Series, budget: pd.Series) -> pd.Series:
+    return pd.Series([first_fit([int(x) for x in v], int(s), None if pd.isna(b) else int(b)) for v, s, b in zip(lengths, batch_size, budget, strict=True)])
+
+
+def batch_plan(df: DataFrame, group: str, order: list[str], length: Column, batch_size: int = JUDGE_BATCH, budget: int | None = None) -> DataFrame:
+    """(group, *order, length, batch): the judge batches of every group of rows, packed in the order of ``order``.
+
+    For judges that take whole groups (a conversation) in one session; a group's rows are its bound.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(*order, length.alias("length"))))
+    per = df.groupBy(group).agg(rows.alias("rows"))
+    fit = _first_fit(F.col("rows.length"), F.lit(batch_size), F.lit(budget).cast("int"))
+    per = per.select(group, F.explode(F.arrays_zip("rows", fit.alias("batch"))).alias("r"))
+    return per.select(group, *[F.col(f"r.rows.{c}").alias(c) for c in order], F.col("r.rows.length").alias("length"), F.col("r.batch").alias("batch"))
+
 
 def run_judge(df: DataFrame, keys: list[str], judge: JudgeFn | None = None, use_rag: bool = True,
-              factory: Callable[[], JudgeFn] | None = None) -> DataFrame:
+              factory: Callable[[], JudgeFn] | None = None, batch_size: int = JUDGE_BATCH, token_budget: int | None = None) -> DataFrame:
     """T9 with a pluggable judge: Arrow batches of judge input -> metric columns per row.
 
     ``judge`` receives ``user_input, retrieved_contexts, response, reference`` and returns
     the metric columns it computed. A failing batch is retried row by row; a failing row
     gets missing metrics, as judge failures do. ``factory`` builds the judge (e.g. loads a
-    model or opens a client) once per task instead.
+    model or opens a client) once per task instead. A call gets ``batch_size`` rows at most, and with ``token_budget`` no more
+    tokens than that in all unless a single row has more: rows are packed first-fit inside an Arrow batch.
     """
     require_contexts(df, use_rag)
     wanted = RAG_METRICS if use_rag else PLAIN_METRICS
     inp = judge_input(df, keys)
+    inp = inp.withColumn("_cost", judge_tokens() if token_budget is not None else F.lit(0))
     schema = T.StructType([inp.schema[k] for k in keys]
                           + [T.StructField(m, T.DoubleType()) for m in wanted])
     judge_cols = list(JUDGE_COLUMNS.values())
@@ -158,19 +211,21 @@ def run_judge(df: DataFrame, keys: list[str], judge: JudgeFn | None = None, use_
 
     def run(batches):
         fn = factory() if factory is not None else judge
-        for pdf in batches:
-            try:
-                res = call(fn, pdf)
-            except Exception:
-                parts = []
-                for i in range(len(pdf)):
-                    try:
-                        parts.append(call(fn, pdf.iloc[i:i + 1]))
-                    except Exception:
-                        parts.append(pd.DataFrame({m: [None] for m in wanted}))
-                res = pd.concat(parts, ignore_index=True)
-            res = res.astype("float64")
-            yield pd.concat([pdf[keys].reset_index(drop=True), res.reset_index(drop=True)], axis=1)
+        for arrow in batches:
+            at = pd.Series(first_fit(arrow["_cost"].tolist(), batch_size, token_budget), index=arrow.index)
+            for _, pdf in arrow.groupby(at):
+                try:
+                    res = call(fn, pdf)
+                except Exception:
+                    parts = []
+                    for i in range(len(pdf)):
+                        try:
+                            parts.append(call(fn, pdf.iloc[i:i + 1]))
+                        except Exception:
+                            parts.append(pd.DataFrame({m: [None] for m in wanted}))
+                    res = pd.concat(parts, ignore_index=True)
+                res = res.astype("float64")
+                yield pd.concat([pdf[keys].reset_index(drop=True), res.reset_index(drop=True)], axis=1)
 
     return inp.mapInPandas(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,44 +59,98 @@ def _interpolate(got: dict, spots) -> list[float]:
     return res
 
 
+#: Accuracy of the sketch that proposes brackets, and the values of a bracket that are read back instead of cut again. Neither changes a result.
+SKETCH = 10_000
+LEAF_VALUES = 4096
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    x = F.col(_q(c)).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _within(x: Column, lo: float | None, hi: float | None) -> Column:
+    """``x`` where it lies strictly between the ends; None is no end."""
+    ok = x.isNotNull()
+    if lo is not None:
+        ok = ok & (x > F.lit(lo))
+    if hi is not None:
+        ok = ok & (x < F.lit(hi))
+    return F.when(ok, x)
+
+
+def values_at_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[str, dict[int, float]]:
+    """The values at the given ranks (0 = least) of several columns, missing values left out: exact, no sort.
+
+    Every rank has a bracket of values. A pass proposes for all brackets of all columns at once two values around the rank
+    (a mergeable sketch), the next counts what lies below, at and between them; the rank is one of the two, or
+    the bracket becomes what is strictly between or beside them, some thousand times smaller. Brackets of few values are read back.
+    """
+    out: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    # (column, rank) -> (lower end, upper end, values up to the lower end, values inside)
+    todo = {(c, r): (None, None, 0, counts[c]) for c, rs in ranks.items() for r in rs if 0 <= r < counts[c]}
+    while todo:
+        leaves = sorted({(c, *todo[c, r]) for c, r in todo if todo[c, r][3] <= LEAF_VALUES}, key=str)
+        if leaves:
+            pairs = F.array(*[F.struct(F.lit(i).alias("i"), _within(_number(df, c), lo, hi).alias("v")) for i, (c, lo, hi, *_) in enumerate(leaves)])
+            rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL").groupBy("i", "v").count().collect()
+            for i, leaf in enumerate(leaves):
+                at = leaf[3]
+                mine = sorted(r for c, r in todo if c == leaf[0] and todo[c, r] == leaf[1:])
+                for v, n in sorted((x["v"], x["count"]) for x in rows if x["i"] == i):
+                    out[leaf[0]].update((r, v) for r in mine if at <= r < at + n)
+                    at += n
+            todo = {k: b for k, b in todo.items() if b[3] > LEAF_VALUES}
+            continue
+        keys = sorted(todo)
+        around = []
+        for c, r in keys:
+            lo, hi, below, inside = todo[c, r]
+            p = (r - below + 0.5) / inside
+            x = _within(_number(df, c), lo, hi)
+            around.append(F.percentile_approx(x, [max(0.0, p - 2 / SKETCH), min(1.0, p + 2 / SKETCH)], SKETCH))
+        ends = [list(x) for x in df.agg(*[a.alias(f"q{i}") for i, a in enumerate(around)]).first()]
+        marks = []
+        for i, (c, r) in enumerate(keys):
+            x = _within(_number(df, c), *todo[c, r][:2])
+            a, b = (F.lit(e) for e in ends[i])
+            marks += [F.count_if(w).alias(f"n{i}_{j}") for j, w in enumerate((x < a, x == a, (x > a) & (x < b), (x == b) & (a < b)))]
+        seen = df.agg(*marks).first()
+        for i, (c, r) in enumerate(keys):
+            lo, hi, below, inside = todo[c, r]
+            a, b = ends[i]
+            under, at_a, mid, at_b = (seen[f"n{i}_{j}"] for j in range(4))
+            k = r - below
+            if k < under:
+                todo[c, r] = (lo, a, below, under)
+            elif k < under + at_a:
+                out[c][r] = a
+                del todo[c, r]
+            elif k < under + at_a + mid:
+                todo[c, r] = (a, b, below + under + at_a, mid)
+            elif k < under + at_a + mid + at_b:
+                out[c][r] = b
+                del todo[c, r]
+            else:
+                todo[c, r] = (b, hi, below + under + at_a + mid + at_b, inside - under - at_a - mid - at_b)
+    return out
+
+
 def multi_quantiles(df: DataFrame, cols: list[str], probs: list[float],
                     counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont`` rule) of many columns.
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont`` rule) of many columns (see ``values_at_ranks``).
 
-    One distributed sort serves every column: the non-missing values are unpivoted to
-    ``(column, value)``, range-partitioned and sorted (a random tie-breaker spreads a hot
-    value over many partitions), ``zipWithIndex`` numbers them with one count per
-    partition, and only the rows at the needed ranks (<= 2 per quantile per column) reach
-    the driver. Column offsets come from the per-column counts.
+    ``df`` is read in several passes and must be the same in each.
     """
     if not cols:
         return {}
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(_q(c)).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    long = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v") \
-             .where(F.col("v").isNotNull() & ~F.isnan("v"))
     if counts is None:
-        got = dict(long.groupBy("c").count().collect())
-        counts = {c: int(got.get(i, 0)) for i, c in enumerate(cols)}
-    offsets, need, spots, at = {}, {}, {}, 0
-    for i, c in enumerate(cols):
-        n = counts.get(c, 0)
-        offsets[c] = at
-        if n:
-            spots[c] = _spots(n, probs)
-            for lo, hi, _ in spots[c]:
-                need[at + lo] = (c, lo)
-                need[at + hi] = (c, hi)
-        at += n
-    want = set(need)
-    ordered = long.orderBy("c", "v", F.rand(17))
-    picked = ordered.rdd.zipWithIndex().filter(lambda r: r[1] in want) \
-                    .map(lambda r: (r[1], r[0][1])).collect()
-    by_col: dict[str, dict[int, float]] = {c: {} for c in cols}
-    for g, v in picked:
-        c, local = need[g]
-        by_col[c][local] = v
-    return {c: (_interpolate(by_col[c], spots[c]) if c in spots else [None] * len(probs)) for c in cols}
+        row = df.agg(*[F.count(_number(df, c)) for c in cols]).first()
+        counts = dict(zip(cols, row, strict=True))
+    spots = {c: _spots(counts[c], probs) for c in cols if counts.get(c)}
+    need = {c: sorted({r for lo, hi, _ in s for r in (lo, hi)}) for c, s in spots.items()}
+    got = values_at_ranks(df, need, counts)
+    return {c: (_interpolate(got[c], spots[c]) if c in spots else [None] * len(probs)) for c in cols}
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
@@ -107,7 +161,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
 def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """P4 numeric part: count, mean, sample std, min, 25/50/75 % (linear), max per column.
 
-    One aggregate pass for the moments and extremes of every column, one sort for the
+    One aggregate pass for the moments and extremes of every column, a few more for the
     exact quantiles of all columns. The result has one row per column.
     """
     cols = cols or numeric_columns(df)

@@ -139,3 +139,43 @@ def union_results(frames: dict[str, DataFrame], label_col: str = "label") -> Dat
         d = df.withColumn(label_col, F.lit(label))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+#: The type lattice of inferred columns: a column is as wide as its widest cell; cells that read as missing count for nothing.
+TYPE_ORDER = ["void", "bigint", "double", "string"]
+_INTEGER = r"^[+-]?[0-9]{1,18}$"
+_DOUBLE = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$"
+
+
+def _rank_of(c: Column) -> Column:
+    """Place of a cell's type in ``TYPE_ORDER``."""
+    return F.when(c.isNull() | c.isin(*NA_VALUES), 0).when(c.rlike(_INTEGER), 1).when(c.rlike(_DOUBLE), 2).otherwise(3)
+
+
+def inferred_types(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, position, column, type) of a table of text cells: the least type that holds all of a column's cells.
+
+    One aggregate pass over all columns (and files, with ``by``) at once. A column of missing cells alone is ``void``.
+    """
+    by = by or []
+    cols = [c for c in df.columns if c not in by]
+    names = F.array(*[F.lit(t) for t in TYPE_ORDER])
+    wide = df.groupBy(*by).agg(*[F.coalesce(F.max(_rank_of(F.col(f"`{c}`"))), F.lit(0)).alias(c) for c in cols])
+    entry = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), names[F.col(f"`{c}`")].alias("type")) for i, c in enumerate(cols)])
+    return wide.select(*by, F.explode(entry).alias("e")).select(*by, "e.position", "e.column", "e.type")
+
+
+def reconciled(frames: dict[str, DataFrame], label_col: str = "label") -> tuple[DataFrame, dict[str, str]]:
+    """S12 over tables of text cells whose inferred types clash: one union whose columns have the least type that holds them in every file.
+
+    The types of all files and columns are found in one pass over the labelled union and folded by the lattice (integer below double
+    below string, missing cells neutral). A column that is missing everywhere is a string. Returns the union and the types.
+    """
+    out = union_results(frames, label_col)
+    per = inferred_types(out, [label_col]).collect()  # files x columns rows
+    kinds: dict[str, str] = {}
+    for r in per:
+        kinds[r["column"]] = max(kinds.get(r["column"], "void"), r["type"], key=TYPE_ORDER.index)
+    kinds = {c: "string" if k == "void" else k for c, k in kinds.items()}
+    cells = {c: F.when(~F.col(f"`{c}`").isin(*NA_VALUES), F.col(f"`{c}`")).cast(k) for c, k in kinds.items()}
+    return out.select(label_col, *[cells[c].alias(c) for c in out.columns if c != label_col]), kinds

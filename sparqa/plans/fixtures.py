@@ -23,6 +23,10 @@ METRICS = ["context_precision", "context_recall", "faithfulness", "answer_releva
 BERT_METRICS = ["bertscore_precision", "bertscore_recall", "bertscore_f1"]
 
 
+#: Row numbers a conversation has in ``row_id``: more turns than one can hold.
+QA_ROW = 1 << 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -49,7 +53,7 @@ def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     return u.join(a, ["conv_id", "turn"], "left").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "question", "answer")
+        (F.col("conv_id") * QA_ROW + F.col("turn")).alias("row_id"), "question", "answer")
 
 
 def experiment_configs(spark: SparkSession) -> DataFrame:
@@ -118,10 +122,9 @@ def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1-D4 input: questions in the clinical template, one per document.
 
     ``question = 'Pasien dengan <source> dan diagnosis medis: <lang>. Jelaskan <type>?'``
-    with the type chosen by ``doc_id % 8``; the reference answer is the document's first
-    statement.
+    with the type chosen by ``doc_id % 8``; the reference answer is the whole document, stripped.
     """
-    from sparqa.functions.text import statements
+    from sparqa.functions.text import strip
     from sparqa.operators.insight import QUESTION_TYPES
 
     d = table(spark, sf_dir, "documents")
@@ -131,4 +134,42 @@ def template_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Pasien dengan "), F.col("source"), F.lit(" dan diagnosis medis: "), F.col("lang"),
                  F.lit(". Jelaskan "), F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")),
                  F.lit("?")).alias("question"),
-        F.coalesce(F.element_at(statements(F.col("text")), 1), F.lit("")).alias("answer"))
+        F.coalesce(strip(F.col("text")), F.lit("")).alias("answer"))
+
+
+def entity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 entity table ``(surface, label)``: capitalised words of the benchmark, and such words with the word after them."""
+    b = table(spark, sf_dir, "benchmark")
+
+    def found(pattern: str) -> DataFrame:
+        return b.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("surface"))
+    names = found(r"\p{Lu}\p{L}+")
+    names = names.withColumn("label", F.when(F.length("surface") < 4, F.lit("SHORT")).otherwise(F.lit("NAME")))
+    return names.unionByName(found(r"\p{Lu}\p{L}+ \p{L}+").withColumn("label", F.lit("PHRASE")))
+
+
+def keyed_results(df: DataFrame) -> DataFrame:
+    """A result table whose merge keys (question, answer, experiment) are unique together, each of them NULL in some rows."""
+    i, mark = F.col("row_id"), F.concat(F.lit(" #"), F.col("row_id").cast("string"))
+    return df.withColumns({
+        "question": F.when(i % 9 == 0, F.lit(None).cast("string")).when(i % 10 == 0, F.concat("question", mark)).otherwise(F.col("question")),
+        "answer": F.when((i % 10 == 0) & (i % 9 != 0), F.lit(None).cast("string")).otherwise(F.concat("answer", mark)),
+        "experiment": F.when(i % 8 == 0, F.lit(None).cast("string")).otherwise(F.col("experiment"))})
+
+
+def earlier_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they were before: a tenth not there yet, a seventh with another text, and some that are gone now."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    old = d.where(i % 10 != 3).select("doc_id", F.when(i % 7 == 0, F.concat(F.lit("Draft. "), "text")).otherwise(F.col("text")).alias("text"))
+    return old.unionByName(d.where(i % 11 == 0).select((i + 10 ** 9).alias("doc_id"), "text"))
+
+
+def document_versions(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
+    """Versions of the documents as a stream brings them: 1 for all, 2 for two thirds with their final text, some without one."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    v = F.lit(version).cast("bigint").alias("version")
+    if version == 1:
+        return d.select("doc_id", v, F.concat(F.lit("Draft. "), "text").alias("text"))
+    return d.where(i % 3 != 0).select("doc_id", v, F.when(i % 13 != 0, F.col("text")).alias("text"))

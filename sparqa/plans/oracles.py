@@ -160,6 +160,25 @@ SELECT doc_id, pos, CASE WHEN len(f) > 0 THEN chunk || chr(10) || chr(10) || '[E
        || array_to_string(list_transform(f, lambda x: x || '(TERM)'), ', ') || ']' ELSE chunk END AS chunk
 FROM m"""
 
+ENTITY_SQL = r"""(SELECT surface, min(label) AS label FROM (
+  SELECT surface, CASE WHEN length(surface) < 4 THEN 'SHORT' ELSE 'NAME' END AS label
+  FROM (SELECT unnest(regexp_extract_all(text, '\p{Lu}\p{L}+')) AS surface FROM benchmark)
+  UNION ALL SELECT unnest(regexp_extract_all(text, '\p{Lu}\p{L}+ \p{L}+')) AS surface, 'PHRASE' AS label FROM benchmark) GROUP BY surface)"""
+SQL["enrich_gazetteer"] = rf"""WITH {chunks_cte(500)},
+e AS MATERIALIZED {ENTITY_SQL},
+n AS (SELECT DISTINCT length(surface) AS n FROM e),
+p AS (SELECT doc_id, pos, chunk, unnest(range(1, length(chunk) + 1)) AS i FROM chunks),
+s AS MATERIALIZED (SELECT * FROM p WHERE regexp_matches(substr(chunk, i, 1), '\p{{Lu}}')
+       AND (i = 1 OR NOT regexp_matches(substr(chunk, i - 1, 1), '[\p{{L}}\p{{N}}]'))),
+c AS (SELECT s.doc_id, s.pos, s.i, e.surface, e.label FROM s, n JOIN e ON e.surface = substr(s.chunk, s.i, n.n)
+      WHERE s.i + n.n > length(s.chunk) OR NOT regexp_matches(substr(s.chunk, s.i + n.n, 1), '[\p{{L}}\p{{N}}]')),
+b AS (SELECT doc_id, pos, i, arg_max({{'i': i, 'n': length(surface), 't': concat(surface, '(', label, ')')}}, length(surface)) AS m FROM c GROUP BY ALL),
+g AS (SELECT doc_id, pos, list(m ORDER BY i) AS ms FROM b GROUP BY doc_id, pos),
+l AS (SELECT doc_id, pos, list_reduce(ms, lambda acc, x: CASE WHEN x.i >= acc.free
+        THEN {{'free': x.i + x.n, 'out': list_append(acc.out, x.t)}} ELSE acc END, {{'free': 0::BIGINT, 'out': []::VARCHAR[]}}).out AS found FROM g)
+SELECT ch.doc_id, ch.pos, CASE WHEN found IS NOT NULL THEN chunk || chr(10) || chr(10) || '[Entities: ' || array_to_string(found, ', ') || ']' ELSE chunk END AS chunk
+FROM chunks ch LEFT JOIN l ON l.doc_id = ch.doc_id AND l.pos = ch.pos"""
+
 # ------------------------------------------------------------------ embedding
 SQL["embed_chunks"] = f"""WITH {chunks_cte(500)},
 {text_vectors_cte('cv', 'chunks', 'doc_id, pos', 'chunk')}
@@ -176,7 +195,11 @@ count(*) AS n_vectors FROM embeddings"""
 # ------------------------------------------------------------------ collection
 SQL["collection_create"] = """SELECT 'vectors' AS name, 64 AS dim, 'cosine' AS distance,
 count(*) AS n_points, 'created' AS first_action, 'reused' AS second_action FROM embeddings"""
-SQL["collection_dim_check"] = "SELECT len(embedding)::INT AS dim, count(*) AS n_vectors FROM embeddings GROUP BY 1"
+SQL["collection_dim_check"] = """WITH d AS (SELECT max(len(embedding))::INT AS dim, count(*) AS n FROM embeddings)
+SELECT dim, n AS n_vectors, 'reused' AS right_length,
+  'collection ''vectors'' holds vectors of length ' || dim || ', those given have ' || dim // 2
+    || '; index into another one or pass recreate_on_dimension_mismatch=True' AS wrong_length,
+  n AS n_after_error, 'recreated' AS when_asked, dim // 2 AS new_dim, 0::BIGINT AS n_after_recreate FROM d"""
 SQL["collection_append"] = """SELECT label::VARCHAR AS label, 2 * count(*) AS n_points,
 count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1"""
 SQL["collection_count"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_points, "
@@ -184,6 +207,14 @@ SQL["collection_count"] = (f"WITH {chunks_cte(500)} SELECT count(*) AS n_points,
 SQL["index_corpus"] = f"WITH {chunks_cte(500)} SELECT doc_id, pos, chunk AS text, 16 AS dim FROM chunks"
 SQL["index_stream"] = SQL["index_corpus"]
 
+SQL["index_changes"] = f"""WITH {chunks_cte(500)},
+k AS (SELECT count_if(doc_id % 10 = 3)::BIGINT AS n_new, count_if(doc_id % 7 = 0 AND doc_id % 10 <> 3)::BIGINT AS n_changed,
+             count_if(doc_id % 11 = 0)::BIGINT AS n_gone FROM documents)
+SELECT doc_id, pos, chunk AS text, n_new, n_changed, n_gone FROM chunks, k"""
+SQL["stream_replace"] = f"""WITH src AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Draft. ' || text ELSE text END AS text
+  FROM documents WHERE doc_id % 3 = 0 OR doc_id % 13 <> 0), {chunks_cte(500, 'src')}
+SELECT doc_id, pos, chunk AS text FROM chunks"""
+
 _COS_F = ("CASE WHEN sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) = 0 THEN 0.0 "
           "ELSE list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END")
 SQL["knn_cosine"] = f"""
@@ -226,7 +257,7 @@ SQL["generate_answers"] = _retrieval_prefix(3) + f"""
 SELECT qs.qid, coalesce({strip(_CTX)}, '') AS generated_answer
 FROM qs LEFT JOIN hits USING (qid) GROUP BY qs.qid"""
 
-QA_SQL = """(SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS question, a.text AS answer
+QA_SQL = """(SELECT u.conv_id * 4294967296 + u.turn AS row_id, u.text AS question, a.text AS answer
   FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')"""
 
@@ -278,7 +309,7 @@ TYPE_NAMES, TYPE_KEYWORDS, UNKNOWN_TYPE, TEMPLATE_PATTERN = _types()
 TEMPLATE_SQL = f"""(SELECT doc_id AS row_id,
   'Pasien dengan ' || source || ' dan diagnosis medis: ' || lang || '. Jelaskan '
     || [{', '.join("'" + n + "'" for n in TYPE_NAMES)}][doc_id % 8 + 1] || '?' AS question,
-  coalesce({statements('text')}[1], '') AS answer FROM documents)"""
+  coalesce({strip('text')}, '') AS answer FROM documents)"""
 
 
 def qtype(x: str) -> str:
@@ -387,8 +418,9 @@ FROM {_PARSED} s LEFT JOIN (SELECT row_id, unnest(range(len(ctx)))::INT AS pos,
 SQL["parse_contexts"] = f"""SELECT s.row_id, u.pos, u.context
 FROM {_PARSED} s LEFT JOIN (SELECT row_id, unnest(range(len(ctx)))::INT AS pos, unnest(ctx) AS context
   FROM {_PARSED}) u USING (row_id)"""
-SQL["save_results_roundtrip"] = f"""SELECT row_id, experiment, len(ctx)::INT AS n_contexts,
-  {r6('context_recall', 'answer_relevancy')}, true AS parquet_seen, true AS csv_equal FROM {_PARSED}"""
+SQL["save_results_roundtrip"] = f"""SELECT row_id, experiment, sha256(question) AS question_sha, sha256(answer) AS answer_sha,
+  sha256(generated_answer) AS generated_answer_sha, array_to_string(ctx, '|') AS contexts,
+  {r6('context_precision', 'context_recall', 'faithfulness', 'answer_relevancy')}, true AS csv_equal FROM {_PARSED}"""
 
 SQL["output_paths"] = f"""WITH b AS (SELECT doc_id, 'results/' || lang || '/' || source AS stem, doc_id % 4 AS e,
   CASE WHEN doc_id % 5 = 0 THEN 'given/' || source || '.csv' END AS given FROM documents),
@@ -469,6 +501,41 @@ SELECT row_id, experiment, round(context_precision, 6) AS context_precision, rou
 SQL["experiment_stages_bert"] = _reloaded(_GEN) + bertscore_ctes("gen", ["row_id", "experiment"], "generated_answer", "answer") + """
 SELECT row_id, experiment, round(p, 6) AS bertscore_precision, round(r, 6) AS bertscore_recall,
   round(f, 6) AS bertscore_f1 FROM bs WHERE experiment = 'llama_with_rag'"""
+SQL["stages_resumed"] = _FULL + """
+SELECT j.row_id, j.experiment, j.generated_answer, round(bs.f, 6) AS bertscore_f1,
+  round(j.context_precision, 6) AS context_precision, round(j.context_recall, 6) AS context_recall,
+  round(j.faithfulness, 6) AS faithfulness, round(j.answer_relevancy, 6) AS answer_relevancy, 'ragas' AS second_run, 0 AS third_run
+FROM judged j JOIN bs USING (row_id, experiment)"""
+
+
+def _answers_once_sql() -> str:
+    from sparqa.operators.answer import PLAIN_TEMPLATE, RAG_TEMPLATE
+    context = "array_to_string(list_transform(retrieved_contexts, lambda c: substr(c, 1, 800)), ' ')"
+    rag, plain = render_template(RAG_TEMPLATE, context=context, question="question"), render_template(PLAIN_TEMPLATE, question="question")
+    return _GEN + f""",
+p AS (SELECT row_id, experiment, generator_model, sha256(CASE WHEN use_rag THEN {rag} ELSE {plain} END) AS a FROM gen),
+k AS (SELECT count(*) AS n_stored FROM (SELECT DISTINCT generator_model, a FROM p))
+SELECT row_id, experiment, a AS generated_answer, n_stored, 0::BIGINT AS asked_again FROM p, k"""
+
+
+SQL["answers_once"] = _answers_once_sql()
+SQL["judge_batches"] = f"""
+WITH q AS (SELECT row_id // 4294967296 AS conv_id, row_id, (len({tokens("coalesce(question, '')")}) + len({tokens("coalesce(answer, '')")}))::INT AS length FROM {QA_SQL}),
+g AS (SELECT conv_id, list(row_id ORDER BY row_id, length) AS ids, list(length ORDER BY row_id, length) AS ls FROM q GROUP BY conv_id),
+f AS (SELECT conv_id, ids, ls, list_reduce(ls, lambda acc, x: list_transform([list_min(list_filter(range(1, len(acc.used) + 1), lambda k: acc.n[k] < 3 AND acc.used[k] + x <= 60))],
+          lambda i: CASE WHEN i IS NULL
+          THEN {{'used': list_append(acc.used, x), 'n': list_append(acc.n, 1), 'out': list_append(acc.out, len(acc.used)::INT)}}
+          ELSE {{'used': list_transform(acc.used, lambda u, k: CASE WHEN k = i THEN u + x ELSE u END),
+                 'n': list_transform(acc.n, lambda m, k: CASE WHEN k = i THEN m + 1 ELSE m END), 'out': list_append(acc.out, (i - 1)::INT)}} END)[1],
+        {{'used': []::INT[], 'n': []::INT[], 'out': []::INT[]}}).out AS b FROM g)
+SELECT conv_id, unnest(ids) AS row_id, unnest(ls) AS length, unnest(b) AS batch FROM f"""
+SQL["union_inferred"] = f"""
+WITH s AS (SELECT * FROM {SCORED_SQL}),
+u AS (SELECT 'WHOLE' AS label, row_id, floor(context_recall * 100)::BIGINT::DOUBLE AS score, NULL AS note FROM s
+      UNION ALL SELECT 'HALVES', row_id, context_recall, CASE WHEN row_id % 2 = 0 THEN '7' END FROM s
+      UNION ALL SELECT 'MARKS', row_id, CASE WHEN row_id % 4 <> 0 THEN row_id % 10 END, CASE WHEN row_id % 50 <> 1 THEN answer END FROM s)
+SELECT label, row_id, score, note, CASE label WHEN 'WHOLE' THEN 'bigint,void' WHEN 'HALVES' THEN 'double,bigint' ELSE 'bigint,string' END AS own_types,
+  'bigint,double,string' AS types FROM u"""
 SQL["union_results"] = _JUDGED + """
 SELECT upper(experiment) AS label, row_id, CASE WHEN use_rag THEN len(retrieved_contexts)::INT END AS n_contexts,
   round(answer_relevancy, 6) AS answer_relevancy, round(context_precision, 6) AS context_precision,
@@ -488,8 +555,17 @@ FROM {SCORED_SQL} s LEFT JOIN {SECOND_SQL} n USING (row_id)"""
 SQL["repair_noop"] = f"SELECT row_id, {r6(*_M4)} FROM {SCORED_SQL} WHERE NOT {_MISS}"
 SQL["duplicate_keys"] = f"""SELECT sha256(question) AS question_sha, answer, experiment, count(*) AS n
 FROM {SCORED_SQL} GROUP BY question, answer, experiment HAVING count(*) > 1"""
+
+
+def _keyed(src: str) -> str:
+    return f"""(SELECT row_id, CASE WHEN row_id % 9 = 0 THEN NULL WHEN row_id % 10 = 0 THEN question || ' #' || row_id ELSE question END AS question,
+  CASE WHEN row_id % 10 = 0 AND row_id % 9 <> 0 THEN NULL ELSE answer || ' #' || row_id END AS answer,
+  CASE WHEN row_id % 8 = 0 THEN NULL ELSE experiment END AS experiment, {', '.join(_M4)} FROM {src})"""
+
+
 SQL["merge_metrics"] = f"""SELECT s.row_id, {', '.join(f'round(coalesce(s.{m}, n.{m}), 6) AS {m}' for m in _M4)}
-FROM {SCORED_SQL} s LEFT JOIN {SECOND_SQL} n ON s.row_id = n.row_id AND s.experiment IS NOT DISTINCT FROM n.experiment"""
+FROM {_keyed(SCORED_SQL)} s LEFT JOIN {_keyed(SECOND_SQL)} n
+  ON s.question IS NOT DISTINCT FROM n.question AND s.answer IS NOT DISTINCT FROM n.answer AND s.experiment IS NOT DISTINCT FROM n.experiment"""
 _SCOLS = ["row_id", "question", "answer", "experiment", "generated_answer", "retrieved_contexts"] + _M4
 SQL["null_counts"] = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count_if({c} IS NULL)::BIGINT AS n_missing FROM {SCORED_SQL}" for c in _SCOLS)
@@ -497,7 +573,7 @@ SQL["diagnose_missing"] = f"""SELECT count(*) AS n_missing,
   count_if(coalesce(retrieved_contexts, 'nan') IN ('[]', '', 'nan'))::BIGINT AS n_empty_contexts,
   count_if({strip("coalesce(generated_answer, '')")} = '')::BIGINT AS n_blank_answers
 FROM {SCORED_SQL} WHERE answer_relevancy IS NULL"""
-SQL["sample_failed"] = f"SELECT row_id, answer FROM {SCORED_SQL} WHERE answer_relevancy IS NULL ORDER BY row_id LIMIT 10"
+SQL["sample_failed"] = f"SELECT row_id, question FROM {SCORED_SQL} WHERE answer_relevancy IS NULL ORDER BY row_id LIMIT 10"
 
 # ================================================================== P1-P4
 SQL["profile_shape"] = f"SELECT count(*) AS n_rows, 10 AS n_columns FROM {SCORED_SQL}"
@@ -521,7 +597,7 @@ SQL["describe_text"] = " UNION ALL ".join(
   (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {SCORED_SQL} WHERE {c} IS NOT NULL GROUP BY 1)
      ORDER BY n DESC, v LIMIT 1) AS top,
   (SELECT max(n) FROM (SELECT count(*) AS n FROM {SCORED_SQL} WHERE {c} IS NOT NULL GROUP BY {c})) AS freq"""
-    for c in ["answer", "experiment", "generated_answer", "retrieved_contexts"])
+    for c in ["question", "answer", "experiment", "generated_answer", "retrieved_contexts"])
 
 # ================================================================== R1-R3
 SQL["method_averages"] = _JUDGED + """
@@ -561,12 +637,35 @@ SELECT row_id, {lit(R.QUESTION_HEADING)} || (row_id + 1)::VARCHAR || {lit(chr(10
 a AS (SELECT experiment AS method, avg(coalesce(context_precision, 0)) AS cp, avg(coalesce(context_recall, 0)) AS cr,
   avg(coalesce(faithfulness, 0)) AS fa, avg(coalesce(answer_relevancy, 0)) AS ar FROM judged GROUP BY experiment)
 SELECT method, {lit(R.SUMMARY_RULE + R.SUMMARY_METHOD)} || method || chr(10) || {lit(R.SUMMARY_RULE)}
-  || {lit(R.SUMMARY_SECTIONS)} || {avg} AS summary FROM a"""
+  || {lit(R.SUMMARY_SECTIONS)} || {avg} || {lit(R.SUMMARY_TABLE)} AS summary FROM a"""
     return rows, summary
 
 
 SQL["report_rows"], SQL["report_summary"] = _report_sql()
 
+
+def _table_sql() -> str:
+    texts = {"user_input": "question", "retrieved_contexts": "'[' || array_to_string(retrieved_contexts, ', ') || ']'",
+             "response": "generated_answer", "reference": "answer"}
+    esc = lambda x: rf"replace(replace(replace({x}, chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"
+    cells = ", ".join(f"coalesce({esc(e)}, 'None') AS {c}" for c, e in texts.items())
+    cells += ", " + ", ".join(f"CASE WHEN {m} IS NULL THEN 'NaN' ELSE printf('%.6f', {m}) END AS {m}" for m in _M4)
+    need = lambda m: f"greatest(max(length(regexp_extract({m}, '[.](\\d*?)0*$', 1))), 1)"
+    sizes = ", ".join(f"greatest({len(c)}, max(length({c}))) AS w_{c}" for c in texts) + ", " + ", ".join(
+        f"{need(m)} AS d_{m}, greatest({len(m) + 1}, max(length(regexp_extract({m}, '^-?\\d+'))) + 1 + {need(m)}, max(CASE WHEN {m} = 'NaN' THEN 3 ELSE 0 END)) AS w_{m}" for m in _M4)
+    pad = lambda x, c: f"repeat(' ', CAST(w_{c} - length({x}) AS BIGINT)) || {x}"
+    short = lambda m: f"(CASE WHEN c.{m} = 'NaN' THEN 'NaN' ELSE left(c.{m}, CAST(length(c.{m}) - 6 + d_{m} AS BIGINT)) END)"
+    line = " || ' ' || ".join([pad(f"c.{c}", c) for c in texts] + [pad(short(m), m) for m in _M4])
+    head = " || ' ' || ".join(pad(lit(c), c) for c in [*texts, *_M4])
+    return _JUDGED + f""",
+c AS MATERIALIZED (SELECT experiment AS method, row_id, {cells} FROM judged),
+w AS (SELECT method, {sizes} FROM c GROUP BY method)
+SELECT method, NULL::BIGINT AS row_id, {head} AS line FROM w
+UNION ALL SELECT c.method, c.row_id, {line} AS line FROM c JOIN w USING (method)"""
+
+
+SQL["report_table"] = _table_sql()
+
 # ================================================================== D1-D4
 SQL["parse_question"] = "SELECT row_id, " + ", ".join(
     f"regexp_extract(question, {lit(TEMPLATE_PATTERN)}, {i + 1}) AS {n}"

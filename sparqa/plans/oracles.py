@@ -224,6 +224,8 @@ s AS (SELECT q.vec_id AS qid, p.vec_id, (SELECT {_COS_F} FROM (SELECT q.e AS a,
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT qid, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 3"""
 
+SQL["knn_pruned"] = SQL["knn_cosine"]
+
 SQL["knn_single"] = f"""
 WITH x AS (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY i),
 q AS (SELECT list(m ORDER BY i) AS a FROM x),

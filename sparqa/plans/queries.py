@@ -245,6 +245,15 @@ def q_knn_cosine(spark, sf_dir):
     return hits.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("knn_pruned")
+def q_knn_pruned(spark, sf_dir):
+    """V8 batch with pruning: the 3 nearest vectors of every vector, blocks out of reach left out."""
+    from sparqa.operators.knn_pruned import knn_topk_pruned
+    e = fx.table(spark, sf_dir, "embeddings")
+    hits = knn_topk_pruned(e.select(F.col("vec_id").alias("qid"), "embedding"), e.select("vec_id", "embedding"), 3, "qid", ["vec_id"])
+    return hits.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("knn_single")
 def q_knn_single(spark, sf_dir):
     """V8 single query: the mean vector of the table against all vectors, top 3."""

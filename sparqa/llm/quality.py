@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade (native DataFrame expressions only).
 
-Every rule is a boolean expression that rejects a document. Cost and selectivity of each rule are
-measured on a bounded sample; the cascade then tries rules by falling rejection per cost, and a CASE
-expression leaves the remaining rules unevaluated once one has rejected. The verdict does not depend
-on the order, only the work does.
+Every rule is a boolean expression that rejects a document. Cost and selectivity are measured on a bounded sample: a rule's
+cost is the least time of several runs over it less that of a rule that does nothing, so planning, reading and the words of the text
+do not count; its selectivity is its share of what the rules before it leave. The cascade tries rules by falling rejection
+per cost, and a CASE expression leaves the remaining rules unevaluated once one has rejected. The verdict does not
+depend on the order, only the work does.
 
 Edge cases: a NULL or blank text has no words, so it fails the base rule; NULL ids and extra columns
 pass through unchanged; repeated rows are judged one by one; an empty table gives an empty table.
@@ -22,8 +23,9 @@ from sparqa.llm.common import GAP, stored, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Rows on which rules are timed; a bound on work, not on what is judged.
-SAMPLE_ROWS = 2000
+#: Rows on which rules are timed, and runs of each; a bound on work, not on what is judged.
+SAMPLE_ROWS = 1000
+RUNS = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -122,20 +124,44 @@ def cascade(rules: Sequence[Rule], d: Document) -> Column:
     return F.lit(True) if out is F else out.otherwise(F.lit(True))
 
 
+def by_rejection_per_cost(rules: Sequence[Rule], costs: dict[str, float], seen: dict[str, int]) -> list[Rule]:
+    """Each time the rule that rejects most per cost of the documents that the rules before it leave.
+
+    ``seen``: documents of the sample by which rules reject them (a 0 or 1 for each rule, in order).
+    """
+    left, out, todo = dict(seen), [], list(range(len(rules)))
+    while todo:
+        total = max(sum(left.values()), 1)
+        best = max(todo, key=lambda i: (sum(n for bits, n in left.items() if bits[i] == "1") / total / costs[rules[i].name], -i))
+        left = {bits: n for bits, n in left.items() if bits[best] == "0"}
+        todo.remove(best)
+        out.append(rules[best])
+    return out
+
+
 def plan_order(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by falling rejection per cost, both measured on a sample of about ``sample_rows`` rows."""
     if len(rules) < 2:
         return list(rules)
     part = stored(df.select(text).sample(min(1.0, sample_rows / max(df.count(), 1)), seed=7), "quality-sample")
     t = _text(text)
-    scores = []
-    for rule in rules:
+    rejects = lambda r, w: F.coalesce(r.rejects(Document(t, w)), F.lit(False))
+    bits = let(words(t), lambda w: F.concat(*[rejects(r, w).cast("int").cast("string") for r in rules]))
+    seen = {r["b"]: r["count"] for r in part.groupBy(bits.alias("b")).count().collect()}  # at most a row for each sampled one
+
+    def clock(rule: Rule | None) -> float:
+        hit = let(words(t), lambda w: rejects(rule, w) if rule else F.size(w) < 0)
         began = time.perf_counter()
-        hit = let(words(t), lambda w: cascade([rule], Document(t, w)))  # noqa: B023  built at once
-        seen, hits = part.agg(F.count(F.lit(1)), F.sum((~hit).cast("int"))).first()
-        cost = time.perf_counter() - began
-        scores.append(((hits or 0) / max(seen, 1) / max(cost, 1e-6), rule))
-    return [r for _, r in sorted(scores, key=lambda x: -x[0])]
+        part.agg(F.sum(hit.cast("int"))).first()
+        return time.perf_counter() - began
+    least: dict[str, float] = {}
+    for _ in range(RUNS):  # in turn, so that a slow moment of the machine does not fall on one rule; the first run is a warm-up
+        for rule in (None, *rules):
+            name = rule.name if rule else ""
+            least[name] = min(least.get(name, float("inf")), clock(rule))
+    # what cannot be told from nothing costs a hundredth of the empty run
+    floor = max(least[""] / 100, 1e-6)
+    return by_rejection_per_cost(rules, {r.name: max(least[r.name] - least[""], floor) for r in rules}, seen)
 
 
 def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:

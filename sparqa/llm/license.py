@@ -11,6 +11,8 @@ two known texts with one canonical form give the smaller licence id; extra colum
 
 from __future__ import annotations
 
+import hashlib
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,15 +94,14 @@ def full_texts() -> list[tuple[str, str]]:
     return out
 
 
-#: How the SQL finds copyright lines.
-COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©)"
 _SENTENCE = ("a|act|an|any|applies|are|as|at|be|disclaimers?|doctrines?|for|from|he|holders?|if|in|infringements?|interests?|is|it|laws?|licen[sc]es?|"
              "licensed|may|must|not|notices?|on|or|owners?|ownership|permissions?|protected|protection|related|shall|she|should|statements?|status|such|"
              "that|the (?:library|program|software|work)|these|they|this|those|to|treat(?:y|ies)|under|was|we|which|will|with|work|works|you|your")
 #: A lower-cased line that only states a copyright; it differs between copies of one licence. A mark and a year, two marks, or a mark
 #: and a name to the end of the line, which is not a piece of a sentence.
-NOTICE_LINE = (r"^[ \t]*(?:(?:copyright|\(c\)|©)[ \t:,]*)+(?:by[ \t]+)?[\[<({]?(?:(?:19|20)[0-9]{2}|yyyy|year)\b"
-               r"|^[ \t]*copyright[ \t:]*(?:\(c\)|©)"
+DATED_LINE = (r"^[ \t]*(?:(?:copyright|\(c\)|©)[ \t:,]*)+(?:by[ \t]+)?[\[<({]?(?:(?:19|20)[0-9]{2}|yyyy|year)\b"
+              r"|^[ \t]*copyright[ \t:]*(?:\(c\)|©)")
+NOTICE_LINE = (DATED_LINE +
                rf"|^[ \t]*(?:copyright|\(c\)|©)[ \t:]+(?!.*\b(?:{_SENTENCE})\b)(?:\S+[ \t]+){{0,7}}\S*[^\s,;:][ \t\r]*$")
 
 
@@ -115,11 +116,11 @@ def _joined(lines: Column) -> Column:
 
 
 def _spelled(plain: Column) -> Column:
-    """Plain text with equivalent spellings made one."""
-    t = F.concat(F.lit(" "), plain, F.lit(" "))
+    """Plain text with equivalent spellings made one. Every word has blanks of its own, so neighbours are both met."""
+    t = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def canonical(text: Column) -> Column:
@@ -136,6 +137,17 @@ def digest(text: Column) -> Column:
     return _digest(_joined(_plain_lines(text)))
 
 
+def digest_of(text: str) -> str | None:
+    """The digest of a text that is in the driver already, as ``digest`` has it for a column."""
+    lines = ["" if re.search(NOTICE_LINE, x) else re.sub(r"[\W_]+", " ", x).strip(" ") for x in text.lower().split("\n")]
+    plain = " ".join(x for x in lines if x)
+    t = " " + plain.replace(" ", "  ") + " "
+    for a, b in SPELLINGS:
+        t = t.replace(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ")
+    t = t.replace("  ", " ").strip(" ")
+    return hashlib.sha256(t.encode()).hexdigest() if plain else None
+
+
 def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*KNOWN, *full_texts()], "license_id string, text string")
 

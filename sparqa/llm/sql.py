@@ -9,24 +9,27 @@ _WORDS = r"[^ \t\n\x0b\x0c\r]+"
 
 
 def _license_sql() -> str:
-    def digest(x: str) -> str:
-        c = f"regexp_replace(lower({x}), '{license.COPYRIGHT_LINE}', '\\1', 'g')"
-        c = f"concat(' ', regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
-        for a, b in license.SPELLINGS:
-            c = f"replace({c}, ' {a} ', ' {b} ')"
-        return f"CASE WHEN {x} IS NOT NULL AND trim({c}) <> '' THEN sha256(trim({c})) END"
-
-    known = " UNION ALL ".join("SELECT '{}' AS license_id, '{}' AS text".format(i, t.replace("'", "''")) for i, t in license.KNOWN)
+    """The rule of the operator: lines that state a copyright are blank, known digests come from the same table of texts."""
+    first: dict[str, str] = {}
+    for i, t in (*license.KNOWN, *license.full_texts()):
+        d = license.digest_of(t)
+        if d is not None:
+            first[d] = min(first.get(d, i), i)
+    look = ", ".join(f"('{d}', '{i}')" for d, i in sorted(first.items()))
+    mark = r"^[ \t]*(?:copyright|\(c\)|©)[ \t:]+"
+    notice = (rf"(regexp_matches(x, '{license.DATED_LINE}') OR (regexp_matches(x, '{mark}(?:\S+[ \t]+){{0,7}}\S*[^\s,;:][ \t\r]*$')"
+              rf" AND NOT regexp_matches(regexp_replace(x, '{mark}', ''), '\b(?:{license._SENTENCE})\b')))")
+    plain = rf"list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: CASE WHEN {notice} THEN '' ELSE trim(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) END)"
+    spelled = "concat(' ', replace(p, ' ', '  '), ' ')"
+    for a, b in license.SPELLINGS:
+        spelled = f"replace({spelled}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
     return f"""
-WITH known AS ({known}),
-look AS (SELECT {digest('text')} AS digest, min(license_id) AS license_id FROM known GROUP BY 1),
-lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS position
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
-digests AS (SELECT doc_id, 'line' AS unit, position, {digest('line')} AS digest FROM lines),
-wholes AS (SELECT doc_id, {digest('text')} AS digest FROM documents)
-SELECT doc_id, 'text' AS unit, CAST(-1 AS INTEGER) AS position, digest, license_id FROM wholes LEFT JOIN look USING (digest)
-UNION ALL
-SELECT doc_id, unit, CAST(position AS INTEGER) AS position, digest, license_id FROM digests JOIN look USING (digest)
+WITH look(digest, license_id) AS (VALUES {look}),
+l AS (SELECT doc_id, {plain} AS ls FROM documents),
+u AS (SELECT doc_id, 'text' AS unit, CAST(-1 AS INTEGER) AS position, array_to_string(list_filter(ls, lambda x: x <> ''), ' ') AS p FROM l
+      UNION ALL SELECT * FROM (SELECT doc_id, 'line' AS unit, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS p FROM l) WHERE p <> ''),
+d AS (SELECT doc_id, unit, position, CASE WHEN p <> '' THEN sha256(trim(replace({spelled}, '  ', ' '))) END AS digest FROM u)
+SELECT doc_id, unit, position, d.digest, license_id FROM d LEFT JOIN look ON look.digest = d.digest WHERE unit = 'text' OR license_id IS NOT NULL
 """
 
 

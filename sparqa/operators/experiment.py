@@ -242,14 +242,16 @@ def limit_rows(df: DataFrame, n: int | None, order_col: str = "row_id") -> DataF
     Order: ``order_col`` ascending, NULL first, ties by a hash of the whole row; exactly the
     asked number of rows at any size (rows that tie in both are alike). The key of the last row kept
     is found by counting, then rows are filtered, so kept rows never pass through one task.
-    ``df`` is read in several passes and must be the same in each.
+    The keys are written once and counted from there; ``df`` itself is read twice and must be the same in both.
     """
     if n is None:
         return df
     if n == 0:
         return df.limit(0)
     key = F.struct(F.col(order_col).alias("v"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("h"))
-    cut = _cut(df.select(key.alias("_k")), n)
+    keys = df.select(key.alias("_k"))
+    keys.write.parquet(path := scratch_path(df.sparkSession, "limit-keys"))
+    cut = _cut(df.sparkSession.read.schema(keys.schema).parquet(path), n)
     if cut is None:
         return df
     if not cut:

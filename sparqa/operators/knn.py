@@ -2,8 +2,10 @@
 
 Plan:
 1. Both sides are packed where they lie into rows of a few thousand vectors each
-   (``mapInPandas``), and the packs are dealt in turn to ``q`` query blocks and ``p``
-   point blocks, whose numbers follow from row counts and a byte bound a block.
+   (``mapInPandas``). The query packs are written once: their number and size are counted there, so nothing upstream
+   runs twice. Queries of ``SENT_BYTES`` at most are sent to the points and scored where these lie: no point is
+   shuffled. Otherwise the packs are dealt in turn to ``q`` query blocks and ``p`` point blocks, whose numbers follow from
+   row counts and a byte bound a block.
 2. Query packs are repeated for every point block and point packs for every query block;
    a cogroup on (query block, point block) scores each cell of that grid with BLAS matmuls
    and keeps only a local top-k per query, ties included at the boundary, so no pair is
@@ -19,6 +21,7 @@ Score = dot / (sqrt(|q|^2) * sqrt(|p|^2)); 0 for a zero vector on either side.
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -27,9 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparqa.operators.collection import scratch_path
+from sparqa.session import spread
+
 DEFAULT_TOP_K = 3
 # Vectors of one block of either side; a task holds one query block and one point block.
 DEFAULT_MAX_BLOCK_BYTES = 32 << 20
+# Query vectors that are sent to the points instead of meeting them in a grid.
+SENT_BYTES = 8 << 20
 # Vectors in one packed row.
 _PACK_ROWS = 4096
 # Scores held at once inside a task (queries x points slice).
@@ -96,8 +104,8 @@ def _merge(best, cand, k: int):
     return np.take_along_axis(s, order, axis=1), [np.take_along_axis(a, order, axis=1) for a in ks]
 
 
-def _packs(df: DataFrame, keys: list[str], vec: str, block: str, n_blocks: int) -> DataFrame:
-    """Rows ``(block, k0.., m, d)``: up to ``_PACK_ROWS`` vectors as one binary matrix, dealt to blocks in turn."""
+def _packs(df: DataFrame, keys: list[str], vec: str, block: str) -> DataFrame:
+    """Rows ``(block, k0.., m, d)``: up to ``_PACK_ROWS`` vectors as one binary matrix, numbered in turn."""
     schema = T.StructType([T.StructField(block, T.IntegerType())]
                           + [T.StructField(f"k{i}", T.ArrayType(df.schema[c].dataType)) for i, c in enumerate(keys)]
                           + [T.StructField("m", T.BinaryType()), T.StructField("d", T.IntegerType())])
@@ -109,7 +117,7 @@ def _packs(df: DataFrame, keys: list[str], vec: str, block: str, n_blocks: int)
                 part = pdf.iloc[lo:lo + _PACK_ROWS]
                 vecs = part[vec].tolist()
                 dim = next((len(v) for v in vecs if v is not None and len(v)), 0)
-                row = {block: turn % n_blocks, "m": _as_matrix(vecs, dim).tobytes(), "d": dim}
+                row = {block: turn, "m": _as_matrix(vecs, dim).tobytes(), "d": dim}
                 row.update({f"k{i}": part[c].tolist() for i, c in enumerate(keys)})
                 yield pd.DataFrame([row])
                 turn += 1
@@ -117,34 +125,65 @@ def _packs(df: DataFrame, keys: list[str], vec: str, block: str, n_blocks: int)
     return df.select(*keys, vec).mapInPandas(run, schema)
 
 
+def _best(q, packs, k: int, dim: int):
+    """Top-k of a query pack over point packs ``(keys, matrix)``: (scores, key arrays), or None without points."""
+    qm = _matrix(q.m, q.d, len(q.k0), dim)
+    qn = np.sqrt((qm * qm).sum(axis=1))
+    step, best = max(1, _MAX_SCORE_CELLS // len(qm)), None
+    for keys, pm in packs:
+        for lo in range(0, len(pm), step):
+            cand = _slice_topk(_cosine(qm, qn, pm[lo:lo + step]), [a[lo:lo + step] for a in keys], k)
+            best = cand if best is None else _merge(best, cand, k)
+    return best
+
+
+def _result(q, best, q_key: str, p_keys: list[str]) -> pd.DataFrame:
+    score, ks = best
+    ok = np.isfinite(score)
+    res = pd.DataFrame({c: a[ok] for c, a in zip(p_keys, ks)})
+    res.insert(0, q_key, [q.k0[i] for i in np.nonzero(ok)[0]])
+    res["score"] = score[ok]
+    return res
+
+
 def _cell_topk(k: int, q_key: str, p_keys: list[str]):
     """Top-k of one cell of the grid: the query packs of a block against its point packs."""
 
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
         dim = int(max(queries["d"].max(), points["d"].max())) if len(queries) and len(points) else 0
+        found = []
         for q in queries.itertuples() if dim else ():
-            qm = _matrix(q.m, q.d, len(q.k0), dim)
-            qn = np.sqrt((qm * qm).sum(axis=1))
-            step = max(1, _MAX_SCORE_CELLS // len(qm))
-            best = None
-            for p in points.itertuples():
-                keys = [_sortable(np.asarray(getattr(p, f"k{i}"))) for i in range(len(p_keys))]
-                pm = _matrix(p.m, p.d, len(keys[0]), dim)
-                for lo in range(0, len(pm), step):
-                    cand = _slice_topk(_cosine(qm, qn, pm[lo:lo + step]), [a[lo:lo + step] for a in keys], k)
-                    best = cand if best is None else _merge(best, cand, k)
-            score, ks = best
-            ok = np.isfinite(score)
-            res = pd.DataFrame({c: a[ok] for c, a in zip(p_keys, ks)})
-            res.insert(0, q_key, [q.k0[i] for i in np.nonzero(ok)[0]])
-            res["score"] = score[ok]
-            found.append(res)
+            packs = (([_sortable(np.asarray(getattr(p, f"k{i}"))) for i in range(len(p_keys))], _matrix(p.m, p.d, len(p.k0), dim)) for p in points.itertuples())
+            found.append(_result(q, _best(q, packs, k, dim), q_key, p_keys))
         return pd.concat(found) if found else pd.DataFrame({c: [] for c in [q_key, *p_keys, "score"]})
 
     return run
 
 
+def _sent_topk(sent: list, dim: int, k: int, q_key: str, p_keys: list[str], vec: str):
+    """Top-k of every query over the points of a task, as they come."""
+
+    def run(batches):
+        queries = [SimpleNamespace(k0=k0, m=m, d=d) for k0, m, d in sent]
+        best: list = [None] * len(queries)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            vecs = pdf[vec].tolist()
+            own = next((len(v) for v in vecs if v is not None and len(v)), 0)
+            if dim and own and own != dim:
+                raise ValueError(f"vector dimension {own} differs from query dimension {dim}")
+            pack = [([_sortable(pdf[c].to_numpy()) for c in p_keys], _as_matrix(vecs, dim or own or 1))]
+            for i, q in enumerate(queries):
+                cand = _best(q, pack, k, dim or own or 1)
+                best[i] = cand if best[i] is None else _merge(best[i], cand, k)
+        for q, b in zip(queries, best):
+            if b is not None:
+                yield _result(q, b, q_key, p_keys)
+
+    return run
+
+
 def _matrix(data: bytes, d: int, n: int, dim: int) -> np.ndarray:
     """A packed matrix; a pack without any vector reads as zeros."""
     if not d:
@@ -160,8 +199,8 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
              max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES, stats: dict | None = None) -> DataFrame:
     """V8 batch: ``(q_key, *p_keys, score, rank)`` with rank 1..k per query.
 
-    Query keys are unique; a NULL key takes no part. Both sides are read lazily but for their
-    counts (no vector is computed for those). ``stats`` (optional) receives ``n_queries``,
+    Query keys are unique; a NULL key takes no part. Query vectors are computed once, when this is called; points are read
+    lazily but for their count. ``stats`` (optional) receives ``n_queries``,
     ``n_blocks`` and ``n_point_blocks``.
     """
     p_keys = list(p_keys or ["point_id"])
@@ -171,18 +210,27 @@ def knn_topk(queries: DataFrame, points: DataFrame, k: int = DEFAULT_TOP_K,
     if k is None or k <= 0:
         return spark.createDataFrame([], T.StructType([*fields, T.StructField("rank", T.IntegerType())]))
     qsel = queries.select(q_key, q_vec).where(F.col(q_key).isNotNull())
-    n_q, n_p = qsel.select(q_key).count(), points.select(p_keys[0]).count()
-    probe = points.select(F.size(p_vec).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    row_bytes = 8 * (int(probe[0]["d"]) if probe else 1) + 64
-    n_qb = max(1, math.ceil(n_q * row_bytes / max_block_bytes))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_pb = max(1, math.ceil(n_p * row_bytes / max_block_bytes), min(math.ceil(tasks / n_qb), math.ceil(n_p / _PACK_ROWS)))
-    if stats is not None:
-        stats.update(n_queries=n_q, n_blocks=n_qb, n_point_blocks=n_pb)
-    qp = _packs(qsel, [q_key], q_vec, "qb", n_qb).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_pb - 1))))
-    pp = _packs(points, p_keys, p_vec, "pb", n_pb).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
-    cand = pp.groupBy("qb", "pb").cogroup(qp.groupBy("qb", "pb")).applyInPandas(
-        _cell_topk(k, q_key, p_keys), T.StructType(fields))
+    packs = _packs(qsel, [q_key], q_vec, "qb")
+    packs.write.parquet(path := scratch_path(spark, "knn-queries"))
+    qp = spark.read.schema(packs.schema).parquet(path)
+    n_q, q_bytes, dim = qp.agg(F.coalesce(F.sum(F.size("k0")), F.lit(0)), F.coalesce(F.sum(F.length("m")), F.lit(0)), F.coalesce(F.max("d"), F.lit(0))).first()
+    if q_bytes + 64 * n_q <= min(SENT_BYTES, max_block_bytes):
+        sent = [(list(r["k0"]), bytes(r["m"]), r["d"]) for r in qp.collect()]  # SENT_BYTES at most
+        if stats is not None:
+            stats.update(n_queries=n_q, n_blocks=1, n_point_blocks=0)
+        cand = spread(points.select(*p_keys, p_vec)).mapInPandas(_sent_topk(sent, dim, k, q_key, p_keys, p_vec), T.StructType(fields))
+    else:
+        n_p = points.select(p_keys[0]).count()
+        row_bytes = 8 * max(1, dim) + 64
+        n_qb = max(1, math.ceil(n_q * row_bytes / max_block_bytes))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_pb = max(1, math.ceil(n_p * row_bytes / max_block_bytes), min(math.ceil(tasks / n_qb), math.ceil(n_p / _PACK_ROWS)))
+        if stats is not None:
+            stats.update(n_queries=n_q, n_blocks=n_qb, n_point_blocks=n_pb)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        qg = qp.withColumn("qb", F.pmod("qb", F.lit(n_qb))).withColumn("pb", every(n_pb))
+        pg = _packs(points, p_keys, p_vec, "pb").withColumn("pb", F.pmod("pb", F.lit(n_pb))).withColumn("qb", every(n_qb))
+        cand = pg.groupBy("qb", "pb").cogroup(qg.groupBy("qb", "pb")).applyInPandas(_cell_topk(k, q_key, p_keys), T.StructType(fields))
     w = Window.partitionBy(q_key).orderBy(F.col("score").desc(), *[F.col(c).asc() for c in p_keys])
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
 NULL texts have no words and are rejected by the first stage; an empty table passes through every stage. Rows that share an id are rows
-of their own to the quality rules and the mix; the near-duplicate stage keeps one of equal texts, and rows of one id never remove each
-other's passages. Texts of any length are worked on whole; NULLs in other columns are kept.
+of their own to the quality rules and the mix; to the near-duplicate stage they are one document, all or none of which stays, and they never
+remove each other's passages. Texts of any length are worked on whole; NULLs in other columns are kept.
 """
 
 from __future__ import annotations

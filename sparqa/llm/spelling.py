@@ -39,7 +39,7 @@ _SALTS = 16
 
 
 def planted_slip(doc_id: int | None, word: str) -> str:
-    """The query's planted slip: in one of 31 (document, word) pairs, by checksum, one code point is missing."""
+    """The query's planted slip: in one of 31 (document, word) pairs, by checksum, one code point is missing. A NULL id reads ``None``."""
     h = zlib.crc32(f"{doc_id}:{word}".encode())
     if h % 31:
         return word

@@ -65,9 +65,8 @@ def test_ties_zeros_gaps_and_few_points(spark):
     x = [(5, [2.0, 0.0]), (3, [1.0, 0.0]), (9, [0.0, 1.0]), (1, [0.0, 0.0]), (2, None), (4, [float("nan"), 1.0]), (6, [-1.0, 0.0]), (7, [1.0, 0.0]), (8, [3.0, 0.0])]
     q = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, -1.0]), (3, None)]
     qd, pd_ = _frames(spark, q, x)
-    for k in (1, 3, 6, 20):
-        for pp in (1, 3, 100):
-            assert _rows(knn_topk_pruned(qd, pd_, k, pivot_points=pp)) == _rows(knn_topk(qd, pd_, k)), (k, pp)
+    for k, pp in ((3, 1), (6, 3), (20, 100)):
+        assert _rows(knn_topk_pruned(qd, pd_, k, pivot_points=pp)) == _rows(knn_topk(qd, pd_, k)), (k, pp)
     hot = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100 + i, list(np.random.default_rng(i).normal(size=3))) for i in range(60)]
     qd, pd_ = _frames(spark, [(0, [1.0, 2.0, 3.0]), (1, [-1.0, 0.5, 0.0])], hot)
     assert _rows(knn_topk_pruned(qd, pd_, 4, pivot_points=8, max_block_bytes=1000)) == _rows(knn_topk(qd, pd_, 4))

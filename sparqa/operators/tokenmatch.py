@@ -11,6 +11,7 @@ distinct tokens: no token pair is ever emitted as a row and nothing shuffles.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -29,15 +30,13 @@ SCORE_TYPE = T.StructType([T.StructField("precision", T.DoubleType()),
 
 
 def _unit_rows(toks, vec_of: Callable[[str], np.ndarray], cache: dict):
-    uniq, counts = np.unique(np.asarray(toks, dtype=object), return_counts=True)
-    vecs = []
+    uniq = Counter(toks)
     for t in uniq:
-        v = cache.get(t)
-        if v is None:
-            v = cache[t] = vec_of(t)
-        vecs.append(v)
-    m = np.vstack(vecs)
-    return m, np.sqrt((m * m).sum(axis=1)), counts.astype(np.float64)
+        if t not in cache:
+            cache[t] = vec_of(t)
+    m = np.array([cache[t] for t in uniq])
+    n = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(n == 0, 1.0, n)[:, None], np.fromiter(uniq.values(), np.float64, len(uniq))
 
 
 def match_scores(cand, ref, vec_of: Callable[[str], np.ndarray] = py_token_vector,
@@ -46,13 +45,13 @@ def match_scores(cand, ref, vec_of: Callable[[str], np.ndarray] = py_token_vecto
     if cand is None or ref is None or len(cand) == 0 or len(ref) == 0:
         return 0.0, 0.0, 0.0
     cache = {} if cache is None else cache
-    cm, cn, cc = _unit_rows(cand, vec_of, cache)
-    rm, rn, rc = _unit_rows(ref, vec_of, cache)
+    cm, cc = _unit_rows(cand, vec_of, cache)
+    rm, rc = _unit_rows(ref, vec_of, cache)
     best_c = np.full(len(cm), -np.inf)
     best_r = np.full(len(rm), -np.inf)
     for i in range(0, len(cm), _BLOCK):
         for j in range(0, len(rm), _BLOCK):
-            s = (cm[i:i + _BLOCK] @ rm[j:j + _BLOCK].T) / (cn[i:i + _BLOCK, None] * rn[None, j:j + _BLOCK])
+            s = cm[i:i + _BLOCK] @ rm[j:j + _BLOCK].T
             best_c[i:i + _BLOCK] = np.maximum(best_c[i:i + _BLOCK], s.max(axis=1))
             best_r[j:j + _BLOCK] = np.maximum(best_r[j:j + _BLOCK], s.max(axis=0))
     p = float((best_c * cc).sum() / cc.sum())

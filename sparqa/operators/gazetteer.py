@@ -10,7 +10,7 @@ bounded on both sides; spans of all parts are then brought together per chunk, a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -136,7 +136,3 @@ def enrich_from_table(chunks: DataFrame, entities: DataFrame, key_cols: list[str
     tagged = tag_mentions(chunks, entities, key_cols, text_col, "_mentions", part_surfaces)
     text = F.when(F.size("_mentions") > 0, F.concat(F.col(text_col), entity_list(F.col("_mentions")))).otherwise(F.col(text_col))
     return tagged.withColumn(text_col, text).drop("_mentions")
-
-
-#: A tagger of chunks: anything that adds the mentions column.
-Tagger = Callable[[DataFrame], DataFrame]

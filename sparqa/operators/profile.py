@@ -61,7 +61,7 @@ def _interpolate(got: dict, spots) -> list[float]:
 
 #: Accuracy of the sketch that proposes brackets, and the values of a bracket that are read back instead of cut again. Neither changes a result.
 SKETCH = 10_000
-LEAF_VALUES = 4096
+LEAF_VALUES = 10_000
 
 
 def _number(df: DataFrame, c: str) -> Column:

@@ -11,7 +11,7 @@ from sparqa.operators import judge, profile, report
 from sparqa.sources import results
 
 
-@pytest.mark.parametrize("leaf", [4096, 3, 1])
+@pytest.mark.parametrize("leaf", [10_000, 3, 1])
 def test_quantiles_of_many_columns(spark, monkeypatch, leaf):
     monkeypatch.setattr(profile, "LEAF_VALUES", leaf)
     monkeypatch.setattr(profile, "SKETCH", 20)  # a coarse sketch: many passes, the same result

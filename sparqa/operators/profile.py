@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,13 +94,15 @@ def values_at_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str
         leaves = sorted({(c, *todo[c, r]) for c, r in todo if todo[c, r][3] <= LEAF_VALUES}, key=str)
         if leaves:
             pairs = F.array(*[F.struct(F.lit(i).alias("i"), _within(_number(df, c), lo, hi).alias("v")) for i, (c, lo, hi, *_) in enumerate(leaves)])
-            rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL").groupBy("i", "v").count().collect()
+            rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL").groupBy("i", "v").count().toArrow()
+            leaf_of, value, count = (rows[c].to_numpy() for c in ("i", "v", "count"))
             for i, leaf in enumerate(leaves):
-                at = leaf[3]
-                mine = sorted(r for c, r in todo if c == leaf[0] and todo[c, r] == leaf[1:])
-                for v, n in sorted((x["v"], x["count"]) for x in rows if x["i"] == i):
-                    out[leaf[0]].update((r, v) for r in mine if at <= r < at + n)
-                    at += n
+                mine = np.flatnonzero(leaf_of == i)
+                mine = mine[np.argsort(value[mine], kind="stable")]
+                upto = leaf[3] + np.cumsum(count[mine])
+                for c, r in todo:
+                    if c == leaf[0] and todo[c, r] == leaf[1:]:
+                        out[c][r] = float(value[mine[np.searchsorted(upto, r, "right")]])
             todo = {k: b for k, b in todo.items() if b[3] > LEAF_VALUES}
             continue
         keys = sorted(todo)

@@ -146,3 +146,29 @@ def test_grid_of_many_blocks_and_empty_sides(spark):
     assert stats["n_blocks"] > 1 and stats["n_point_blocks"] > 1
     assert many == rows(knn_topk(qs, df, 3)) and len(many) == 180
     assert rows(knn_topk(qs.limit(0), df, 3)) == [] == rows(knn_topk(qs, df.limit(0), 3))
+
+
+def test_block_search_is_exact_where_single_precision_ties():
+    from sparqa.operators.knn import Block
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=12)
+    m = base + 1e-9 * rng.normal(size=(4000, 12))  # alike in single precision
+    m[1000:3000] = m[7]  # far more equal vectors than places
+    m[5], m[6, 2] = 0.0, np.nan
+    keys = rng.permutation(4000)
+    q = np.concatenate([m[7:8], base + 1e-9 * rng.normal(size=(30, 12)), -base[None], np.zeros((1, 12))])
+    score, (found,) = Block([keys], m, 4).search(q, 4)
+    nm, nq = np.sqrt((m * m).sum(1)), np.sqrt((q * q).sum(1))
+    for i, (v, nv) in enumerate(zip(q, nq, strict=True)):
+        s = np.einsum("ij,ij->i", np.repeat(v[None], 4000, 0), m) / np.where(nm * nv == 0, 1, nm * nv)
+        s[6] = -np.inf
+        top = np.lexsort((keys, -s))[:4]
+        assert found[i].tolist() == keys[top].tolist() and np.array_equal(score[i], s[top])
+
+
+def test_grid_moves_few_rows():
+    from sparqa.operators.knn import _grid
+    n_q, n_p = 140_000, 4_300_000
+    q, p = _grid(n_q, n_p, 192, 3, 1, 25, 200)
+    assert q * p >= 200 and p < 100  # one query block would bring back 3 rows for each of 200 point blocks
+    assert _grid(10, 10, 192, 3, 1, 1, 200) == (1, 1) and _grid(10, 10, 192, 3, 4, 3, 2) == (4, 3)

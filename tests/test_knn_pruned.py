@@ -79,3 +79,17 @@ def test_empty_sides(spark):
     assert knn_topk_pruned(qd.limit(0), pd_, 3).count() == 0
     zeros = pd_.where("point_id = 2")
     assert _rows(knn_topk_pruned(qd, zeros, 3)) == _rows(knn_topk(qd, zeros, 3)) == [(0, 1, 2, 0.0)]
+
+
+def test_a_query_travels_once_to_a_group(spark):
+    """Vectors without clusters reach every block: rows of the second visit grow with the groups, not with the blocks."""
+    from sparqa.operators import knn_pruned as kp
+    rng = np.random.default_rng(2)
+    pivots, _ = kp._unit(rng.normal(size=(64, 8)))
+    groups = kp._groups(pivots, {p: 10 for p in range(64)}, 160)
+    assert len({g for g, _ in groups.values()}) == 5  # 64 blocks in 4 groups, and that of zero vectors
+    qs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], None) for i in range(20)], "qid long, _v array<double>, _kth double")
+    rows = kp._visits(qs, "qid", pivots, np.full(64, 10), np.full(64, 0.5), 0, 3, groups, True).collect()
+    assert len(rows) == 20 * 4 and sum(r["_n"] for r in rows) == 20 * 64
+    split = kp._groups(pivots[:2], {0: 25, 1: 10}, 10)
+    assert split[0] == (0, 3) and split[1] == (3, 1) and split[kp.ZERO_BLOCK][0] == 4

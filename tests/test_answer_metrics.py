@@ -198,3 +198,17 @@ def test_factories_build_the_model_once_per_task(spark):
 
     out = sorted(r.a for r in ans_df.select(ans.responder_udf(factory=make_responder)(F.col("prompt")).alias("a")).collect())
     assert out == ["", "A"]
+
+
+def test_verdicts_of_a_row_are_linear_and_keep_missing_contexts(spark):
+    from sparqa.operators.judge import row_verdicts, with_verdicts
+    assert row_verdicts(["a b", "", None], ["a c", "", "d e"], []) == ([1, 1, None], [None] * 3, [])
+    assert row_verdicts([None], [], ["a"]) == ([0], [], [None])
+    n = 20_000  # before, each statement was compared with a set of all the contexts' tokens made anew: 400 million entries
+    words = [f"w{i}" for i in range(n)]
+    cp, cr, f = row_verdicts([" ".join(words)], [*words, "x"], ["w1 x y"])
+    assert cp == [1] and cr == [1] * n + [0] and f == [0]
+    df = spark.createDataFrame([(["A b. c", "zz"], "a b. Q r. c? !", "c; zz. x y"), (None, None, None), (["k", None], "k. m", "k")],
+                               "retrieved_contexts array<string>, answer string, generated_answer string")
+    got = [(r._v_cp, r._v_cr, r._v_f) for r in with_verdicts(df).collect()]
+    assert got == [([1, 0], [1, 0, 1], [1, 0]), ([], [], []), ([1, None], [None, None], [None])]

@@ -129,3 +129,25 @@ def test_stream_replaces_documents(spark, tmp_dir):
     assert got[4] == "four again" and got[2] == "two" and got[5] in ("cinco", "aaa") and len(got) == 5
     drain()
     assert dict((d, t) for d, _, t in _live(spark, path)) == got
+
+
+def test_state_worker_holds_few_texts_and_settings_come_back(spark, tmp_dir, monkeypatch):
+    from sparqa.streaming import replacer
+    seen = {}
+
+    def commit(path, chunker, embedder, *rows):
+        run = real(path, chunker, embedder, *rows)
+
+        def watched(batch, batch_id):
+            seen["state"] = batch.sparkSession.conf.get(replacer.ARROW_ROWS)
+            run(batch, batch_id)
+        return watched
+    real, write = replacer._commit, changes.write_batch
+    monkeypatch.setattr(replacer, "_commit", commit)
+    monkeypatch.setattr(changes, "write_batch", lambda s, *a: (seen.update(chunks=s.conf.get(replacer.ARROW_ROWS)), write(s, *a)))
+    before = spark.conf.get(replacer.ARROW_ROWS)
+    path = coll.scratch_path(spark, "replace")
+    _write(spark, f"{tmp_dir}/in2", "a", [(i, 1, f"text {i}") for i in range(600)])
+    start_replacing_indexer(spark, f"{tmp_dir}/in2", path, dim=16, checkpoint=f"{tmp_dir}/ckpt2").awaitTermination()
+    assert seen == {"state": str(replacer.ROWS_AT_ONCE), "chunks": before} and spark.conf.get(replacer.ARROW_ROWS) == before
+    assert len(_live(spark, path)) == 600

@@ -172,3 +172,42 @@ def test_grid_moves_few_rows():
     q, p = _grid(n_q, n_p, 192, 3, 1, 25, 200)
     assert q * p >= 200 and p < 100  # one query block would bring back 3 rows for each of 200 point blocks
     assert _grid(10, 10, 192, 3, 1, 1, 200) == (1, 1) and _grid(10, 10, 192, 3, 4, 3, 2) == (4, 3)
+
+
+def test_few_points_of_a_block_are_scored_one_by_one(monkeypatch):
+    from sparqa.operators import knn
+    rng = np.random.default_rng(5)
+    points, queries, scored = rng.normal(size=(40_000, 16)), rng.normal(size=(300, 16)), []
+    einsum = np.einsum
+    monkeypatch.setattr(knn.np, "einsum", lambda how, a, b: scored.append(len(a)) or einsum(how, a, b))
+    best, (keys,) = knn.Block([np.arange(len(points))], points, 3).search(queries, 3)
+    assert sum(scored) <= 6 * len(queries)  # of 40,000 each
+    s = queries @ points.T / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(points, axis=1)
+    assert (keys == np.argsort(-s, axis=1)[:, :3]).all() and np.allclose(best, -np.sort(-s, axis=1)[:, :3])
+
+
+def test_block_of_equal_proportional_and_odd_vectors():
+    from sparqa.operators import knn
+    rng = np.random.default_rng(6)
+    points, queries = rng.integers(-1, 2, (9_000, 3)).astype(float), rng.integers(-1, 2, (40, 3)).astype(float)
+    points[::7] *= 3
+    points[5, 0], points[9, 1], queries[3, 0] = np.nan, np.inf, np.nan
+    live = np.isfinite(points).all(axis=1)
+    for k in (1, 3, 40):
+        best, (keys,) = knn.Block([np.arange(len(points))], points, k).search(queries, k)
+        for q, b, got in zip(queries, best, keys):
+            if np.isnan(q).any():
+                assert np.isinf(b).all()
+                continue
+            den = np.linalg.norm(q) * np.linalg.norm(points[live], axis=1)
+            s = np.where(den > 0, points[live] @ q / np.where(den > 0, den, 1), 0)
+            # scores that differ by rounding only tie in exact arithmetic
+            assert np.allclose(b, -np.sort(-s)[:k]) and len(set(got)) == k
+            assert np.allclose(s[np.searchsorted(np.flatnonzero(live), got)], b)
+
+
+def test_copies_beyond_k_are_left_out_of_a_block():
+    from sparqa.operators import knn
+    m = np.repeat(np.random.default_rng(8).normal(size=(50, 4)), 20, axis=0)
+    kept = knn.Block._first_of_equal(m, 3)
+    assert kept.tolist() == [i for i in range(1000) if i % 20 < 3]

@@ -211,3 +211,76 @@ def test_copies_beyond_k_are_left_out_of_a_block():
     m = np.repeat(np.random.default_rng(8).normal(size=(50, 4)), 20, axis=0)
     kept = knn.Block._first_of_equal(m, 3)
     assert kept.tolist() == [i for i in range(1000) if i % 20 < 3]
+
+
+def _odd_points(rng, n, d):
+    m = rng.normal(size=(n, d))
+    m[::9] = m[4]  # a hot vector
+    m[1::50], m[2::60, 0], m[3::70, 1] = 0.0, np.nan, np.inf
+    m[7::40] = 3 * m[8]  # proportional: equal angles
+    return m
+
+
+def test_leaves_find_what_the_block_finds():
+    from sparqa.operators import knn
+    rng = np.random.default_rng(3)
+    block = knn.Block([rng.permutation(20_000)], _odd_points(rng, 20_000, 6), 3)
+    q = np.concatenate([rng.normal(size=(700, 6)), block.m[:40], np.zeros((2, 6)), np.full((1, 6), np.nan)])
+    for k in (1, 3, 40):
+        want, (keys,) = block.search(q, k)
+        for floor in (None, want[:, -1] - 0.01, np.where(np.arange(len(q)) % 2, -np.inf, want[:, -1])):
+            got, (found,) = knn.Leaves(block).search(q, k, floor)
+            assert np.array_equal(got, want) and np.array_equal(found[np.isfinite(got)], keys[np.isfinite(want)])
+
+
+def test_leaves_out_of_reach_are_not_scored():
+    from sparqa.operators import knn
+    rng = np.random.default_rng(4)
+    points, queries, cells = rng.normal(size=(40_000, 8)), rng.normal(size=(600, 8)), []
+    leaves = knn.Leaves(knn.Block([np.arange(len(points))], points, 3))
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            inputs = [np.asarray(x) for x in inputs]
+            if ufunc is np.matmul:
+                cells.append(inputs[0].shape[0] * inputs[1].shape[1])
+            return getattr(ufunc, method)(*inputs, **kw)
+    leaves.points = leaves.points.view(Seen)
+    best, (keys,) = leaves.search(queries, 3)
+    assert 0 < sum(cells) < 0.2 * len(points) * len(queries)  # the block's own search scores them all
+    s = queries @ points.T / np.linalg.norm(queries, axis=1)[:, None] / np.linalg.norm(points, axis=1)
+    assert (keys == np.argsort(-s, axis=1)[:, :3]).all()
+
+
+def test_blocks_by_region_give_what_one_block_gives(spark, monkeypatch):
+    from sparqa.operators import knn
+    monkeypatch.setattr(knn, "_LEAST_FOR_LEAVES", (1, 1))
+    monkeypatch.setattr(knn, "_LEAF_POINTS", 3)
+    rng = np.random.default_rng(5)
+    vec = lambda m: [None if i % 83 == 0 else [float(x) for x in v] for i, v in enumerate(m)]
+    pts = spark.createDataFrame([(i % 400, f"t{i}", v) for i, v in enumerate(vec(_odd_points(rng, 900, 4)))], "a long, b string, embedding array<double>").repartition(4)
+    qs = spark.createDataFrame([(None if i == 5 else i, v) for i, v in enumerate(vec(_odd_points(rng, 300, 4)))], "qid long, embedding array<double>").repartition(3)
+    rows = lambda **kw: sorted(map(tuple, knn.knn_topk(qs, pts, 4, "qid", ["a", "b"], **kw).collect()))
+    want, stats = rows(), {}
+    assert rows(max_block_bytes=9000, stats=stats) == want and len(want) > 1000
+    assert stats["n_blocks"] > 1 and stats["n_point_blocks"] > 8
+    # a cell searches with the bound that a query brings from its own region
+    floors = []
+    searched = knn._searched
+    monkeypatch.setattr(knn, "_searched", lambda block, qm, k, floor=None: floors.append(floor) or searched(block, qm, k, floor))
+    q = np.array([[1.0, 0.0], [0.0, 1.0]])
+    run = knn._cell_topk(1, "qid", ["p"])
+    import pandas as pd
+    packs = pd.DataFrame({"pb": [1], "k0": [np.array([7, 8])], "m": [np.array([[1.0, 0.1], [0.1, 1.0]]).tobytes()], "d": [2]})
+    asked = pd.DataFrame({"home": [0, 1], "k0": [["x"], ["y"]], "m": [q[:1].tobytes(), q[1:].tobytes()], "d": [2, 2], "floor": [np.array([f]).tobytes() for f in (0.9, 0.2)]})
+    out = run(packs, asked)
+    assert out["qid"].tolist() == ["x"] and out["p"].tolist() == [7] and floors[0].tolist() == [0.9]
+
+
+def test_large_search_without_points_or_vectors(spark):
+    from sparqa.operators import knn
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "point_id long, embedding array<double>")
+    qs = df.withColumnRenamed("point_id", "qid")
+    none = spark.createDataFrame([(i, None) for i in range(9)], "point_id long, embedding array<double>")
+    assert knn.knn_topk(qs, df.limit(0), 3, max_block_bytes=300).count() == 0
+    assert knn.knn_topk(qs, none, 3, max_block_bytes=300).count() == knn.knn_topk(qs, none, 3).count()

@@ -8,7 +8,10 @@ exactly with one pivot. The Jaccard distance is a metric, so two nodes can only
 t) if their distances to the pivot differ by at most t: the bucket falls into overlapping strata of
 width t, which become the next buckets. A bucket is done when all of it lies in one component. What the largest
 component of a bucket leaves out is finally held against all of the bucket, block by block, once that is
-little enough; until then pivots cut it further. Every candidate pair is thus decided exactly or ruled out by the metric.
+little enough; until then pivots cut it further. There marks are compared, not sets: a mark holds the parity of the number of shingles
+in each of a few cells, so two marks differ in no more cells than their sets in shingles, and a pair whose marks differ too much is not
+linked. What is left is compared exactly: first the likeliest pair of a node and a component, then, after components have been joined, all.
+Every candidate pair is thus decided exactly or ruled out by the metric or by the marks.
 
 Edge cases: NULL, empty and blank texts have no shingles and link with nothing; texts shorter than a shingle are one
 shingle; a NULL id counts as larger than every id and is never the component id if another exists; rows that
@@ -35,10 +38,13 @@ CHUNK = 1 << 19
 CELL_PAIRS = 2000
 #: Nodes of a bucket, at most, that all others are compared with in a round.
 PIVOTS = 8
-#: Buckets with up to this many open comparisons are finished block by block; larger ones are cut by pivots first.
-FINISH_PAIRS = 2_000_000
-BLOCK_X, BLOCK_M = 128, 256
-CELL_COMPARES = 100_000
+#: Buckets with up to this many open comparisons of marks are finished block by block; larger ones are cut by pivots first.
+FINISH_PAIRS = 200_000_000
+BLOCK_X, BLOCK_M = 512, 1024
+#: Comparisons and rows of a task group of these.
+CELL_COMPARES, CELL_ROWS = 1_000_000, 4_000
+#: Cells of a mark: at least two a shingle, a power of two between these.
+LEAST_MARK, MOST_MARK = 256, 1 << 18
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -206,58 +212,95 @@ def _measured(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         released(_compare(threshold)), "pivot long, node long, linked boolean, stratum int"), "near-measured")
 
 
-def _links(threshold: int):
-    """Links between components inside each (bucket, block, block) of a cell; as many as join components there."""
+def mark(items: np.ndarray) -> np.ndarray:
+    """Parities of the counts of ``items`` in cells, as words; half as many cells are one half of the words XOR the other."""
+    cells = min(MOST_MARK, max(LEAST_MARK, 1 << (2 * max(1, len(items)) - 1).bit_length()))
+    at = (mix(items ^ np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Marks (sets x words) in fewer words."""
+    return np.bitwise_xor.reduce(marks.reshape(len(marks), -1, words), axis=1)
+
+
+def _marks(batches):
+    for t in batches:
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in t.column("items")]
+        yield pa.RecordBatch.from_arrays([t.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark(s).tobytes() for s in sets], pa.binary())],
+                                         ["node", "n", "mark"])
+
+
+def _possible(threshold: int, best: bool):
+    """Pairs of different components inside each (bucket, block, block) of a cell whose marks don't rule them out; with ``best`` the likeliest
+    of each left node and right component."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], []]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         lk = list(zip(*(left[c].to_pylist() for c in ("bucket", "bx", "bm")), strict=True)) if left.num_rows else []
         rk = list(zip(*(right[c].to_pylist() for c in ("bucket", "bx", "bm")), strict=True)) if right.num_rows else []
         of: dict[tuple, list[int]] = {}
         for i, k in enumerate(rk):
             of.setdefault(k, []).append(i)
-        l_node, l_comp, r_node, r_comp = (t[c].to_pylist() for t in (left, right) for c in ("node", "comp"))
-        ready: dict[tuple, tuple] = {}
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
+        if not lk or not rk:
+            return pa.table({"pivot": pa.array(out[0][0]), "node": pa.array(out[1][0])})
+        (l_node, l_comp, l_n), (r_node, r_comp, r_n) = ([t[c].to_numpy() for c in ("node", "comp", "n")] for t in (left, right))
+        l_mark, r_mark = ([np.frombuffer(m.as_py(), np.uint64) for m in t["mark"]] for t in (left, right))
+        now, by_words = None, {}
         for i, k in sorted(enumerate(lk), key=lambda x: x[1]):
             if k not in of:
                 continue
-            if k not in ready:
-                sets = [np.frombuffer(right["items"][j].as_py(), np.uint64) for j in of[k]]
-                n = np.array([len(x) for x in sets])
-                ready = {k: (np.concatenate(sets), np.cumsum(n) - n, n)}
-            items, first, n = ready[k]
-            mine = np.frombuffer(left["items"][i].as_py(), np.uint64)
-            hits = mine[np.minimum(np.searchsorted(mine, items), len(mine) - 1)] == items
-            both = np.add.reduceat(hits.astype(np.int64), first)
-            for j in np.flatnonzero(100 * both >= threshold * (n + len(mine) - both)).tolist():
-                a, b = root(l_comp[i]), root(r_comp[of[k][j]])
-                if a != b:
-                    joined[a] = b
-                    out[0].append(l_node[i])
-                    out[1].append(r_node[of[k][j]])
-        return pa.table({"pivot": pa.array(out[0], pa.int64()), "node": pa.array(out[1], pa.int64())})
+            if k != now:
+                now, by_words, folds = k, {}, {}
+                for j in of[k]:
+                    by_words.setdefault(len(r_mark[j]), []).append(j)
+                by_words = {w: (np.array(js), np.stack([r_mark[j] for j in js])) for w, js in by_words.items()}
+            mine, n = l_mark[i], int(l_n[i])
+            near, differ = [], []
+            for w, (js, marks) in by_words.items():
+                words = min(w, len(mine))
+                if (w, words) not in folds:
+                    folds[w, words] = marks if w == words else _folded(marks, words)
+                own = mine if len(mine) == words else _folded(mine[None], words)[0]
+                d = np.bitwise_count(folds[w, words] ^ own).sum(axis=1, dtype=np.int64)
+                m = r_n[js]
+                ok = ((100 + threshold) * d <= (100 - threshold) * (m + n)) & (100 * np.minimum(m, n) >= threshold * np.maximum(m, n)) & (r_comp[js] != l_comp[i])
+                near.append(js[ok])
+                differ.append(d[ok])
+            near, differ = np.concatenate(near), np.concatenate(differ)
+            if best and len(near):
+                near = near[np.lexsort((near, differ))]
+                near = near[np.unique(r_comp[near], return_index=True)[1]]
+            out[0].append(np.minimum(l_node[i], r_node[near]))
+            out[1].append(np.maximum(l_node[i], r_node[near]))
+        return pa.table({"pivot": pa.array(np.concatenate(out[0])), "node": pa.array(np.concatenate(out[1]))})
     return run
 
 
-def _finished(state: DataFrame, near: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """All links across components in the buckets ``near``: what lies outside the largest component against the whole
-    bucket, block by block."""
+def _finished(state: DataFrame, near: DataFrame, marks: DataFrame, sets: DataFrame, threshold: int, best: bool) -> DataFrame:
+    """Links across components in the buckets ``near``: what lies outside the largest component against the whole bucket, block by
+    block; all of them, or with ``best`` the likeliest only."""
     rows = state.join(near, "bucket").withColumn("_bx", F.ceil(F.col("x") / BLOCK_X).cast("int")).withColumn("_bm", F.ceil(F.col("m") / BLOCK_M).cast("int"))
-    total = near.agg(F.sum(F.col("m") * F.col("x"))).first()[0]
-    n_cells = max(1, -(-total // CELL_COMPARES))
+    compares, moved = near.agg(F.sum(F.col("m") * F.col("x")), F.sum(F.col("m") * F.ceil(F.col("x") / BLOCK_X) + F.col("x") * F.ceil(F.col("m") / BLOCK_M))).first()
+    n_cells = max(1, -(-compares // CELL_COMPARES), -(-moved // CELL_ROWS))
     cell = F.pmod(F.xxhash64("bucket", "bx", "bm"), F.lit(n_cells)).cast("int")
     part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    cols = ["cell", "bucket", "bx", "bm", "node", "comp", "items"]
-    left = rows.filter("comp <> top").withColumn("bx", part("_bx")).withColumn("bm", every("_bm")).withColumn("cell", cell).join(sets, "node").select(cols)
-    right = rows.withColumn("bm", part("_bm")).withColumn("bx", every("_bx")).withColumn("cell", cell).join(sets, "node").select(cols).toDF(*cols)
-    return stored(left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(released(_links(threshold)), "pivot long, node long"), "near-finished")
+    cols = ["cell", "bucket", "bx", "bm", "node", "comp", "n", "mark"]
+    rows = rows.join(marks, "node")
+    left = rows.filter("comp <> top").withColumn("bx", part("_bx")).withColumn("bm", every("_bm")).withColumn("cell", cell).select(cols)
+    right = rows.withColumn("bm", part("_bm")).withColumn("bx", every("_bx")).withColumn("cell", cell).select(cols).toDF(*cols)
+    pairs = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(released(_possible(threshold, best)), "pivot long, node long")
+    return _measured(pairs.distinct(), sets, threshold).filter("linked").select("pivot", "node")
+
+
+def _opened(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their components, the buckets of several components): what a bucket's largest component leaves out must be held
+    against all of the bucket."""
+    state = stored(members.join(comp, "node"), "near-state")
+    live = stored(state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("bucket")
+                  .agg(F.sum("_c").alias("m"), F.max_by("comp", "_c").alias("top"), F.max("_c").alias("_most"))
+                  .filter("m > _most").select("bucket", "m", "top", (F.col("m") - F.col("_most")).alias("x")), "near-live")
+    return state, live
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,17 +334,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = THRESHOL
         extra = None
     sets = texts.mapInArrow(_sets(shingle), "node long, f1 long, _f long, items binary").filter("f1 = _f").select("node", "items")
     sets = stored((sets if extra is None else sets.unionByName(extra)).dropDuplicates(["node"]), "near-sets")
-    first_round = True
+    first_round, marks = True, None
     while True:
-        state = stored(members.join(comp, "node"), "near-state")
-        # what a bucket's largest component leaves out must be held against all of the bucket
-        live = stored(state.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("bucket")
-                      .agg(F.sum("_c").alias("m"), F.max_by("comp", "_c").alias("top"), F.max("_c").alias("_most"))
-                      .filter("m > _most").select("bucket", "m", "top", (F.col("m") - F.col("_most")).alias("x")), "near-live")
+        state, live = _opened(members, comp)
         if not first_round:
             near = live.filter(F.col("m") * F.col("x") <= FINISH_PAIRS)
             if near.limit(1).count():
-                comp = _merge(comp, _finished(state, near, sets, threshold))
+                if marks is None:
+                    marks = stored(sets.mapInArrow(_marks, "node long, n long, mark binary"), "near-marks")
+                comp = _merge(comp, _finished(state, near, marks, sets, threshold, True))
+                state, near = _opened(members.join(near.select("bucket"), "bucket"), comp)
+                if near.limit(1).count():
+                    comp = _merge(comp, _finished(state, near, marks, sets, threshold, False))
             live = live.filter(F.col("m") * F.col("x") > FINISH_PAIRS)
         if not live.limit(1).count():
             break

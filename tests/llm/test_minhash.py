@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001
 
@@ -92,3 +93,37 @@ def test_signature_estimates_jaccard():
     b = np.concatenate([a[:600], rng.integers(0, 2 ** 63, 300).astype(np.uint64)])
     sig = minhash.signatures(np.concatenate([a, b]), np.array([0, 900]), 1000)
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.06
+
+
+def test_marks_never_part_linked_sets_and_rule_out_most_others():
+    rng = np.random.default_rng(3)
+    sets, at = [], 0
+    for n in (1, 2, 90, 130, 480, 520, 3000):  # families on both sides of a mark's sizes
+        base = rng.integers(0, 2 ** 63, n).astype(np.uint64)
+        for share in (0, 0.05, 0.1, 0.12, 0.18, 0.25, 0.5):
+            new = base.copy()
+            new[:round(share * n)] = rng.integers(0, 2 ** 63, round(share * n)).astype(np.uint64)
+            sets += [np.unique(new), np.unique(new[:max(1, round(0.9 * n))])]
+    table = pa.table({"bucket": [1] * len(sets), "bx": [0] * len(sets), "bm": [0] * len(sets), "node": list(range(len(sets))), "comp": list(range(len(sets))),
+                      "n": [len(s) for s in sets], "mark": [minhash.mark(s).tobytes() for s in sets]})
+    found = set(zip(*(minhash._possible(80, False)(table, table)[c].to_pylist() for c in ("pivot", "node"))))
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= found and len(linked) > 50
+    assert len(found) < 1.5 * len(linked)  # of 4,753 pairs, all of which were compared shingle by shingle
+    best = set(zip(*(minhash._possible(80, True)(table, table.set_column(4, "comp", pa.array([-1] * len(sets))))[c].to_pylist() for c in ("pivot", "node"))))
+    assert len(best) <= len(sets) and best <= found | {(i, i) for i in range(len(sets))}
+
+
+def test_a_crowd_of_unlike_texts_is_settled_by_marks(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(160):  # about 0.7 alike, some in pairs
+        w = [word() if rng.random() < 0.05 else x for x in base]
+        rows += [(2 * i, " ".join(w))] + [(2 * i + 1, " ".join(w[:-2]))] * (i % 3 == 0)
+    compared = []
+    monkeypatch.setattr(minhash, "_measured", lambda pairs, sets, t, f=minhash._measured: compared.append((out := f(pairs, sets, t)).count()) or out)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(df, 2)) == brute(rows, 2)
+    assert sum(compared) < len(rows) * (len(rows) - 1) / 2 / 4  # pairs compared shingle by shingle
